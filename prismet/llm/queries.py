@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismet.llm import bpe, fingerprint, licenses, quality, secrets, sharding
+from prismet.llm import bpe, fingerprint, licenses, minhash, packing, quality, secrets, sharding, suffix_dedup, toxicity
 from prismet.llm._stage import stage
 
 
@@ -13,6 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, part = table(spark, sf_dir, "documents"), lambda c: F.crc32(F.col(c).cast("string")) % 3
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), allowed=part("_id") != 1)
+    out = toxicity.scored(docs, model)
+    return out.select("doc_id", F.coalesce(part("doc_id") == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = stage(secrets.scan(table(spark, sf_dir, "documents")), "secrets")
     out = secrets.report(scanned)
@@ -43,6 +50,10 @@ def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -63,6 +74,18 @@ def op7_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def op9_shortest_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = stage(quality.text_statistics(table(spark, sf_dir, "documents")), "statistics")
     rules = quality.fit_rules(stats, table(spark, sf_dir, "labels"))
@@ -70,7 +93,7 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op2_secret_ownership, op3_license_signatures, op4_jump_sharding, op6_byte_bpe, op7_scaled_sketch, op10_decision_list)}
+    return {f.__name__: f for f in (op1_toxicity_ftrl, op2_secret_ownership, op3_license_signatures, op4_jump_sharding, op5_suffix_array, op6_byte_bpe, op7_scaled_sketch, op8_minhash_join, op9_shortest_pack, op10_decision_list)}
 
 
 def oracle_sql() -> dict[str, str]:

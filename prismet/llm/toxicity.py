@@ -64,7 +64,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, *, alpha: float = 0.3, beta: float = 1.0, l1: float = 2.0, l2: float = 0.1, epochs: int = 6, min_rows: int = 3) -> Model:
+def fit(rows: list[np.ndarray], y: np.ndarray, *, alpha: float = 5.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.0, epochs: int = 20, min_rows: int = 3) -> Model:
     """FTRL-proximal on the distinct feature hashes of each row. Features in fewer than ``min_rows`` rows are left out."""
     flat = np.concatenate(rows) if rows else np.zeros(0, _U)
     keys, count = np.unique(flat, return_counts=True)
@@ -119,7 +119,7 @@ def _learner(options: dict):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, *, allowed: Column | None = None, bound: int = 15000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, *, allowed: Column | None = None, bound: int = 9000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> Model | None:
     """Fit on at most ``bound`` labelled rows, up to a third of them of label 1; ``allowed`` restricts the labels' rows."""
     own = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id IS NOT NULL AND _y IN (0, 1)")
     if allowed is not None:

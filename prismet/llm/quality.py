@@ -50,6 +50,7 @@ FEATURES = {
 
 
 def _statistics(batches):
+    """Batches of (anything, text) become (anything, counts)."""
     for batch in batches:
         data, offsets = utf8(batch.column(1))
         parts: list[list[np.ndarray]] = [[] for _ in COUNTS]
@@ -89,7 +90,7 @@ def _statistics(batches):
             for p, c in zip(parts, cols, strict=True):
                 p.append(np.asarray(c, np.int64))
         arrays = [pa.array(np.concatenate(p) if p else np.zeros(0, np.int64)) for p in parts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", *COUNTS])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], [batch.schema.names[0], *COUNTS])
 
 
 def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,11 +180,15 @@ def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, *, max_rules: int = 1
     return rules
 
 
+def chosen_labels(labels: DataFrame, bound: int) -> DataFrame:
+    """doc_id, quality of at most ``bound`` labelled documents, those of the least hash of their id."""
+    own = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    return own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+
+
 def labelled_features(stats: DataFrame, labels: DataFrame, *, bound: int = 20000) -> DataFrame:
-    """Features of at most ``bound`` labelled rows, those of the least hash of their id; labels join on ids alone."""
-    chosen = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return stats.where(~base_failed()).join(chosen, "doc_id").select("quality", *[F.expr(e).cast("double").alias(f) for f, e in FEATURES.items()])
+    """Features of at most ``bound`` labelled rows that pass the fixed rule; labels join on ids alone."""
+    return stats.where(~base_failed()).join(chosen_labels(labels, bound), "doc_id").select("quality", *[F.expr(e).cast("double").alias(f) for f, e in FEATURES.items()])
 
 
 def fit_rules(stats: DataFrame, labels: DataFrame, *, bound: int = 20000, **options) -> list[Rule]:
@@ -208,5 +213,20 @@ def judge(stats: DataFrame, rules: list[Rule]) -> DataFrame:
     return stats.withColumns({"base_failed": base_failed(), "rule": rules_column(rules)}).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, *, bound: int = 20000, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, that the fixed rule and the learned rules keep.
+
+    The labelled sample is measured on its own (its ids, at most ``bound``, are broadcast); then one pass without a
+    shuffle measures and judges every row, so that no text moves.
+    """
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    sample = own.join(F.broadcast(chosen_labels(labels, bound).select("doc_id")), "doc_id")
+    rules = fit_rules(text_statistics(sample), labels, bound=bound, **options)
+    src = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    kind = src.schema["row"].dataType.simpleString()
+    stats = map_arrow(src, _statistics, f"row {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return judge(stats, rules).where("kept").select("row.*")
+
+
 def rules_json(rules: list[Rule]) -> str:
     return json.dumps([{"tests": r.tests, "precision": r.precision} for r in rules])

@@ -12,14 +12,14 @@ do not raise the counts of distinct owners. Values are hashed in the scan and ne
 from __future__ import annotations
 
 import re
-from hashlib import blake2b, sha256
+from hashlib import md5, sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismet.llm._stage import map_arrow
+from prismet.llm._stage import map_arrow, stage
 from prismet.llm._text import Words, slices, utf8
 
 
@@ -82,7 +82,7 @@ def _scan(batches):
             for r, (a, b) in enumerate(zip(o[:-1].tolist(), o[1:].tolist(), strict=True)):
                 if r in hexed or any(low.find(x, a, b) >= 0 for x in _WORDS) or raw.find(b"AKIA", a, b) >= 0 or any(raw.find(g, a, b) >= 0 for _, g, _ in FURTHER):
                     got = find(raw[a:b].decode())
-                    keys.append(blake2b(raw[a:b], digest_size=16).hexdigest() if got else "")
+                    keys.append(md5(raw[a:b]).hexdigest() if got else "")
                     spans.append([{"kind": KINDS[k], "start": s, "end": e, "value_hash": sha256(v.encode()).hexdigest(), "alive": looks_alive(v)} for s, e, k, v in got])
                 else:
                     keys.append("")
@@ -142,3 +142,13 @@ def redact(text, live, mask: str = "[REDACTED]"):
 
     done = F.aggregate(spans, start, step)
     return F.when(F.size(live) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+
+
+def redacted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = 3) -> DataFrame:
+    """``docs``, all columns, with live values cut out of the text."""
+    found = stage(scan(docs, id_col=id_col, text_col=text_col, owner_col=owner_col).where(F.size("spans") > 0), "candidates")
+    live = verdicts(found, max_owners=max_owners).where("n_live > 0").select(F.col("doc_id").alias("_found"), "text_key", "live")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    out = rows.join(live, F.col("_id").eqNullSafe(F.col("_found")) & (F.md5("_text") == F.col("text_key")), "left")
+    new = F.when(F.col("live").isNull(), F.col("_text")).otherwise(redact(F.col("_text"), F.col("live")))
+    return out.select(*[new.alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in docs.columns])

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import StructType
 
 from prismet.llm._stage import default_parts, map_arrow, ship, stage
 from prismet.llm._text import mix, randoms, utf8
@@ -360,8 +360,7 @@ def _finish(digests: bool):
             n_spans.append(b - a)
         if digests:
             return pa.table({"doc_id": docs.column("_id"), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array([sha256(x).hexdigest() for x in kept], pa.string())})
-        out = docs.drop_columns(["_id", "_text", "_part"])
-        return out.append_column("_kept", pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())).append_column("_removed", pa.array(n_removed, pa.int64()))
+        return pa.table({"_row": docs.column("_row"), "_kept": pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())})
 
     return run
 
@@ -385,9 +384,10 @@ def cut_spans(source: DataFrame, parts: int) -> DataFrame:
 def _prepared(docs: DataFrame, id_col: str, text_col: str, keep: bool) -> tuple[DataFrame, int]:
     ship(docs.sparkSession)
     parts = _prime(max(61, 4 * default_parts(docs.sparkSession)))
-    ident = F.col(id_col).cast("long")
-    base = [F.col(f"`{c}`") for c in docs.columns] if keep else []
-    return docs.select(*base, ident.alias("_id"), F.col(text_col).cast("string").alias("_text"), F.coalesce(F.pmod(ident, F.lit(parts)), F.pmod(F.xxhash64(text_col), F.lit(parts))).cast("long").alias("_part")), parts
+    ident, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if keep else []
+    part = F.coalesce(F.pmod(ident, F.lit(parts)), F.pmod(F.xxhash64(text), F.lit(parts))).cast("long")
+    return docs.select(*whole, ident.alias("_id"), text.alias("_text"), part.alias("_part")), parts
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -398,9 +398,9 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with later copies cut out of the text (a character of which bytes are left over goes too), and ``_removed`` bytes."""
+    """``docs``, all columns, with later copies cut out of the text. A character of which only some bytes are cut goes whole."""
     source, parts = _prepared(docs, id_col, text_col, keep=True)
     cuts = cut_spans(source.select("_id", "_text", "_part"), parts)
-    schema = StructType([*docs.schema.fields]).add("_kept", "string").add("_removed", LongType())
+    schema = StructType([source.schema["_row"]]).add("_kept", "string")
     out = source.groupBy("_part").cogroup(cuts.groupBy("part")).applyInArrow(_finish(False), schema)
-    return out.withColumn(text_col, F.col("_kept")).drop("_kept")
+    return out.select(*[F.col("_kept").alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in docs.columns])

@@ -9,6 +9,7 @@ from math import comb, gcd
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _TOKEN = re.compile(r"(0|[1-9][0-9]*)(?:\.([0-9]+))?(?:[eE]([+-]?[0-9]{1,4}))?")
 
@@ -36,7 +37,7 @@ def passes_threshold(count: Column, total: Column, token: str) -> Column:
     return (count > 0) & (wide(count) * wide(F.lit(10**power)) >= wide(total) * wide(F.lit(coefficient)))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def big_at_least(count: pd.Series, total: pd.Series, coefficient: pd.Series, power: pd.Series) -> pd.Series:
     return pd.Series([int(c) * 10 ** int(p) >= int(k) * int(t) for c, t, k, p in zip(count, total, coefficient, power, strict=True)])
 
@@ -78,7 +79,7 @@ def threshold_decision(n: int, low: int, high: int, tau: Fraction, alpha: Fracti
     return ("threshold_present" if upper <= delta else "threshold_below" if lower < delta else "unresolved"), delta, upper, lower
 
 
-@F.pandas_udf("status string, delta string, upper_tail string, lower_tail string")
+@F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in ("status", "delta", "upper_tail", "lower_tail")]))
 def binomial_threshold(n: pd.Series, low: pd.Series, high: pd.Series, tau: pd.Series, alpha: pd.Series, looks: pd.Series) -> pd.DataFrame:
     rows = [threshold_decision(int(a), int(b), int(c), Fraction(t), Fraction(x), int(j)) for a, b, c, t, x, j in zip(n, low, high, tau, alpha, looks, strict=True)]
     return pd.DataFrame([(s, text(d), text(u), text(v)) for s, d, u, v in rows], columns=["status", "delta", "upper_tail", "lower_tail"])
@@ -117,7 +118,7 @@ def first_crossing(ns: list[int] | int, target: Fraction = Fraction(1, 2), cap:
     return None
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def half_crossing_steps(n: pd.Series) -> pd.Series:
     return pd.Series([first_crossing(int(x)) for x in n], dtype="Int64")
 

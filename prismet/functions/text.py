@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNICODE = "15.1.0"
 #: The White_Space property (fixed values).
@@ -52,7 +53,13 @@ def trigram_hash(t: tuple) -> int:
     return int.from_bytes(hashlib.blake2b(repr(t).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-@F.pandas_udf("status string, reasons array<string>, n_units int, units array<string>, trigrams array<long>")
+_TOKENIZED = T.StructType([
+    T.StructField("status", T.StringType()), T.StructField("reasons", T.ArrayType(T.StringType())), T.StructField("n_units", T.IntegerType()),
+    T.StructField("units", T.ArrayType(T.StringType())), T.StructField("trigrams", T.ArrayType(T.LongType())),
+])
+
+
+@F.pandas_udf(_TOKENIZED)
 def tokenized(texts: pd.Series) -> pd.DataFrame:
     """Tokenization of text or UTF-8 bytes: eligible, ineligible (bad UTF-8, empty, white space only) or unavailable."""
     rows = []

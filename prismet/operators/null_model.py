@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from prismet.functions.exact import half_crossing_steps
 
-#: Assumptions that must be declared true for expectations to exist; the last only with a schedule.
-ASSUMPTIONS = ["independent_draws", "fixed_class_set", "neutral_resampling", "constant_population", "exogenous_schedule"]
+#: Assumptions that must be declared true for expectations to exist, the last only with a schedule (fixed values).
+ASSUMPTIONS = ["finite_multinomial", "fixed_classes", "closed", "empirical_reconstruction", "exogenous_schedule"]
 
 
 def omission(p, n):

@@ -10,12 +10,13 @@ true pair misses about once in 10**5 at the threshold and far less above it. Can
   a common passage spreads over a third of all documents stays outside the prefixes.
 * Skip: in each posting list every class is first compared with one centre, the member with the most common tokens.
   Confirmed links contract to components. Then only lists that still hold several components are merged in full, and
-  only for pairs of different components; long lists in blocks of a fixed size, a pair only at its first common list.
+  only for pairs of different components. Long lists are merged in blocks of a fixed size that hold the full sets: a
+  pair is compared at its first common list only, and a block gives the links that join its components, not its pairs.
 
-So a group of near copies costs about its size, and no link between components is lost.
+So a group of near copies gives about as many rows as it has members, and no link between components is lost.
 
-Nulls: a null text or one without words has an empty set and links with nothing. Rows that share a doc_id count as one
-document, which links with what any of them links with. Rows with a null doc_id are returned as their own component.
+Nulls: a null text or one without words has an empty set and links with nothing. Repeated rows are one document; if rows
+of one doc_id differ in text, each belongs to the class of its own set. Rows with a null doc_id link with nothing.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ MATCH = 22
 PREFIX = K - MATCH + 1
 #: Posting lists of up to this many classes are paired by a join, longer ones in blocks of about ``BLOCK``.
 SHORT = 16
-BLOCK = 512
+BLOCK = 1024
+_FILTER_BITS = 1 << 26
 _A, _B = randoms(101, K), randoms(202, K)
 _COORDINATE = np.arange(K, dtype=np.uint64) << np.uint64(32)
 
@@ -81,10 +83,40 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return map_arrow(_source(docs, id_col, text_col), _sketch, "doc_id long, n long, lo long, hi long, tokens array<long>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The pairs (a, b) of documents whose full sets have 100 * intersection >= percent * union. Only paired texts are moved."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stage(map_arrow(docs.join(ids, "doc_id", "left_semi"), _sets, "rep long, shingles array<long>"), "sets")
+def _candidates_only(source: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``source`` whose doc_id is in ``ids``. Before texts move, a bitmap drops most others where they are read.
+
+    The bitmap has 16 bits for each id, at most ``_FILTER_BITS`` (8 MB): beyond that it lets more rows through, and the
+    join that follows decides in any case.
+    """
+    spark = source.sparkSession
+    ids = stage(ids.select("doc_id").distinct(), "ids")
+    n = ids.count()
+    bits = min(_FILTER_BITS, 1 << max(16, (16 * n - 1).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    held = ids.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {bits}L) % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    words = np.zeros(bits // 64, np.int64)
+    words[held.column("w").to_numpy()] = held.column("b").to_numpy()
+    shared = spark.sparkContext.broadcast(words)
+
+    def keep(batches):
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            hit = (shared.value[at >> 6] >> (at & 63)) & 1 == 1
+            yield batch.select(["doc_id", "text"]).filter(pa.array(hit))
+
+    likely = map_arrow(source.select("doc_id", "text", place.alias("at")), keep, "doc_id long, text string")
+    return likely.join(ids, "doc_id", "left_semi")
+
+
+def full_sets(source: DataFrame, ids: DataFrame) -> DataFrame:
+    """rep, shingles: the full sets of the documents in ``ids``."""
+    return stage(map_arrow(_candidates_only(source, ids), _sets, "rep long, shingles array<long>"), "sets")
+
+
+def confirm(pairs: DataFrame, source: DataFrame, percent: int = 75) -> DataFrame:
+    """The pairs (a, b) of documents whose full sets have 100 * intersection >= percent * union."""
+    sets = full_sets(source, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     sa = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
     sb = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(sa, "a").join(sb, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
@@ -124,69 +156,110 @@ def components(edges: DataFrame) -> DataFrame:
 _PAIRS = "a long, b long"
 
 
+def _overlaps(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of all pairs of two lists of sets, by products of their incidence matrices."""
+    flat = np.concatenate([sets[k] for k in np.union1d(x, y).tolist()])
+    values, seen = np.unique(flat, return_counts=True)
+    values = values[seen > 1]
+    out = np.zeros((len(x), len(y)), np.float32)
+
+    def marks(which, part):
+        m = np.zeros((len(which), len(part)), np.float32)
+        for r, k in enumerate(which.tolist()):
+            at = np.searchsorted(part, sets[k])
+            at = at[(at < len(part)) & (part[np.minimum(at, len(part) - 1)] == sets[k])]
+            m[r, at] = 1
+        return m
+
+    for at in range(0, len(values), 4096):
+        part = values[at : at + 4096]
+        out += marks(x, part) @ marks(y, part).T
+    return out.astype(np.int64)
+
+
 def _block(table: pa.Table) -> pa.Table:
-    """Candidates of one block pair of a long posting list: different components, enough matches, first common list."""
+    """Links that join the components of one block pair of a long list: compared on full sets, at the first common list."""
     left, right, coordinate = (table.column(k)[0].as_py() for k in ("_i", "_j", "_c"))
-    rep, comp, n, block, mask = (table.column(k).to_numpy() for k in ("rep", "comp", "n", "_b", "mask"))
+    rep, comp, block, mask = (table.column(k).to_numpy() for k in ("rep", "comp", "_b", "mask"))
     sig = np.concatenate([c.flatten().to_numpy() for c in table.column("tokens").chunks]).reshape(-1, K)
+    sets = [np.sort(c.values.to_numpy()) for c in table.column("shingles")]
+    sizes = np.array([len(s) for s in sets])
     bits = (mask[:, None] >> np.arange(K)) & 1 == 1
+    up = {int(c): int(c) for c in comp}
+
+    def root(c):
+        while up[c] != c:
+            up[c] = c = up[up[c]]
+        return c
+
     ia, ib = np.flatnonzero(block == left), np.flatnonzero(block == right)
-    out_a, out_b = [], []
-    for at in range(0, len(ia), 32):
-        x = ia[at : at + 32]
-        eq = sig[x][:, None, :] == sig[ib][None, :, :]
-        ok = (eq.sum(2) >= MATCH) & (comp[x][:, None] != comp[ib][None, :])
-        ok &= np.minimum(n[x][:, None], n[ib][None, :]) * 4 >= 3 * np.maximum(n[x][:, None], n[ib][None, :])
+    out = []
+    for at in range(0, len(ia), 64):
+        x = ia[at : at + 64]
+        own = np.array([root(int(c)) for c in comp])
+        ok = (own[x][:, None] != own[ib][None, :]) & (np.minimum(sizes[x][:, None], sizes[ib][None, :]) * 4 >= 3 * np.maximum(sizes[x][:, None], sizes[ib][None, :]))
         if left == right:
-            ok &= rep[x][:, None] < rep[ib][None, :]
+            ok &= x[:, None] < ib[None, :]
         p, q = np.nonzero(ok)
-        first = (eq[p, q] & bits[x[p]] & bits[ib[q]]).argmax(1) == coordinate
-        out_a.append(rep[x[p[first]]])
-        out_b.append(rep[ib[q[first]]])
-    a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b))
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        keep = []
+        for k in range(0, len(p), 1 << 16):
+            eq = sig[x[p[k : k + (1 << 16)]]] == sig[ib[q[k : k + (1 << 16)]]]
+            first = (eq & bits[x[p[k : k + (1 << 16)]]] & bits[ib[q[k : k + (1 << 16)]]]).argmax(1)
+            keep.append((eq.sum(1) >= MATCH) & (first == coordinate))
+        if not keep:
+            continue
+        keep = np.concatenate(keep)
+        p, q = p[keep], q[keep]
+        if not len(p):
+            continue
+        rows, cols = np.unique(p), np.unique(q)
+        both = _overlaps(sets, x[rows], ib[cols])[np.searchsorted(rows, p), np.searchsorted(cols, q)]
+        linked = 100 * both >= 75 * (sizes[x[p]] + sizes[ib[q]] - both)
+        for a, b in zip(x[p[linked]].tolist(), ib[q[linked]].tolist(), strict=True):
+            ra, rb = root(int(comp[a])), root(int(comp[b]))
+            if ra != rb:
+                up[max(ra, rb)] = min(ra, rb)
+                out.append((min(int(rep[a]), int(rep[b])), max(int(rep[a]), int(rep[b]))))
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """token, freq, rep, n, popularity: the prefix tokens of each class that another class has as well."""
-    each = classes.select("rep", "n", F.explode("tokens").alias("token"))
+    """token, rep, popularity: the prefix tokens of each class that another class has as well."""
+    each = classes.select("rep", F.explode("tokens").alias("token"))
     freq = each.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
     mine = Window.partitionBy("rep")
     shared = each.join(freq, "token").withColumns({"_k": F.row_number().over(mine.orderBy("freq", "token")), "_n": F.count(F.lit(1)).over(mine), "popularity": F.sum("freq").over(mine)})
-    return shared.where(F.col("_k") <= PREFIX - (K - F.col("_n"))).select("token", "freq", "rep", "n", "popularity")
-
-
-def _alike(a, b):
-    return 4 * F.least(a, b) >= 3 * F.greatest(a, b)
+    return shared.where(F.col("_k") <= PREFIX - (K - F.col("_n"))).select("token", "rep", "popularity")
 
 
 def star_pairs(posts: DataFrame) -> DataFrame:
     """Pairs of each class with the centre of each of its lists; the centre is found by an aggregation with map-side maxima."""
-    centre = posts.groupBy("token").agg(F.max(F.struct("popularity", (-F.col("rep")).alias("r"), "n")).alias("c"))
-    centre = centre.select("token", (-F.col("c.r")).alias("centre"), F.col("c.n").alias("cn"))
-    both = posts.join(centre, "token").where((F.col("rep") != F.col("centre")) & _alike(F.col("n"), F.col("cn")))
+    centre = posts.groupBy("token").agg(F.max(F.struct("popularity", (-F.col("rep")).alias("r"))).alias("c"))
+    both = posts.join(centre.select("token", (-F.col("c.r")).alias("centre")), "token").where(F.col("rep") != F.col("centre"))
     return both.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
 
 
-def rest_pairs(posts: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs of different components in the lists that hold more than one."""
+def rest_links(posts: DataFrame, classes: DataFrame, parts: DataFrame, source: DataFrame) -> DataFrame:
+    """Links between different components in the lists that hold more than one."""
     posts = posts.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     open_lists = posts.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("_x"), F.max("comp").alias("_y")).where("_x <> _y").select("token", "size")
-    posts = stage(posts.join(open_lists, "token").select("token", "size", "rep", "n", "comp"), "lists")
+    posts = stage(posts.join(open_lists, "token").select("token", "size", "rep", "comp"), "lists")
     short = posts.where(F.col("size") <= SHORT)
-    other = short.select("token", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-    joined = short.join(other, "token").where((F.col("rep") < F.col("rep2")) & (F.col("comp") != F.col("comp2")) & _alike(F.col("n"), F.col("n2")))
-    pairs = _matching(joined.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct(), classes)
+    other = short.select("token", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"))
+    joined = short.join(other, "token").where((F.col("rep") < F.col("rep2")) & (F.col("comp") != F.col("comp2")))
+    pairs = stage(_matching(joined.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct(), classes), "pairs")
+    links = confirm(pairs, source)
     long = posts.where(F.col("size") > SHORT)
     if is_empty(long):
-        return pairs
+        return links
     # The mask needs the prefix coordinates of a class in all its open lists, short ones included.
     mask = posts.groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftright(token, 32) as int))")).alias("mask"))
-    long = long.join(mask, "rep").join(classes.select("rep", "tokens"), "rep")
+    sets = full_sets(source, long.select(F.col("rep").alias("doc_id"))).dropDuplicates(["rep"])
+    held = classes.groupBy("rep").agg(F.first("tokens").alias("tokens")).join(sets, "rep").join(mask, "rep")
     long = long.withColumn("_m", F.ceil(F.col("size") / BLOCK)).withColumn("_b", F.pmod(F.xxhash64("rep"), F.col("_m")))
-    long = long.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)))
+    long = long.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1))).join(held, "rep")
     long = long.withColumns({"_i": F.least("_b", "_o"), "_j": F.greatest("_b", "_o"), "_c": F.shiftright("token", 32)})
-    return pairs.union(long.groupBy("token", "_i", "_j").applyInArrow(_block, _PAIRS)).distinct()
+    return links.union(long.groupBy("token", "_i", "_j").applyInArrow(_block, _PAIRS)).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,10 +271,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     posts = stage(postings(classes), "postings")
     links = stage(confirm(stage(_matching(star_pairs(posts), classes), "pairs"), source), "links")
     parts = components(links)
-    rest = stage(rest_pairs(posts, classes, parts), "rest")
+    rest = stage(rest_links(posts, classes, parts, source), "rest")
     if not is_empty(rest):
-        parts = components(links.union(confirm(rest, source)))
-    # Rows that share a doc_id tie the classes that hold them.
+        parts = components(links.union(rest))
     named = classes.select("lo", "hi", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("lo", "hi", F.coalesce("component", "rep").alias("component_id"))
     rows = sk.select("doc_id", F.col("n").alias("n_shingles"), "lo", "hi")
     return rows.join(named, ["lo", "hi"], "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -351,10 +351,10 @@ def assay_rollup(spark, d):
 
 @_register()
 def binomial_tail(spark, d):
-    trials = _t(spark, d, "orders").select((F.col("o_custkey") % 50).alias("unit"), F.lit("F").alias("class"), F.col("o_orderstatus").alias("observed_class"), F.lit("completed").alias("completion"), F.lit(False).alias("scoped_declaration"))
-    # The chance of at least one success in a bounded batch: batches of at most 64 trials keep exact tails small.
-    cells = assay.rollup(assay.trial_outcomes(trials.withColumn("batch", F.row_number().over(Window.partitionBy("unit").orderBy("observed_class")) % F.lit(5))), ["unit", "batch"])
-    return assay.decisions(cells.where("trials <= 4096"), "1/3", "1/20", 250)
+    """Exact tails of each customer's filled orders against a chance of 1/3; every customer with orders is one look."""
+    trials = _t(spark, d, "orders").select(F.col("o_custkey").alias("unit"), F.lit("F").alias("class"), F.col("o_orderstatus").alias("observed_class"), F.lit("completed").alias("completion"), F.lit(False).alias("scoped_declaration"))
+    cells = assay.rollup(assay.trial_outcomes(trials), ["unit"])
+    return assay.decisions(cells, "1/3", "1/20", trials.select("unit").distinct().count())
 
 
 @_register(f"WITH {_TRIALS}, s AS (SELECT unit, stage, CASE WHEN 3 * low >= trials THEN 'threshold_present' WHEN 3 * high < trials THEN 'threshold_below' ELSE 'unresolved' END st FROM c) SELECT unit, CASE WHEN bool_or(st = 'threshold_present') THEN 'threshold_present' WHEN bool_and(st = 'threshold_below') THEN 'threshold_below' ELSE 'unresolved' END AS status FROM s GROUP BY 1")

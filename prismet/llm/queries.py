@@ -96,5 +96,18 @@ def queries():
     return {f.__name__: f for f in (op1_toxicity_ftrl, op2_secret_ownership, op3_license_signatures, op4_jump_sharding, op5_suffix_array, op6_byte_bpe, op7_scaled_sketch, op8_minhash_join, op9_shortest_pack, op10_decision_list)}
 
 
+_NEAR_SQL = """WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') w FROM documents),
+s AS (
+  SELECT doc_id, unnest(list_distinct(list_transform(range(1, CASE WHEN len(w) = 0 THEN 1 ELSE greatest(len(w) - 3, 2) END), lambda i: array_to_string(w[i:i + 4], ' ')))) g FROM w),
+n AS (SELECT w.doc_id, count(s.g) n FROM w LEFT JOIN s USING (doc_id) GROUP BY 1),
+p AS (SELECT a.doc_id a, b.doc_id b, count(*) i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+r AS (SELECT doc_id a, doc_id b FROM w UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT n.doc_id, n.n AS n_shingles, c.component_id, n.doc_id = c.component_id AS kept
+FROM n JOIN (SELECT a doc_id, min(b) component_id FROM r GROUP BY 1) c USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express a query; the others are tested against plain versions."""
+    return {"op8_minhash_join": _NEAR_SQL}

@@ -209,7 +209,7 @@ def log_decay_fit(spark, d):
     return out.select("unit", "states", F.round("beta", 10).alias("beta"), F.round("max_residual", 10).alias("max_residual"), F.round("half_life", 4).alias("half_life"), "status")
 
 
-@_register(f"WITH {_VOLUME}, p AS (SELECT unit, state, state - lag(state) OVER w dt, lag(d) OVER w a, d b FROM v WINDOW w AS (PARTITION BY unit ORDER BY state)) SELECT unit, state, CASE WHEN b < a THEN round(dt * ln(2) / ln(a / b), 6) END half_life, CASE WHEN b = a THEN 'undefined_no_decay' WHEN b > a THEN 'undefined_growth' ELSE 'available' END half_life_status FROM p WHERE a IS NOT NULL")
+@_register(f"WITH {_VOLUME}, p AS (SELECT unit, state, state - lag(state) OVER w dt, lag(d) OVER w a, d b FROM v WINDOW w AS (PARTITION BY unit ORDER BY state)) SELECT unit, CAST(state AS INTEGER) state, CASE WHEN b < a THEN round(dt * ln(2) / ln(a / b), 6) END half_life, CASE WHEN b = a THEN 'undefined_no_decay' WHEN b > a THEN 'undefined_growth' ELSE 'available' END half_life_status FROM p WHERE a IS NOT NULL")
 def interval_half_life(spark, d):
     w = Window.partitionBy("unit").orderBy("state")
     pairs = _volume(spark, d).withColumns({"dt": F.col("state") - F.lag("state").over(w), "start": F.lag("value").over(w)}).where(F.col("start").isNotNull())

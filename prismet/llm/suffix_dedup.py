@@ -13,7 +13,7 @@ corpus cannot be built in one place, so suffixes first meet by content:
    and the LPF array decides each window.
 3. Removal. Spans return to their documents by id and are cut out.
 
-Everything is exact: no sample, no cap; hashes only decide which runs are compared or equal (at least 88 bits).
+Everything is exact: no sample, no cap; hashes only decide which runs are compared or equal (80 bits or more).
 
 Nulls: a null text is empty. Rows with a null id are neither earlier nor later than others and stay whole. Repeated rows
 of one id do not shorten each other. Texts below ``LENGTH`` bytes are never cut. ids must be integers.
@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from prismet.llm._stage import default_parts, map_arrow, ship, stage
-from prismet.llm._text import mix, randoms, utf8
+from prismet.llm._stage import default_parts, map_arrow, release, ship, stage
+from prismet.llm._text import mix, randoms, slices, utf8
 
 LENGTH = 50
 GRAM = 16
 SPAN = LENGTH - GRAM + 1
 _SEGMENT = (1 << 20) - 64
+#: Windows sorted at once, and bytes of text read at once.
+_STRETCH, _READ = 1 << 17, 1 << 22
 _U = np.uint64
 _BYTE = randoms(301, 256)
 _powers: dict[str, np.ndarray] = {}
@@ -194,19 +196,21 @@ def _mapper(parts: int):
                 continue
             batch = batch.filter(good)
             data, offsets = utf8(batch.column(1))
-            found = runs_of(data, offsets)
-            if found is None:
-                continue
-            row, start, more, anchor, run_hash = found
-            doc = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[row]
-            part = (anchor % _U(parts)).astype(np.int64)
-            anchor = (anchor >> _U(32)) & _U(0xFFFFFFFF)
-            run_hash = run_hash & _U(0xFFFFFFFFFFFF)
-            kept, cut = _collapse(anchor ^ (part.astype(_U) << _U(32)), run_hash, doc, start, more)
-            rows = list(_spread(_SEND, part[kept], [anchor[kept], run_hash[kept], doc[kept], start[kept], more[kept]], _RUN))
-            spans = _merged(*cut)
-            rows += _spread(_CUT, np.mod(spans[0], parts), spans, _SPANS)
-            yield pa.RecordBatch.from_pydict(_table(rows))
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, j in slices(offsets, _READ):
+                found = runs_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                if found is None:
+                    continue
+                row, start, more, anchor, run_hash = found
+                doc = ids[i:j][row]
+                part = (anchor % _U(parts)).astype(np.int64)
+                anchor = (anchor >> _U(32)) & _U(0xFFFFFFFF)
+                run_hash = run_hash & _U(0xFFFFFFFFFFFF)
+                kept, cut = _collapse(anchor ^ (part.astype(_U) << _U(32)), run_hash, doc, start, more)
+                rows = list(_spread(_SEND, part[kept], [anchor[kept], run_hash[kept], doc[kept], start[kept], more[kept]], _RUN))
+                spans = _merged(*cut)
+                rows += _spread(_CUT, np.mod(spans[0], parts), spans, _SPANS)
+                yield pa.RecordBatch.from_pydict(_table(rows))
 
     return run
 
@@ -239,6 +243,8 @@ def _reducer(parts: int):
         if len(ask):
             home = np.full(len(ask), part, np.int64)
             rows += _spread(_ASK, np.mod(doc[ask], parts), [doc[ask], start[ask].astype(np.int64), more[ask].astype(np.int64), home], (8, 4, 1, 8))
+        del anchor, run_hash, doc, start, more
+        release()
         return pa.table(_table(rows))
 
     return run
@@ -313,32 +319,49 @@ def _factors(parts: int):
         doc, start, more, held = (np.concatenate(x) for x in (doc, start, more, held))
         which = np.repeat(np.arange(len(doc)), more + 1)
         shift = np.arange(len(which)) - np.repeat(np.cumsum(more + 1) - (more + 1), more + 1)
-        # The windows' bytes as seven big-endian words: their order is the order of the suffixes up to LENGTH bytes.
-        window = np.zeros((len(which), 56), np.uint8)
-        window[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(held, LENGTH, axis=1)[which, shift]
-        words = window.view(">u8").astype(_U)
-        owner = doc[which]
-        order = np.lexsort((owner, *(words[:, k] for k in range(6, -1, -1))))
-        sorted_words = words[order]
-        differ = sorted_words[1:] != sorted_words[:-1]
-        at = differ.argmax(1)
-        same = ~differ.any(1)
-        x = sorted_words[1:][np.arange(len(at)), at] ^ sorted_words[:-1][np.arange(len(at)), at]
-        # Leading equal bytes of the first differing word.
-        lead = np.zeros(len(x), np.int64)
-        for k in range(1, 8):
-            lead += x < (_U(1) << _U(64 - 8 * k))
-        lcp = np.concatenate([[0], np.where(same, LENGTH, np.minimum(at * 8 + lead, LENGTH))])
-        # Only factors of full length count, so shorter prefixes end the search at once.
-        lpf = longest_previous(owner[order], np.where(lcp >= LENGTH, lcp, 0))
-        hit = order[lpf >= LENGTH]
-        begin = start[which[hit]] + shift[hit]
-        spans = _merged(owner[hit], begin, begin + LENGTH)
+        view = np.lib.stride_tricks.sliding_window_view(held, LENGTH, axis=1)
+        head = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(held, 8, axis=1)[which, shift]).view(">u8").reshape(-1).astype(_U)
+        order = np.argsort(head, kind="stable")
+        which, shift, head = which[order], shift[order], head[order]
+        # Stretches of the suffix order, cut where the first eight bytes change: their arrays bound the memory of a task.
+        cuts, at = [0], 0
+        while at < len(head):
+            at = min(at + _STRETCH, len(head))
+            at = int(np.searchsorted(head, head[at - 1], "right"))
+            cuts.append(at)
+        found = [_removed(view, which[a:b], shift[a:b], doc, start) for a, b in zip(cuts, cuts[1:], strict=False)]
+        spans = _merged(*[np.concatenate(x) for x in zip(*found, strict=True)])
+        del held, view, which, shift, head, order, found
+        release()
         return pa.table(_table(_spread(_CUT, np.mod(spans[0], parts), spans, _SPANS)))
 
     return run
 
 
+def _removed(view: np.ndarray, which: np.ndarray, shift: np.ndarray, doc: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+    """Document, start, end of the windows of a stretch whose longest previous factor has full length."""
+    # The windows' bytes as seven big-endian words: their order is the order of the suffixes up to LENGTH bytes.
+    window = np.zeros((len(which), 56), np.uint8)
+    window[:, :LENGTH] = view[which, shift]
+    words = window.view(">u8").astype(_U)
+    owner = doc[which]
+    order = np.lexsort((owner, *(words[:, k] for k in range(6, -1, -1))))
+    words = words[order]
+    differ = words[1:] != words[:-1]
+    at = differ.argmax(1)
+    x = words[1:][np.arange(len(at)), at] ^ words[:-1][np.arange(len(at)), at]
+    # Leading equal bytes of the first differing word.
+    lead = np.zeros(len(x), np.int64)
+    for k in range(1, 8):
+        lead += x < (_U(1) << _U(64 - 8 * k))
+    lcp = np.concatenate([[0], np.where(~differ.any(1), LENGTH, np.minimum(at * 8 + lead, LENGTH))])
+    # Only factors of full length count, so shorter prefixes end the search at once.
+    lpf = longest_previous(owner[order], np.where(lcp >= LENGTH, lcp, 0))
+    hit = order[lpf >= LENGTH]
+    begin = start[which[hit]] + shift[hit]
+    return [owner[hit], begin, begin + LENGTH]
+
+
 def _finish(digests: bool):
     def run(docs: pa.Table, cuts: pa.Table) -> pa.Table:
         data, offsets = utf8(docs.column("_text"))
@@ -383,7 +406,7 @@ def cut_spans(source: DataFrame, parts: int) -> DataFrame:
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str, keep: bool) -> tuple[DataFrame, int]:
     ship(docs.sparkSession)
-    parts = _prime(max(61, 4 * default_parts(docs.sparkSession)))
+    parts = _prime(max(7, default_parts(docs.sparkSession)))
     ident, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if keep else []
     part = F.coalesce(F.pmod(ident, F.lit(parts)), F.pmod(F.xxhash64(text), F.lit(parts))).cast("long")

@@ -130,7 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, *, allowed: Column | None = None,
     chosen = pick(1, few).union(pick(0, bound - few))
     # At most ``bound`` ids and labels are broadcast.
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), "_id")
-    got = map_arrow(texts.select("_id", "_text", "_y").coalesce(1), _learner(options), "model binary").collect()
+    # The scan stays parallel; the bounded sample alone goes to the one task that learns.
+    got = map_arrow(texts.select("_id", "_text", "_y").repartition(1), _learner(options), "model binary").collect()
     if not got:
         return None
     with np.load(io.BytesIO(bytes(got[0]["model"]))) as m:

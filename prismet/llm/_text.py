@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 U64 = np.uint64
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -89,14 +89,18 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of the bytes of each word."""
-        lengths = self.ends - self.starts
-        if not len(lengths):
-            return np.zeros(0, U64)
-        to = np.cumsum(lengths)
-        place = np.arange(to[-1]) - np.repeat(to - lengths, lengths)
-        terms = _place_constants(int(lengths.max()))[place]
-        terms *= self.data[self.inside].astype(U64) + U64(1)
-        return mix(np.add.reduceat(terms, to - lengths) ^ (lengths.astype(U64) * U64(0x9E3779B97F4A7C15)))
+        return hash_words(self.data[self.inside], self.ends - self.starts)
+
+
+def hash_words(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words that stand one behind the other in ``data``."""
+    if not len(lengths):
+        return np.zeros(0, U64)
+    to = np.cumsum(lengths)
+    place = np.arange(to[-1]) - np.repeat(to - lengths, lengths)
+    terms = _place_constants(int(lengths.max()))[place]
+    terms *= data.astype(U64) + U64(1)
+    return mix(np.add.reduceat(terms, to - lengths) ^ (lengths.astype(U64) * U64(0x9E3779B97F4A7C15)))
 
 
 _gram = randoms(23, 64)

@@ -11,10 +11,9 @@ Nulls: a null text is empty; it still has the closing id. Repeated rows are pack
 from __future__ import annotations
 
 import os
-import re
-import struct
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,68 +21,104 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismet.llm._stage import map_arrow, stage
+from prismet.llm._text import LOWER, Words, hash_words, slices, utf8
 
 SIZE = 4096
-#: Words kept with their ids; when full, the table starts anew.
-_WORDS = 500_000
-_CHUNK = re.compile(r"[^ \n]+")
-_memo: dict[str, dict[str, bytes]] = {}
+#: Words kept with their ids, about 20 bytes each; when full, the table starts anew.
+_WORDS = 2_000_000
+_BREAK = np.ones(256, bool)
+_BREAK[[0x20, 0x0A]] = False
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_TAIL = np.zeros(256, bool)
+_TAIL[list(b".,")] = True
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class WordIds:
+    """Ids of words by the hash of their bytes: sorted keys, and where their ids stand in one array."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.clear()
 
+    def clear(self) -> None:
+        self.keys, self.at, self.count, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-def _pack_ids(ids) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    def add(self, keys: np.ndarray, words: list[str]) -> None:
+        """Encode words that are not held yet; ``keys`` ascend."""
+        ids = []
+        for k in range(0, len(words), 4096):
+            ids += [e.ids for e in self.tokenizer.encode_batch_fast(words[k : k + 4096], add_special_tokens=False)]
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        at = len(self.flat) + np.cumsum(count) - count
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum()))])
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.at, self.count = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.count, place, count)
 
 
-def _split_tail(word: str) -> tuple[str, str]:
-    """A word and the one full stop or comma after its last letter: the tokenizer's own splitting parts them."""
-    if len(word) > 1 and word[-1] in ".," and word[-2].isascii() and word[-2].isalpha():
-        return word[:-1], word[-1]
-    return word, ""
+@lru_cache(maxsize=2)
+def _word_ids(path: str) -> WordIds:
+    return WordIds(path)
 
 
-def encode_words(path: str, texts: list[str]) -> list[bytes]:
-    """Ids of each text, as little-endian 32-bit numbers.
+def encode_slice(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a slice of texts and where each text's ids start.
 
-    The tokenizer drops white space and never merges across it, so each distinct word is encoded once and texts are
-    joined from their words; letters A-Z count as lower case, which the tokenizer does anyway.
+    The tokenizer drops white space and never merges across it, so each distinct word is encoded once and texts are put
+    together from their words. Words of ASCII alone count in lower case, as the tokenizer has them, but for those with a
+    bar, which may be special tokens. A full stop or comma after a word's last letter is a word of its own, where the
+    tokenizer's own splitting parts it as well.
     """
-    tok, memo = _tokenizer(path), _memo.setdefault(path, {})
-    if len(memo) > _WORDS:
-        memo.clear()
-    words = [_CHUNK.findall(t) for t in texts]
-    missing = set().union(*words) - memo.keys()
-    if missing:
-        forms = {w: _split_tail(w.lower() if w.isascii() else w) for w in missing}
-        new = list({x for pair in forms.values() for x in pair if x} - memo.keys())
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            memo.update(zip(part, (_pack_ids(e.ids) for e in tok.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        memo[""] = b""
-        for w, (head, tail) in forms.items():
-            memo[w] = memo[head] + memo[tail]
-    return [b"".join(map(memo.__getitem__, w)) for w in words]
+    held = _word_ids(path)
+    w = Words(data, offsets, _BREAK)
+    starts, ends = w.starts, w.ends
+    if not len(starts):
+        return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+    plain = np.concatenate([[0], np.cumsum((data >= 0x80) | (data == 0x7C))])
+    raw = np.repeat(plain[ends] > plain[starts], ends - starts)
+    own = data[w.inside]
+    own = np.where(raw, own, LOWER[own])
+    cut = np.flatnonzero((ends - starts > 1) & _TAIL[data[ends - 1]] & _LETTER[data[np.maximum(ends - 2, 0)]])
+    rows = w.rows + np.searchsorted(cut, w.rows)
+    ends_cut = ends.copy()
+    ends_cut[cut] -= 1
+    starts, ends = np.insert(starts, cut + 1, ends_cut[cut]), np.insert(ends_cut, cut + 1, ends[cut])
+    lengths = ends - starts
+    keys, first, which = np.unique(hash_words(own, lengths), return_index=True, return_inverse=True)
+    if len(held.keys) + len(keys) > _WORDS:
+        held.clear()
+    place = np.searchsorted(held.keys, keys)
+    new = np.ones(len(keys), bool)
+    if len(held.keys):
+        new = held.keys[np.minimum(place, len(held.keys) - 1)] != keys
+    if new.any():
+        to = np.cumsum(lengths)
+        whole = own.tobytes()
+        held.add(keys[new], [whole[to[k] - lengths[k] : to[k]].decode("utf-8", "replace") for k in first[new].tolist()])
+        place = np.searchsorted(held.keys, keys)
+    count, at = held.count[place][which], held.at[place][which]
+    to = np.cumsum(count)
+    ids = held.flat[np.arange(to[-1]) - np.repeat(to - count - at, count)]
+    return ids, np.concatenate([[0], to])[rows]
 
 
 def _pieces(path: str, closing: int, size: int):
     def run(batches):
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-        end = struct.pack("<I", closing)
+        end = np.array([closing], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            data, offsets = utf8(batch.column(1))
+            docs = batch.column(0).to_pylist()
+            for i, j in slices(offsets):
+                ids, begins = encode_slice(path, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                raw, begins = ids.astype("<u4").tobytes(), begins.tolist()
                 rows = []
-                for doc, ids in zip(part.column(0).to_pylist(), encode_words(path, [t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    rows += [(doc, s, min(size, n - s), zlib.crc32(ids[4 * s : 4 * (s + size)]), n) for s in range(0, n, size)]
+                for doc, a, b in zip(docs[i:j], begins, begins[1:], strict=False):
+                    own, n = raw[4 * a : 4 * b] + end, b - a + 1
+                    rows += [(doc, s, min(size, n - s), zlib.crc32(own[4 * s : 4 * (s + size)]), n) for s in range(0, n, size)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
     return run

@@ -1,8 +1,9 @@
 """License scans by ordered signature rules.
 
 Rules are regular expressions over the words of a text (lower-cased, joined by single spaces). A rule is tried only
-where its keyword occurs. Each has a priority; a detection whose interval lies within that of a kept detection of the
-same or higher priority is suppressed. Three fixed phrases are counted at all their places, whatever the rules find.
+where one of its keywords occurs; every text that its pattern matches holds one. Each has a priority; a detection whose
+interval lies within that of a kept detection of the same or higher priority is suppressed. Three fixed phrases are
+counted at all their places, whatever the rules find.
 
 Nulls and empty texts have no words and no detections. Repeated rows are scanned each.
 """
@@ -24,7 +25,7 @@ from prismet.llm._text import ALNUM, LOWER, Words, slices, utf8
 #: Fixed phrases and their labels.
 PHRASES = [(b"under the mit license", "mit"), (b"apache license version 2", "apache-2"), (b"cc by nc", "cc-by-nc")]
 
-#: label, keyword, how the license is named: patterns over lower-cased words joined by spaces.
+#: label, keywords (one word each, "|" between them), how the license is named: patterns over lower-cased words joined by spaces.
 NAMES = [
     ("mit", "mit", r"mit(?: x11| expat)?"),
     ("apache-2", "apache", r"apache(?: software)?(?: license)?(?: version)? 2(?: 0)?"),
@@ -33,11 +34,11 @@ NAMES = [
     ("bsd-3", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)"),
     ("bsd-4", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)"),
     ("bsd", "bsd", r"bsd"),
-    ("gpl-2", "general public", r"(?:gnu )?general public license(?: gpl)?(?: as published by the free software foundation)?(?: either)? (?:version|v) 2(?: 0)?"),
-    ("gpl-3", "general public", r"(?:gnu )?general public license(?: gpl)?(?: as published by the free software foundation)?(?: either)? (?:version|v) 3(?: 0)?"),
+    ("gpl-2", "general", r"(?:gnu )?general public license(?: gpl)?(?: as published by the free software foundation)?(?: either)? (?:version|v) 2(?: 0)?"),
+    ("gpl-3", "general", r"(?:gnu )?general public license(?: gpl)?(?: as published by the free software foundation)?(?: either)? (?:version|v) 3(?: 0)?"),
     ("gpl-2", "gpl", r"gpl ?v? ?2(?: 0)?"),
     ("gpl-3", "gpl", r"gpl ?v? ?3(?: 0)?"),
-    ("gpl", "general public", r"gnu general public"),
+    ("gpl", "general", r"gnu general public"),
     ("lgpl-2.1", "lesser", r"(?:gnu )?lesser general public license(?: version)? 2 1"),
     ("lgpl-3", "lesser", r"(?:gnu )?lesser general public license(?: version)? 3(?: 0)?"),
     ("lgpl-2.1", "lgpl", r"lgpl ?v? ?2 1"),
@@ -48,17 +49,17 @@ NAMES = [
     ("mpl-1.1", "mozilla", r"mozilla public license(?: version)?(?: v)? ?1 1"),
     ("epl-2", "eclipse", r"eclipse public license(?: version)?(?: v)? ?2(?: 0)?"),
     ("epl-1", "eclipse", r"eclipse public license(?: version)?(?: v)? ?1(?: 0)?"),
-    ("cddl", "cddl", r"(?:common development and distribution|cddl)"),
+    ("cddl", "cddl|development", r"(?:common development and distribution|cddl)"),
     ("isc", "isc", r"isc"),
     ("zlib", "zlib", r"zlib(?: libpng)?"),
     ("unlicense", "unlicense", r"unlicense"),
-    ("wtfpl", "wtfpl", r"(?:do what the fuck you want to public|wtfpl)"),
+    ("wtfpl", "wtfpl|fuck", r"(?:do what the fuck you want to public|wtfpl)"),
     ("boost", "boost", r"boost software"),
     ("artistic-2", "artistic", r"artistic(?: license)?(?: version)? 2(?: 0)?"),
-    ("ofl", "open font", r"(?:sil )?open font"),
+    ("ofl", "open", r"(?:sil )?open font"),
     ("psf", "python", r"python software foundation"),
     ("postgresql", "postgresql", r"postgresql"),
-    ("eupl", "european union", r"european union public"),
+    ("eupl", "european", r"european union public"),
     ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
     ("cc-by", "cc", r"cc by(?: [1-4] [05])?"),
     ("cc-by-sa", "cc", r"cc by sa(?: [1-4] [05])?"),
@@ -85,39 +86,43 @@ WORDINGS = [
     (60, r"licen[cs]e {}"),
     (50, r"{} licen[cs]e"),
 ]
-#: Sentences of license texts: label, keyword, priority, pattern.
+#: Sentences of license texts: label, keywords, priority, pattern.
 SENTENCES = [
     ("mit", "permission", 88, r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("isc", "permission", 88, r"permission to use copy modify and or distribute this software for any purpose"),
     ("bsd", "redistribution", 86, r"redistributions? (?:and use )?(?:in|of) source (?:and binary forms|code must retain)"),
     ("proprietary", "reserved", 40, r"all rights reserved"),
     ("proprietary", "proprietary", 55, r"(?:confidential and )?proprietary (?:software|information|licen[cs]e)"),
-    ("public-domain", "public domain", 70, r"(?:released into|dedicated to|in) the public domain"),
+    ("public-domain", "public", 70, r"(?:released into|dedicated to|in) the public domain"),
 ]
 
 
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keyword: bytes
+    keywords: frozenset[bytes]
     priority: int
     pattern: re.Pattern
 
 
+def _rule(label: str, keys: str, priority: int, pattern: str) -> Rule:
+    return Rule(label, frozenset(keys.encode().split(b"|")), priority, re.compile(r"(?<![^ ])" + pattern + r"(?![^ ])"))
+
+
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
     """All rules, by falling priority; more specific names stand before those they extend."""
-    out = [Rule(label, key.encode(), p, re.compile(r"(?<![^ ])" + wording.format(f"(?:{name})") + r"(?![^ ])")) for p, wording in WORDINGS for label, key, name in NAMES]
-    out += [Rule(label, key.encode(), p, re.compile(r"(?<![^ ])" + pattern + r"(?![^ ])")) for label, key, p, pattern in SENTENCES]
+    out = [_rule(label, keys, p, wording.format(f"(?:{name})")) for p, wording in WORDINGS for label, keys, name in NAMES]
+    out += [_rule(label, keys, p, pattern) for label, keys, p, pattern in SENTENCES]
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
-_KEYS = sorted({r.keyword.split(b" ")[0] for r in rules()})
+_KEYS = sorted(frozenset().union(*(r.keywords for r in rules())))
 
 
 def detect(words: str, present: set[bytes]) -> list[tuple[int, int, str, int]]:
     """(start, end, label, priority) of kept detections, in characters of the joined words."""
-    found = [(m.start(), m.end(), r.label, r.priority) for r in rules() if r.keyword.split(b" ")[0] in present for m in r.pattern.finditer(words)]
+    found = [(m.start(), m.end(), r.label, r.priority) for r in rules() if not r.keywords.isdisjoint(present) for m in r.pattern.finditer(words)]
     kept: list[tuple[int, int, str, int]] = []
     for s, e, label, p in sorted(found, key=lambda x: (-x[3], x[0] - x[1], x[0], x[2])):
         # Of equal priority the longer interval comes first, so a name suppresses the shorter name that it extends.

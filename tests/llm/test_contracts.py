@@ -189,6 +189,36 @@ def test_license_suppression():
     assert len(licenses.rules()) > 300
 
 
+def test_license_keywords_hold_in_every_alternative(spark):
+    """The keywords are a gate only: no text that a pattern matches lacks all of them."""
+    from re import _constants as c
+    from re import _parser
+
+    def texts(parsed):
+        out = {""}
+        for op, arg in parsed:
+            if op is c.LITERAL:
+                part = {chr(arg)}
+            elif op is c.IN:
+                part = {chr(k) for kind, v in arg for k in ([v] if kind is c.LITERAL else range(v[0], v[1] + 1))}
+            elif op is c.MAX_REPEAT:
+                part = {"", *texts(arg[2])} if arg[0] == 0 else texts(arg[2])
+            elif op is c.SUBPATTERN:
+                part = texts(arg[3])
+            else:
+                assert op is c.BRANCH, op
+                part = {t for b in arg[1] for t in texts(b)}
+            out = {a + b for a in out for b in part}
+        return out
+
+    written = [(keys, pattern) for _, keys, pattern in licenses.NAMES] + [(keys, pattern) for _, keys, _, pattern in licenses.SENTENCES]
+    lacking = [(keys, t) for keys, pattern in written for t in texts(_parser.parse(pattern)) if not any(k in t for k in keys.split("|"))]
+    assert lacking == [] and texts(_parser.parse("(?:a|b)c?[d-e]")) == {"ad", "bd", "acd", "bcd", "ae", "be", "ace", "bce"}
+    rows = [(1, "Licensed under the Common Development and Distribution License."), (2, "This is under the Do What The Fuck You Want To Public License")]
+    got = by_id(licenses.labelled(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"))))
+    assert [(got[i]["labels"], got[i]["score"]) for i in (1, 2)] == [(["cddl"], 0.85), (["wtfpl"], 0.75)]
+
+
 def test_jump_hash(spark, nothing):
     keys = [0, 1, 2, -1, -5, 2**63 - 1, -(2**63), 123456789012345] + list(range(100, 400))
     df = spark.createDataFrame([(k,) for k in keys], "k long").select("k", sharding.jump_shards(F.col("k"), 16).alias("s"))

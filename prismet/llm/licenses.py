@@ -95,6 +95,124 @@ SENTENCES = [
     ("proprietary", "proprietary", 55, r"(?:confidential and )?proprietary (?:software|information|licen[cs]e)"),
     ("public-domain", "public", 70, r"(?:released into|dedicated to|in) the public domain"),
 ]
+#: Lead-in and end of a notice; a notice takes them in, so that it suppresses the plainer wordings within it.
+_UNDER = r"(?:free software you can redistribute it and or modify it )?(?:(?:(?:is|are) )?(?:free software )?(?:(?:licensed|released|distributed|published|provided|(?:made )?available) )?under )?(?:the terms of )?(?:the )?"
+_FSF = r" as published by the free software foundation(?: inc)?(?: either)? version "
+_LATER = r"(?: of the licen[cs]e)?(?: only)?(?: or(?: at your option)? any later version)?"
+_UNDER_A = r"licensed under an? creative commons attribution"
+_DEED = r"(?: [1-4] [05])?(?: (?:international|unported|generic))?(?: public)? licen[cs]e"
+#: Hand-written signatures of common license headers and texts: label, keywords, priority, pattern.
+NOTICES = [
+    # GPL family: headers of files
+    ("gpl-2", "general", 92, _UNDER + r"gnu general public license(?: gpl)?" + _FSF + r"2(?: 0)?" + _LATER),
+    ("gpl-3", "general", 92, _UNDER + r"gnu general public license(?: gpl)?" + _FSF + r"3(?: 0)?" + _LATER),
+    ("gpl-2", "general", 92, _UNDER + r"gnu general public license(?: gpl)? (?:version |v ?)2(?: 0)?(?: only)? as published by the free software foundation"),
+    ("gpl-3", "general", 92, _UNDER + r"gnu general public license(?: gpl)? (?:version |v ?)3(?: 0)?(?: only)? as published by the free software foundation"),
+    ("gpl-2", "general", 92, _UNDER + r"version 2(?: 0)? of the gnu general public license"),
+    ("gpl-3", "general", 92, _UNDER + r"version 3(?: 0)? of the gnu general public license"),
+    ("gpl", "general", 91, r"free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "general", 65, r"you should have received a copy of the gnu general public license"),
+    ("gpl", "general", 65, r"see the gnu general public license for more details"),
+    ("lgpl-2.1", "lesser", 92, _UNDER + r"gnu lesser general public license(?: lgpl)?" + _FSF + r"2 1" + _LATER),
+    ("lgpl-3", "lesser", 92, _UNDER + r"gnu lesser general public license(?: lgpl)?" + _FSF + r"3(?: 0)?" + _LATER),
+    ("lgpl-2", "library", 92, _UNDER + r"gnu library general public license(?: lgpl)?" + _FSF + r"2(?: 0)?" + _LATER),
+    ("lgpl-2.1", "lesser", 92, _UNDER + r"version 2 1 of the gnu lesser general public license"),
+    ("lgpl-3", "lesser", 92, _UNDER + r"version 3(?: 0)? of the gnu lesser general public license"),
+    ("lgpl", "lesser", 91, r"free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("lgpl", "lesser", 65, r"you should have received a copy of the gnu lesser general public license"),
+    ("lgpl", "lesser", 65, r"see the gnu lesser general public license for more details"),
+    ("agpl-3", "affero", 92, _UNDER + r"gnu affero general public license(?: agpl)?" + _FSF + r"3(?: 0)?" + _LATER),
+    ("agpl-3", "affero", 92, _UNDER + r"version 3(?: 0)? of the gnu affero general public license"),
+    ("agpl", "affero", 65, r"you should have received a copy of the gnu affero general public license"),
+    ("agpl", "affero", 65, r"see the gnu affero general public license for more details"),
+    # GPL family: texts
+    ("gpl-2", "general", 90, r"gnu general public license version 2 june 1991"),
+    ("gpl-3", "general", 90, r"gnu general public license version 3 29 june 2007"),
+    ("gpl-2", "guarantee", 88, r"by contrast the gnu general public license is intended to guarantee your freedom to share and change free software"),
+    ("gpl-3", "guarantee", 88, r"by contrast the gnu general public license is intended to guarantee your freedom to share and change all versions of a program"),
+    ("gpl-3", "copyleft", 88, r"the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("lgpl-2.1", "lesser", 90, r"gnu lesser general public license version 2 1 february 1999"),
+    ("lgpl-3", "lesser", 90, r"gnu lesser general public license version 3 29 june 2007"),
+    ("lgpl-2.1", "lesser", 88, r"this is the first released version of the lesser gpl"),
+    ("lgpl-3", "lesser", 93, r"this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license"),
+    ("agpl-3", "affero", 90, r"gnu affero general public license version 3 19 november 2007"),
+    ("agpl-3", "affero", 88, r"the gnu affero general public license is a free copyleft license for software and other kinds of works"),
+    ("gfdl", "documentation", 94, r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    # Apache
+    ("apache-2", "apache", 92, _UNDER + r"apache license version 2(?: 0)? the license(?: you may not use this (?:file|software) except in compliance with the license)?"),
+    ("apache-2", "asf", 92, r"the asf licenses this file to you under the apache license version 2 0(?: the license)?"),
+    ("apache-2", "apache", 70, r"licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache-2", "apache", 78, r"apache org licenses license 2 0"),
+    ("apache-2", "apache", 90, r"apache license version 2 0 january 2004"),
+    ("apache-2", "irrevocable", 82, r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|except as stated in this section patent) license"),
+    ("apache-1.1", "apache", 90, r"the apache software license version 1 1"),
+    ("apache-1.1", "apache", 80, r"this product includes software developed by the apache software foundation"),
+    # MPL, EPL, CDDL, EUPL
+    ("mpl-2", "mozilla", 94, r"this source code form is subject to the terms of the mozilla public license (?:version |v ?)2 0(?: if a copy of the mpl was not distributed with this file you can obtain one at)?"),
+    ("mpl-2", "mozilla", 93, r"this source code form is incompatible with secondary licenses as defined by the mozilla public license (?:version |v ?)2 0"),
+    ("mpl-2", "mozilla", 90, r"mozilla public license version 2 0 1 definitions"),
+    ("mpl-2", "mozilla", 78, r"mozilla org (?:en us )?mpl 2 0"),
+    ("mpl-1.1", "mozilla", 94, r"the contents of this file are subject to the mozilla public license version 1 1(?: the license you may not use this file except in compliance with the license)?"),
+    ("mpl-1.0", "mozilla", 94, r"the contents of this file are subject to the mozilla public license version 1 0(?: the license you may not use this file except in compliance with the license)?"),
+    ("mpl-1.1", "mozilla", 78, r"mozilla org mpl mpl 1 1"),
+    ("epl-1", "eclipse", 94, r"the accompanying materials are made available under the terms of the eclipse public license (?:version |v ?)?1 0(?: which accompanies this distribution)?"),
+    ("epl-2", "eclipse", 94, r"the accompanying materials are made available under the terms of the eclipse public license (?:version |v ?)?2 0(?: which accompanies this distribution)?"),
+    ("epl-1", "eclipse", 78, r"eclipse org legal epl (?:v10|1 0)"),
+    ("epl-2", "eclipse", 78, r"eclipse org legal epl (?:v20|2 0)"),
+    ("epl", "eclipse", 88, r"the accompanying program is provided under the terms of this eclipse public license"),
+    ("cddl", "development", 94, r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cddl", "development", 90, r"common development and distribution license cddl version 1 [01]"),
+    ("eupl", "eupl", 92, r"licensed under the eupl(?: version| v)? ?1 [0-2]"),
+    # Permissive texts
+    ("mit", "permission", 87, r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("bsd", "redistribution", 86, r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3", "endorse", 89, r"neither the names? of (?:[^ ]+ ){1,16}?may be used to endorse or promote products derived from this software"),
+    ("bsd-3", "endorse", 89, r"the names? of (?:the )?(?:authors?|copyright holders?|contributors?) may not be used to endorse or promote products derived from this software"),
+    ("bsd-4", "advertising", 90, r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("isc", "permission", 88, r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted"),
+    ("postgresql", "permission", 89, r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("hpnd", "permission", 89, r"permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee"),
+    ("zlib", "misrepresented", 88, r"the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("zlib", "altered", 87, r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("boost", "boost", 90, r"boost software license version 1 0"),
+    ("boost", "permission", 89, r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("artistic-2", "artistic", 90, r"the artistic license 2 0 copyright c 2000 2006 the perl foundation"),
+    ("perl", "perl", 82, r"under the same terms as perl itself"),
+    ("psf", "python", 88, r"python software foundation license version 2"),
+    ("ofl", "font", 94, r"this font software is licensed under the sil open font license version 1 [01]"),
+    # Public domain
+    ("unlicense", "unencumbered", 92, r"this is free and unencumbered software released into the public domain"),
+    ("unlicense", "compile", 88, r"anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("wtfpl", "fuck", 88, r"you just do what the fuck you want to"),
+    ("cc0", "neighboring", 92, r"waived all copyright and related or neighboring rights"),
+    ("cc0", "creativecommons", 90, r"creativecommons org publicdomain zero 1 0"),
+    # Creative Commons and data
+    ("cc-by", "creative", 90, _UNDER_A + _DEED),
+    ("cc-by-sa", "creative", 90, _UNDER_A + r" share ?alike" + _DEED),
+    ("cc-by-nd", "creative", 90, _UNDER_A + r" no ?deriv(?:ative)?s" + _DEED),
+    ("cc-by-nc", "creative", 90, _UNDER_A + r" non ?commercial" + _DEED),
+    ("cc-by-nc-sa", "creative", 90, _UNDER_A + r" non ?commercial share ?alike" + _DEED),
+    ("cc-by-nc-nd", "creative", 90, _UNDER_A + r" non ?commercial no ?deriv(?:ative)?s" + _DEED),
+    ("cc-by", "creativecommons", 88, r"creativecommons org licenses by [1-4] [05]"),
+    ("cc-by-sa", "creativecommons", 88, r"creativecommons org licenses by sa [1-4] [05]"),
+    ("cc-by-nd", "creativecommons", 88, r"creativecommons org licenses by nd [1-4] [05]"),
+    ("cc-by-nc", "creativecommons", 88, r"creativecommons org licenses by nc [1-4] [05]"),
+    ("cc-by-nc-sa", "creativecommons", 88, r"creativecommons org licenses by nc sa [1-4] [05]"),
+    ("cc-by-nc-nd", "creativecommons", 88, r"creativecommons org licenses by nc nd [1-4] [05]"),
+    ("odbl", "database", 92, r"(?:is|are) made available under the open database license"),
+    ("odbl", "opendatacommons", 88, r"opendatacommons org licenses odbl"),
+    # SPDX identifiers that abbreviate a name
+    ("mpl-2", "spdx", 95, r"spdx license identifier mpl 2 0"),
+    ("mpl-1.1", "spdx", 95, r"spdx license identifier mpl 1 1"),
+    ("epl-1", "spdx", 95, r"spdx license identifier epl 1 0"),
+    ("epl-2", "spdx", 95, r"spdx license identifier epl 2 0"),
+    ("boost", "spdx", 95, r"spdx license identifier bsl 1 0"),
+    ("ofl", "spdx", 95, r"spdx license identifier ofl 1 [01]"),
+    ("eupl", "spdx", 95, r"spdx license identifier eupl 1 [0-2]"),
+    ("psf", "spdx", 95, r"spdx license identifier (?:psf|python) 2 0"),
+    ("odbl", "spdx", 95, r"spdx license identifier odbl 1 0"),
+    ("gfdl", "spdx", 95, r"spdx license identifier gfdl 1 [1-3]"),
+]
 
 
 @dataclass(frozen=True)
@@ -113,7 +231,7 @@ def _rule(label: str, keys: str, priority: int, pattern: str) -> Rule:
 def rules() -> tuple[Rule, ...]:
     """All rules, by falling priority; more specific names stand before those they extend."""
     out = [_rule(label, keys, p, wording.format(f"(?:{name})")) for p, wording in WORDINGS for label, keys, name in NAMES]
-    out += [_rule(label, keys, p, pattern) for label, keys, p, pattern in SENTENCES]
+    out += [_rule(label, keys, p, pattern) for label, keys, p, pattern in SENTENCES + NOTICES]
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 

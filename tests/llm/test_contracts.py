@@ -199,9 +199,11 @@ def test_license_keywords_hold_in_every_alternative(spark):
         for op, arg in parsed:
             if op is c.LITERAL:
                 part = {chr(arg)}
+            elif op is c.NOT_LITERAL:
+                part = {"x"}
             elif op is c.IN:
                 part = {chr(k) for kind, v in arg for k in ([v] if kind is c.LITERAL else range(v[0], v[1] + 1))}
-            elif op is c.MAX_REPEAT:
+            elif op in (c.MAX_REPEAT, c.MIN_REPEAT):
                 part = {"", *texts(arg[2])} if arg[0] == 0 else texts(arg[2])
             elif op is c.SUBPATTERN:
                 part = texts(arg[3])
@@ -211,7 +213,7 @@ def test_license_keywords_hold_in_every_alternative(spark):
             out = {a + b for a in out for b in part}
         return out
 
-    written = [(keys, pattern) for _, keys, pattern in licenses.NAMES] + [(keys, pattern) for _, keys, _, pattern in licenses.SENTENCES]
+    written = [(keys, pattern) for _, keys, pattern in licenses.NAMES] + [(keys, pattern) for _, keys, _, pattern in licenses.SENTENCES + licenses.NOTICES]
     lacking = [(keys, t) for keys, pattern in written for t in texts(_parser.parse(pattern)) if not any(k in t for k in keys.split("|"))]
     assert lacking == [] and texts(_parser.parse("(?:a|b)c?[d-e]")) == {"ad", "bd", "acd", "bcd", "ae", "be", "ace", "bce"}
     rows = [(1, "Licensed under the Common Development and Distribution License."), (2, "This is under the Do What The Fuck You Want To Public License")]
@@ -219,6 +221,29 @@ def test_license_keywords_hold_in_every_alternative(spark):
     assert [(got[i]["labels"], got[i]["score"]) for i in (1, 2)] == [(["cddl"], 0.85), (["wtfpl"], 0.75)]
 
 
+def test_license_notices(spark):
+    """The usual headers of files give the license and its version, and no plainer label beside it."""
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    cases = {
+        gpl.format("", "2"): "gpl-2",
+        gpl.format("", "3"): "gpl-3",
+        gpl.format("Lesser ", "2.1"): "lgpl-2.1",
+        gpl.format("Affero ", "3"): "agpl-3",
+        "distributed under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License": "gpl-2",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.': "apache-2",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at": "mpl-2",
+        "The contents of this file are subject to the Mozilla Public License Version 1.1": "mpl-1.1",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution": "epl-1",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0": "epl-2",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa",
+        "SPDX-License-Identifier: MPL-2.0": "mpl-2",
+        "Neither the name of the Example Project nor the names of its contributors may be used to endorse or promote products derived from this software": "bsd-3",
+    }
+    rows = list(enumerate(cases))
+    got = by_id(licenses.labelled(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"))))
+    assert {t: got[i]["labels"] for i, t in rows} == {t: [label] for t, label in cases.items()}
+
+
 def test_jump_hash(spark, nothing):
     keys = [0, 1, 2, -1, -5, 2**63 - 1, -(2**63), 123456789012345] + list(range(100, 400))
     df = spark.createDataFrame([(k,) for k in keys], "k long").select("k", sharding.jump_shards(F.col("k"), 16).alias("s"))

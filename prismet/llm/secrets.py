@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership frequency.
 
 ``scan`` finds candidate spans in whole texts. ``ownership`` counts, for the hash of each candidate value, the distinct
-repositories and owners that hold it. ``verdicts`` then tells values that many owners have copied (examples from
-documentation, test fixtures) from values that belong to few owners and look alive. The fixed kinds (assign, access,
+repositories and owners that hold it. ``verdicts`` then tells values that many owners or very many repositories have
+copied (examples from documentation, test fixtures) from values that belong to few of both and look alive. The fixed kinds (assign, access,
 hex) are always reported; the further kinds only where the value is live.
 
 Nulls: a null text is empty; a null owner or repository counts as one owner or repository of its own name. Repeated rows
@@ -104,23 +104,23 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return each.groupBy("value_hash", "owner").agg(F.count("*").alias("_repos")).groupBy("value_hash").agg(F.count("*").alias("n_owners"), F.sum("_repos").alias("n_repos"))
 
 
-def verdicts(scanned: DataFrame, *, max_owners: int = 3) -> DataFrame:
-    """doc_id, text_key, live array<span>: the spans of each text with candidates whose value is alive and has at most ``max_owners`` owners.
+def verdicts(scanned: DataFrame, *, max_owners: int = 3, max_repos: int = 100) -> DataFrame:
+    """doc_id, text_key, live array<span>: the spans of each text with candidates whose value is alive and has at most ``max_owners`` owners and ``max_repos`` repositories.
 
     One row for each (doc_id, text_key); rows without candidates are absent.
     """
     held = ownership(scanned)
     each = scanned.where(F.size("spans") > 0).select("doc_id", "text_key", "spans").dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", F.explode("spans").alias("s")).withColumn("value_hash", F.col("s.value_hash"))
-    each = each.join(held, "value_hash").withColumn("live", F.col("s.alive") & (F.col("n_owners") <= max_owners))
-    return each.groupBy("doc_id", "text_key").agg(F.collect_list(F.when(F.col("live"), F.col("s"))).alias("live"), F.max("n_owners").alias("max_owners"), F.sum(F.col("live").cast("int")).alias("n_live"))
+    each = each.join(held, "value_hash").withColumn("live", F.col("s.alive") & (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
+    return each.groupBy("doc_id", "text_key").agg(F.collect_list(F.when(F.col("live"), F.col("s"))).alias("live"), F.max("n_owners").alias("max_owners"), F.max("n_repos").alias("max_repos"), F.sum(F.col("live").cast("int")).alias("n_live"))
 
 
-def report(scanned: DataFrame, *, max_owners: int = 3) -> DataFrame:
-    """scanned with ``live`` spans (empty where none), ``n_live`` and ``max_owners``."""
-    v = verdicts(scanned, max_owners=max_owners).withColumnRenamed("doc_id", "_id").withColumnRenamed("text_key", "_key")
+def report(scanned: DataFrame, *, max_owners: int = 3, max_repos: int = 100) -> DataFrame:
+    """scanned with ``live`` spans (empty where none), ``n_live``, ``max_owners`` and ``max_repos``."""
+    v = verdicts(scanned, max_owners=max_owners, max_repos=max_repos).withColumnRenamed("doc_id", "_id").withColumnRenamed("text_key", "_key")
     out = scanned.join(v, scanned["doc_id"].eqNullSafe(v["_id"]) & (scanned["text_key"] == v["_key"]), "left").drop("_id", "_key")
     empty = F.array().cast(dict(scanned.dtypes)["spans"])
-    return out.withColumns({"live": F.coalesce("live", empty), "n_live": F.coalesce("n_live", F.lit(0)), "max_owners": F.coalesce("max_owners", F.lit(0))})
+    return out.withColumns({"live": F.coalesce("live", empty), "n_live": F.coalesce("n_live", F.lit(0)), "max_owners": F.coalesce("max_owners", F.lit(0)), "max_repos": F.coalesce("max_repos", F.lit(0))})
 
 
 def joined(spans) -> F.Column:
@@ -144,10 +144,10 @@ def redact(text, live, mask: str = "[REDACTED]"):
     return F.when(F.size(live) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
 
 
-def redacted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = 3) -> DataFrame:
+def redacted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = 3, max_repos: int = 100) -> DataFrame:
     """``docs``, all columns, with live values cut out of the text."""
     found = stage(scan(docs, id_col=id_col, text_col=text_col, owner_col=owner_col).where(F.size("spans") > 0), "candidates")
-    live = verdicts(found, max_owners=max_owners).where("n_live > 0").select(F.col("doc_id").alias("_found"), "text_key", "live")
+    live = verdicts(found, max_owners=max_owners, max_repos=max_repos).where("n_live > 0").select(F.col("doc_id").alias("_found"), "text_key", "live")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     out = rows.join(live, F.col("_id").eqNullSafe(F.col("_found")) & (F.md5("_text") == F.col("text_key")), "left")
     new = F.when(F.col("live").isNull(), F.col("_text")).otherwise(redact(F.col("_text"), F.col("live")))

@@ -174,6 +174,14 @@ def test_widely_copied_secrets_are_examples(spark):
     assert all(got[k] == value for k in range(5)) and got[9] == "x [REDACTED] y"
 
 
+def test_secrets_of_very_many_repositories_are_examples(spark):
+    """One owner, but 101 documents: an example; 100 documents: live."""
+    rows = [(k, "token = q9W8e7R6t5Y4u3", "owner") for k in range(101)] + [(k, "token = zXcVbNm12345", "owner") for k in range(200, 300)]
+    scanned = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = {(r["max_owners"], r["max_repos"], r["n_live"]) for r in secrets.report(scanned).collect()}
+    assert got == {(1, 101, 0), (1, 100, 1)}
+
+
 def test_licenses(docs, nothing):
     for i, r in by_id(licenses.labelled(licenses.scan(docs))).items():
         n, at, labels = brute.licenses(dict(ROWS)[i])

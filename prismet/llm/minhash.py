@@ -2,7 +2,7 @@
 
 A document's set of 5-word shingles has a signature of ``K`` minima. Each (coordinate, minimum) is a token. Two sets of
 Jaccard 0.75 agree on 36 of 48 coordinates on average; a pair is a candidate if it agrees on ``MATCH`` or more, which a
-true pair misses about once in 10**5 at the threshold and far less above it. Candidates are confirmed on full sets.
+true pair misses about once in 10**8 at the threshold and far less above it. Candidates are confirmed on full sets.
 
 * Equal sets form one class, represented by its least doc_id; copies are never paired.
 * Prefix: a pair with ``MATCH`` common tokens has one among the ``K - MATCH + 1`` rarest tokens of both. Tokens of one
@@ -30,7 +30,7 @@ from prismet.llm._stage import is_empty, map_arrow, stage
 from prismet.llm._text import mix, randoms, shingle_sets, slices, utf8
 
 K = 48
-MATCH = 22
+MATCH = 18
 PREFIX = K - MATCH + 1
 #: Posting lists of up to this many classes are paired by a join, longer ones in blocks of about ``BLOCK``.
 SHORT = 16

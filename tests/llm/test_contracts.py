@@ -113,6 +113,24 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute.near(rows)
 
 
+def test_near_duplicates_that_agree_on_few_coordinates(spark):
+    """A text and its extension, at the threshold, by words that take over as many coordinates as they can."""
+    import pyarrow as pa
+
+    from prismet.llm._text import shingle_sets, utf8
+
+    tokens = lambda words: minhash.signature(shingle_sets(*utf8(pa.array([" ".join(words)])))[0])
+    first = [f"w{k}" for k in range(34)]
+    own, longer, agree = tokens(first), list(first), 48
+    while agree >= 22:
+        agree, word = min(((tokens([*longer, f"v{k}"]) == own).sum(), f"v{k}") for k in range(300))
+        longer.append(word)
+    assert 18 <= agree < 22 and len(longer) <= 44
+    rows = [(3, " ".join(first)), (5, " ".join(longer))]
+    got = by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == brute.near(rows) and got[5]["component_id"] == 3
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(50) if k != 30] + [(5, 5)], "a long, b long")
     got = {r["node"]: r["component"] for r in minhash.components(edges).collect()}

@@ -166,7 +166,8 @@ w AS (SELECT *, max(CASE WHEN seen THEN state END) OVER b ls, max(CASE WHEN NOT
 SELECT unit, cls AS class, state, CASE WHEN seen IS NULL THEN 'gap' WHEN NOT seen THEN 'absent' WHEN ls IS NULL THEN 'first_observed' WHEN la > ls THEN 'observed_reappearance' WHEN lg > ls THEN 'observed_after_gap' ELSE 'observed' END recurrence FROM w""")
 def recurrence(spark, d):
     o = _daily(spark, d).groupBy("unit", "class", "state").agg(F.count("*").alias("n"))
-    grid = o.select("unit").distinct().join(F.broadcast(o.select("class").distinct()), F.lit(True)).join(F.broadcast(spark.range(30).select(F.col("id").cast("int").alias("state"))), F.lit(True))
+    days = o.agg(F.sequence(F.min("state"), F.max("state")).alias("_s")).select(F.explode("_s").alias("state"))
+    grid = o.select("unit").distinct().join(F.broadcast(o.select("class").distinct()), F.lit(True)).join(F.broadcast(days), F.lit(True))
     seen = F.when(F.col("state") % 7 == 6, F.lit(None).cast("boolean")).otherwise(F.coalesce(F.col("n") > 2, F.lit(False)))
     slots = grid.join(o, ["unit", "class", "state"], "left").withColumn("observed", seen)
     return longitudinal.recurrence(slots, ["unit", "class"], "state").select("unit", "class", "state", "recurrence")

@@ -246,3 +246,12 @@ def test_strict_json(spark):
     df = spark.createDataFrame([('{"b":1,"a":2}',), ('{"a":1,"a":1}',)], "line string").select(canonical.json_problem("line").alias("p"), canonical.json_digest("line").alias("d"))
     a, b = df.collect()
     assert a["p"] is None and a["d"] == canonical.digest({"a": 2, "b": 1}) and (b["p"], b["d"]) == ("duplicate_json_key", None)
+
+
+def test_recurrence_query_covers_the_days_of_the_table(spark, tmp_path):
+    from prismet.plans import queries
+
+    rows = [(1, f"2024-01-{d:02d} 10:00:00", "a", k) for d in (1, 2) for k in range(3)] + [(1, "2024-02-10 10:00:00", "a", k) for k in range(3)]
+    spark.createDataFrame(rows, "user_id long, ts string, event_type string, event_id long").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["state"]: r["recurrence"] for r in queries.QUERIES["recurrence"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(41)) and [got[k] for k in (0, 1, 2, 40)] == ["first_observed", "observed", "absent", "observed_reappearance"]

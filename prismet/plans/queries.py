@@ -281,6 +281,24 @@ def surface_distance(spark, d):
     return text_pairs.surface_means(sets, text_pairs.pair_distances(sets, "cell", "ident"), "cell").withColumn("mean_distance", F.round("mean_distance", 9))
 
 
+def _turn_trigrams(spark, d):
+    """Eligible texts only, as in the surveyed distance; SQL has no Unicode categories, so these have no SQL form."""
+    turns = _t(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.first("text").alias("text"))
+    toks = text_pairs.trigram_sets(turns).where(F.col("tok.status") == "eligible")
+    return toks.select(F.col("conv_id").alias("cell"), F.col("turn").alias("ident"), F.col("tok.trigrams").alias("items"))
+
+
+@_register()
+def trigram_distance(spark, d):
+    return text_pairs.pair_distances(_turn_trigrams(spark, d), "cell", "ident").withColumn("distance", F.round("distance", 10))
+
+
+@_register()
+def trigram_surface_distance(spark, d):
+    sets = _turn_trigrams(spark, d)
+    return text_pairs.surface_means(sets, text_pairs.pair_distances(sets, "cell", "ident"), "cell").withColumn("mean_distance", F.round("mean_distance", 9))
+
+
 @_register(f"WITH {_TURNS} SELECT conv_id cell, count(*) m, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) pairs, CAST((count(*) - 1) * sum(len(w)) AS BIGINT) visits FROM t GROUP BY 1")
 def pair_work(spark, d):
     return text_pairs.pair_work(_turn_sets(spark, d))

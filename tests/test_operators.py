@@ -255,3 +255,19 @@ def test_recurrence_query_covers_the_days_of_the_table(spark, tmp_path):
     spark.createDataFrame(rows, "user_id long, ts string, event_type string, event_id long").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
     got = {r["state"]: r["recurrence"] for r in queries.QUERIES["recurrence"](spark, str(tmp_path)).collect()}
     assert sorted(got) == list(range(41)) and [got[k] for k in (0, 1, 2, 40)] == ["first_observed", "observed", "absent", "observed_reappearance"]
+
+
+def test_trigram_distance_queries_against_enumeration(spark, tmp_path):
+    from itertools import combinations
+
+    from prismet.plans import queries
+
+    texts = {("c", 0): "a b, c d", ("c", 1): "a b, c e", ("c", 2): "z", ("c", 3): "", ("d", 0): "a b", ("c", 4): " \n", ("d", 1): None}
+    spark.createDataFrame([(c, k, "user", t) for (c, k), t in texts.items()], "conv_id string, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    sets = {k: text.trigrams(u) for k, t in texts.items() if (u := text.lexical_units(t or ""))}
+    jaccard = lambda a, b: 1 - len(a & b) / len(a | b)
+    pairs = {(a, b): jaccard(sets["c", a], sets["c", b]) for a, b in combinations(range(3), 2)}
+    got = {(r["a"], r["b"]): r["distance"] for r in queries.QUERIES["trigram_distance"](spark, str(tmp_path)).collect()}
+    assert got == {k: round(v, 10) for k, v in pairs.items() if v < 1} and got
+    mean = {r["cell"]: (r["m"], r["mean_distance"], r["status"]) for r in queries.QUERIES["trigram_surface_distance"](spark, str(tmp_path)).collect()}
+    assert mean == {"c": (3, round(sum(pairs.values()) / 3, 9), "available"), "d": (1, None, "undefined")}

@@ -8,15 +8,24 @@ corpus cannot be built in one place, so suffixes first meet by content:
    window alone. Windows in a row with one anchor form a run. Equal windows have equal anchors, so they meet when runs
    are dealt by anchor. Runs travel as packed blobs of numbers (under 6 % of the positions), not as rows.
 2. Factors. Within an anchor, equal runs collapse to the one of the least document; in all later ones each window has
-   an earlier factor. The map side does so first, so a passage in a third of all documents sends one run a batch. Where
-   different runs share an anchor, the bytes of the collapsed runs are fetched, their windows sorted into suffix order,
-   and the LPF array decides each window.
-3. Removal. Spans return to their documents by id and are cut out.
-
-Everything is exact: no sample, no cap; hashes only decide which runs are compared or equal (80 bits or more).
-
-Nulls: a null text is empty. Rows with a null id are neither earlier nor later than others and stay whole. Repeated rows
-of one id do not shorten each other. Texts below ``LENGTH`` bytes are never cut. ids must be integers.
+   an earlier factor. The map side does so first, so a passage in a third of all documents sends one run a batch. A
+   window holds the 17 bytes before its anchor's gram or the 17 bytes after it, so of the collapsed runs only those are
+   compared that share the hash of either with another document. Their bytes are fetched, their windows sorted into
+   suffix order, and the LPF array over the common prefixes decides each window.
+3. Removal. Spans return to their rows and are cut out.
+
+Scale: runs are dealt over one part for each ``_PART`` bytes of text, so a group in memory does not grow with the corpus.
+Texts move in joins only and pass through Python in batches. Where many different runs share one anchor (a passage that
+many documents embed in surroundings of their own), the anchor would be one group; anchors seen in ``_HOT`` rows of a
+1/``_SAMPLE`` sample of the rows, by the hash of their text, are dealt by the whole window instead. The sample decides where
+windows meet, never whether they are equal.
+
+Everything is exact: no cap; hashes only decide which runs are compared or equal (80 bits or more).
+
+Defined cases. A null text is empty; texts below ``LENGTH`` bytes are never cut, very long ones are read in overlapping
+segments. Rows with a null id are neither earlier nor later than others and stay whole. Rows of one id, equal or not, do
+not shorten each other, and each is cut by its own spans (rows are told apart by id and text). An empty table gives an
+empty result. ids must be integers; other columns, whatever their names, pass through ``remove_repeats``.
 """
 
 from __future__ import annotations
@@ -25,19 +34,25 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from prismet.llm._stage import default_parts, map_arrow, release, ship, stage
+from prismet.llm._stage import map_arrow, release, ship, stage
 from prismet.llm._text import mix, randoms, slices, utf8
 
 LENGTH = 50
 GRAM = 16
 SPAN = LENGTH - GRAM + 1
-_SEGMENT = (1 << 20) - 64
-#: Windows sorted at once, and bytes of text read at once.
-_STRETCH, _READ = 1 << 17, 1 << 22
+#: Bytes on either side of the gram of which every window holds one side.
+SIDE = (LENGTH - GRAM) // 2
+WIDTH = LENGTH + SPAN - 1
+_SEGMENT = (1 << 18) - 64
+#: Windows sorted at once, bytes of text read at once, and bytes of text for each part that runs are dealt to.
+_STRETCH, _READ, _PART = 1 << 16, 1 << 22, 1 << 22
+#: An anchor with different runs in so many rows of the sample is dealt by window; at most so many anchors are.
+_HOT, _HOTTEST, _SAMPLE = 64, 1 << 16, 64
 _U = np.uint64
 _BYTE = randoms(301, 256)
 _powers: dict[str, np.ndarray] = {}
@@ -48,8 +63,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     if not _powers:
         base = int(randoms(303, 1)[0])
         for name, b in (("up", base), ("down", pow(base, -1, 1 << 64))):
-            table = np.ones(1 << 20, _U)
-            for k in range(20):
+            table = np.ones(1 << 18, _U)
+            for k in range(18):
                 n = 1 << k
                 table[n : 2 * n] = table[:n] * _U(pow(b, n, 1 << 64))
             _powers[name] = table
@@ -77,8 +92,9 @@ def _unpack(blobs: list[bytes], *widths: int) -> list[np.ndarray]:
     return [np.concatenate(p) if p else np.zeros(0, np.int64 if w == 8 else _U) for p, w in zip(parts, widths, strict=True)]
 
 
-_RUN = (4, 6, 8, 4, 1)  # anchor, run, document, start, windows less one
-_SPANS = (8, 4, 4)  # document, start, end
+_RUN = (4, 6, 8, 6, 4, 1, 2, 2)  # anchor, run, document, its text, start, windows less one, sides
+_SPANS = (8, 6, 4, 4)  # document, its text, start, end
+_ASKED = (8, 6, 4, 1, 4)  # document, its text, start, windows less one, part of the anchor
 
 
 def _segments(offsets: np.ndarray):
@@ -100,8 +116,11 @@ def _segments(offsets: np.ndarray):
         i += 1
 
 
-def runs_of(data: np.ndarray, offsets: np.ndarray):
-    """Row, start (from the row's own), windows less one, anchor and run hash of every run of a batch."""
+def runs_of(data: np.ndarray, offsets: np.ndarray, hot: np.ndarray | None = None):
+    """Row, start (from the row's own), windows less one, anchor, run hash and sides of every run of a batch.
+
+    The runs of ``hot`` anchors (sorted) are single windows, and the window's hash is their anchor.
+    """
     up, down = _tables()
     out = []
     for i, j, start, end in _segments(offsets):
@@ -132,10 +151,26 @@ def runs_of(data: np.ndarray, offsets: np.ndarray):
         if not len(first):
             continue
         stops = np.flatnonzero(ok & np.concatenate([change[1:] | ~ok[1:], [True]]))
+        at = place[first]
+        anchor = gram[at]
+        if hot is not None and len(hot):
+            lone = hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor
+            size = np.where(lone, stops - first + 1, 1)
+            origin = np.repeat(np.arange(len(first)), size)
+            shift = np.arange(len(origin)) - np.repeat(np.cumsum(size) - size, size)
+            lone = lone[origin]
+            first, stops, at, anchor = first[origin] + shift, np.where(lone, first[origin] + shift, stops[origin]), at[origin], anchor[origin]
         total = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTE[d] * up[: len(d)], dtype=_U)])
         run = mix((total[stops + LENGTH] - total[first]) * down[first] + (stops - first).astype(_U))
-        at = first - (offsets[row[first]] - start)
-        out.append((row[first], at, stops - first, gram[place[first]], run))
+        if hot is not None and len(hot):
+            anchor = np.where(lone, mix(run ^ _U(0xA0761D6478BD642F)), anchor)
+
+        def side(begin, held, total=total):
+            begin = np.where(held, begin, 0)
+            return np.where(held, mix((total[begin + SIDE] - total[begin]) * down[begin]) >> _U(48) | _U(1), _U(0))
+
+        before, after = side(at - SIDE, at - first >= SIDE), side(at + GRAM, at - stops <= SIDE)
+        out.append((row[first], first - (offsets[row[first]] - start), stops - first, anchor, run, before, after))
     return [np.concatenate(x) for x in zip(*out, strict=True)] if out else None
 
 
@@ -150,32 +185,38 @@ def _spread(kind: int, where: np.ndarray, columns: list[np.ndarray], widths: tup
         yield kind, p, _pack(*((c[own], w) for c, w in zip(columns, widths, strict=True)))
 
 
-def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-    """Spans of each document joined where they touch."""
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], end[order]
+def _merged(doc: np.ndarray, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Spans of each row joined where they touch."""
+    order = np.lexsort((start, text, doc))
+    doc, text, start, end = doc[order], text[order], start[order], end[order]
     if not len(doc):
-        return [doc, start, end]
-    # Running maximum of the ends within a document: ends are lifted by the document's rank.
-    rank = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]]))
+        return [doc, text, start, end]
+    # Running maximum of the ends within a row: ends are lifted by the row's rank.
+    other = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])
+    rank = np.cumsum(np.concatenate([[0], other]))
     lift = rank * (int(end.max()) + 1)
     reach = np.maximum.accumulate(end + lift) - lift
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > reach[:-1])
+    new[1:] = other | (start[1:] > reach[:-1])
     first = np.flatnonzero(new)
-    return [doc[first], start[first], np.maximum.reduceat(reach, first)]
+    return [doc[first], text[first], start[first], np.maximum.reduceat(reach, first)]
 
 
-def _table(rows) -> dict:
+def _batch(rows) -> pa.RecordBatch:
     rows = list(rows)
-    return {"kind": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([r[1] for r in rows], pa.int64()), "blob": pa.array([r[2] for r in rows], pa.binary())}
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["kind", "part", "blob"])
 
 
 _ROWS = "kind int, part long, blob binary"
 _SEND, _CUT, _ASK = 0, 1, 2
 
 
-def _collapse(anchor, run, doc, start, more):
+def _home(doc: np.ndarray, text: np.ndarray, parts: int) -> np.ndarray:
+    """The part where spans and requests of a row come together."""
+    return (mix(doc.astype(np.int64).view(_U) * _U(0x9E3779B97F4A7C15) + text.astype(_U)) % _U(parts)).astype(np.int64)
+
+
+def _collapse(anchor, run, doc, text, start, more):
     """Equal runs: keep those of the least document, and give the spans of the others, whose windows have earlier factors."""
     order = np.lexsort((doc, run, anchor))
     a, r, d = anchor[order], run[order], doc[order]
@@ -183,101 +224,123 @@ def _collapse(anchor, run, doc, start, more):
     new[1:] = (a[1:] != a[:-1]) | (r[1:] != r[:-1])
     least = d[np.flatnonzero(new)][np.cumsum(new) - 1] if len(a) else d
     late = order[d > least]
-    kept = order[d == least]
-    return kept, [doc[late], start[late].astype(np.int64), start[late].astype(np.int64) + more[late].astype(np.int64) + LENGTH]
+    begin = start[late].astype(np.int64)
+    return order[d == least], [doc[late], text[late], begin, begin + more[late].astype(np.int64) + LENGTH]
+
+
+def _cuts(spans: list[np.ndarray], parts: int):
+    spans = _merged(*[x.astype(np.int64) for x in spans])
+    return _spread(_CUT, _home(spans[0], spans[1], parts), spans, _SPANS)
 
 
-def _mapper(parts: int):
+def _read(batch: pa.RecordBatch):
+    """Bytes, offsets, id and text number of each slice of rows that have an id."""
+    batch = batch.filter(batch.column(0).is_valid())
+    if batch.num_rows:
+        data, offsets = utf8(batch.column(1))
+        ids, texts = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 2))
+        for i, j in slices(offsets, _READ):
+            yield data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ids[i:j], texts[i:j]
+
+
+def _mapper(parts: int, hot: np.ndarray):
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
-            good = ids.is_valid()
-            if batch.num_rows == 0:
-                continue
-            batch = batch.filter(good)
-            data, offsets = utf8(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, j in slices(offsets, _READ):
-                found = runs_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            for data, offsets, ids, texts in _read(batch):
+                found = runs_of(data, offsets, hot)
                 if found is None:
                     continue
-                row, start, more, anchor, run_hash = found
-                doc = ids[i:j][row]
+                row, start, more, anchor, run_hash, before, after = found
+                doc, text = ids[row], texts[row]
                 part = (anchor % _U(parts)).astype(np.int64)
-                anchor = (anchor >> _U(32)) & _U(0xFFFFFFFF)
+                anchor = anchor >> _U(32)
                 run_hash = run_hash & _U(0xFFFFFFFFFFFF)
-                kept, cut = _collapse(anchor ^ (part.astype(_U) << _U(32)), run_hash, doc, start, more)
-                rows = list(_spread(_SEND, part[kept], [anchor[kept], run_hash[kept], doc[kept], start[kept], more[kept]], _RUN))
-                spans = _merged(*cut)
-                rows += _spread(_CUT, np.mod(spans[0], parts), spans, _SPANS)
-                yield pa.RecordBatch.from_pydict(_table(rows))
+                kept, cut = _collapse(anchor ^ (part.astype(_U) << _U(32)), run_hash, doc, text, start, more)
+                kept.sort()
+                rows = list(_spread(_SEND, part[kept], [x[kept] for x in (anchor, run_hash, doc, text, start, more, before, after)], _RUN))
+                yield _batch([*rows, *_cuts(cut, parts)])
 
     return run
 
 
+def _shared(anchor: np.ndarray, side: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether another document has the same anchor and side; a side of 0 is none."""
+    order = np.lexsort((side, anchor))
+    a, s, d = anchor[order], side[order], doc[order]
+    out = np.zeros(len(a), bool)
+    if len(a):
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (s[1:] != s[:-1])]))
+        several = np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first)
+        out[order] = np.repeat(several, np.diff([*first, len(a)])) & (s > 0)
+    return out
+
+
 def _reducer(parts: int):
     def run(table: pa.Table) -> pa.Table:
-        kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
         part = table.column("part")[0].as_py()
-        cuts = [_unpack([b for k, b in zip(kinds, blobs, strict=True) if k == _CUT], *_SPANS)]
-        anchor, run_hash, doc, start, more = _unpack([b for k, b in zip(kinds, blobs, strict=True) if k == _SEND], *_RUN)
-        ask = np.zeros(0, np.int64)
-        if len(anchor):
-            order = np.argsort(anchor, kind="stable")
-            a, d = anchor[order], doc[order]
-            first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-            size = np.diff([*first, len(a)])
-            shared = np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first)
-            own = order[np.repeat(shared, size)]
-            kept, cut = _collapse(anchor[own], run_hash[own], doc[own], start[own], more[own])
-            cuts.append(cut)
-            kept = own[kept]
-            order = kept[np.lexsort((run_hash[kept], anchor[kept]))]
-            a, r = anchor[order], run_hash[order]
-            if len(a):
-                first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-                several = np.minimum.reduceat(r, first) < np.maximum.reduceat(r, first)
-                ask = order[np.repeat(several, np.diff([*first, len(a)]))]
-        spans = _merged(*[np.concatenate(x).astype(np.int64) for x in zip(*cuts, strict=True)])
-        rows = list(_spread(_CUT, np.mod(spans[0], parts), spans, _SPANS))
-        if len(ask):
-            home = np.full(len(ask), part, np.int64)
-            rows += _spread(_ASK, np.mod(doc[ask], parts), [doc[ask], start[ask].astype(np.int64), more[ask].astype(np.int64), home], (8, 4, 1, 8))
-        del anchor, run_hash, doc, start, more
+        columns = _unpack(table.filter(pc.equal(table.column("kind"), _SEND)).column("blob").to_pylist(), *_RUN)
+        passed = [x.astype(np.int64) for x in _unpack(table.filter(pc.equal(table.column("kind"), _CUT)).column("blob").to_pylist(), *_SPANS)]
+        anchor, run_hash, doc, text, start, more, before, after = columns
+        kept, cut = _collapse(anchor, run_hash, doc, text, start, more)
+        rows = list(_cuts([np.concatenate([a, b.astype(np.int64)]) for a, b in zip(passed, cut, strict=True)], parts))
+        ask = kept[_shared(anchor[kept], before[kept], doc[kept]) | _shared(anchor[kept], after[kept], doc[kept])]
+        home = np.full(len(ask), part, np.int64)
+        rows += _spread(_ASK, _home(doc[ask], text[ask], parts), [doc[ask], text[ask], start[ask], more[ask], home], _ASKED)
+        del columns, anchor, run_hash, doc, text, start, more, before, after, kept
         release()
-        return pa.table(_table(rows))
+        return pa.Table.from_batches([_batch(rows)])
 
     return run
 
 
-def _texts(docs: pa.Table):
-    """doc_id -> bytes; of rows that share an id the longest text."""
-    data, offsets = utf8(docs.column("_text"))
-    out: dict[int, np.ndarray] = {}
-    for k, doc in enumerate(docs.column("_id").to_pylist()):
-        own = data[offsets[k] : offsets[k + 1]]
-        if doc is not None and (doc not in out or len(out[doc]) < len(own)):
-            out[doc] = own
-    return out
+def _by_row(widths: tuple[int, ...], merge: bool):
+    """One line for each row of the corpus: id, text number, and the numbers that concern it, as 64-bit integers."""
+
+    def run(table: pa.Table) -> pa.Table:
+        columns = [x.astype(np.int64) for x in _unpack(table.column("blob").to_pylist(), *widths)]
+        if merge:
+            columns = _merged(*columns)
+        else:
+            order = np.lexsort((columns[1], columns[0]))
+            columns = [x[order] for x in columns]
+        doc, text = columns[:2]
+        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])])) if len(doc) else np.zeros(0, np.int64)
+        numbers = np.stack(columns[2:], 1)
+        blobs = [numbers[a:b].tobytes() for a, b in zip(first.tolist(), [*first[1:].tolist(), len(doc)], strict=True)] if len(doc) else []
+        return pa.table({"_doc": pa.array(doc[first]), "_of": pa.array(text[first]), "_numbers": pa.array(blobs, pa.binary())})
+
+    return run
 
 
-def _fetch(docs: pa.Table, asked: pa.Table) -> pa.Table:
+_BY_ROW = "_doc long, _of long, _numbers binary"
+
+
+def _numbers(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a batch of lines, and the line of each; null holds none."""
+    blobs = [b"" if b is None else b for b in column.to_pylist()]
+    of = np.repeat(np.arange(len(blobs)), [len(b) // (8 * width) for b in blobs])
+    return np.frombuffer(b"".join(blobs), np.int64).reshape(-1, width), of
+
+
+def _fetch(batches):
     """The bytes of the runs asked for, dealt by anchor."""
-    if not asked.num_rows or not docs.num_rows:
-        return pa.table(_table([]))
-    doc, start, more, home = _unpack(asked.column("blob").to_pylist(), 8, 4, 1, 8)
-    texts = _texts(docs)
-    width = LENGTH + SPAN - 1
-    held = np.zeros((len(doc), width), np.uint8)
-    for k, (i, s, m) in enumerate(zip(doc.tolist(), start.astype(np.int64).tolist(), more.astype(np.int64).tolist(), strict=True)):
-        held[k, : m + LENGTH] = texts[i][s : s + m + LENGTH]
-    order = np.argsort(home, kind="stable")
-    parts, starts = np.unique(home[order], return_index=True)
-    rows = []
-    for p, a, b in zip(parts.tolist(), starts.tolist(), [*starts[1:].tolist(), len(home)], strict=True):
-        own = order[a:b]
-        rows.append((_ASK, p, _pack((doc[own], 8), (start[own], 4), (more[own], 1)) + held[own].tobytes()))
-    return pa.table(_table(rows))
+    for batch in batches:
+        data, offsets = utf8(batch.column(1))
+        numbers, of = _numbers(batch.column(3), 3)
+        doc, text = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 2))
+        for at in range(0, len(of), _STRETCH):
+            start, more, home = numbers[at : at + _STRETCH].T
+            own = of[at : at + _STRETCH]
+            place = (offsets[own] + start)[:, None] + np.arange(WIDTH)
+            held = data[np.minimum(place, len(data) - 1)]
+            held[np.arange(WIDTH) >= (more + LENGTH)[:, None]] = 0
+            order = np.argsort(home, kind="stable")
+            parts, starts = np.unique(home[order], return_index=True)
+            rows = []
+            for p, a, b in zip(parts.tolist(), starts.tolist(), [*starts[1:].tolist(), len(home)], strict=True):
+                k = order[a:b]
+                rows.append((_ASK, p, _pack((doc[own[k]], 8), (text[own[k]], 6), (start[k], 4), (more[k], 1)) + held[k].tobytes()))
+            yield _batch(rows)
 
 
 def longest_previous(order_doc: np.ndarray, lcp: np.ndarray) -> np.ndarray:
@@ -308,15 +371,14 @@ def longest_previous(order_doc: np.ndarray, lcp: np.ndarray) -> np.ndarray:
 
 def _factors(parts: int):
     def run(table: pa.Table) -> pa.Table:
-        width = LENGTH + SPAN - 1
-        doc, start, more, held = [], [], [], []
+        doc, text, start, more, held = [], [], [], [], []
         for blob in table.column("blob").to_pylist():
             n = int(np.frombuffer(blob, np.uint32, 1)[0])
-            head = 4 + n * 13
-            for out, x in zip((doc, start, more), _unpack([blob[:head]], 8, 4, 1), strict=True):
+            head = 4 + n * 19
+            for out, x in zip((doc, text, start, more), _unpack([blob[:head]], 8, 6, 4, 1), strict=True):
                 out.append(x.astype(np.int64))
-            held.append(np.frombuffer(blob, np.uint8, n * width, head).reshape(n, width))
-        doc, start, more, held = (np.concatenate(x) for x in (doc, start, more, held))
+            held.append(np.frombuffer(blob, np.uint8, n * WIDTH, head).reshape(n, WIDTH))
+        doc, text, start, more, held = (np.concatenate(x) for x in (doc, text, start, more, held))
         which = np.repeat(np.arange(len(doc)), more + 1)
         shift = np.arange(len(which)) - np.repeat(np.cumsum(more + 1) - (more + 1), more + 1)
         view = np.lib.stride_tricks.sliding_window_view(held, LENGTH, axis=1)
@@ -330,16 +392,17 @@ def _factors(parts: int):
             at = int(np.searchsorted(head, head[at - 1], "right"))
             cuts.append(at)
         found = [_removed(view, which[a:b], shift[a:b], doc, start) for a, b in zip(cuts, cuts[1:], strict=False)]
-        spans = _merged(*[np.concatenate(x) for x in zip(*found, strict=True)])
+        row, begin = (np.concatenate(x) for x in zip(*found, strict=True))
+        rows = list(_cuts([doc[row], text[row], begin, begin + LENGTH], parts))
         del held, view, which, shift, head, order, found
         release()
-        return pa.table(_table(_spread(_CUT, np.mod(spans[0], parts), spans, _SPANS)))
+        return pa.Table.from_batches([_batch(rows)])
 
     return run
 
 
-def _removed(view: np.ndarray, which: np.ndarray, shift: np.ndarray, doc: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
-    """Document, start, end of the windows of a stretch whose longest previous factor has full length."""
+def _removed(view: np.ndarray, which: np.ndarray, shift: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Run and start of the windows of a stretch whose longest previous factor has full length."""
     # The windows' bytes as seven big-endian words: their order is the order of the suffixes up to LENGTH bytes.
     window = np.zeros((len(which), 56), np.uint8)
     window[:, :LENGTH] = view[which, shift]
@@ -355,75 +418,95 @@ def _removed(view: np.ndarray, which: np.ndarray, shift: np.ndarray, doc: np.nda
     for k in range(1, 8):
         lead += x < (_U(1) << _U(64 - 8 * k))
     lcp = np.concatenate([[0], np.where(~differ.any(1), LENGTH, np.minimum(at * 8 + lead, LENGTH))])
-    # Only factors of full length count, so shorter prefixes end the search at once.
-    lpf = longest_previous(owner[order], np.where(lcp >= LENGTH, lcp, 0))
-    hit = order[lpf >= LENGTH]
-    begin = start[which[hit]] + shift[hit]
-    return [owner[hit], begin, begin + LENGTH]
-
-
-def _finish(digests: bool):
-    def run(docs: pa.Table, cuts: pa.Table) -> pa.Table:
-        data, offsets = utf8(docs.column("_text"))
-        doc, start, end = _unpack(cuts.column("blob").to_pylist() if cuts.num_rows else [], *_SPANS)
-        doc, start, end = _merged(doc, start.astype(np.int64), end.astype(np.int64))
-        ids = docs.column("_id").to_pylist()
-        n_removed, n_spans, kept = [], [], []
-        for k, i in enumerate(ids):
-            raw = data[offsets[k] : offsets[k + 1]].tobytes()
-            a, b = (np.searchsorted(doc, [i, i + 1]).tolist()) if i is not None and len(doc) else (0, 0)
-            parts, at, gone = [], 0, 0
-            for s, e in zip(start[a:b].tolist(), end[a:b].tolist(), strict=True):
-                parts.append(raw[at:s])
-                gone += max(0, min(e, len(raw)) - s)
-                at = e
-            parts.append(raw[at:])
-            kept.append(b"".join(parts))
-            n_removed.append(gone)
-            n_spans.append(b - a)
-        if digests:
-            return pa.table({"doc_id": docs.column("_id"), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array([sha256(x).hexdigest() for x in kept], pa.string())})
-        return pa.table({"_row": docs.column("_row"), "_kept": pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())})
+    hit = order[longest_previous(owner[order], lcp) >= LENGTH]
+    return which[hit], start[which[hit]] + shift[hit]
+
+
+def _cut(text: bytes, spans: np.ndarray) -> tuple[bytes, int]:
+    kept, at, gone = [], 0, 0
+    for a, b in spans.tolist():
+        kept.append(text[at:a])
+        gone += b - a
+        at = b
+    return b"".join([*kept, text[at:]]), gone
+
+
+def _cut_batch(batch: pa.RecordBatch):
+    """(kept bytes, bytes removed, spans) of each line of a batch (row or id, text, numbers)."""
+    data, offsets = utf8(batch.column(1))
+    spans, of = _numbers(batch.column(2), 2)
+    ends = np.searchsorted(of, np.arange(batch.num_rows + 1)).tolist()
+    for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        own = spans[ends[k] : ends[k + 1]]
+        yield *_cut(data[a:b].tobytes(), own), len(own)
 
-    return run
 
+def _digested(batches):
+    for batch in batches:
+        _, offsets = utf8(batch.column(1))
+        found = [(sha256(kept).hexdigest(), gone, n) for kept, gone, n in _cut_batch(batch)]
+        sha, gone, n = zip(*found, strict=True) if found else ((), (), ())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(gone, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-def _prime(n: int) -> int:
-    while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
-        n += 1
-    return n
 
+def _shortened(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([kept.decode("utf-8", "ignore") for kept, _, _ in _cut_batch(batch)], pa.string())], ["_row", "_kept"])
 
-def cut_spans(source: DataFrame, parts: int) -> DataFrame:
-    """(kind, part, blob): spans to remove from ``source`` (_id, _text, _part), dealt by ``_part`` = id modulo ``parts``."""
-    sent = map_arrow(source.select("_id", "_text"), _mapper(parts), _ROWS)
-    first = stage(sent.groupBy("part").applyInArrow(_reducer(parts), _ROWS), "factors")
-    asked = first.where(F.col("kind") == _ASK)
-    fetched = source.groupBy("_part").cogroup(asked.groupBy("part")).applyInArrow(_fetch, _ROWS)
-    second = stage(fetched.groupBy("part").applyInArrow(_factors(parts), _ROWS), "suffixes")
-    return first.where(F.col("kind") == _CUT).union(second)
 
+def _hot_anchors(source: DataFrame) -> np.ndarray:
+    """Anchors that have different runs in ``_HOT`` rows or more of the sample; at most ``_HOTTEST``, sorted."""
 
-def _prepared(docs: DataFrame, id_col: str, text_col: str, keep: bool) -> tuple[DataFrame, int]:
-    ship(docs.sparkSession)
-    parts = _prime(max(7, default_parts(docs.sparkSession)))
+    def seen(batches):
+        for batch in batches:
+            for data, offsets, _, _ in _read(batch):
+                found = runs_of(data, offsets)
+                if found is not None:
+                    each = np.unique(np.stack([found[3], found[4]]), axis=1).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(each[0]), pa.array(each[1])], ["anchor", "run"])
+
+    sample = source.where(F.col("_of") % _SAMPLE == 0)
+    counted = map_arrow(sample, seen, "anchor long, run long").distinct().groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= _HOT)
+    return np.sort(np.array([r["anchor"] for r in counted.orderBy(F.desc("n"), "anchor").limit(_HOTTEST).collect()], np.int64).view(_U))
+
+
+def _grouped(df: DataFrame, function, schema: str) -> DataFrame:
+    return df.groupBy("part").applyInArrow(function, schema)
+
+
+def cut_spans(source: DataFrame) -> DataFrame:
+    """_doc, _of, _numbers: the spans to remove from each row of ``source`` (_id, _text, _of) that has any."""
+    ship(source.sparkSession)
+    size = source.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    parts = 7 + size // _PART
+    sent = map_arrow(source, _mapper(parts, _hot_anchors(source)), _ROWS)
+    first = stage(_grouped(sent, _reducer(parts), _ROWS), "factors")
+    asked = _grouped(first.where(F.col("kind") == _ASK), _by_row(_ASKED, False), _BY_ROW)
+    fetched = map_arrow(source.join(asked, (F.col("_id") == F.col("_doc")) & (source["_of"] == asked["_of"])).select("_id", "_text", source["_of"], "_numbers"), _fetch, _ROWS)
+    second = stage(_grouped(fetched, _factors(parts), _ROWS), "suffixes")
+    return _grouped(first.where(F.col("kind") == _CUT).union(second), _by_row(_SPANS, True), _BY_ROW)
+
+
+def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ident, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if keep else []
-    part = F.coalesce(F.pmod(ident, F.lit(parts)), F.pmod(F.xxhash64(text), F.lit(parts))).cast("long")
-    return docs.select(*whole, ident.alias("_id"), text.alias("_text"), part.alias("_part")), parts
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    return docs.select(whole, ident.alias("_id"), text.alias("_text"), F.xxhash64(text).bitwiseAND(F.lit((1 << 48) - 1)).alias("_of"))
+
+
+def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    source = _prepared(docs, id_col, text_col)
+    cuts = cut_spans(source.select("_id", "_text", "_of"))
+    return source.join(cuts, (F.col("_id") == F.col("_doc")) & (source["_of"] == cuts["_of"]), "left")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
-    source, parts = _prepared(docs, id_col, text_col, keep=False)
-    cuts = cut_spans(source, parts)
-    return source.groupBy("_part").cogroup(cuts.groupBy("part")).applyInArrow(_finish(True), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = _with_spans(docs, id_col, text_col).select("_id", "_text", "_numbers")
+    return map_arrow(rows, _digested, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, with later copies cut out of the text. A character of which only some bytes are cut goes whole."""
-    source, parts = _prepared(docs, id_col, text_col, keep=True)
-    cuts = cut_spans(source.select("_id", "_text", "_part"), parts)
-    schema = StructType([source.schema["_row"]]).add("_kept", "string")
-    out = source.groupBy("_part").cogroup(cuts.groupBy("part")).applyInArrow(_finish(False), schema)
+    rows = _with_spans(docs, id_col, text_col).select("_row", "_text", "_numbers")
+    out = map_arrow(rows, _shortened, StructType([rows.schema["_row"]]).add("_kept", "string"))
     return out.select(*[F.col("_kept").alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in docs.columns])

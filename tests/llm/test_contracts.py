@@ -65,6 +65,30 @@ def test_suffix_removal_keeps_columns(docs, nothing):
     assert suffix_dedup.remove_repeats(nothing).count() == 0 and suffix_dedup.digests(nothing).count() == 0
 
 
+def test_suffix_rows_of_one_id_are_cut_by_their_own_spans(spark):
+    p, q = "".join(random.Random(2).choice("abcdefgh ") for _ in range(200)), "q" * 90 + "rs" * 40
+    rows = [(1, p), (2, q + p), (2, p[:60] + "zzz"), (3, p), (4, p), (4, p)]
+    out = suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in out) == [(1, 200, 0), (2, 63, 60), (2, 370, 200), (3, 200, 200), (4, 200, 200), (4, 200, 200)]
+
+
+def test_suffix_passage_in_every_document(spark, monkeypatch):
+    """One passage in surroundings of its own in each document: its anchors are dealt by window, with the same result."""
+    rng = random.Random(8)
+    prose = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = prose(150)
+    rows = [(k, prose(rng.randint(0, 120)) + passage[rng.randint(0, 9) :] + prose(rng.randint(0, 120))) for k in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (64, 3):
+        monkeypatch.setattr(suffix_dedup, "_HOT", hot)
+        monkeypatch.setattr(suffix_dedup, "_SAMPLE", 1)
+        monkeypatch.setattr(suffix_dedup, "_PART", 1 << 12)
+        anchors = suffix_dedup._hot_anchors(suffix_dedup._prepared(df, "doc_id", "text").select("_id", "_text", "_of"))
+        assert len(anchors) > 0
+        got = by_id(suffix_dedup.digests(df))
+        assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == brute.suffix(rows)
+
+
 def test_suffix_long_text_in_segments(monkeypatch):
     import numpy as np
     import pyarrow as pa
@@ -74,7 +98,7 @@ def test_suffix_long_text_in_segments(monkeypatch):
     text = "".join(random.Random(1).choice("abc") for _ in range(3000))
     data, offsets = utf8(pa.array(["short", text]))
     monkeypatch.setattr(suffix_dedup, "_SEGMENT", 400)
-    row, start, more, _, _ = suffix_dedup.runs_of(data, offsets)
+    row, start, more, *_ = suffix_dedup.runs_of(data, offsets)
     starts = np.concatenate([np.arange(s, s + m + 1) for s, m in zip(start, more, strict=True)])
     assert sorted(starts) == list(range(3000 - 49)) and set(row) == {1}
 

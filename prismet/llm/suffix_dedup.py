@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from prismet.llm._stage import map_arrow, release, ship, stage
+from prismet.llm._stage import default_parts, map_arrow, release, ship, stage
 from prismet.llm._text import mix, randoms, slices, utf8
 
 LENGTH = 50
@@ -92,9 +92,11 @@ def _unpack(blobs: list[bytes], *widths: int) -> list[np.ndarray]:
     return [np.concatenate(p) if p else np.zeros(0, np.int64 if w == 8 else _U) for p, w in zip(parts, widths, strict=True)]
 
 
-_RUN = (4, 6, 8, 6, 4, 1, 2, 2)  # anchor, run, document, its text, start, windows less one, sides
-_SPANS = (8, 6, 4, 4)  # document, its text, start, end
-_ASKED = (8, 6, 4, 1, 4)  # document, its text, start, windows less one, part of the anchor
+#: A run that its row holds several times is sent once, with this bit in its number of windows.
+_MANY = 0x80
+_RUN = (4, 6, 8, 5, 4, 1, 1, 1)  # anchor, run, document, its text, start, windows less one, sides
+_SPANS = (8, 5, 4, 4)  # document, its text, start, end
+_ASKED = (8, 5, 4, 1, 4)  # document, its text, start, windows less one, part of the anchor
 
 
 def _segments(offsets: np.ndarray):
@@ -167,7 +169,7 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, hot: np.ndarray | None = None
 
         def side(begin, held, total=total):
             begin = np.where(held, begin, 0)
-            return np.where(held, mix((total[begin + SIDE] - total[begin]) * down[begin]) >> _U(48) | _U(1), _U(0))
+            return np.where(held, mix((total[begin + SIDE] - total[begin]) * down[begin]) % _U(255) + _U(1), _U(0))
 
         before, after = side(at - SIDE, at - first >= SIDE), side(at + GRAM, at - stops <= SIDE)
         out.append((row[first], first - (offsets[row[first]] - start), stops - first, anchor, run, before, after))
@@ -208,7 +210,8 @@ def _batch(rows) -> pa.RecordBatch:
 
 
 _ROWS = "kind int, part long, blob binary"
-_SEND, _CUT, _ASK = 0, 1, 2
+#: Runs; spans to cut; spans to cut wherever their row holds the same bytes; runs whose bytes are asked for.
+_SEND, _CUT, _ALL, _ASK = 0, 1, 2, 3
 
 
 def _home(doc: np.ndarray, text: np.ndarray, parts: int) -> np.ndarray:
@@ -217,20 +220,36 @@ def _home(doc: np.ndarray, text: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _collapse(anchor, run, doc, text, start, more):
-    """Equal runs: keep those of the least document, and give the spans of the others, whose windows have earlier factors."""
-    order = np.lexsort((doc, run, anchor))
-    a, r, d = anchor[order], run[order], doc[order]
+    """Equal runs: those of the least document, one for each of its rows, how often the row holds it, and all others.
+
+    The windows of the others have earlier factors.
+    """
+    order = np.lexsort((start, text, doc, run, anchor))
+    a, r, d, t = anchor[order], run[order], doc[order], text[order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (r[1:] != r[:-1])
     least = d[np.flatnonzero(new)][np.cumsum(new) - 1] if len(a) else d
-    late = order[d > least]
-    begin = start[late].astype(np.int64)
-    return order[d == least], [doc[late], text[late], begin, begin + more[late].astype(np.int64) + LENGTH]
+    own = order[d == least]
+    fresh = (new | np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])])[: len(d)])[d == least]
+    first = np.flatnonzero(fresh)
+    return own[first], np.diff([*first, len(own)]), order[d > least]
+
 
+def _cuts(spans: list[np.ndarray], parts: int, many: np.ndarray | None = None):
+    """Spans dealt by row: merged, but for those that concern ``many`` places."""
+    spans = [x.astype(np.int64) for x in spans]
+    if many is not None and many.any():
+        again = np.unique(np.stack([x[many] for x in spans]), axis=1)
+        yield from _spread(_ALL, _home(again[0], again[1], parts), list(again), _SPANS)
+        spans = [x[~many] for x in spans]
+    spans = _merged(*spans)
+    yield from _spread(_CUT, _home(spans[0], spans[1], parts), spans, _SPANS)
 
-def _cuts(spans: list[np.ndarray], parts: int):
-    spans = _merged(*[x.astype(np.int64) for x in spans])
-    return _spread(_CUT, _home(spans[0], spans[1], parts), spans, _SPANS)
+
+def _windows(more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows less one of runs as sent, and whether the row holds several."""
+    more = more.astype(np.int64)
+    return more & (_MANY - 1), more >= _MANY
 
 
 def _read(batch: pa.RecordBatch):
@@ -255,10 +274,13 @@ def _mapper(parts: int, hot: np.ndarray):
                 part = (anchor % _U(parts)).astype(np.int64)
                 anchor = anchor >> _U(32)
                 run_hash = run_hash & _U(0xFFFFFFFFFFFF)
-                kept, cut = _collapse(anchor ^ (part.astype(_U) << _U(32)), run_hash, doc, text, start, more)
+                kept, often, late = _collapse(anchor ^ (part.astype(_U) << _U(32)), run_hash, doc, text, start, more)
+                end = start + more + LENGTH
+                rows = list(_cuts([x[late] for x in (doc, text, start, end)], parts))
+                more[kept] += _MANY * (often > 1)
                 kept.sort()
-                rows = list(_spread(_SEND, part[kept], [x[kept] for x in (anchor, run_hash, doc, text, start, more, before, after)], _RUN))
-                yield _batch([*rows, *_cuts(cut, parts)])
+                rows += _spread(_SEND, part[kept], [x[kept] for x in (anchor, run_hash, doc, text, start, more, before, after)], _RUN)
+                yield _batch(rows)
 
     return run
 
@@ -278,38 +300,45 @@ def _shared(anchor: np.ndarray, side: np.ndarray, doc: np.ndarray) -> np.ndarray
 def _reducer(parts: int):
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        columns = _unpack(table.filter(pc.equal(table.column("kind"), _SEND)).column("blob").to_pylist(), *_RUN)
-        passed = [x.astype(np.int64) for x in _unpack(table.filter(pc.equal(table.column("kind"), _CUT)).column("blob").to_pylist(), *_SPANS)]
+        kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
+        columns = _unpack([b for k, b in zip(kinds, blobs, strict=True) if k == _SEND], *_RUN)
         anchor, run_hash, doc, text, start, more, before, after = columns
-        kept, cut = _collapse(anchor, run_hash, doc, text, start, more)
-        rows = list(_cuts([np.concatenate([a, b.astype(np.int64)]) for a, b in zip(passed, cut, strict=True)], parts))
+        more, many = _windows(more)
+        start = start.astype(np.int64)
+        kept, _, late = _collapse(anchor, run_hash, doc, text, start, more)
+        passed = _unpack([b for k, b in zip(kinds, blobs, strict=True) if k == _CUT], *_SPANS)
+        cut = (doc[late], text[late], start[late], start[late] + more[late] + LENGTH)
+        rows = list(_cuts([np.concatenate([a.astype(np.int64), b.astype(np.int64)]) for a, b in zip(passed, cut, strict=True)], parts, np.concatenate([np.zeros(len(passed[0]), bool), many[late]])))
         ask = kept[_shared(anchor[kept], before[kept], doc[kept]) | _shared(anchor[kept], after[kept], doc[kept])]
         home = np.full(len(ask), part, np.int64)
-        rows += _spread(_ASK, _home(doc[ask], text[ask], parts), [doc[ask], text[ask], start[ask], more[ask], home], _ASKED)
-        del columns, anchor, run_hash, doc, text, start, more, before, after, kept
+        rows += _spread(_ASK, _home(doc[ask], text[ask], parts), [doc[ask], text[ask], start[ask], more[ask] + _MANY * many[ask], home], _ASKED)
+        del columns, anchor, run_hash, doc, text, start, more, many, before, after, kept, late, cut, passed
         release()
         return pa.Table.from_batches([_batch(rows)])
 
     return run
 
 
-def _by_row(widths: tuple[int, ...], merge: bool):
+def _lines(columns: list[np.ndarray]) -> pa.Table:
     """One line for each row of the corpus: id, text number, and the numbers that concern it, as 64-bit integers."""
+    order = np.lexsort((columns[1], columns[0]))
+    doc, text, *numbers = (x[order] for x in columns)
+    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])])[: len(doc)])
+    numbers = np.stack(numbers, 1)
+    blobs = [numbers[a:b].tobytes() for a, b in zip(first.tolist(), [*first[1:].tolist(), len(doc)], strict=True)] if len(doc) else []
+    return pa.table({"_doc": pa.array(doc[first]), "_of": pa.array(text[first]), "_numbers": pa.array(blobs, pa.binary())})
 
-    def run(table: pa.Table) -> pa.Table:
-        columns = [x.astype(np.int64) for x in _unpack(table.column("blob").to_pylist(), *widths)]
-        if merge:
-            columns = _merged(*columns)
-        else:
-            order = np.lexsort((columns[1], columns[0]))
-            columns = [x[order] for x in columns]
-        doc, text = columns[:2]
-        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])])) if len(doc) else np.zeros(0, np.int64)
-        numbers = np.stack(columns[2:], 1)
-        blobs = [numbers[a:b].tobytes() for a, b in zip(first.tolist(), [*first[1:].tolist(), len(doc)], strict=True)] if len(doc) else []
-        return pa.table({"_doc": pa.array(doc[first]), "_of": pa.array(text[first]), "_numbers": pa.array(blobs, pa.binary())})
 
-    return run
+def _spans_by_row(table: pa.Table) -> pa.Table:
+    """(start, end) of each row's spans; those that concern all places of their bytes have their ends negated."""
+    held = [[x.astype(np.int64) for x in _unpack(table.filter(pc.equal(table.column("kind"), k)).column("blob").to_pylist(), *_SPANS)] for k in (_CUT, _ALL)]
+    held[0] = _merged(*held[0])
+    held[1][3] = -held[1][3]
+    return _lines([np.concatenate(x) for x in zip(*held, strict=True)])
+
+
+def _asks_by_row(table: pa.Table) -> pa.Table:
+    return _lines([x.astype(np.int64) for x in _unpack(table.column("blob").to_pylist(), *_ASKED)])
 
 
 _BY_ROW = "_doc long, _of long, _numbers binary"
@@ -333,13 +362,13 @@ def _fetch(batches):
             own = of[at : at + _STRETCH]
             place = (offsets[own] + start)[:, None] + np.arange(WIDTH)
             held = data[np.minimum(place, len(data) - 1)]
-            held[np.arange(WIDTH) >= (more + LENGTH)[:, None]] = 0
+            held[np.arange(WIDTH) >= (_windows(more)[0] + LENGTH)[:, None]] = 0
             order = np.argsort(home, kind="stable")
             parts, starts = np.unique(home[order], return_index=True)
             rows = []
             for p, a, b in zip(parts.tolist(), starts.tolist(), [*starts[1:].tolist(), len(home)], strict=True):
                 k = order[a:b]
-                rows.append((_ASK, p, _pack((doc[own[k]], 8), (text[own[k]], 6), (start[k], 4), (more[k], 1)) + held[k].tobytes()))
+                rows.append((_ASK, p, _pack((doc[own[k]], 8), (text[own[k]], 5), (start[k], 4), (more[k], 1)) + held[k].tobytes()))
             yield _batch(rows)
 
 
@@ -374,11 +403,12 @@ def _factors(parts: int):
         doc, text, start, more, held = [], [], [], [], []
         for blob in table.column("blob").to_pylist():
             n = int(np.frombuffer(blob, np.uint32, 1)[0])
-            head = 4 + n * 19
-            for out, x in zip((doc, text, start, more), _unpack([blob[:head]], 8, 6, 4, 1), strict=True):
+            head = 4 + n * 18
+            for out, x in zip((doc, text, start, more), _unpack([blob[:head]], 8, 5, 4, 1), strict=True):
                 out.append(x.astype(np.int64))
             held.append(np.frombuffer(blob, np.uint8, n * WIDTH, head).reshape(n, WIDTH))
         doc, text, start, more, held = (np.concatenate(x) for x in (doc, text, start, more, held))
+        more, many = _windows(more)
         which = np.repeat(np.arange(len(doc)), more + 1)
         shift = np.arange(len(which)) - np.repeat(np.cumsum(more + 1) - (more + 1), more + 1)
         view = np.lib.stride_tricks.sliding_window_view(held, LENGTH, axis=1)
@@ -393,7 +423,7 @@ def _factors(parts: int):
             cuts.append(at)
         found = [_removed(view, which[a:b], shift[a:b], doc, start) for a, b in zip(cuts, cuts[1:], strict=False)]
         row, begin = (np.concatenate(x) for x in zip(*found, strict=True))
-        rows = list(_cuts([doc[row], text[row], begin, begin + LENGTH], parts))
+        rows = list(_cuts([doc[row], text[row], begin, begin + LENGTH], parts, many[row]))
         del held, view, which, shift, head, order, found
         release()
         return pa.Table.from_batches([_batch(rows)])
@@ -422,6 +452,20 @@ def _removed(view: np.ndarray, which: np.ndarray, shift: np.ndarray, doc: np.nda
     return which[hit], start[which[hit]] + shift[hit]
 
 
+def _everywhere(text: bytes, spans: np.ndarray) -> np.ndarray:
+    """Spans joined, those with a negated end at all places of their bytes."""
+    found = [spans[spans[:, 1] > 0]]
+    for a, b in {text[a:-b]: (a, -b) for a, b in spans[spans[:, 1] < 0].tolist()}.values():
+        at, part, places = text.find(text[a:b]), text[a:b], []
+        while at >= 0:
+            places.append(at)
+            at = text.find(part, at + 1)
+        found.append(np.stack([np.array(places), np.array(places) + (b - a)], 1))
+    start, end = np.concatenate(found).T
+    none = np.zeros(len(start), np.int64)
+    return np.stack(_merged(none, none, start, end)[2:], 1)
+
+
 def _cut(text: bytes, spans: np.ndarray) -> tuple[bytes, int]:
     kept, at, gone = [], 0, 0
     for a, b in spans.tolist():
@@ -437,8 +481,10 @@ def _cut_batch(batch: pa.RecordBatch):
     spans, of = _numbers(batch.column(2), 2)
     ends = np.searchsorted(of, np.arange(batch.num_rows + 1)).tolist()
     for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-        own = spans[ends[k] : ends[k + 1]]
-        yield *_cut(data[a:b].tobytes(), own), len(own)
+        own, text = spans[ends[k] : ends[k + 1]], data[a:b].tobytes()
+        if len(own) and own[:, 1].min() < 0:
+            own = _everywhere(text, own)
+        yield *_cut(text, own), len(own)
 
 
 def _digested(batches):
@@ -470,8 +516,10 @@ def _hot_anchors(source: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["anchor"] for r in counted.orderBy(F.desc("n"), "anchor").limit(_HOTTEST).collect()], np.int64).view(_U))
 
 
-def _grouped(df: DataFrame, function, schema: str) -> DataFrame:
-    return df.groupBy("part").applyInArrow(function, schema)
+def _grouped(df: DataFrame, function, schema: str, parts: int) -> DataFrame:
+    """Groups of a part each, four to a task or so: the input of a task does not grow with the corpus."""
+    tasks = max(default_parts(df.sparkSession), parts // 4)
+    return df.repartition(tasks, "part").groupBy("part").applyInArrow(function, schema)
 
 
 def cut_spans(source: DataFrame) -> DataFrame:
@@ -480,17 +528,17 @@ def cut_spans(source: DataFrame) -> DataFrame:
     size = source.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     parts = 7 + size // _PART
     sent = map_arrow(source, _mapper(parts, _hot_anchors(source)), _ROWS)
-    first = stage(_grouped(sent, _reducer(parts), _ROWS), "factors")
-    asked = _grouped(first.where(F.col("kind") == _ASK), _by_row(_ASKED, False), _BY_ROW)
+    first = stage(_grouped(sent, _reducer(parts), _ROWS, parts), "factors")
+    asked = _grouped(first.where(F.col("kind") == _ASK), _asks_by_row, _BY_ROW, parts)
     fetched = map_arrow(source.join(asked, (F.col("_id") == F.col("_doc")) & (source["_of"] == asked["_of"])).select("_id", "_text", source["_of"], "_numbers"), _fetch, _ROWS)
-    second = stage(_grouped(fetched, _factors(parts), _ROWS), "suffixes")
-    return _grouped(first.where(F.col("kind") == _CUT).union(second), _by_row(_SPANS, True), _BY_ROW)
+    second = stage(_grouped(fetched, _factors(parts), _ROWS, parts), "suffixes")
+    return _grouped(first.where(F.col("kind") != _ASK).union(second), _spans_by_row, _BY_ROW, parts)
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ident, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    return docs.select(whole, ident.alias("_id"), text.alias("_text"), F.xxhash64(text).bitwiseAND(F.lit((1 << 48) - 1)).alias("_of"))
+    return docs.select(whole, ident.alias("_id"), text.alias("_text"), F.xxhash64(text).bitwiseAND(F.lit((1 << 40) - 1)).alias("_of"))
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -5,7 +5,10 @@ where one of its keywords occurs; every text that its pattern matches holds one.
 interval lies within that of a kept detection of the same or higher priority is suppressed. Three fixed phrases are
 counted at all their places, whatever the rules find.
 
-Nulls and empty texts have no words and no detections. Repeated rows are scanned each.
+Defined cases. Nulls and empty texts have no words and no detections; an empty table gives an empty result. Repeated
+rows are scanned each. Very long texts are scanned whole, in time n log n of the words and detections. Ties: of
+detections with one interval and priority the first label by name stays. Only the id and the text are read, so other
+columns, whatever their names, do not matter.
 """
 
 from __future__ import annotations
@@ -238,14 +241,37 @@ def rules() -> tuple[Rule, ...]:
 _KEYS = sorted(frozenset().union(*(r.keywords for r in rules())))
 
 
+class _Reach:
+    """Furthest end of the intervals added so far that start at or before a place: prefix maxima in a binary indexed tree."""
+
+    def __init__(self, starts: list[int]):
+        self.rank = {s: k for k, s in enumerate(sorted(set(starts)), 1)}
+        self.ends = [-1] * (len(self.rank) + 1)
+
+    def until(self, start: int) -> int:
+        k, best = self.rank[start], -1
+        while k:
+            best = max(best, self.ends[k])
+            k &= k - 1
+        return best
+
+    def add(self, start: int, end: int) -> None:
+        k = self.rank[start]
+        while k < len(self.ends):
+            self.ends[k] = max(self.ends[k], end)
+            k += k & -k
+
+
 def detect(words: str, present: set[bytes]) -> list[tuple[int, int, str, int]]:
-    """(start, end, label, priority) of kept detections, in characters of the joined words."""
+    """(start, end, label, priority) of kept detections, in characters of the joined words; n log n in the detections."""
     found = [(m.start(), m.end(), r.label, r.priority) for r in rules() if not r.keywords.isdisjoint(present) for m in r.pattern.finditer(words)]
     kept: list[tuple[int, int, str, int]] = []
+    reach = _Reach([s for s, *_ in found])
     for s, e, label, p in sorted(found, key=lambda x: (-x[3], x[0] - x[1], x[0], x[2])):
         # Of equal priority the longer interval comes first, so a name suppresses the shorter name that it extends.
-        if not any(a <= s and e <= b for a, b, _, _ in kept):
+        if reach.until(s) < e:
             kept.append((s, e, label, p))
+            reach.add(s, e)
     return sorted(kept)
 
 
@@ -253,10 +279,11 @@ SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 _HITS = pa.list_(pa.struct([("label", pa.string()), ("priority", pa.int32()), ("first_word", pa.int32()), ("last_word", pa.int32())]))
 
 
-def _places(words: bytes, phrase: bytes):
+def _places(words: bytes, spaces: np.ndarray, phrase: bytes):
+    """Numbers of the words at which a phrase starts; ``words`` has a space on either end, ``spaces`` are their places."""
     at = words.find(b" " + phrase + b" ")
     while at >= 0:
-        yield words.count(b" ", 0, at)
+        yield int(np.searchsorted(spaces, at))
         at = words.find(b" " + phrase + b" ", at + 1)
 
 
@@ -279,9 +306,11 @@ def _scan(batches):
                 x, y = w.rows[r], w.rows[r + 1]
                 text = b" ".join(raw[s:e] for s, e in zip(w.starts[x:y].tolist(), w.ends[x:y].tolist(), strict=True))
                 padded = b" " + text + b" "
-                at = [(k, label) for phrase, label in PHRASES for k in _places(padded, phrase)]
+                spaces = np.flatnonzero(np.frombuffer(padded, np.uint8) == 0x20)
+                at = [(k, label) for phrase, label in PHRASES for k in _places(padded, spaces, phrase)]
                 words = text.decode()
-                hits = [{"label": label, "priority": p, "first_word": words.count(" ", 0, s), "last_word": words.count(" ", 0, e)} for s, e, label, p in detect(words, present)]
+                ends = np.cumsum([len(x) + 1 for x in words.split(" ")])
+                hits = [{"label": label, "priority": p, "first_word": int(np.searchsorted(ends, s, "right")), "last_word": int(np.searchsorted(ends, e, "right"))} for s, e, label, p in detect(words, present)]
                 rows.append((n, len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None), sorted({label for _, label in at}), hits))
         cols = list(zip(*rows, strict=True)) or [()] * 6
         kinds = [*[pa.int64()] * 4, pa.list_(pa.string()), _HITS]

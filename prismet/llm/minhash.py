@@ -35,6 +35,9 @@ PREFIX = K - MATCH + 1
 #: Posting lists of up to this many classes are paired by a join, longer ones in blocks of about ``BLOCK``.
 SHORT = 16
 BLOCK = 1024
+#: Shingles that a block holds at most on average, and keys over which the pairs of one centre are dealt.
+HELD = 1 << 18
+SALTS = 64
 _FILTER_BITS = 1 << 26
 _A, _B = randoms(101, K), randoms(202, K)
 _COORDINATE = np.arange(K, dtype=np.uint64) << np.uint64(32)
@@ -114,21 +117,28 @@ def full_sets(source: DataFrame, ids: DataFrame) -> DataFrame:
     return stage(map_arrow(_candidates_only(source, ids), _sets, "rep long, shingles array<long>"), "sets")
 
 
+def _beside(pairs: DataFrame, held: DataFrame, column: str) -> DataFrame:
+    """a, b, _x, _y: pairs (a, b) beside the arrays ``column`` of both documents, from ``held`` (rep, array).
+
+    ``a`` may be one centre of a third of all documents. Its pairs are dealt over ``SALTS`` keys, and its array is sent
+    once to each key that holds one, not once a pair; nothing moves after the two arrays have met.
+    """
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("_salt"))
+    centres = salted.select("a", "_salt").distinct().join(held.select(F.col("rep").alias("a"), F.col(column).alias("_x")), "a")
+    others = salted.join(held.select(F.col("rep").alias("b"), F.col(column).alias("_y")), "b")
+    return others.join(centres, ["a", "_salt"])
+
+
 def confirm(pairs: DataFrame, source: DataFrame, percent: int = 75) -> DataFrame:
     """The pairs (a, b) of documents whose full sets have 100 * intersection >= percent * union."""
     sets = full_sets(source, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
-    sa = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-    sb = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(sa, "a").join(sb, "b").withColumn("i", F.size(F.array_intersect("sa", "sb")))
-    return both.where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b").distinct()
+    both = _beside(pairs, sets, "shingles").withColumn("i", F.size(F.array_intersect("_x", "_y")))
+    return both.where(100 * F.col("i") >= percent * (F.size("_x") + F.size("_y") - F.col("i"))).select("a", "b").distinct()
 
 
 def _matching(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs that agree on ``MATCH`` coordinates or more."""
-    ta = classes.select(F.col("rep").alias("a"), F.col("tokens").alias("ta"))
-    tb = classes.select(F.col("rep").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(ta, "a").join(tb, "b")
-    return both.where(F.size(F.array_intersect("ta", "tb")) >= MATCH).select("a", "b").distinct()
+    return _beside(pairs, classes, "tokens").where(F.size(F.array_intersect("_x", "_y")) >= MATCH).select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -178,9 +188,9 @@ def _overlaps(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarra
 
 
 def _block(table: pa.Table) -> pa.Table:
-    """Links that join the components of one block pair of a long list: compared on full sets, at the first common list."""
-    left, right, coordinate = (table.column(k)[0].as_py() for k in ("_i", "_j", "_c"))
-    rep, comp, block, mask = (table.column(k).to_numpy() for k in ("rep", "comp", "_b", "mask"))
+    """Links that join the components within one block of a long list: compared on full sets, at the first common list."""
+    coordinate = table.column("_c")[0].as_py()
+    rep, comp, home, mask = (table.column(k).to_numpy() for k in ("rep", "comp", "_home", "mask"))
     sig = np.concatenate([c.flatten().to_numpy() for c in table.column("tokens").chunks]).reshape(-1, K)
     sets = [np.sort(c.values.to_numpy()) for c in table.column("shingles")]
     sizes = np.array([len(s) for s in sets])
@@ -192,14 +202,14 @@ def _block(table: pa.Table) -> pa.Table:
             up[c] = c = up[up[c]]
         return c
 
-    ia, ib = np.flatnonzero(block == left), np.flatnonzero(block == right)
+    # Classes whose own block this is, against all: a pair of two such is compared once, one of two guests elsewhere.
+    ia, ib = np.flatnonzero(home), np.arange(len(rep))
     out = []
     for at in range(0, len(ia), 64):
         x = ia[at : at + 64]
         own = np.array([root(int(c)) for c in comp])
         ok = (own[x][:, None] != own[ib][None, :]) & (np.minimum(sizes[x][:, None], sizes[ib][None, :]) * 4 >= 3 * np.maximum(sizes[x][:, None], sizes[ib][None, :]))
-        if left == right:
-            ok &= x[:, None] < ib[None, :]
+        ok &= ~home[None, :] | (x[:, None] < ib[None, :])
         p, q = np.nonzero(ok)
         keep = []
         for k in range(0, len(p), 1 << 16):
@@ -233,10 +243,10 @@ def postings(classes: DataFrame) -> DataFrame:
 
 
 def star_pairs(posts: DataFrame) -> DataFrame:
-    """Pairs of each class with the centre of each of its lists; the centre is found by an aggregation with map-side maxima."""
+    """Pairs (centre, member) of the centre of each list with its other classes; the centre is found by an aggregation with map-side maxima."""
     centre = posts.groupBy("token").agg(F.max(F.struct("popularity", (-F.col("rep")).alias("r"))).alias("c"))
     both = posts.join(centre.select("token", (-F.col("c.r")).alias("centre")), "token").where(F.col("rep") != F.col("centre"))
-    return both.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+    return both.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
 
 
 def rest_links(posts: DataFrame, classes: DataFrame, parts: DataFrame, source: DataFrame) -> DataFrame:
@@ -255,11 +265,17 @@ def rest_links(posts: DataFrame, classes: DataFrame, parts: DataFrame, source: D
     # The mask needs the prefix coordinates of a class in all its open lists, short ones included.
     mask = posts.groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftright(token, 32) as int))")).alias("mask"))
     sets = full_sets(source, long.select(F.col("rep").alias("doc_id"))).dropDuplicates(["rep"])
-    held = classes.groupBy("rep").agg(F.first("tokens").alias("tokens")).join(sets, "rep").join(mask, "rep")
-    long = long.withColumn("_m", F.ceil(F.col("size") / BLOCK)).withColumn("_b", F.pmod(F.xxhash64("rep"), F.col("_m")))
-    long = long.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1))).join(held, "rep")
-    long = long.withColumns({"_i": F.least("_b", "_o"), "_j": F.greatest("_b", "_o"), "_c": F.shiftright("token", 32)})
-    return links.union(long.groupBy("token", "_i", "_j").applyInArrow(_block, _PAIRS)).distinct()
+    held = classes.groupBy("rep").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")).join(sets, "rep").join(mask, "rep")
+    # The largest component of a list is not compared with itself: its classes go to one block each, those of the other
+    # components to all blocks. So a list where a star has joined nearly all costs about its length.
+    weighed = long.join(classes.groupBy("rep").agg(F.first("n").alias("n")), "rep").groupBy("token", "comp").agg(F.count(F.lit(1)).alias("_c"), F.sum("n").alias("_n"))
+    lists = weighed.groupBy("token").agg(F.max_by("comp", F.struct("_c", "comp")).alias("_major"), F.sum("_c").alias("_size"), F.sum("_n").alias("_n"))
+    lists = lists.select("token", "_major", F.ceil(F.greatest(F.col("_size") / BLOCK, F.col("_n") / HELD)).alias("_m"))
+    long = long.join(lists, "token").withColumns({"_b": F.pmod(F.xxhash64("rep"), F.col("_m")), "_own": F.col("comp") != F.col("_major")})
+    everywhere = F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)
+    long = long.withColumn("_o", F.explode(F.when(F.col("_own"), everywhere).otherwise(F.array("_b")))).join(held, "rep")
+    long = long.withColumn("_c", F.shiftright("token", 32)).select("token", "_o", "_c", "rep", "comp", "mask", "tokens", "shingles", (F.col("_b") == F.col("_o")).alias("_home"))
+    return links.union(long.groupBy("token", "_o").applyInArrow(_block, _PAIRS)).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

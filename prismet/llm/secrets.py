@@ -5,8 +5,13 @@ repositories and owners that hold it. ``verdicts`` then tells values that many o
 copied (examples from documentation, test fixtures) from values that belong to few of both and look alive. The fixed kinds (assign, access,
 hex) are always reported; the further kinds only where the value is live.
 
-Nulls: a null text is empty; a null owner or repository counts as one owner or repository of its own name. Repeated rows
-do not raise the counts of distinct owners. Values are hashed in the scan and never leave it in the clear.
+Defined cases. A null text is empty; a null owner or repository counts as one owner or repository of its own name.
+Repeated rows do not raise the counts of distinct owners. An empty table gives an empty result. Very long texts are
+scanned whole. Ties: spans of one start are ordered by kind. Columns beside id, text, owner and repository do not matter;
+``redacted`` passes them on, whatever their names. Values are hashed in the scan and never leave it in the clear.
+
+A value in a third of all texts is no hot key: counts sum on the map side, and spans meet their counts under one of
+``SALTS`` salts.
 """
 
 from __future__ import annotations
@@ -64,6 +69,9 @@ def find(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out, key=lambda x: (x[0], x[2], x[1]))
 
 
+#: Spans of one value are dealt over so many keys before they are joined with the value's counts.
+SALTS = 32
+
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value_hash", pa.string()), ("alive", pa.bool_())]))
 SCHEMA = "doc_id long, owner string, repo string, text_key string, spans array<struct<kind:string,start:int,end:int,value_hash:string,alive:boolean>>"
 
@@ -109,9 +117,9 @@ def verdicts(scanned: DataFrame, *, max_owners: int = 3, max_repos: int = 100) -
 
     One row for each (doc_id, text_key); rows without candidates are absent.
     """
-    held = ownership(scanned)
-    each = scanned.where(F.size("spans") > 0).select("doc_id", "text_key", "spans").dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", F.explode("spans").alias("s")).withColumn("value_hash", F.col("s.value_hash"))
-    each = each.join(held, "value_hash").withColumn("live", F.col("s.alive") & (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
+    held = ownership(scanned).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    each = scanned.where(F.size("spans") > 0).select("doc_id", "text_key", "spans").dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", F.explode("spans").alias("s")).withColumns({"value_hash": F.col("s.value_hash"), "_salt": F.pmod(F.hash("doc_id", "text_key"), F.lit(SALTS))})
+    each = each.join(held, ["value_hash", "_salt"]).withColumn("live", F.col("s.alive") & (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
     return each.groupBy("doc_id", "text_key").agg(F.collect_list(F.when(F.col("live"), F.col("s"))).alias("live"), F.max("n_owners").alias("max_owners"), F.max("n_repos").alias("max_repos"), F.sum(F.col("live").cast("int")).alias("n_live"))
 
 

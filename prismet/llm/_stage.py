@@ -22,9 +22,20 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: Rows of an Arrow batch; a batch of texts is held by the executor and by its Python worker, in a buffer each.
+BATCH = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches of ``BATCH`` rows in sessions that have Spark's own 10,000, which is tens of megabytes of texts a task."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
+
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """``mapInArrow`` with this package at hand on the executors."""
     ship(df.sparkSession)
+    bounded_batches(df.sparkSession)
 
     def run(batches):
         yield from function(batches)
@@ -34,18 +45,38 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: ``spark.checkpoint.dir``; only where that is unset, as in tests, a folder of our own."""
+    """This application's folder in the cluster's shared one, ``spark.checkpoint.dir``.
+
+    Only where that is unset and executors run on this machine, as in tests, a folder of our own takes its place; on a
+    cluster that would be a disk of each machine, so it is an error.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="prismet-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    return configured.rstrip("/")
+    return f"{configured.rstrip('/')}/prismet-{spark.sparkContext.applicationId}"
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more."""
+    spark = df.sparkSession
+    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that this application has staged: for the end of a program, when its results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here, so a lost executor costs one read."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/prismet-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     # Shuffle files of the finished job go as soon as the driver drops its handles on them.
     gc.collect()

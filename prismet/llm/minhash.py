@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismet.llm._stage import is_empty, map_arrow, stage
+from prismet.llm._stage import discard, is_empty, map_arrow, stage
 from prismet.llm._text import mix, randoms, shingle_sets, slices, utf8
 
 K = 48
@@ -155,7 +155,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("m > v").join(least, "v").select(F.col("m").alias("v"), F.col("_l").alias("m")).where("v <> m").distinct()
         own = large.groupBy("v").agg(F.min("m").alias("_l"))
         small = large.join(own, "v").select(F.explode(F.array(F.struct("v", F.col("_l").alias("m")), F.struct(F.col("m").alias("v"), F.col("_l").alias("m")))).alias("e"))
-        now = stage(small.select("e.v", "e.m").where("v <> m").distinct(), "stars")
+        last, now = now, stage(small.select("e.v", "e.m").where("v <> m").distinct(), "stars")
+        discard(last)
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first()
         if mark == seen:
             nodes = now.select(F.col("v").alias("node"), F.col("m").alias("component"))

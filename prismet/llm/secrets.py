@@ -155,7 +155,8 @@ def redact(text, live, mask: str = "[REDACTED]"):
 def redacted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = 3, max_repos: int = 100) -> DataFrame:
     """``docs``, all columns, with live values cut out of the text."""
     found = stage(scan(docs, id_col=id_col, text_col=text_col, owner_col=owner_col).where(F.size("spans") > 0), "candidates")
-    live = verdicts(found, max_owners=max_owners, max_repos=max_repos).where("n_live > 0").select(F.col("doc_id").alias("_found"), "text_key", "live")
+    # Written first, so that the join with the texts knows its true size and moves no text where it is small.
+    live = stage(verdicts(found, max_owners=max_owners, max_repos=max_repos).where("n_live > 0").select(F.col("doc_id").alias("_found"), "text_key", "live"), "live")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     out = rows.join(live, F.col("_id").eqNullSafe(F.col("_found")) & (F.md5("_text") == F.col("text_key")), "left")
     new = F.when(F.col("live").isNull(), F.col("_text")).otherwise(redact(F.col("_text"), F.col("live")))

@@ -254,7 +254,8 @@ def _windows(more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _read(batch: pa.RecordBatch):
     """Bytes, offsets, id and text number of each slice of rows that have an id."""
-    batch = batch.filter(batch.column(0).is_valid())
+    if batch.column(0).null_count:
+        batch = batch.filter(batch.column(0).is_valid())
     if batch.num_rows:
         data, offsets = utf8(batch.column(1))
         ids, texts = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 2))

@@ -1,13 +1,9 @@
-"""Study layer: registered design, response extraction, review agreement, audits, collection accounts, spending."""
+"""Study layer: registered design, review agreement, audits, collection accounts, spending."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 BLOCKS, CONDITIONS, GROUPS, PLACES = 6, ["A", "B", "C"], 4, 5
 _ORDERS = ["ABC", "ACB", "BAC", "BCA", "CAB", "CBA"]
@@ -100,119 +96,3 @@ def spending(rows: DataFrame, keys: list[str], amount: str, currency: str) -> Da
 def control_signature(calls: DataFrame, key: str, controls: list[str]) -> DataFrame:
     """Whether the known control values agree across the calls of a key [V21]."""
     return calls.groupBy(key).agg(*[F.count_distinct(c).alias(f"_{c}") for c in controls]).select(key, *[(F.col(f"_{c}") <= 1).alias(f"{c}_equal") for c in controls])
-
-
-# --- response extraction [X17] ---------------------------------------------------------------------------------------
-
-_ATX = re.compile(rb"^ {0,3}#{1,6}(?:[ \t]+|$)")
-_NUMBERED = re.compile(rb"^ {0,3}### Candidate ([0-9]+)[ \t]*$")
-_MENTION = re.compile(rb"^ {0,3}#{1,6}[ \t]+candidate\b", re.I)
-_FENCE = re.compile(rb"^ {0,3}(`{3,}|~{3,})(.*)$")
-_WANTED = range(1, PLACES + 1)
-
-
-def _headline(line: bytes) -> tuple[int | None, set[int]]:
-    """(its slot, slots it makes doubtful) of a heading."""
-    m = _NUMBERED.match(line)
-    if m and len(m[1]) == 1 and int(m[1]) in _WANTED:
-        return int(m[1]), set()
-    if m and (m[1] == b"0" or not m[1].startswith(b"0")):
-        return None, set()
-    if not _MENTION.match(line):
-        return None, set()
-    named = {int(x) for x in re.findall(rb"[0-9]+", line) if len(x) <= 2} & set(_WANTED)
-    return None, named or set(_WANTED)
-
-
-class _Section:
-    def __init__(self, start: int, number: int | None, doubtful: set[int]):
-        self.start, self.end, self.number, self.doubtful = start, start, number, doubtful
-        self.fences: list[tuple[int, int, int, int, bool, bool]] = []  # opened, body start, body end, closed, python, unclosed
-
-
-def _read_sections(raw: bytes) -> list[_Section]:
-    out, now, fence, later = [], _Section(0, None, set()), None, []
-    at = 0
-    for whole in raw.splitlines(keepends=True) if b"\r" not in raw else re.findall(rb"[^\n]*\n|[^\n]+", raw):
-        line, start, at = whole.rstrip(b"\r\n"), at, at + len(whole)
-        if fence:
-            mark, width, opened, body, python = fence
-            bare = line.lstrip(b" ")
-            run = len(bare) - len(bare.lstrip(mark))
-            if len(line) - len(bare) <= 3 and run >= width and not bare[run:].strip(b" \t"):
-                now.fences.append((opened, body, start, at, python, False))
-                fence, later = None, []
-            elif _MENTION.match(line):
-                later.append(line)
-            continue
-        if _ATX.match(line):
-            now.end = start
-            out.append(now)
-            now = _Section(at, *_headline(line))
-            continue
-        m = _FENCE.match(line)
-        if m and not (m[1].startswith(b"`") and b"`" in m[2]):
-            fence = (m[1][:1], len(m[1]), start, at, m[2].strip(b" \t").lower() == b"python")
-    now.end = len(raw)
-    if fence:
-        # Headings inside a fence that never closes may be real: their slots, and this one, are in doubt.
-        for line in later:
-            number, doubtful = _headline(line)
-            now.doubtful |= doubtful | ({number} if number else set())
-            now.doubtful |= {now.number} if now.number else set()
-        now.fences.append((fence[2], fence[3], len(raw), len(raw), fence[4], True))
-    return [*out, now]
-
-
-def extract(raw: bytes) -> list[tuple]:
-    """Five rows (position, selection, start, end, status, limitations) of a response, whatever it holds."""
-    try:
-        raw.decode()
-        problem = "utf8_bom_not_supported" if raw.startswith(b"\xef\xbb\xbf") else None
-    except UnicodeDecodeError:
-        problem = "invalid_utf8"
-    if problem:
-        return [(k, "withheld", None, None, "unknown", [problem]) for k in _WANTED]
-    sections = _read_sections(raw)
-    own = {k: [s for s in sections if s.number == k] for k in _WANTED}
-    doubtful = set().union(*(s.doubtful for s in sections)) | {k for k, s in own.items() if len(s) > 1}
-    rows = []
-    for k in _WANTED:
-        if k in doubtful:
-            rows.append((k, "withheld", None, None, "unknown", ["ambiguous_position"]))
-            continue
-        if not own[k]:
-            rows.append((k, "missing", None, None, "unknown", ["candidate_not_emitted"]))
-            continue
-        s = own[k][0]
-        start, end, status, limits = s.start, s.end, "failed", []
-        if len(s.fences) != 1:
-            limits.append("multiple_code_fences" if s.fences else "missing_code_fence")
-        elif not s.fences[0][4]:
-            limits.append("non_python_code_fence")
-        else:
-            opened, start, end, closed, _, open_end = s.fences[0]
-            status = "truncated" if open_end else "complete"
-            limits += ["unclosed_final_code_fence"] if open_end else []
-            limits += ["prose_outside_code_fence"] if raw[s.start : opened].strip(b" \t\r\n") or raw[closed : s.end].strip(b" \t\r\n") else []
-        limits += [] if raw[start:end].strip() else ["empty_candidate_body"]
-        rows.append((k, "selected", start, end, status, limits))
-    return rows
-
-
-_EXTRACTED = T.ArrayType(T.StructType([
-    T.StructField("position", T.IntegerType()), T.StructField("selection", T.StringType()), T.StructField("start", T.IntegerType()),
-    T.StructField("end", T.IntegerType()), T.StructField("status", T.StringType()), T.StructField("limitations", T.ArrayType(T.StringType())),
-]))
-
-
-@F.pandas_udf(_EXTRACTED)
-def _extract_all(texts: pd.Series) -> pd.Series:
-    names = ("position", "selection", "start", "end", "status", "limitations")
-    return pd.Series([[dict(zip(names, r, strict=True)) for r in extract((t if isinstance(t, bytes) else (t or "").encode()))] for t in texts])
-
-
-def extract_responses(responses: DataFrame, text: str = "text") -> DataFrame:
-    """Five rows for each response: the other columns beside position, selection, byte range, status, limitations."""
-    keep = [c for c in responses.columns if c != text]
-    return responses.select(*keep, F.explode(_extract_all(F.col(text))).alias("_e")).select(*keep, "_e.*")

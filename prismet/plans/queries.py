@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prismet.operators import admission, assay, compare, graph, longitudinal, metrics, null_model, study, text_pairs
+from prismet.operators import admission, assay, compare, graph, longitudinal, metrics, null_model, responses, study, text_pairs
 from prismet.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -459,9 +459,37 @@ def bridge_mismatches(spark, d):
     return admission.mismatches(a, b, ["doc_id"], ["value"]).select("doc_id", F.array_join("differs", ",").alias("differs"))
 
 
+def _answers(spark, d):
+    """Responses of five sections that hold a turn each: all of them, one missing, one repeated, the last fence left open."""
+    t = _t(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    body = F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\n\\r`~]", " "), F.lit(" x\n"))
+    section = lambda k, end="```\n": F.concat(F.lit(f"### Candidate {k}\n```python\n"), body, F.lit(end))
+    kind = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4))
+    whole = [section(k) for k in range(1, 5)]
+    text = F.when(kind == 0, F.concat(*whole, section(5))).when(kind == 1, F.concat(whole[0], *whole[2:], section(5))).when(kind == 2, F.concat(whole[0], *whole, section(5))).otherwise(F.concat(*whole, section(5, "")))
+    return t.select("conv_id", "turn", text.alias("text"))
+
+
+#: A section is 16 bytes of heading, 10 of fence, the body, and 4 of closing fence.
+_ANSWERS = """t AS (SELECT conv_id, turn, (conv_id + turn) % 4 kind, strlen(regexp_replace(coalesce(min(text), ''), '[\n\r`~]', ' ', 'g')) + 3 n FROM conversations GROUP BY 1, 2),
+p AS (SELECT *, CAST(unnest([1, 2, 3, 4, 5]) AS INTEGER) pos FROM t),
+q AS (SELECT *, CASE WHEN kind = 1 AND pos = 2 THEN 'missing' WHEN kind = 2 AND pos = 1 THEN 'withheld' ELSE 'selected' END sel, pos - 1 + CASE WHEN kind = 2 THEN 1 WHEN kind = 1 AND pos > 2 THEN -1 ELSE 0 END k FROM p)"""
+
+
+@_register(f"""WITH {_ANSWERS} SELECT conv_id, turn, pos AS position, sel AS selection, CASE WHEN sel = 'selected' THEN CAST(k * (30 + n) + 26 AS INTEGER) END AS "start", CASE WHEN sel = 'selected' THEN CAST(k * (30 + n) + 26 + n AS INTEGER) END AS "end",
+CASE WHEN sel <> 'selected' THEN 'unknown' WHEN kind = 3 AND pos = 5 THEN 'truncated' ELSE 'complete' END AS status, CASE WHEN sel = 'missing' THEN 'candidate_not_emitted' WHEN sel = 'withheld' THEN 'ambiguous_position' WHEN kind = 3 AND pos = 5 THEN 'unclosed_final_code_fence' ELSE '' END limitations FROM q""")
+def candidate_sections(spark, d):
+    return responses.extract_responses(_answers(spark, d)).withColumn("limitations", F.array_join("limitations", ","))
+
+
+@_register(f"""WITH {_ANSWERS} SELECT conv_id, turn, kind <> 2 order_established, kind = 0 group_complete, CAST(CASE WHEN kind = 2 THEN 2 ELSE 0 END AS INTEGER) extras FROM t""")
+def candidate_receipts(spark, d):
+    return responses.receipts(_answers(spark, d)).select("conv_id", "turn", "order_established", "group_complete", F.size("extras").alias("extras"))
+
+
 @_register()
 def response_extraction(spark, d):
-    return study.extract_responses(_t(spark, d, "conversations").select("conv_id", "turn", "text"))
+    return responses.extract_responses(_t(spark, d, "conversations").select("conv_id", "turn", "text"))
 
 
 @_register()

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prismet.functions import canonical, exact, status, text
-from prismet.operators import admission, assay, compare, graph, longitudinal, null_model, study, text_pairs
+from prismet.operators import admission, assay, compare, graph, longitudinal, null_model, responses, study, text_pairs
 
 
 def test_tokens_and_trigrams():
@@ -209,17 +209,41 @@ def test_admission_cascade(spark):
 RESPONSE = b"### Candidate 1\n```python\na = 1\n```\n### Candidate 2\nprose\n```python\nb\n```\n### Candidate 3\n```js\nc\n```\n### Candidate 5\n```python\nopen\n"
 
 
-def test_response_extraction():
-    rows = {r[0]: r for r in study.extract(RESPONSE)}
-    body = lambda k: RESPONSE[rows[k][2] : rows[k][3]]
-    assert rows[1][1] == "selected" and rows[1][4] == "complete" and body(1) == b"a = 1\n" and rows[1][5] == []
-    assert rows[2][5] == ["prose_outside_code_fence"] and rows[3][4] == "failed" and rows[3][5] == ["non_python_code_fence"]
-    assert rows[4][1:2] == ("missing",) and rows[5][4] == "truncated" and body(5) == b"open\n"
-    twice = {r[0]: r for r in study.extract(RESPONSE + b"```\n### Candidate 1\n")}
-    assert twice[1][1] == "withheld" and twice[2][1] == "selected"
-    assert all(r[1] == "withheld" and r[5] == ["invalid_utf8"] for r in study.extract(b"\xff"))
-    hidden = {r[0]: r for r in study.extract(b"### Candidate 1\n```python\nx\n### Candidate 2\n")}
-    assert hidden[1][1] == hidden[2][1] == "withheld" and hidden[3][1] == "missing"
+def _extracted(spark, *raws):
+    df = spark.createDataFrame([(k, bytearray(r) if r is not None else None) for k, r in enumerate(raws)], "id int, text binary")
+    return [r for r in responses.receipts(df).orderBy("id").collect()]
+
+
+def _section(k, body=b"pass\n", closed=True):
+    return b"### Candidate %d\n```python\n" % k + body + (b"```\n" if closed else b"")
+
+
+def test_response_extraction(spark):
+    five = b"".join(_section(k, b"# %d\n" % k) for k in range(1, 6))
+    raws = [
+        RESPONSE, RESPONSE + b"```\n### Candidate 1\n", b"\xff", b"### Candidate 1\n```python\nx\n### Candidate 2\n", None, five, b"Here.\n" + five,
+        five + _section(6), b"".join(_section(k) for k in (2, 1, 3, 4, 5)), b"   ### Candidate 1  \r\n  ~~~~ Python\t\r\n# x\r\n  ~~~~~ \r\n",
+        b"### Candidate 01\n```python\npass\n```\n", _section(1, b"a\n```\r\r\nb\n"), b"\xef\xbb\xbf" + five, "### Candidate 1\né\n```python\n\u4e2d\n```\n".encode(), _section(1, b""),
+        _section(1, b'"""\n### Candidate 2\n"""\n') + _section(2),
+    ]
+    got = _extracted(spark, *raws)
+    p = [{x["position"]: x for x in r["positions"]} for r in got]
+    body = lambda n, k: raws[n][p[n][k]["start"] : p[n][k]["end"]]
+    assert [[x["position"] for x in r["positions"]] for r in got] == [[1, 2, 3, 4, 5]] * len(raws)
+    assert (p[0][1]["selection"], p[0][1]["status"], body(0, 1), p[0][1]["limitations"]) == ("selected", "complete", b"a = 1\n", [])
+    assert p[0][2]["limitations"] == ["prose_outside_code_fence"] and (p[0][3]["status"], p[0][3]["limitations"], p[0][3]["fence"]) == ("failed", ["non_python_code_fence"], "```js")
+    assert p[0][4]["selection"] == "missing" and p[0][5]["status"] == "truncated" and body(0, 5) == b"open\n"
+    assert p[1][1]["selection"] == "withheld" and p[1][2]["selection"] == "selected" and [e["reason"] for e in got[1]["extras"]] == ["ambiguous_position_occurrence"] * 2
+    assert all(x["selection"] == "withheld" and x["limitations"] == ["invalid_utf8"] for x in p[2].values()) and p[12][1]["limitations"] == ["utf8_bom_not_supported"]
+    assert p[3][1]["selection"] == p[3][2]["selection"] == "withheld" and p[3][3]["selection"] == "missing" and [e["reason"] for e in got[3]["extras"]] == ["unclosed_fence_heading_ambiguity"]
+    assert all(x["selection"] == "missing" for x in p[4].values())
+    assert [(got[n]["order_established"], got[n]["group_complete"]) for n in (5, 6, 7, 8, 1)] == [(True, True), (True, False), (True, False), (False, False), (False, False)]
+    assert [e["reason"] for e in got[6]["extras"]] == ["response_preamble"] and [e["reason"] for e in got[7]["extras"]] == ["unrequested_candidate_heading"]
+    assert p[8][1]["selection"] == "selected" and body(9, 1) == b"# x\r\n" and p[9][1]["status"] == "complete"
+    assert p[10][1]["selection"] == "withheld" and body(11, 1) == b"a\n```\r\r\nb\n"
+    assert body(13, 1) == "\u4e2d\n".encode() and p[13][1]["limitations"] == ["prose_outside_code_fence"]
+    assert p[14][1]["limitations"] == ["empty_candidate_body"] and p[14][1]["start"] == p[14][1]["end"]
+    assert body(15, 1) == b'"""\n### Candidate 2\n"""\n' and p[15][2]["selection"] == "selected"
 
 
 def test_design_and_audit(spark):

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from decimal import Decimal, localcontext
 from fractions import Fraction
-from math import comb, gcd
+from math import gcd
 
 import pandas as pd
 from pyspark.sql import Column
@@ -62,12 +63,38 @@ def reduced(num: int, den: int) -> tuple[int, int]:
     return num // g, den // g
 
 
-def tails(n: int, low: int, high: int, tau: Fraction) -> tuple[Fraction, Fraction]:
-    """P(X >= low) and P(X <= high) of a binomial with n trials and chance tau, exactly."""
+#: Most summands and most bits of a term that an exact tail may cost; beyond them it is unavailable.
+MAX_SUMMANDS, MAX_BITS = 2_000_000, 262_144
+
+
+def tails(n: int, low: int, high: int, tau: Fraction) -> tuple[Fraction, Fraction] | None:
+    """P(X >= low) and P(X <= high) of a binomial with n trials and chance tau, exactly; None beyond the work limits.
+
+    Each term follows from the one before it. Of each tail the shorter side is summed, the other is its complement.
+    """
     p, q = tau.numerator, tau.denominator - tau.numerator
-    weight = [comb(n, k) * p**k * q ** (n - k) for k in range(n + 1)]
-    den = tau.denominator**n
-    return Fraction(sum(weight[low:]), den), Fraction(sum(weight[: high + 1]), den)
+    if n * tau.denominator.bit_length() > MAX_BITS or n > MAX_SUMMANDS:
+        return None
+    whole = tau.denominator**n
+    if q == 0:
+        return Fraction(int(low <= n)), Fraction(int(high >= n))
+
+    def below(k: int) -> int:
+        """Weight of all outcomes under k, for 0 <= k <= n + 1."""
+        if 2 * k > n + 1:
+            return whole - _weights(n, n - k + 1, q, p)
+        return _weights(n, k, p, q)
+
+    return Fraction(whole - below(min(max(low, 0), n + 1)), whole), Fraction(below(min(max(high + 1, 0), n + 1)), whole)
+
+
+def _weights(n: int, count: int, p: int, q: int) -> int:
+    """Sum of the first ``count`` terms C(n, k) p^k q^(n - k)."""
+    term, total = q**n, 0
+    for k in range(count):
+        total += term
+        term = term * (n - k) * p // ((k + 1) * q)
+    return total
 
 
 def threshold_decision(n: int, low: int, high: int, tau: Fraction, alpha: Fraction, looks: int) -> tuple[str, Fraction, Fraction, Fraction]:
@@ -75,14 +102,17 @@ def threshold_decision(n: int, low: int, high: int, tau: Fraction, alpha: Fracti
     delta = alpha / (2 * looks)
     if n < 1:
         return "unavailable", delta, Fraction(1), Fraction(1)
-    upper, lower = tails(n, low, high, tau)
+    both = tails(n, low, high, tau)
+    if both is None:
+        return "unavailable", delta, None, None
+    upper, lower = both
     return ("threshold_present" if upper <= delta else "threshold_below" if lower < delta else "unresolved"), delta, upper, lower
 
 
 @F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in ("status", "delta", "upper_tail", "lower_tail")]))
 def binomial_threshold(n: pd.Series, low: pd.Series, high: pd.Series, tau: pd.Series, alpha: pd.Series, looks: pd.Series) -> pd.DataFrame:
     rows = [threshold_decision(int(a), int(b), int(c), Fraction(t), Fraction(x), int(j)) for a, b, c, t, x, j in zip(n, low, high, tau, alpha, looks, strict=True)]
-    return pd.DataFrame([(s, text(d), text(u), text(v)) for s, d, u, v in rows], columns=["status", "delta", "upper_tail", "lower_tail"])
+    return pd.DataFrame([(s, text(d), *[None if x is None else text(x) for x in (u, v)]) for s, d, u, v in rows], columns=["status", "delta", "upper_tail", "lower_tail"])
 
 
 def percentile(values: list[Fraction], q: Fraction) -> Fraction:
@@ -93,23 +123,36 @@ def percentile(values: list[Fraction], q: Fraction) -> Fraction:
     return ordered[low] if h == low else ordered[low] + (h - low) * (ordered[low + 1] - ordered[low])
 
 
-def first_crossing(ns: list[int] | int, target: Fraction = Fraction(1, 2), cap: int = 1 << 20) -> int | None:
-    """First step at which the product of (1 - 1/n) is not above the target; a constant n searches exact powers."""
+def _at_most(n: int, t: int, target: Fraction) -> bool:
+    """(1 - 1/n)^t <= target, certified: logarithms with more digits until the two sides stand clear of each other."""
+    for digits in (30, 60, 120, 240):
+        with localcontext() as c:
+            c.prec = digits + len(str(t)) + len(str(n))
+            left = t * (Decimal(n - 1).ln() - Decimal(n).ln())
+            right = Decimal(target.numerator).ln() - Decimal(target.denominator).ln()
+            if abs(left - right) > Decimal(10) ** -(digits - 4):
+                return left < right
+    return (n - 1) ** t * target.denominator <= target.numerator * n**t
+
+
+def first_crossing(ns: list[int] | int, target: Fraction = Fraction(1, 2)) -> int | None:
+    """First step at which the product of (1 - 1/n) is not above the target.
+
+    For a constant n the logarithms name the step to within a few, and certified comparisons settle which it is, so the
+    work does not grow with n.
+    """
     if isinstance(ns, int):
         if ns == 1:
             return 1
-        a, b = ns - 1, ns
-        below = lambda t: a**t * target.denominator <= target.numerator * b**t
-        high = 1
-        while not below(high):
-            high *= 2
-            if high > cap:
-                return None
-        low = high // 2
-        while high - low > 1:
-            mid = (low + high) // 2
-            low, high = (low, mid) if below(mid) else (mid, high)
-        return high
+        with localcontext() as c:
+            c.prec = 40 + 2 * len(str(ns))
+            step = int((Decimal(target.numerator).ln() - Decimal(target.denominator).ln()) / (Decimal(ns - 1).ln() - Decimal(ns).ln()))
+        step = max(1, step - 1)
+        while not _at_most(ns, step, target):
+            step += 1
+        while step > 1 and _at_most(ns, step - 1, target):
+            step -= 1
+        return step
     kept = Fraction(1)
     for k, n in enumerate(ns, 1):
         kept *= 1 - Fraction(1, n)

@@ -14,6 +14,8 @@ def _written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="prismet-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/prismet-graph-{uuid.uuid4().hex}"
@@ -46,30 +48,27 @@ def impact(corrections: DataFrame, references: DataFrame, kinds: list[str] | Non
 
 
 def result_effects(reached: DataFrame, results: DataFrame) -> DataFrame:
-    """Invalidated, restricted and preserved results of each correction [G3]."""
-    effect = reached.select(F.col("origin").alias("correction"), "node", "depth")
-    all_pairs = reached.select(F.col("origin").alias("correction")).distinct().join(F.broadcast(results), F.lit(True))
-    out = all_pairs.join(effect, ["correction", "node"], "left")
-    return out.groupBy("correction").agg(
-        F.sum(F.when(F.col("depth").isNotNull() & (F.col("strength") == "essential"), 1).otherwise(0)).alias("invalidated"),
-        F.sum(F.when(F.col("depth").isNotNull() & (F.col("strength") != "essential"), 1).otherwise(0)).alias("restricted"),
-        F.sum(F.when(F.col("depth").isNull(), 1).otherwise(0)).alias("preserved"),
-    )
-
-
-def cyclic_nodes(nodes: DataFrame, edges: DataFrame, *, max_rounds: int = 1000) -> DataFrame:
-    """Nodes on a cycle or behind one [G5, G7]: those left when nodes without remaining parents are peeled off."""
+    """Invalidated, restricted and preserved results of each correction [G3]; what it does not reach is counted, not listed."""
+    hit = reached.select(F.col("origin").alias("correction"), "node").distinct().join(results.select("node", "strength"), "node", "left")
+    yes = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    known = F.col("strength").isNotNull()
+    counts = hit.groupBy("correction").agg(yes(known & (F.col("strength") == "essential")).alias("invalidated"), yes(known & (F.col("strength") != "essential")).alias("restricted"))
+    total = results.agg(F.count(F.lit(1)).alias("_all"))  # one row
+    return counts.crossJoin(F.broadcast(total)).select("correction", "invalidated", "restricted", (F.col("_all") - F.col("invalidated") - F.col("restricted")).alias("preserved"))
+
+
+def cyclic_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes on a cycle or behind one [G5, G7]: those left when nodes without remaining parents are peeled off, until none is."""
     left = _written(nodes.select("node").distinct())
     edges = _written(edges.select("src", "dst").distinct())
     n = left.count()
-    for _ in range(max_rounds):
+    while True:
         held = edges.join(left.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
         left = _written(left.join(held, "node", "left_semi"))
         m = left.count()
         if m in (0, n):
-            break
+            return left
         n = m
-    return left
 
 
 def successors(records: DataFrame) -> DataFrame:

@@ -158,24 +158,34 @@ def _hollow(x: Column) -> Column:
     return x.rlike("^[ \\t\\r\\n\\x0B\\f]*\\z")
 
 
+def _settled(rows: DataFrame) -> DataFrame:
+    """``rows``, all of them: a filter that the optimiser cannot see through, so that it computes their columns once and
+    does not copy them into the lambdas that read them."""
+    return rows.where(F.rand() >= 0)
+
+
 def receipts(responses: DataFrame, text: str = "text") -> DataFrame:
     """The other columns beside ``positions`` (five), ``extras`` (material of no position), ``order_established`` and ``group_complete``."""
     keep = [F.col(f"`{c}`") for c in responses.columns if c != text]
     string = F.coalesce(F.col(text).cast("string"), F.lit(""))
     raw = F.col("_raw")
     rows = responses.select(*keep, F.when(~F.is_valid_utf8(string), "invalid_utf8").when(string.startswith("\ufeff"), "utf8_bom_not_supported").alias("_problem"), F.decode(string.cast("binary"), "ISO-8859-1").alias("_raw"))
-    pieces = F.split(raw, "\n", -1)
+    # Columns of their own, used more than once, so that no lambda computes them again for each element.
+    pieces = F.col("_pieces")
+    rows = _settled(rows.withColumn("_pieces", F.split(raw, "\n", -1)))
     lines = F.transform(pieces, lambda x, k: F.when(k < F.size(pieces) - 1, F.struct(F.regexp_replace(x, "\\r\\z", "").alias("text"), (F.length(x) + 1).alias("size"))).otherwise(F.struct(x.alias("text"), F.length(x).alias("size"))))
     start = F.struct(F.lit(0).alias("at"), _no_fence().alias("fence"), _none(f"array<{_HEAD}>").alias("heads"), _none(f"array<{_BLOCK}>").alias("blocks"), _none("array<int>").alias("named"), F.lit(False).alias("heard")).cast(_STATE)
-    rows = rows.withColumn("_lines", F.transform(F.transform(lines, _marked), _meant)).withColumn("_read", F.aggregate("_lines", start, _step))
-    rows = rows.withColumn("_sections", F.transform(_sections(raw, F.col("_read")), lambda s: _read_section(raw, s)))
+    rows = _settled(rows.withColumn("_lines", F.transform(F.transform(lines, _marked), _meant)))
+    rows = _settled(rows.withColumn("_read", F.aggregate("_lines", start, _step)))
+    rows = _settled(rows.withColumn("_sections", F.transform(_sections(raw, F.col("_read")), lambda s: _read_section(raw, s))))
     numbers = F.array_compact(F.transform("_sections", lambda s: s["number"]))
-    rows = rows.withColumn("_numbers", numbers)
-    repeated = F.filter(_five(), lambda k: F.size(F.filter("_numbers", lambda n: n == k)) > 1)
-    rows = rows.withColumn("_doubtful", F.array_union(F.flatten(F.transform("_sections", lambda s: s["doubt"])), repeated))
+    rows = _settled(rows.withColumn("_numbers", numbers))
+    times = lambda k: F.size(F.filter("_numbers", lambda n: n == k))
+    repeated = F.array_compact(F.array(*[F.when(times(k) > 1, k) for k in range(1, PLACES + 1)]))
+    rows = _settled(rows.withColumn("_doubtful", F.array_union(F.flatten(F.transform("_sections", lambda s: s["doubt"])), repeated)))
     positions = F.transform(_five(), lambda k: _position(raw, F.col("_sections"), F.col("_doubtful"), k))
     withheld = F.transform(_five(), lambda k: F.struct(k, F.lit("withheld"), F.lit(None), F.lit(None), F.lit(None), F.lit(None), F.lit("unknown"), F.array("_problem")).cast(_POSITION))
-    rows = rows.withColumn("positions", F.when(F.col("_problem").isNotNull(), withheld).otherwise(positions))
+    rows = _settled(rows.withColumn("positions", F.when(F.col("_problem").isNotNull(), withheld).otherwise(positions)))
     empty = lambda s: s["title"].isNull() & _hollow(_part(raw, s["start"], s["end"]))
     reason = lambda s: F.when(s["unsure"], "unclosed_fence_heading_ambiguity").when(F.array_contains("_doubtful", s["number"]), "ambiguous_position_occurrence").otherwise(s["reason"])
     left = F.filter("_sections", lambda s: reason(s).isNotNull() & ~empty(s))
@@ -189,4 +199,4 @@ def receipts(responses: DataFrame, text: str = "text") -> DataFrame:
 def extract_responses(responses: DataFrame, text: str = "text") -> DataFrame:
     """Five rows for each response: the other columns beside position, selection, byte range, status, limitations."""
     keep = [F.col(f"`{c}`") for c in responses.columns if c != text]
-    return receipts(responses, text).select(*keep, F.explode("positions").alias("_p")).select(*keep, *[F.col(f"_p.{c}") for c in ("position", "selection", "start", "end", "status", "limitations")])
+    return receipts(responses, text).select(*keep, F.inline("positions")).select(*keep, "position", "selection", "start", "end", "status", "limitations")

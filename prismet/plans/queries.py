@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prismet.operators import admission, assay, compare, graph, longitudinal, metrics, null_model, responses, study, text_pairs
+from prismet.operators import admission, assay, compare, evidence, graph, longitudinal, metrics, null_model, responses, study, text_pairs
 from prismet.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -376,6 +376,44 @@ def binomial_tail(spark, d):
     return assay.decisions(cells, "1/3", "1/20", trials.select("unit").distinct().count())
 
 
+@_register("""WITH RECURSIVE o AS (SELECT o_custkey unit, count(*) trials, count(*) FILTER (o_orderstatus = 'F') low, count(*) FILTER (o_orderstatus = 'F' OR o_orderstatus IS NULL) high FROM orders GROUP BY 1),
+b AS (SELECT n, 0 k, CAST(1 AS HUGEINT) c FROM (SELECT DISTINCT trials n FROM o) UNION ALL SELECT n, k + 1, c * (n - k) // (k + 1) FROM b WHERE k < n),
+t AS (SELECT unit, trials, low, high, 40 * (SELECT count(*) FROM o) j, CAST(pow(3, trials) AS HUGEINT) w, sum(CASE WHEN k >= low THEN c * CAST(pow(2, n - k) AS HUGEINT) ELSE 0 END) u, sum(CASE WHEN k <= high THEN c * CAST(pow(2, n - k) AS HUGEINT) ELSE 0 END) l FROM o JOIN b ON b.n = o.trials GROUP BY 1, 2, 3, 4)
+SELECT unit, trials, low, high, CASE WHEN j * u <= w THEN 'threshold_present' WHEN j * l < w THEN 'threshold_below' ELSE 'unresolved' END AS status FROM t""")
+def binomial_status(spark, d):
+    return binomial_tail(spark, d).select("unit", "trials", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"), "status")
+
+
+@_register("""WITH RECURSIVE e AS (SELECT 'n' || c_nationkey s, 'c' || c_custkey t FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders),
+w AS (SELECT 'n' || n_nationkey origin, 'n' || n_nationkey node FROM nation UNION SELECT origin, e.t FROM w JOIN e ON e.s = w.node),
+r AS (SELECT 'o' || o_orderkey node, CASE WHEN o_orderstatus = 'F' THEN 'essential' ELSE 'contextual' END strength FROM orders)
+SELECT w.origin AS correction, CAST(count(*) FILTER (strength = 'essential') AS BIGINT) invalidated, CAST(count(*) FILTER (strength <> 'essential') AS BIGINT) restricted, CAST((SELECT count(*) FROM r) - count(r.node) AS BIGINT) preserved FROM w LEFT JOIN r USING (node) GROUP BY 1""")
+def correction_effects(spark, d):
+    """Orders that fall or are restricted if a nation's record is corrected [G2, G3]."""
+    uses = _t(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("src"), F.concat(F.lit("n"), "c_nationkey").alias("dst"))
+    uses = uses.union(_t(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey"), F.concat(F.lit("c"), "o_custkey")))
+    fixes = _t(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("correction")).withColumn("target", F.col("correction"))
+    results = _t(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node"), F.when(F.col("o_orderstatus") == "F", "essential").otherwise("contextual").alias("strength"))
+    out = graph.result_effects(graph.impact(fixes, uses), results)
+    return out.select("correction", *[F.col(c).cast("long").alias(c) for c in ("invalidated", "restricted", "preserved")])
+
+
+@_register("SELECT coalesce(a.k, b.k) AS \"key\", coalesce(a.n, 0) left_n, coalesce(b.n, 0) right_n FROM (SELECT c_mktsegment || c_nationkey k, count(*) n FROM customer GROUP BY 1) a FULL JOIN (SELECT c_mktsegment || c_nationkey k, count(*) n FROM customer WHERE c_acctbal > 0 GROUP BY 1) b ON a.k = b.k WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)")
+def multiset_differences(spark, d):
+    """Multiset equality of two tables [U6, U9]."""
+    c = _t(spark, d, "customer").select(F.concat("c_mktsegment", "c_nationkey").alias("key"), "c_acctbal")
+    return evidence.multiset_differences(c, c.where("c_acctbal > 0"), ["key"])
+
+
+@_register("WITH d AS (SELECT source, lang, doc_id IN (SELECT doc_id FROM labels) emitted, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) qualified, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 0) audited FROM documents) SELECT source, lang, count(*) planned, CAST(count(*) FILTER (emitted) AS BIGINT) emitted, CAST(count(*) FILTER (qualified) AS BIGINT) qualified, CAST(count(*) FILTER (audited) AS BIGINT) audited FROM d GROUP BY 1, 2")
+def denominators(spark, d):
+    """Counts of each step in a column of its own [A30]."""
+    l = _t(spark, d, "labels").groupBy("doc_id").agg(F.lit(True).alias("emitted"), F.bool_or(F.col("quality") == 1).alias("qualified"), F.bool_or(F.col("toxic") == 0).alias("audited"))
+    rows = _t(spark, d, "documents").join(l, "doc_id", "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("emitted", "qualified", "audited")})
+    return evidence.denominators(rows, ["source", "lang"])
+
+
 @_register(f"WITH {_TRIALS}, s AS (SELECT unit, stage, CASE WHEN 3 * low >= trials THEN 'threshold_present' WHEN 3 * high < trials THEN 'threshold_below' ELSE 'unresolved' END st FROM c) SELECT unit, CASE WHEN bool_or(st = 'threshold_present') THEN 'threshold_present' WHEN bool_and(st = 'threshold_below') THEN 'threshold_below' ELSE 'unresolved' END AS status FROM s GROUP BY 1")
 def assay_class_status(spark, d):
     return assay.class_status(_empirical(spark, d), ["unit"])
@@ -470,16 +508,7 @@ def _answers(spark, d):
     return t.select("conv_id", "turn", text.alias("text"))
 
 
-#: A section is 16 bytes of heading, 10 of fence, the body, and 4 of closing fence.
-_ANSWERS = """t AS (SELECT conv_id, turn, (conv_id + turn) % 4 kind, strlen(regexp_replace(coalesce(min(text), ''), '[\n\r`~]', ' ', 'g')) + 3 n FROM conversations GROUP BY 1, 2),
-p AS (SELECT *, CAST(unnest([1, 2, 3, 4, 5]) AS INTEGER) pos FROM t),
-q AS (SELECT *, CASE WHEN kind = 1 AND pos = 2 THEN 'missing' WHEN kind = 2 AND pos = 1 THEN 'withheld' ELSE 'selected' END sel, pos - 1 + CASE WHEN kind = 2 THEN 1 WHEN kind = 1 AND pos > 2 THEN -1 ELSE 0 END k FROM p)"""
-
-
-@_register(f"""WITH {_ANSWERS} SELECT conv_id, turn, pos AS position, sel AS selection, CASE WHEN sel = 'selected' THEN CAST(k * (30 + n) + 26 AS INTEGER) END AS "start", CASE WHEN sel = 'selected' THEN CAST(k * (30 + n) + 26 + n AS INTEGER) END AS "end",
-CASE WHEN sel <> 'selected' THEN 'unknown' WHEN kind = 3 AND pos = 5 THEN 'truncated' ELSE 'complete' END AS status, CASE WHEN sel = 'missing' THEN 'candidate_not_emitted' WHEN sel = 'withheld' THEN 'ambiguous_position' WHEN kind = 3 AND pos = 5 THEN 'unclosed_final_code_fence' ELSE '' END limitations FROM q""")
-def candidate_sections(spark, d):
-    return responses.extract_responses(_answers(spark, d)).withColumn("limitations", F.array_join("limitations", ","))
+_ANSWERS = """t AS (SELECT conv_id, turn, (conv_id + turn) % 4 kind, strlen(regexp_replace(coalesce(min(text), ''), '[\n\r`~]', ' ', 'g')) + 3 n FROM conversations GROUP BY 1, 2)"""
 
 
 @_register(f"""WITH {_ANSWERS} SELECT conv_id, turn, kind <> 2 order_established, kind = 0 group_complete, CAST(CASE WHEN kind = 2 THEN 2 ELSE 0 END AS INTEGER) extras FROM t""")
@@ -489,7 +518,8 @@ def candidate_receipts(spark, d):
 
 @_register()
 def response_extraction(spark, d):
-    return responses.extract_responses(_t(spark, d, "conversations").select("conv_id", "turn", "text"))
+    out = responses.receipts(_t(spark, d, "conversations").select("conv_id", "turn", "text"))
+    return out.select("conv_id", "turn", F.to_json("positions").alias("positions"), "order_established", "group_complete")
 
 
 @_register()

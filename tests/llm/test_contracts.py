@@ -431,3 +431,21 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert set(got) == set(kept)
     assert all(sha256(t.encode()).hexdigest() == kept[i] for i, t in got.items() if dict(ROWS)[i].isascii())
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(kept)
+
+
+def test_merged_sketch_is_that_of_the_union(spark):
+    """Also where one text has no hash below the limit, so that its least one stands in."""
+    words = [f"w{k}" for k in range(300)]
+    rows = [(" ".join(words[:a]), " ".join(words[b:c])) for a, b, c in ((7, 100, 108), (200, 20, 26), (6, 50, 290), (0, 9, 20))]
+    each = spark.createDataFrame([(x, y) for x, y in rows], "x string, y string")
+    s = lambda c: fingerprint.sketch(F.col(c), n=1)
+    got = each.select(fingerprint.merge(s("x"), s("y")).alias("m"), fingerprint.sketch(F.concat_ws(" ", "x", "y"), n=1).alias("u")).collect()
+    assert all(r["m"] == r["u"] for r in got)
+
+
+def test_license_suppression_is_not_quadratic():
+    import time
+
+    text, began = "all rights reserved mit license bsd license isc license " * 18000, time.time()
+    found = licenses.detect(text.strip(), {b"reserved", b"mit", b"bsd", b"isc"})
+    assert len(found) >= 4 * 18000 and time.time() - began < 20

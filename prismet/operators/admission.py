@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismet.functions.status import known
+from prismet.functions.status import known, reasons
+from prismet.operators import evidence, graph
 
 
 def unique_lookup(records: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,9 +34,18 @@ def selection(requested: DataFrame, identified: DataFrame, key: str) -> DataFram
 
 
 def active_corrections(corrections: DataFrame, effects: list[str]) -> DataFrame:
-    """(target, codes) of corrections that have one of the effects and are not rejected [F4]."""
+    """(target, codes) of corrections that have one of the effects and are neither rejected nor mere notes [F4].
+
+    A correction is applied if it is in that stage and ``sound`` (its reviewers, evidence and reason are there, where the
+    table says so); otherwise it is pending, which holds its targets as well.
+    """
     live = corrections.where((F.col("stage") != "rejected") & F.col("effect").isin(*effects))
-    each = live.select(F.explode("targets").alias("target"), F.concat_ws(":", F.when(F.col("stage") == "applied", "applied").otherwise("pending"), F.col("correction_id")).alias("code"))
+    if "action" in corrections.columns:
+        live = live.where(~F.col("action").eqNullSafe(F.lit("annotate")))
+    applied = F.col("stage") == "applied"
+    if "sound" in corrections.columns:
+        applied = applied & F.col("sound")
+    each = live.select(F.explode(F.array_distinct("targets")).alias("target"), F.concat_ws(":", F.when(applied, "correction_applied").otherwise("correction_pending"), F.col("correction_id")).alias("code"))
     return each.groupBy("target").agg(F.array_sort(F.collect_set("code")).alias("codes"))
 
 
@@ -52,10 +62,12 @@ CASCADE = [
     ("record_unresolved", "withheld", "selected_revision_unresolved"),
     ("revision_mismatch", "withheld", "selected_revision_mismatch"),
     ("frame_mismatch", "withheld", "assignment_frame_mismatch"),
+    ("rubric_mismatch", "withheld", "validity_rubric_mismatch"),
     ("frame_challenged", "withheld", "shared_frame_challenged"),
     ("sample_corrected", "withheld", "sample_correction"),
     ("record_corrected", "withheld", "record_correction"),
     ("history_unresolved", "withheld", "revision_history_unresolved"),
+    ("history_cyclic", "withheld", "cyclic_revision_history"),
     ("successor_other_sample", "withheld", "cross_sample_supersession"),
     ("superseded", "withheld", "selected_revision_superseded"),
     ("unresolved_label", "unresolved", "no_committed_class"),
@@ -71,11 +83,15 @@ CASCADE = [
 
 
 def cascade(rows: DataFrame) -> DataFrame:
-    """status, reason, outcome of each row by the first failing rule [F1]; absent rule columns never fail."""
+    """status, reason, outcome of each row by the first failing rule [F1]; absent rule columns never fail.
+
+    A rule's own codes take the place of its reason where the row has them: a column <rule>_codes.
+    """
     status, reason = F.lit("accepted"), F.lit(None).cast("string")
     for column, s, why in reversed(CASCADE):
         if column in rows.columns:
-            status, reason = F.when(F.col(column), s).otherwise(status), F.when(F.col(column), why).otherwise(reason)
+            own = F.array_join(f"{column}_codes", ",") if f"{column}_codes" in rows.columns else F.lit(why)
+            status, reason = F.when(F.col(column), s).otherwise(status), F.when(F.col(column), own).otherwise(reason)
     out = rows.withColumns({"status": status, "reason": reason})
     if "evidence_problems" in rows.columns:
         open_ = (F.col("status") == "accepted") & (F.size("evidence_problems") > 0)
@@ -83,12 +99,30 @@ def cascade(rows: DataFrame) -> DataFrame:
     return out.withColumn("outcome", F.when(F.col("status") == "accepted", F.col("label")))
 
 
-def admit(axis: str, samples: DataFrame, records: DataFrame, pins: DataFrame, frames: DataFrame, corrections: DataFrame, *, policy: str, data_role: str, classes: list[str]) -> DataFrame:
+def histories(records: DataFrame) -> DataFrame:
+    """id, broken, cyclic of records whose chain of predecessors [G8] leads to a missing or another sample's record, or round."""
+    own = unique_lookup(records, ["id"]).select("id", "sample_id", "supersedes")
+    links = own.where(F.col("supersedes").isNotNull()).select(F.col("id").alias("src"), F.col("supersedes").alias("dst"))
+    if not links.take(1):
+        return own.sparkSession.createDataFrame([], "id string, broken boolean, cyclic boolean")
+    chains = graph.closure(links.select(F.col("src").alias("origin"), F.col("src").alias("node")), links)
+    at = own.select(F.col("id").alias("node"), F.col("sample_id").alias("_s"))
+    first = own.select(F.col("id").alias("origin"), F.col("sample_id").alias("_first"))
+    broken = chains.join(at, "node", "left").join(first, "origin").groupBy(F.col("origin").alias("id")).agg(F.bool_or(~F.col("_s").eqNullSafe(F.col("_first"))).alias("broken"))
+    back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    round_ = graph.cyclic_nodes(links.select(F.col("src").alias("node")).union(links.select("dst")), back).select(F.col("node").alias("id"), F.lit(True).alias("cyclic"))
+    return broken.join(round_, "id", "left").select("id", "broken", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+
+
+def admit(axis: str, samples: DataFrame, records: DataFrame, pins: DataFrame, frames: DataFrame, corrections: DataFrame, *, support: DataFrame, keys: DataFrame, artifacts: DataFrame, policy: str, data_role: str, classes: list[str], hash_errors: DataFrame | None = None) -> DataFrame:
     """Admission of every sample on one axis (assignment or validity) by joins on identities and one cascade [F1-F4, G8].
 
-    samples: sample_id, frame_id; records: id, version, sample_id, frame_id, label_status, label, review, policy,
-    supersedes, rationale, evidence (array of 'type:id'); pins: sample_id, id, version; frames: frame_id;
-    corrections: correction_id, stage, effect, targets.
+    samples: sample_id, frame_id, and hash (of its output) if known; records: id, version, sample_id, frame_id,
+    label_status, label, review, policy, supersedes, rationale, evidence (array of 'type:id'), and rubric; pins:
+    sample_id, id, version; frames: frame_id, and rubric; corrections: correction_id, stage, effect, targets, and action,
+    sound; support, keys, artifacts: as ``Bundle`` gives them; hash_errors: sample_id of outputs that are not what their
+    record says. Columns named after "and" are optional. The evidence that a label cites is looked up and followed; what
+    is not there withholds the label.
     """
     effect = "membership" if axis == "assignment" else "validity"
     shared = ["schema", "registry", "membership"] if axis == "assignment" else ["validity"]
@@ -97,21 +131,28 @@ def admit(axis: str, samples: DataFrame, records: DataFrame, pins: DataFrame, fr
     pinned = pins.select("sample_id", F.col("id").alias("pin_id"), F.col("version").alias("pin_version")).withColumn("_pins", F.count(F.lit(1)).over(n)).dropDuplicates(["sample_id"])
     recs = unique_lookup(records, ["id"]).select(F.col("id").alias("pin_id"), *[F.col(c).alias(f"r_{c}") for c in records.columns if c != "id"])
     nxt = records.where(F.col("supersedes").isNotNull()).groupBy(F.col("supersedes").alias("pin_id")).agg(F.collect_set("sample_id").alias("_next_samples"))
-    hist = unique_lookup(records, ["id"]).select(F.col("id").alias("r_supersedes"), F.col("sample_id").alias("_previous_sample"))
+    past = histories(records).withColumnRenamed("id", "pin_id")
     fixed = lambda kinds, name, key: active_corrections(corrections, kinds).select(F.col("target").alias(key), F.col("codes").alias(name))
-    rows = samples.select("sample_id", "frame_id").distinct()
+    rows = samples.select("sample_id", "frame_id", (F.col("hash") if "hash" in samples.columns else F.lit(None).cast("string")).alias("_hash")).dropDuplicates(["sample_id", "frame_id"])
     rows = rows.join(only.select("sample_id").withColumn("_one", F.lit(True)), "sample_id", "left")
-    rows = rows.join(F.broadcast(frames.select("frame_id").distinct().withColumn("_frame", F.lit(True))), "frame_id", "left")
-    rows = rows.join(pinned, "sample_id", "left").join(recs, "pin_id", "left").join(nxt, "pin_id", "left").join(hist, "r_supersedes", "left")
+    rows = rows.join(frames.select("frame_id", (F.col("rubric") if "rubric" in frames.columns else F.lit(None).cast("string")).alias("_rubric"), F.lit(True).alias("_frame")).dropDuplicates(["frame_id"]), "frame_id", "left")
+    rows = rows.join(pinned, "sample_id", "left").join(recs, "pin_id", "left").join(nxt, "pin_id", "left").join(past, "pin_id", "left")
+    if hash_errors is not None:
+        rows = rows.join(hash_errors.select("sample_id", F.lit(True).alias("artifact_mismatch")).distinct(), "sample_id", "left").withColumn("artifact_mismatch", F.coalesce("artifact_mismatch", F.lit(False)))
     rows = rows.withColumns({"_fk": F.concat(F.lit("frame:"), "frame_id"), "_sk": F.concat(F.lit("realization:"), "sample_id"), "_rk": F.concat(F.lit(axis + ":"), "pin_id")})
-    rows = rows.join(fixed(shared, "_fc", "_fk"), "_fk", "left").join(fixed([effect], "_sc", "_sk"), "_sk", "left").join(fixed([effect], "_rc", "_rk"), "_rk", "left")
+    rows = rows.join(fixed(shared, "_fc", "_fk"), "_fk", "left").join(fixed([effect], "sample_corrected_codes", "_sk"), "_sk", "left").join(fixed([effect], "record_corrected_codes", "_rk"), "_rk", "left")
     wanted = "fixture" if policy == "fixture_only" else "adjudicated"
+    purpose = "fixture_declaration" if policy == "fixture_only" else "mechanism" if axis == "assignment" else "validity"
+    decisions = rows.where(F.col("r_version").isNotNull()).select(F.col("_rk").alias("decision"), F.col("_sk").alias("subject"), F.col("_fk").alias("frame"), F.col("r_label").alias("outcome"), F.lit(purpose).alias("purpose"), F.col("_hash").alias("want_hash"), F.col("r_evidence").alias("evidence")).dropDuplicates(["decision"])
+    found = evidence.decision_problems(decisions, support, keys, artifacts, active_corrections(corrections, evidence.EFFECTS), policy=policy).select(F.col("decision").alias("_rk"), F.col("problems").alias("_found"), "restrictions")
+    rows = rows.join(found, "_rk", "left")
     kinds = F.transform("r_evidence", lambda x: F.split(x, ":")[0])
-    problems = F.array_sort(F.array_compact(F.array(
-        F.when(F.coalesce(F.trim("r_rationale"), F.lit("")) == "", "missing_decision_rationale"),
-        F.when(~F.coalesce(F.array_contains(kinds, "evidence"), F.lit(False)), "missing_essential_evidence"),
-        F.when(F.exists(kinds, lambda k: ~k.isin("evidence", "adjudication", "independence_assessment")), "unsupported_decisive_record_type"),
-        F.when(F.lit(policy == "adjudicated_import") & ~F.coalesce(F.array_contains(kinds, "adjudication"), F.lit(False)), "missing_adjudication_record"),
+    none = F.array().cast("array<string>")
+    problems = F.array_sort(F.array_union(F.coalesce("_found", none), reasons(
+        (F.coalesce(F.trim("r_rationale"), F.lit("")) == "", "missing_decision_rationale"),
+        (~F.coalesce(F.array_contains(kinds, "evidence"), F.lit(False)), "missing_essential_evidence"),
+        (F.exists(kinds, lambda k: ~k.isin("evidence", "adjudication", "independence_assessment")), "unsupported_decisive_record_type"),
+        (F.lit(policy == "adjudicated_import") & ~F.coalesce(F.array_contains(kinds, "adjudication"), F.lit(False)), "missing_adjudication_record"),
     )))
     state = F.col("r_label_status")
     flags = {
@@ -120,9 +161,10 @@ def admit(axis: str, samples: DataFrame, records: DataFrame, pins: DataFrame, fr
         "record_unresolved": F.col("r_version").isNull(),
         "revision_mismatch": (F.col("r_sample_id") != F.col("sample_id")) | (F.col("r_version") != F.col("pin_version")),
         "frame_mismatch": F.lit(axis == "assignment") & ~F.col("r_frame_id").eqNullSafe(F.col("frame_id")),
-        "frame_challenged": F.col("_fc").isNotNull(), "sample_corrected": F.col("_sc").isNotNull(), "record_corrected": F.col("_rc").isNotNull(),
-        "history_unresolved": F.col("r_supersedes").isNotNull() & ~F.col("_previous_sample").eqNullSafe(F.col("sample_id")),
-        "successor_other_sample": F.exists(F.coalesce("_next_samples", F.array().cast("array<string>")), lambda s: s != F.col("sample_id")),
+        "rubric_mismatch": F.lit(axis == "validity") & ~F.col("r_rubric").eqNullSafe(F.col("_rubric")) if "rubric" in records.columns else F.lit(False),
+        "frame_challenged": F.col("_fc").isNotNull(), "sample_corrected": F.col("sample_corrected_codes").isNotNull(), "record_corrected": F.col("record_corrected_codes").isNotNull(),
+        "history_unresolved": F.col("broken"), "history_cyclic": F.col("cyclic"),
+        "successor_other_sample": F.exists(F.coalesce("_next_samples", none), lambda s: s != F.col("sample_id")),
         "superseded": F.col("_next_samples").isNotNull(),
         "unresolved_label": F.lit(axis == "assignment") & (state == "unresolved"), "unclassified_label": F.lit(axis == "assignment") & (state == "unclassified"),
         "not_assessed_label": F.lit(axis == "validity") & (state == "not_assessed"),
@@ -132,7 +174,8 @@ def admit(axis: str, samples: DataFrame, records: DataFrame, pins: DataFrame, fr
         "class_unknown": F.lit(axis == "assignment") & ~F.col("r_label").isin(*classes),
     }
     rows = rows.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in flags.items()}).withColumns({"evidence_problems": problems, "label": F.col("r_label")})
-    return cascade(rows).select("sample_id", F.lit(axis).alias("axis"), F.col("pin_id").alias("revision_id"), "status", "outcome", "reason")
+    whole = cascade(rows)
+    return whole.select("sample_id", F.lit(axis).alias("axis"), F.col("pin_id").alias("revision_id"), "status", "outcome", "reason", F.when(F.col("status") == "accepted", F.coalesce("restrictions", none)).otherwise(none).alias("restrictions"))
 
 
 def populations(assignments: DataFrame, validities: DataFrame) -> DataFrame:
@@ -149,21 +192,30 @@ def positions(planned: DataFrame, realizations: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("_n").isNull(), "missing").when(F.col("_n") == 1, "present").otherwise("ambiguous")).drop("_n")
 
 
-def association(realizations: DataFrame, attempts: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Defects of a realization's links to its attempt and artifact [J5]; any of them withholds the sample on both axes."""
-    a = unique_lookup(attempts, ["attempt_id"]).select("attempt_id", F.col("analysis_cell_id").alias("_cell"), F.col("generation_group_id").alias("_group"), F.lit(True).alias("_a"))
-    f = unique_lookup(artifacts, ["artifact_id"]).select("artifact_id", F.col("sha256").alias("_sha"), F.lit(True).alias("_f"))
-    out = realizations.join(a, "attempt_id", "left").join(f, "artifact_id", "left")
-    codes = F.array_sort(F.array_compact(F.array(
-        F.when(F.col("attempt_id").isNotNull() & F.col("_a").isNull(), "attempt_unresolved"),
-        F.when(F.col("_a") & (F.col("_cell") != F.col("analysis_cell_id")), "attempt_cell_conflict"),
-        F.when(F.col("_a") & F.col("_group").isNotNull() & (F.col("_group") != F.col("generation_group_id")), "attempt_group_conflict"),
-        F.when(F.col("artifact_id").isNotNull() & F.col("_f").isNull(), "artifact_unresolved"),
-        F.when(F.col("_f") & F.col("content_hash").isNotNull() & (F.col("_sha") != F.col("content_hash")), "artifact_hash_mismatch"),
-    )))
+def association(realizations: DataFrame, attempts: DataFrame) -> DataFrame:
+    """Defects of a realization's link to its attempt [J5]: identity, cell, group, raw response, and a slot never attempted.
+
+    realizations: sample_id, attempt_id, analysis_cell_id, generation_group_id, raw_response; attempts: attempt_id,
+    analysis_cell_id, generation_group_id, raw_response, attempt_status; null is not known and contradicts nothing.
+    """
+    a = unique_lookup(attempts, ["attempt_id"]).select("attempt_id", F.col("analysis_cell_id").alias("_cell"), F.col("generation_group_id").alias("_group"), F.col("raw_response").alias("_raw"), F.col("attempt_status").alias("_status"), F.lit(True).alias("_a"))
+    out = realizations.join(a, "attempt_id", "left")
+    codes = reasons(
+        (F.col("attempt_id").isNotNull() & F.col("_a").isNull(), "attempt_reference_unresolved"),
+        (F.col("_cell") != F.col("analysis_cell_id"), "attempt_cell_mismatch"),
+        (F.col("_group") != F.col("generation_group_id"), "attempt_group_mismatch"),
+        (F.col("_raw") != F.col("raw_response"), "raw_response_association_mismatch"),
+        (F.col("_status") == "not_attempted", "output_from_unattempted_slot"),
+    )
     return out.select("sample_id", codes.alias("defects"))
 
 
+def output_mismatches(realizations: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """sample_id of outputs whose one artifact was read with another hash than the realization records [J5]."""
+    one = unique_lookup(artifacts, ["key"]).where(F.col("actual").isNotNull()).select(F.col("key").alias("output"), "actual")
+    return realizations.where(F.col("hash").isNotNull()).join(one, "output").where(F.col("actual") != F.col("hash")).select("sample_id")
+
+
 def mismatches(a: DataFrame, b: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     """Rows of two tables that should be equal, with the columns that differ [J14, J16, V7, V24]."""
     left = a.select(*key, F.struct(*columns).alias("_a"))

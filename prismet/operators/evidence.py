@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -15,30 +16,131 @@ from prismet.operators import graph
 INTEGRITY = ["structural_validity", "external_presence", "source_integrity", "tail_retention", "corrective_capacity"]
 
 
-def evidence_problems(evidence: DataFrame) -> DataFrame:
-    """Problems of each decisive evidence row [F3]: state, target, frame, outcome and purpose against what it supports.
+#: Methods that a judgment of each purpose may rest on (fixed values).
+METHODS = {"mechanism": ["control_flow", "execution_trace", "formal_mechanism", "counterfactual", "domain_adjudication"], "validity": ["execution", "formal_validity", "domain_adjudication"]}
+#: Effects of corrections that reach a label through its evidence (fixed values).
+EFFECTS = ["membership", "validity", "schema"]
 
-    Rows carry the record's own fields beside the ``want_`` fields of the decision that cites it.
+
+def evidence_problems(cited: DataFrame, policy: str) -> DataFrame:
+    """Problems of each cited evidence row against the decision that cites it [F3]: ``cited`` with the column problems.
+
+    Rows carry the record's own fields (state null where it is not there) beside the ``want_`` fields of the decision.
+    Columns that a table lacks take no part.
+    """
+    there = F.col("state").isNotNull()
+    none = F.array().cast("array<string>")
+    checks = [
+        (["state"], ~there, "essential_evidence_unresolved"),
+        (["target"], ~F.col("target").eqNullSafe(F.col("want_target")), "evidence_target_mismatch"),
+        (["scopes"], ~F.array_contains(F.coalesce("scopes", none), F.col("want_frame")), "evidence_frame_mismatch"),
+        (["purpose"], ~F.col("purpose").eqNullSafe(F.col("want_purpose")), "evidence_property_mismatch"),
+        (["state", "access"], ~((F.col("state") == "active") & (F.col("access") == "readable")), "essential_evidence_not_active_or_readable"),
+        (["conflict"], F.col("conflict") == "unresolved", "evidence_contradiction"),
+        (["assertion"], ~F.col("assertion").eqNullSafe(F.col("want_outcome")), "evidence_assertion_mismatch"),
+        (["detail"], F.coalesce(F.trim("detail"), F.lit("")) == "", "missing_evidence_detail"),
+        (["subject_hash", "want_hash"], F.col("subject_hash") != F.col("want_hash"), "evidence_subject_hash_mismatch"),
+    ]
+    if policy == "fixture_only":
+        checks += [(["data_role"], ~F.col("data_role").eqNullSafe(F.lit("fixture")), "fixture_evidence_role_mismatch")]
+    else:
+        allowed = F.when(F.col("want_purpose") == "mechanism", F.array(*map(F.lit, METHODS["mechanism"]))).otherwise(F.array(*map(F.lit, METHODS["validity"])))
+        checks += [
+            (["data_role", "mock"], (F.col("data_role") == "fixture") | F.col("mock"), "fixture_in_import_evidence"),
+            (["method"], ~F.coalesce(F.array_contains(allowed, F.col("method")), F.lit(False)), "inappropriate_validation_method"),
+            (["reviewed"], ~F.coalesce("reviewed", F.lit(False)), "reviewer_record_unresolved"),
+        ]
+    pairs = [(condition if code == "essential_evidence_unresolved" else there & condition, code) for need, condition, code in checks if set(need) <= set(cited.columns)]
+    return cited.withColumn("problems", reasons(*pairs))
+
+
+def _held(records: DataFrame, refs: str, targets: DataFrame) -> DataFrame:
+    """key, held: whether every reference of the list is among ``targets`` (key); false for an empty list."""
+    each = records.select("key", F.explode(refs).alias("_ref")).join(targets.select(F.col("key").alias("_ref"), F.lit(True).alias("_there")), "_ref", "left")
+    return each.groupBy("key").agg(F.bool_and(F.coalesce("_there", F.lit(False))).alias("held"))
+
+
+def own_problems(support: DataFrame, keys: DataFrame, corrections: DataFrame, policy: str) -> DataFrame:
+    """key, codes of each evidence record: what is wrong with it whoever cites it [F3, F4]; only records with a code.
+
+    ``corrections`` is (target, codes); ``keys`` the records that can be referred to.
     """
-    codes = reasons(
-        (F.col("state").isNull(), "evidence_unresolved"),
-        (F.col("state") != "active", "evidence_not_active"),
-        (~F.col("target").eqNullSafe(F.col("want_target")), "evidence_target_mismatch"),
-        (~F.coalesce(F.array_contains("scopes", F.col("want_frame")), F.lit(False)), "evidence_scope_mismatch"),
-        (F.col("outcome").isNotNull() & (F.col("outcome") != F.col("want_outcome")), "evidence_outcome_conflict"),
-        (~F.coalesce(F.array_contains("purposes", F.col("want_purpose")), F.lit(False)), "evidence_purpose_mismatch"),
-    )
-    return evidence.withColumn("problems", codes)
+    ev = support.where("record_type = 'evidence'")
+    state = [(F.col("state") != "active", "upstream_evidence_not_active"), ((F.col("access") != "readable") | (F.col("conflict") == "unresolved"), "upstream_evidence_unreadable_or_conflicted")]
+    if policy != "fixture_only":
+        state.append(((F.col("data_role") == "fixture") | F.col("mock"), "fixture_in_import_evidence"))
+    codes = ev.select("key", F.explode(reasons(*state)).alias("code"))
+    other = ev.withColumn("others", F.filter("evidence", lambda r: ~r.startswith("evidence:")))
+    codes = codes.union(_held(other, "others", keys).where("NOT held").select("key", F.lit("essential_reference_missing")))
+    codes = codes.union(ev.join(corrections.withColumnRenamed("target", "_fixed"), F.col("key") == F.col("_fixed")).select("key", F.explode("codes")))
+    return codes.groupBy("key").agg(F.collect_set("code").alias("codes"))
+
+
+def artifact_problems(support: DataFrame, artifacts: DataFrame, corrections: DataFrame) -> DataFrame:
+    """key, codes of evidence whose artifacts were not read as recorded, or are corrected."""
+    each = support.where("record_type = 'evidence'").select("key", F.explode("artifacts").alias("_a"))
+    unread = each.join(artifacts.where("status = 'snapshot_read'").select(F.col("key").alias("_a")), "_a", "left_anti").select("key", F.lit("essential_artifact_unreadable_or_mismatched").alias("code"))
+    fixed = each.join(corrections.withColumnRenamed("target", "_fixed"), F.col("_a") == F.col("_fixed")).select("key", F.explode("codes").alias("code"))
+    return unread.union(fixed).groupBy("key").agg(F.collect_set("code").alias("codes"))
 
 
 def decisive_walk(decisions: DataFrame, links: DataFrame, bad: DataFrame) -> DataFrame:
-    """Decisions whose transitive evidence touches a bad record or runs in a circle [G1]."""
-    seeds = decisions.select(F.col("decision").alias("origin"), F.col("decision").alias("node"))
+    """Problems that each decision meets on the way through its evidence [G1]: decision, problems.
+
+    ``links`` is (src, dst); ``bad`` has node and codes (or node alone: dependent_evidence_unavailable). A circle counts
+    where it can be reached from the decision, not where it merely leads to its evidence.
+    """
+    seeds = decisions.select(F.col("decision").alias("origin"), F.col("decision").alias("node")).distinct()
     reached = graph.closure(seeds, links)
-    circle = graph.cyclic_nodes(links.select(F.col("src").alias("node")).union(links.select("dst")), links).withColumn("_c", F.lit(True))
-    marked = reached.join(bad.select("node").distinct().withColumn("_b", F.lit(True)), "node", "left").join(circle, "node", "left")
-    out = marked.groupBy(F.col("origin").alias("decision")).agg(F.max(F.coalesce("_b", F.lit(False))).alias("b"), F.max(F.coalesce("_c", F.lit(False))).alias("c"))
-    return out.select("decision", reasons((F.col("b"), "dependent_evidence_unavailable"), (F.col("c"), "evidence_cycle")).alias("problems"))
+    back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    circle = graph.cyclic_nodes(links.select(F.col("src").alias("node")).union(links.select("dst")), back).withColumn("_c", F.lit(True))
+    codes = F.col("codes") if "codes" in bad.columns else F.array(F.lit("dependent_evidence_unavailable"))
+    marked = reached.join(bad.select("node", codes.alias("_codes")), "node", "left")
+    met = marked.groupBy(F.col("origin").alias("node")).agg(F.array_distinct(F.flatten(F.collect_set("_codes"))).alias("_met")).join(circle, "node", "left")
+    return met.select(F.col("node").alias("decision"), F.array_sort(F.array_union("_met", reasons((F.coalesce("_c", F.lit(False)), "circular_evidence_support")))).alias("problems"))
+
+
+def decision_problems(decisions: DataFrame, support: DataFrame, keys: DataFrame, artifacts: DataFrame, corrections: DataFrame, *, policy: str) -> DataFrame:
+    """decision, problems, restrictions of each decision from all evidence and adjudications that it cites [F3, G1].
+
+    decisions: decision, subject, frame, outcome, purpose, want_hash, evidence (array of 'type:id'); support: key,
+    record_type and the fields of a well-formed payload (``Bundle.support``); corrections: (target, codes) with EFFECTS.
+    A decision without a problem has an empty list. Null lists count as empty; repeated references count once.
+    """
+    roles = support.where("record_type = 'role' AND state = 'active'").select("key")
+    reviewed = _held(support, "reviewers", roles).withColumnRenamed("held", "reviewed")
+    ev = support.where("record_type = 'evidence'").join(reviewed, "key", "left")
+    wants = decisions.select("decision", F.col("decision").alias("want_target"), "subject", F.col("frame").alias("want_frame"), F.col("outcome").alias("want_outcome"), F.col("purpose").alias("want_purpose"), "want_hash", "evidence")
+    refs = wants.select("*", F.explode(F.array_distinct(F.coalesce("evidence", F.array().cast("array<string>")))).alias("key")).drop("evidence")
+    direct = refs.where(F.col("key").startswith("evidence:"))
+    codes, limits = [], []
+    if policy != "fixture_only":
+        ruled = refs.where(F.col("key").startswith("adjudication:")).join(support.where("record_type = 'adjudication'").drop("record_type").join(reviewed, "key", "left"), "key", "left")
+        based = _held(support.where("record_type = 'adjudication'"), "basis", keys.where(F.col("key").startswith("evidence:"))).withColumnRenamed("held", "_based")
+        heard = _held(support.where("record_type = 'adjudication'"), "disagreements", keys).withColumnRenamed("held", "_heard")
+        ruled = ruled.join(based, "key", "left").join(heard, "key", "left")
+        there, no = F.col("state").isNotNull(), F.lit(False)
+        sound = (F.col("state") == "active") & (F.col("decision_state") == "resolved") & ~F.col("mock") & (F.col("data_role") != "fixture") & F.col("target").eqNullSafe(F.col("want_target")) & F.col("outcome").eqNullSafe(F.col("want_outcome")) & F.array_contains("scopes", F.col("want_frame"))
+        why = reasons((~there, "adjudication_record_unresolved"), (there & ~F.coalesce(sound, no), "adjudication_conflict"), (there & ~F.coalesce("reviewed", no), "adjudicator_unresolved"), (there & ~F.coalesce("_based", no), "adjudication_basis_unresolved"), (there & ~F.coalesce("_heard", F.lit(True)), "disagreement_unresolved"))
+        codes += [ruled.select("decision", F.explode(why).alias("code")), refs.join(corrections.withColumnRenamed("target", "_fixed"), F.col("key") == F.col("_fixed")).where(F.col("key").startswith("adjudication:")).select("decision", F.explode("codes").alias("code"))]
+        direct = direct.unionByName(ruled.select(*[c for c in direct.columns if c != "key"], F.explode("basis").alias("key"))).distinct()
+        limits.append(decisions.select("decision", F.lit("independent_measurement_not_certified_by_software").alias("code")))
+    cited = direct.join(ev.drop("record_type", "evidence", "outcome"), "key", "left")
+    judged = evidence_problems(cited, policy)
+    codes.append(judged.select("decision", F.explode("problems").alias("code")))
+    limits.append(judged.where("state IS NOT NULL").select("decision", F.explode(reasons((F.col("origin").isNull(), "origin_unknown"), (F.col("knowledge_type").isNull(), "knowledge_type_unknown"))).alias("code")))
+    codes.append(direct.join(artifact_problems(support, artifacts, corrections), "key").select("decision", F.explode("codes").alias("code")))
+    links = ev.select(F.col("key").alias("src"), F.explode("evidence").alias("dst")).where(F.col("dst").startswith("evidence:"))
+    lost = links.select(F.col("dst").alias("key")).distinct().join(ev.select("key"), "key", "left_anti").select(F.col("key").alias("node"), F.array(F.lit("essential_evidence_unresolved")).alias("codes"))
+    bad = own_problems(support, keys, corrections, policy).select(F.col("key").alias("node"), "codes").union(lost)
+    walked = decisive_walk(direct.select(F.col("key").alias("decision")).distinct(), links, bad).select(F.col("decision").alias("key"), "problems")
+    codes.append(direct.join(walked, "key").select("decision", F.explode("problems").alias("code")))
+    apart = refs.where(F.col("key").startswith("independence_assessment:")).join(support.where("record_type = 'independence_assessment' AND outcome = 'supported_for_scope'").select("key"), "key", "left_anti")
+    limits.append(apart.select("decision", F.lit("independence_not_established").alias("code")))
+    gather = lambda parts, name: reduce(DataFrame.union, parts).groupBy("decision").agg(F.array_sort(F.collect_set("code")).alias(name))
+    none = F.array().cast("array<string>")
+    out = decisions.select("decision").distinct().join(gather(codes, "problems"), "decision", "left").join(gather(limits, "restrictions"), "decision", "left")
+    return out.select("decision", F.coalesce("problems", none).alias("problems"), F.coalesce("restrictions", none).alias("restrictions"))
 
 
 def domain_results(expected: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,25 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder, which ends the lineage of an iteration."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="prismet-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/prismet-graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from prismet.session import written
 
 
 def closure(seeds: DataFrame, edges: DataFrame, *, max_depth: int = 1000) -> DataFrame:
@@ -28,15 +13,17 @@ def closure(seeds: DataFrame, edges: DataFrame, *, max_depth: int = 1000) -> Dat
 
     ``seeds`` has origin and node. Breadth first: a node keeps its least depth.
     """
-    steps = edges.select("src", "dst").distinct()
-    frontier = _written(seeds.select("origin", "node").distinct().withColumn("depth", F.lit(0)))
-    visited = frontier
+    steps = written(edges.select("src", "dst").distinct())
+    frontier = written(seeds.select("origin", "node").distinct().withColumn("depth", F.lit(0)))
+    visited, parts = frontier, 1
     for depth in range(1, max_depth + 1):
         nxt = frontier.join(steps, frontier["node"] == steps["src"]).select("origin", F.col("dst").alias("node")).distinct()
-        frontier = _written(nxt.join(visited, ["origin", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = written(nxt.join(visited, ["origin", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if not frontier.take(1):
             return visited
-        visited = visited.union(frontier)
+        visited, parts = visited.union(frontier), parts + 1
+        if parts == 8:  # what is visited is read each round: keep it in few tables
+            visited, parts = written(visited), 1
     raise RuntimeError("max_link_objects")
 
 
@@ -59,12 +46,12 @@ def result_effects(reached: DataFrame, results: DataFrame) -> DataFrame:
 
 def cyclic_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes on a cycle or behind one [G5, G7]: those left when nodes without remaining parents are peeled off, until none is."""
-    left = _written(nodes.select("node").distinct())
-    edges = _written(edges.select("src", "dst").distinct())
+    left = written(nodes.select("node").distinct())
+    edges = written(edges.select("src", "dst").distinct())
     n = left.count()
     while True:
         held = edges.join(left.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        left = _written(left.join(held, "node", "left_semi"))
+        left = written(left.join(held, "node", "left_semi"))
         m = left.count()
         if m in (0, n):
             return left

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from prismet.functions.status import known
 from prismet.operators import admission, metrics
+from prismet.session import written
 from prismet.sources import bundle as source
 from prismet.sources import sinks
 
@@ -37,32 +38,37 @@ def _references(c: str):
     return F.transform(c, lambda r: F.concat_ws(":", r["record_type"], r["record_id"]))
 
 
-def _axis(bundle: source.Bundle, axis: str, samples: DataFrame, corrections: DataFrame) -> DataFrame:
+def _axis(bundle: source.Bundle, axis: str, samples: DataFrame, corrections: DataFrame, support: DataFrame, artifacts: DataFrame, hash_errors: DataFrame) -> DataFrame:
     config = bundle.manifest["analysis_config"]
     t = bundle.table(axis)
     label, status = ("structural_class_id", "assignment_status") if axis == "assignment" else ("validity_status", "validity_status")
     frame = F.col("frame_id") if axis == "assignment" else F.lit(None).cast("string")
+    rubric = known(F.col("validity_rubric_ref")) if axis == "validity" else F.lit(None).cast("string")
     policy = F.col("assignment_evidence_policy_id") if axis == "assignment" else F.lit(None).cast("string")
-    records = t.select(F.col(f"{axis}_id").alias("id"), F.col(f"{axis}_version").alias("version"), "sample_id", frame.alias("frame_id"), F.col(status).alias("label_status"), F.col(label).alias("label"), F.col(f"{axis}_review_status").alias("review"), policy.alias("policy"), known(F.col(f"supersedes_{axis}_id")).alias("supersedes"), known(F.col("decision_rationale")).alias("rationale"), _references("evidence_refs").alias("evidence"))
+    records = t.select(F.col(f"{axis}_id").alias("id"), F.col(f"{axis}_version").alias("version"), "sample_id", frame.alias("frame_id"), F.col(status).alias("label_status"), F.col(label).alias("label"), F.col(f"{axis}_review_status").alias("review"), policy.alias("policy"), known(F.col(f"supersedes_{axis}_id")).alias("supersedes"), known(F.col("decision_rationale")).alias("rationale"), _references("evidence_refs").alias("evidence"), rubric.alias("rubric"))
     pins = bundle.declared(f"{axis}_pins", f"sample_id string, {axis}_id string, {axis}_version string").select("sample_id", F.col(f"{axis}_id").alias("id"), F.col(f"{axis}_version").alias("version"))
-    frames = bundle.table("frame").select("frame_id")
-    return admission.admit(axis, samples, records, pins, frames, corrections, policy=config["assignment_evidence_policy_id"], data_role=bundle.manifest["data_role"], classes=source.CLASSES)
+    frames = bundle.table("frame").select("frame_id", F.col("validity_rubric_ref").alias("rubric"))
+    return admission.admit(
+        axis, samples, records, pins, frames, corrections, support=support, keys=bundle.keys(), artifacts=artifacts, hash_errors=hash_errors,
+        policy=config["assignment_evidence_policy_id"], data_role=bundle.manifest["data_role"], classes=source.CLASSES,
+    )
 
 
 def analyze(spark: SparkSession, root: str, manifest: str = "bundle.json") -> Analysis:
     """The measurement profile of a bundle: selection first, outcomes after it, no pooling across cells."""
     b = source.load_bundle(spark, root, manifest)
     config = b.manifest["analysis_config"]
-    real = b.table("realization").select("sample_id", F.col("analysis_cell_id").alias("cell"), known(F.col("sample_order")).alias("sample_order"))
+    real = b.table("realization").select("sample_id", F.col("analysis_cell_id").alias("cell"), known(F.col("sample_order")).alias("sample_order"), known(F.col("output_content_hash")).alias("hash"))
     selected = b.declared("selection", "analysis_cell_id string, selected_sample_ids struct<state:string,value:array<string>>, sample_order struct<state:string,value:array<string>>")
     order = selected.select(F.col("analysis_cell_id").alias("cell"), F.posexplode(F.coalesce(F.col("sample_order.value"), F.col("selected_sample_ids.value"))).alias("_place", "sample_id"))
     cells = b.table("cell").select(F.col("analysis_cell_id").alias("cell"), "frame_id")
-    samples = real.join(order, ["cell", "sample_id"], "left_semi").join(F.broadcast(cells), "cell", "left")
-    corrections = spark.createDataFrame([], "correction_id string, stage string, effect string, targets array<string>")
-    if b.records.where("record_type = 'correction' AND problem IS NULL").take(1):
-        payload = F.from_json("line", "record_id string, payload struct<stage:string,effect:string,target_refs:array<struct<record_type:string,record_id:string>>>")
-        corrections = b.records.where("record_type = 'correction' AND problem IS NULL").select(payload.alias("c")).select(F.col("c.record_id").alias("correction_id"), F.col("c.payload.stage").alias("stage"), F.col("c.payload.effect").alias("effect"), F.transform("c.payload.target_refs", lambda r: F.concat_ws(":", r["record_type"], r["record_id"])).alias("targets"))
-    a, v = _axis(b, "assignment", samples, corrections), _axis(b, "validity", samples, corrections)
+    samples = real.join(order, ["cell", "sample_id"], "left_semi").join(cells, "cell", "left")
+    corrections, artifacts, support = written(b.corrections()), written(b.artifact_states()), written(b.support())
+    outputs = b.table("realization").select("sample_id", known(F.col("output_content_hash")).alias("hash"), F.concat_ws(":", "output_ref.value.record_type", "output_ref.value.record_id").alias("output"))
+    wrong = admission.output_mismatches(outputs, artifacts)
+    samples = written(samples)
+    a, v = _axis(b, "assignment", samples, corrections, support, artifacts, wrong), _axis(b, "validity", samples, corrections, support, artifacts, wrong)
+    a, v = written(a), written(v)
     views = admission.populations(a, v).join(samples.select("sample_id", "cell"), "sample_id")
     rows = samples.join(a.select("sample_id", (F.col("status") == "accepted").alias("classified")), "sample_id").join(v.select("sample_id", F.when(F.col("status") == "accepted", F.col("outcome")).otherwise("not_assessed").alias("validity")), "sample_id")
     counted = views.groupBy("cell", "view", "class").agg(F.count(F.lit(1)).alias("n")).withColumn("_key", F.concat_ws("\x1f", "cell", "view"))

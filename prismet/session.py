@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -22,6 +23,20 @@ def session(name: str = "prismet", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, which ends its lineage: for iterations and for tables that many readers share."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="prismet-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/prismet-table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that they need no copy of the repository."""
     sc = spark.sparkContext

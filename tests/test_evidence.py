@@ -42,7 +42,7 @@ def test_domain_results(spark):
 def test_walk_finds_bad_and_circular_evidence(spark):
     links = spark.createDataFrame([("d1", "e1"), ("e1", "e2"), ("d2", "e3"), ("e3", "e4"), ("e4", "e3"), ("d3", "e5")], "src string, dst string")
     out = evidence.decisive_walk(spark.createDataFrame([("d1",), ("d2",), ("d3",)], "decision string"), links, spark.createDataFrame([("e2",)], "node string"))
-    assert {r["decision"]: r["problems"] for r in out.collect()} == {"d1": ["dependent_evidence_unavailable"], "d2": ["evidence_cycle"], "d3": []}
+    assert {r["decision"]: r["problems"] for r in out.collect()} == {"d1": ["dependent_evidence_unavailable"], "d2": ["circular_evidence_support"], "d3": []}
 
 
 def test_claims_gates_and_sets(spark):

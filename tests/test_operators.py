@@ -192,18 +192,23 @@ def test_identity_and_references(spark):
 
 def test_admission_cascade(spark):
     s = spark.createDataFrame([(f"s{k}", "f") for k in range(1, 9)] + [("s9", "nope")], "sample_id string, frame_id string")
-    rec = lambda k, **o: {"id": f"a{k}", "version": "0.1", "sample_id": f"s{k}", "frame_id": "f", "label_status": "assigned", "label": "X", "review": "fixture", "policy": "fixture_only", "supersedes": None, "rationale": "because", "evidence": ["evidence:e1"]} | o
+    rec = lambda k, **o: {"id": f"a{k}", "version": "0.1", "sample_id": f"s{k}", "frame_id": "f", "label_status": "assigned", "label": "X", "review": "fixture", "policy": "fixture_only", "supersedes": None, "rationale": "because", "evidence": [f"evidence:e{k}"]} | o
     records = [rec(1), rec(2, review="provisional"), rec(3, label="Q"), rec(4, evidence=[]), rec(5, label_status="unresolved"), rec(6), rec(9, id="a66", sample_id="s6", supersedes="a6"), rec(7, version="9"), rec(9)]
     schema = "id string, version string, sample_id string, frame_id string, label_status string, label string, review string, policy string, supersedes string, rationale string, evidence array<string>"
     pins = spark.createDataFrame([(f"s{k}", f"a{k}", "0.1") for k in (1, 2, 3, 4, 5, 6, 7, 9)] + [("s1", "a1", "0.1")][:0], "sample_id string, id string, version string")
     none = spark.createDataFrame([], "correction_id string, stage string, effect string, targets array<string>")
-    run = lambda corrections: {r["sample_id"]: (r["status"], r["reason"]) for r in admission.admit("assignment", s, spark.createDataFrame([tuple(x.values()) for x in records], schema), pins, spark.createDataFrame([("f",)], "frame_id string"), corrections, policy="fixture_only", data_role="fixture", classes=["X", "Y"]).collect()}
+    text = ["record_type", "state", "access", "conflict", "data_role", "purpose", "target", "assertion", "detail", "method", "subject_hash", "origin", "knowledge_type", "outcome", "decision_state"]
+    lists = ["scopes", "reviewers", "evidence", "artifacts", "basis", "disagreements"]
+    fields = {"record_type": "evidence", "state": "active", "access": "readable", "data_role": "fixture", "purpose": "fixture_declaration", "assertion": "X", "detail": "seen", "scopes": ["frame:f"]}
+    support = spark.createDataFrame([{"key": f"evidence:e{k}", "mock": False, **{c: [] for c in lists}, **fields, "target": f"assignment:a{k}"} for k in range(1, 10)], "key string, mock boolean, " + ", ".join([f"{c} string" for c in text] + [f"{c} array<string>" for c in lists]))
+    base = {"support": support, "keys": support.select("key"), "artifacts": spark.createDataFrame([], "key string, status string")}
+    run = lambda corrections: {r["sample_id"]: (r["status"], r["reason"]) for r in admission.admit("assignment", s, spark.createDataFrame([tuple(x.values()) for x in records], schema), pins, spark.createDataFrame([("f",)], "frame_id string"), corrections, **base, policy="fixture_only", data_role="fixture", classes=["X", "Y"]).collect()}
     assert run(none) == {
         "s1": ("accepted", None), "s2": ("withheld", "provisional_judgment"), "s3": ("withheld", "class_outside_pinned_schema"), "s4": ("withheld", "missing_essential_evidence"),
         "s5": ("unresolved", "no_committed_class"), "s6": ("withheld", "selected_revision_superseded"), "s7": ("withheld", "selected_revision_mismatch"), "s8": ("missing", "revision_not_pinned"), "s9": ("withheld", "essential_frame_unresolved"),
     }
     fix = spark.createDataFrame([("c1", "applied", "membership", ["assignment:a1"])], none.schema)
-    assert run(fix)["s1"] == ("withheld", "record_correction")
+    assert run(fix)["s1"] == ("withheld", "correction_applied:c1")
 
 
 RESPONSE = b"### Candidate 1\n```python\na = 1\n```\n### Candidate 2\nprose\n```python\nb\n```\n### Candidate 3\n```js\nc\n```\n### Candidate 5\n```python\nopen\n"

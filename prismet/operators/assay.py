@@ -63,3 +63,13 @@ def recovery(pre: DataFrame, post: DataFrame, keys: list[str], cls: str = "class
     status = F.when(~F.col("_known"), "unavailable").when(F.col("missing") == 0, "undefined").when(F.col("open") > 0, "unavailable").otherwise("available")
     ok = F.col("_known") & (F.col("missing") > 0)
     return t.select(*keys, "missing", "recovered", F.when(status == "available", F.col("recovered") / F.col("missing")).alias("rate"), F.when(ok, F.col("recovered") / F.col("missing")).alias("low"), F.when(ok, (F.col("recovered") + F.col("open")) / F.col("missing")).alias("high"), status.alias("status"))
+
+
+def observed_union(trials: DataFrame, key: str, cls: str = "class") -> DataFrame:
+    """Classes seen in a success of any intervention of a family, each once, and how many [U3].
+
+    ``trials`` has key, class, outcome and reasons (array); a trial that a gate restricts does not count. A family whose
+    trials show nothing has an empty list and size 0: a finite union of what was observed, not an estimate of support.
+    """
+    counts = (F.col("outcome") == "success") & (F.size(F.coalesce("reasons", F.array().cast("array<string>"))) == 0)
+    return trials.groupBy(key).agg(F.array_sort(F.collect_set(F.when(counts, F.col(cls)))).alias("classes")).withColumn("size", F.size("classes"))

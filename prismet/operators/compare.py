@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import random
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,13 +107,26 @@ def validate_replay(replay: dict, blocks: list[str]) -> list[str]:
 
 
 def index_table(spark: SparkSession, units: int, seed: int = PAIRED_SEED, replicates: int = REPLICATES) -> DataFrame:
-    """(replicate, draw, unit) rows of the index matrix: replicates x units rows, made on the driver because no engine function repeats this generator."""
-    return spark.createDataFrame([(r, k, i) for r, row in enumerate(replay_indices(units, seed, replicates)) for k, i in enumerate(row)], "replicate int, draw int, unit int")
+    """(replicate, draw, unit) rows of the index matrix: replicates x units rows.
+
+    No engine function repeats this generator, and its draws follow each other; one task makes them, batch by batch, so
+    that neither it nor the driver holds the matrix.
+    """
+    if units < 2:
+        raise ValueError("fewer_than_two_blocks")
+
+    def draws(_):
+        rng = random.Random(seed)
+        rows = ((r, k, rng.randrange(units)) for r in range(replicates) for k in range(units))
+        while batch := list(itertools.islice(rows, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in zip(*batch, strict=True)], ["replicate", "draw", "unit"])
+
+    return spark.range(1, numPartitions=1).mapInArrow(draws, "replicate int, draw int, unit int")
 
 
 def replicate_means(values: DataFrame, indices: DataFrame, keys: list[str], value: str = "difference") -> DataFrame:
-    """Mean of each replicate [A16]: the bounded index table is broadcast, sums are partial on the map side."""
-    return values.join(F.broadcast(indices), "unit").groupBy(*keys, "replicate").agg((F.sum(value) / F.count(F.lit(1))).alias("mean"))
+    """Mean of each replicate [A16]: one join on the unit, sums are partial on the map side."""
+    return values.join(indices, "unit").groupBy(*keys, "replicate").agg((F.sum(value) / F.count(F.lit(1))).alias("mean"))
 
 
 def intervals(means: DataFrame, keys: list[str], low: float = 0.025, high: float = 0.975) -> DataFrame:
@@ -134,7 +149,7 @@ def refit(curves: DataFrame, indices: DataFrame, time: str, value: str) -> DataF
     """Half-lives re-fitted on every resampled mean curve [R6, A34]: sums only, then one fit for each replicate."""
     from prismet.operators.longitudinal import anchored_fit
 
-    mean = curves.join(F.broadcast(indices), "unit").groupBy("replicate", time).agg(F.avg(value).alias("_mean"))
+    mean = curves.join(indices, "unit").groupBy("replicate", time).agg(F.avg(value).alias("_mean"))
     return anchored_fit(mean, "replicate", time, "_mean")
 
 

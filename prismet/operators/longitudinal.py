@@ -37,7 +37,7 @@ def consecutive_changes(sets: DataFrame, unit: str, order: str) -> DataFrame:
 
 def schedule(states: DataFrame, panels: DataFrame, measured: DataFrame, keys: list[str]) -> DataFrame:
     """Every state of a trajectory with every panel, and what was measured there [J9]. Panels are a small declared list."""
-    grid = states.join(F.broadcast(panels), F.lit(True))
+    grid = states.join(panels, F.lit(True))
     return grid.join(measured, keys, "left").withColumn("slot", F.when(F.col("value").isNotNull(), "observed").otherwise(F.coalesce("planned_status", F.lit("missing"))) if "planned_status" in grid.columns else F.when(F.col("value").isNotNull(), "observed").otherwise("missing"))
 
 

@@ -22,7 +22,7 @@ def class_counts(observations: DataFrame, cell: str = "cell", cls: str = "class"
 
 def registered_counts(observations: DataFrame, cells: DataFrame, registry: DataFrame, cell: str = "cell", cls: str = "class") -> DataFrame:
     """Counts with a zero row for every registered class of every cell [A1]; the registry is a small fixed list."""
-    grid = cells.select(cell).distinct().join(F.broadcast(registry.select(cls).distinct()), F.lit(True))
+    grid = cells.select(cell).distinct().join(registry.select(cls).distinct(), F.lit(True))
     return grid.join(class_counts(observations, cell, cls), [cell, cls], "left").select(cell, cls, F.coalesce("n", F.lit(0)).alias("n"))
 
 

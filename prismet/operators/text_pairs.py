@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismet.functions.status import AVAILABLE, UNDEFINED
+from prismet.functions.status import AVAILABLE, UNAVAILABLE, UNDEFINED
 from prismet.functions.text import tokenized
+from prismet.session import written
 
 
 def trigram_sets(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -23,8 +24,20 @@ def pair_work(sets: DataFrame, cell: str = "cell", items: str = "items") -> Data
 
 def within_budget(work: DataFrame, max_pairs: int, max_visits: int, order: list[str]) -> DataFrame:
     """Cells within a shared cumulative budget in the supplied order; those beyond are unavailable, never truncated."""
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return work.withColumn("within", (F.col("pairs") <= max_pairs) & (F.sum("visits").over(w) <= max_visits))
+    # The running sum of each range of the order starts at the sum of the ranges before it, of which there are few.
+    parts = int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(work.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    before = dealt.groupBy("_part").agg(F.sum("visits").alias("_v"))
+    before = before.select("_part", (F.sum("_v").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_v")).alias("_before"))
+    w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.join(before, "_part")
+    return out.withColumn("within", (F.col("pairs") <= max_pairs) & (F.sum("visits").over(w) + F.col("_before") <= max_visits)).drop("_part", "_before")
+
+
+def affordable(sets: DataFrame, max_pairs: int, max_visits: int, order: list[str], cell: str = "cell", items: str = "items") -> tuple[DataFrame, DataFrame]:
+    """The sets of cells within the budget, and cell, status of all cells [T7]: the budget is looked at before any pair is made."""
+    judged = written(within_budget(pair_work(sets, cell, items), max_pairs, max_visits, order))
+    return sets.join(judged.where("within").select(cell), cell, "left_semi"), judged.select(cell, F.when(F.col("within"), AVAILABLE).otherwise(UNAVAILABLE).alias("status"))
 
 
 def pair_distances(sets: DataFrame, cell: str, ident: str, items: str = "items") -> DataFrame:

@@ -54,6 +54,43 @@ def _axis(bundle: source.Bundle, axis: str, samples: DataFrame, corrections: Dat
     )
 
 
+#: Profiles in the order in which a declared extension selects them; without one it is measurement.
+PROFILES = ["longitudinal", "comparison"]
+
+
+def profile(manifest: dict) -> str:
+    """The profile of a bundle [F15]: a declaration selects it by being there, even if what it declares is malformed."""
+    extensions = (manifest.get("analysis_config") or {}).get("extensions")
+    return next((p for p in PROFILES if isinstance(extensions, dict) and p in extensions), "measurement")
+
+
+@dataclass
+class Validation:
+    profile: str
+    problems: DataFrame
+    rows: DataFrame
+    exit_code: int
+
+
+def validate(spark: SparkSession, root: str, manifest: str = "bundle.json") -> Validation:
+    """Records, references and artifacts of a bundle, without any measure [V26]: nothing is admitted, counted or written out.
+
+    problems: file, record_type, record_id, problem; rows: record_type, records, malformed. The exit code is 2 where
+    something other than missing evidence is wrong.
+    """
+    b = source.load_bundle(spark, root, manifest)
+    targets = b.records.where("problem IS NULL").select(F.col("record_type").alias("target_type"), F.col("record_id").alias("target_id"))
+    broken = admission.reference_problems(source.references(b), targets)
+    place = lambda c: [F.lit(None).cast("string").alias("file"), F.substring_index(c, ":", 1).alias("record_type"), F.expr(f"substring({c}, locate(':', {c}) + 1)").alias("record_id")]
+    files = b.artifact_states().where("status <> 'snapshot_read'")
+    found = b.problems.unionByName(broken.select(*place("source"), "problem")).unionByName(files.select(*place("key"), F.concat(F.lit("artifact_"), "status").alias("problem")))
+    found = written(found.distinct())
+    rows = b.records.groupBy("record_type").agg(F.count(F.lit(1)).alias("records"), F.count("problem").alias("malformed"))
+    evidential = ["reference_missing", "artifact_external_not_fetched", "artifact_content_unknown", "artifact_content_unavailable", "artifact_content_not_applicable"]
+    stop = found.where(~F.col("problem").isin(*evidential)).take(1)
+    return Validation(profile(b.manifest), found, rows, 2 if stop else 0)
+
+
 def analyze(spark: SparkSession, root: str, manifest: str = "bundle.json") -> Analysis:
     """The measurement profile of a bundle: selection first, outcomes after it, no pooling across cells."""
     b = source.load_bundle(spark, root, manifest)

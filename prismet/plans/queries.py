@@ -167,7 +167,7 @@ SELECT unit, cls AS class, state, CASE WHEN seen IS NULL THEN 'gap' WHEN NOT see
 def recurrence(spark, d):
     o = _daily(spark, d).groupBy("unit", "class", "state").agg(F.count("*").alias("n"))
     days = o.agg(F.sequence(F.min("state"), F.max("state")).alias("_s")).select(F.explode("_s").alias("state"))
-    grid = o.select("unit").distinct().join(F.broadcast(o.select("class").distinct()), F.lit(True)).join(F.broadcast(days), F.lit(True))
+    grid = o.select("unit").distinct().join(o.select("class").distinct(), F.lit(True)).join(days, F.lit(True))
     seen = F.when(F.col("state") % 7 == 6, F.lit(None).cast("boolean")).otherwise(F.coalesce(F.col("n") > 2, F.lit(False)))
     slots = grid.join(o, ["unit", "class", "state"], "left").withColumn("observed", seen)
     return longitudinal.recurrence(slots, ["unit", "class"], "state").select("unit", "class", "state", "recurrence")
@@ -349,7 +349,7 @@ l AS (SELECT *, lag(n) OVER (PARTITION BY k, c ORDER BY t) p FROM f), s AS (SELE
 SELECT k AS unit, t AS state, bad AS inconsistent, CAST(m AS INTEGER) AS classes, NOT coalesce(bool_or(bad) OVER (PARTITION BY k ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) evaluated FROM s""")
 def path_consistency(spark, d):
     g = _t(spark, d, "events").groupBy((F.col("user_id") % 40).alias("unit"), F.datediff("ts", F.lit("2024-01-01")).alias("state"), F.col("event_type").alias("class")).agg(F.count("*").alias("n"))
-    grid = g.select("unit", "state").distinct().join(F.broadcast(g.select("class").distinct()), F.lit(True)).join(g, ["unit", "state", "class"], "left").select("unit", "state", "class", F.coalesce("n", F.lit(0)).alias("n"))
+    grid = g.select("unit", "state").distinct().join(g.select("class").distinct(), F.lit(True)).join(g, ["unit", "state", "class"], "left").select("unit", "state", "class", F.coalesce("n", F.lit(0)).alias("n"))
     return null_model.path_consistency(grid, "unit", "state").select("unit", "state", "inconsistent", F.size("classes").alias("classes"), "evaluated")
 
 
@@ -472,7 +472,7 @@ def audit_positions(spark, d):
 
 @_register("SELECT c_mktsegment segment, count(DISTINCT c_nationkey % 2) currencies, CASE WHEN count(DISTINCT c_nationkey % 2) = 1 THEN sum(CAST(o_totalprice AS DECIMAL(18, 2)))::DOUBLE END total FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1 UNION ALL SELECT n_name, count(DISTINCT c_nationkey % 2), CASE WHEN count(DISTINCT c_nationkey % 2) = 1 THEN sum(CAST(o_totalprice AS DECIMAL(18, 2)))::DOUBLE END FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
 def spend_single_currency(spark, d):
-    o = _t(spark, d, "orders").join(_t(spark, d, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey").join(F.broadcast(_t(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("currency", F.col("c_nationkey") % 2)
+    o = _t(spark, d, "orders").join(_t(spark, d, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey").join(_t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("currency", F.col("c_nationkey") % 2)
     a = study.spending(o.withColumn("segment", F.col("c_mktsegment")), ["segment"], "o_totalprice", "currency")
     b = study.spending(o.withColumn("segment", F.col("n_name")), ["segment"], "o_totalprice", "currency")
     return a.union(b).select("segment", "currencies", F.col("total").cast("double").alias("total"))
@@ -497,6 +497,32 @@ def bridge_mismatches(spark, d):
     return admission.mismatches(a, b, ["doc_id"], ["value"]).select("doc_id", F.array_join("differs", ",").alias("differs"))
 
 
+@_register("""WITH c AS (SELECT o_orderkey, o_orderstatus, o_custkey % 3 want, l.l_linenumber, l.l_returnflag rf, l.l_linestatus ls, l.l_suppkey % 3 frame, l.l_quantity q, CASE WHEN l.l_linenumber = 5 THEN ' ' ELSE 'seen' END detail FROM orders LEFT JOIN lineitem l ON l.l_orderkey = o_orderkey),
+p AS (SELECT o_orderkey, unnest(list_filter([
+CASE WHEN l_linenumber IS NULL THEN 'essential_evidence_unresolved' END,
+CASE WHEN l_linenumber IS NOT NULL AND frame IS DISTINCT FROM want THEN 'evidence_frame_mismatch' END,
+CASE WHEN l_linenumber IS NOT NULL AND l_linenumber = 3 THEN 'evidence_property_mismatch' END,
+CASE WHEN l_linenumber IS NOT NULL AND (coalesce(rf, 'R') = 'R' OR q > 45) THEN 'essential_evidence_not_active_or_readable' END,
+CASE WHEN l_linenumber IS NOT NULL AND ls IS DISTINCT FROM o_orderstatus THEN 'evidence_assertion_mismatch' END,
+CASE WHEN l_linenumber IS NOT NULL AND trim(detail) = '' THEN 'missing_evidence_detail' END], lambda x: x IS NOT NULL)) AS code FROM c)
+SELECT o.o_orderkey decision, coalesce(t.problems, '') problems FROM orders o LEFT JOIN (SELECT o_orderkey, string_agg(DISTINCT code, ',' ORDER BY code) problems FROM p GROUP BY 1) t ON t.o_orderkey = o.o_orderkey""")
+def decisive_evidence(spark, d):
+    lines = _t(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("decision"), F.when(F.coalesce("l_returnflag", F.lit("R")) == "R", "withdrawn").otherwise("active").alias("state"), F.when(F.col("l_quantity") > 45, "withheld").otherwise("readable").alias("access"),
+        F.array((F.col("l_suppkey") % 3).cast("string")).alias("scopes"), F.when(F.col("l_linenumber") == 3, "validity").otherwise("mechanism").alias("purpose"), F.col("l_linestatus").alias("assertion"), F.when(F.col("l_linenumber") == 5, " ").otherwise("seen").alias("detail"),
+    )
+    orders = _t(spark, d, "orders").select(F.col("o_orderkey").alias("decision"), (F.col("o_custkey") % 3).cast("string").alias("want_frame"), F.lit("mechanism").alias("want_purpose"), F.col("o_orderstatus").alias("want_outcome"))
+    found = evidence.evidence_problems(orders.join(lines, "decision", "left"), "adjudicated_import")
+    codes = found.groupBy("decision").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("problems")))), ",").alias("problems"))
+    return codes
+
+
+@_register("SELECT e.user_id unit, coalesce(t.classes, '') AS classes, CAST(coalesce(t.n, 0) AS INTEGER) AS size FROM (SELECT DISTINCT user_id FROM events) e LEFT JOIN (SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS classes, count(DISTINCT event_type) n FROM events WHERE value >= 50 AND event_id % 5 <> 0 GROUP BY 1) t ON t.user_id = e.user_id")
+def observed_union(spark, d):
+    e = _t(spark, d, "events").select(F.col("user_id").alias("unit"), F.col("event_type").alias("class"), F.when(F.col("value") >= 50, "success").otherwise("failure").alias("outcome"), F.when(F.col("event_id") % 5 == 0, F.array(F.lit("restricted"))).alias("reasons"))
+    return assay.observed_union(e, "unit").select("unit", F.array_join("classes", ",").alias("classes"), "size")
+
+
 def _answers(spark, d):
     """Responses of five sections that hold a turn each: all of them, one missing, one repeated, the last fence left open."""
     t = _t(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import secrets
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,9 +62,15 @@ def declared_date(c):
     return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.struct(F.lit("disclosed").alias("state"), c.alias("value"))).otherwise(F.struct(F.when(c.isNull(), "absent").otherwise("withheld").alias("state"), F.lit(None).cast("string").alias("value")))
 
 
-def blind_export(items: DataFrame, key: str, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Shuffled items under pseudonyms, and the restricted map back [K7, T6]."""
-    alias = F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256), 1, 16)
+def blind_export(items: DataFrame, key: str, seed: int, secret: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Shuffled items under pseudonyms, and the restricted map back [K7, T6].
+
+    Pseudonyms are keyed digests: without ``secret`` (256 random bits by default, never written) the list of keys does not
+    lead back from them. ``seed`` sets the order only.
+    """
+    secret = secret or secrets.token_hex(32)
+    inner = F.sha2(F.concat_ws(":", F.lit(secret), F.col(key).cast("string")), 256)
+    alias = F.substring(F.sha2(F.concat_ws(":", F.lit(secret), inner), 256), 1, 16)
     named = items.withColumn("pseudonym", alias)
     return named.drop(key).orderBy(F.xxhash64("pseudonym", F.lit(seed))), named.select("pseudonym", key)
 

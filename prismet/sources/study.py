@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from prismet.functions.canonical import InputProblem, Number, parse_strict
 from prismet.operators.study import CONDITIONS
-from prismet.sources.bundle import relative_parts, snapshots
+from prismet.sources.bundle import hashes, relative_parts, snapshots
 
 _ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.:-]{0,255}")
 _HASH = re.compile(r"[0-9a-f]{64}")
@@ -118,9 +118,9 @@ def load_study(spark: SparkSession, root: str, name: str = "study.json") -> tupl
     for r in rows:
         relative_parts(r[2])
     inventory = spark.createDataFrame(rows, "packet_id string, packet_type string, path string, sha256 string")
-    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path").alias("_path"), F.sha2("content", 256).alias("_sha"))
-    both = inventory.join(there, F.col("_path").endswith(F.concat(F.lit("/"), F.col("path"))), "left")
-    return envelope, both.select("packet_id", "packet_type", "path", F.when(F.col("_sha").isNull(), "missing").when(F.col("_sha") != F.col("sha256"), "mismatch").otherwise("verified").alias("status"))
+    there = hashes(spark, root, [r[2] for r in rows]).select("path", F.col("sha256").alias("_sha"), F.col("problem").alias("_problem"))
+    both = inventory.join(there, "path", "left")
+    return envelope, both.select("packet_id", "packet_type", "path", F.when(F.col("_problem").isNotNull(), F.col("_problem")).when(F.col("_sha").isNull(), "missing").when(F.col("_sha") != F.col("sha256"), "mismatch").otherwise("verified").alias("status"))
 
 
 def record_semantics(records: DataFrame) -> DataFrame:

@@ -143,6 +143,18 @@ def test_payload_shapes_and_record_cap(spark, tmp_path):
         bundle.load_bundle(spark, root, max_records=50)
 
 
+def test_validate_computes_nothing(spark, tmp_path):
+    lost = lambda kind, r: r | {"attempt_id": K("nowhere")} if r["record_id"] == "s1" else r
+    got = analysis.validate(spark, write_bundle(tmp_path, lost))
+    assert got.profile == "measurement" and got.exit_code == 0
+    assert [(r["record_type"], r["record_id"], r["problem"]) for r in got.problems.collect()] == [("realization", "s1", "reference_missing")]
+    assert {r["record_type"]: (r["records"], r["malformed"]) for r in got.rows.collect()} == {"frame": (1, 0), "cell": (1, 0), "attempt": (4, 0), "realization": (20, 0), "assignment": (20, 0), "validity": (20, 0), "evidence": (40, 0)}
+    bad = [{"record_type": "artifact", "record_version": "0.1", "record_id": "g", "artifact_id": "g", "content_ref": K({"kind": "local", "path": "none.txt"}), "expected_sha256": U}]
+    assert analysis.validate(spark, write_bundle(tmp_path, extra=bad)).exit_code == 2
+    assert analysis.profile({"analysis_config": {"extensions": {"comparison": None, "longitudinal": 3}}}) == "longitudinal"
+    assert analysis.profile({"analysis_config": {"extensions": {"comparison": None}}}) == "comparison" and analysis.profile({}) == "measurement"
+
+
 def test_bad_lines_are_rows(spark, tmp_path):
     root = write_bundle(tmp_path)
     with (tmp_path / "records.jsonl").open("a") as f:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prismet.functions.canonical import InputProblem
-from prismet.operators import evidence
+from prismet.operators import assay, evidence, text_pairs
 from prismet.sources import study
 
 
@@ -57,3 +57,17 @@ def test_claims_gates_and_sets(spark):
     w = evidence.regime_restrictions(spark.createDataFrame([("t", 1, 3)], "trajectory string, first int, last int"), spark.createDataFrame([("t", 1, "recut"), ("t", 2, "intervention")], "trajectory string, at int, kind string"))
     assert w.first()["restrictions"] == ["intervention"]
     assert len(evidence.software_identity()) == 64
+
+
+def test_observed_union(spark):
+    rows = [("f", "X", "success", []), ("f", "X", "success", None), ("f", "Y", "failure", []), ("f", "Z", "success", ["restricted"]), ("g", "X", "undetermined", [])]
+    out = assay.observed_union(spark.createDataFrame(rows, "family string, class string, outcome string, reasons array<string>"), "family")
+    assert {r["family"]: (r["classes"], r["size"]) for r in out.collect()} == {"f": (["X"], 1), "g": ([], 0)}
+
+
+def test_budget_is_shared_in_order(spark):
+    rows = [(f"c{k:02}", [f"i{j}" for j in range(4)]) for k in range(30) for _ in range(3)]
+    sets = spark.createDataFrame(rows, "cell string, items array<string>")
+    held, status = text_pairs.affordable(sets, 3, 24 * 7, ["cell"])  # three sets of four items: 3 pairs, 24 visits a cell
+    assert sorted(r["cell"] for r in status.where("status = 'available'").collect()) == [f"c{k:02}" for k in range(7)] and held.count() == 21
+    assert text_pairs.affordable(sets, 2, 10**9, ["cell"])[0].count() == 0

@@ -108,6 +108,20 @@ SELECT n.doc_id, n.n AS n_shingles, c.component_id, n.doc_id = c.component_id AS
 FROM n JOIN (SELECT a doc_id, min(b) component_id FROM r GROUP BY 1) c USING (doc_id)"""
 
 
+_JUMP_SQL = """WITH RECURSIVE t AS (
+  SELECT list(c ORDER BY b) t FROM (
+    SELECT b, list_reduce(range(0, 8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) c FROM (SELECT unnest(range(0, 256)) b))),
+d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) bytes FROM documents),
+c AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda a, b: xor(t.t[(xor(a, b) & 255) + 1], a >> 8), 4294967295), 4294967295) text_crc32 FROM d, t),
+j AS (
+  SELECT doc_id, ((doc_id::HUGEINT + 18446744073709551616) % 18446744073709551616) k, 0::BIGINT j FROM documents
+  UNION ALL
+  SELECT doc_id, n, floor((j + 1)::DOUBLE * (2147483648::DOUBLE / ((n >> 33) + 1)::DOUBLE))::BIGINT FROM (
+    SELECT doc_id, j, (((k % 4294967296) * 2862933555777941757) % 18446744073709551616 + (((k >> 32) * (2862933555777941757 % 4294967296)) % 4294967296) * 4294967296 + 1) % 18446744073709551616 n FROM j WHERE j <= 16)),
+s AS (SELECT doc_id, max(CASE WHEN j < 16 THEN j END)::INTEGER shard, max(CASE WHEN j <= 16 THEN j END)::INTEGER grown_shard FROM j GROUP BY 1)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard FROM c JOIN s USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express a query; the others are tested against plain versions."""
-    return {"op8_minhash_join": _NEAR_SQL}
+    return {"op4_jump_sharding": _JUMP_SQL, "op8_minhash_join": _NEAR_SQL}

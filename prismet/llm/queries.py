@@ -122,6 +122,17 @@ s AS (SELECT doc_id, max(CASE WHEN j < 16 THEN j END)::INTEGER shard, max(CASE W
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard FROM c JOIN s USING (doc_id)"""
 
 
+_REPEATS_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) h, strlen(coalesce(text, '')) n_bytes FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) g FROM (SELECT doc_id, h, unnest(range(0, n_bytes - 49)) p FROM d WHERE n_bytes >= 50)),
+f AS (SELECT g, min(doc_id) AS first_id FROM w GROUP BY 1),
+r AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER o + 50 THEN 0 ELSE 1 END fresh FROM w JOIN f USING (g) WHERE first_id < doc_id WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+i AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) k FROM r),
+s AS (SELECT doc_id, k, min(p) a, max(p) + 50 b FROM i GROUP BY 1, 2),
+q AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) since FROM s),
+t AS (SELECT q.doc_id, sum(b - a) n_removed, count(*) n_spans, max(b) AS rest, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS head FROM q JOIN d USING (doc_id) GROUP BY 1)
+SELECT d.doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(t.head, '') || substr(h, 2 * coalesce(t.rest, 0) + 1))) kept_sha256 FROM d LEFT JOIN t USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express a query; the others are tested against plain versions."""
-    return {"op4_jump_sharding": _JUMP_SQL, "op8_minhash_join": _NEAR_SQL}
+    return {"op4_jump_sharding": _JUMP_SQL, "op5_suffix_array": _REPEATS_SQL, "op8_minhash_join": _NEAR_SQL}

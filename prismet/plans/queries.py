@@ -523,6 +523,69 @@ def observed_union(spark, d):
     return assay.observed_union(e, "unit").select("unit", F.array_join("classes", ",").alias("classes"), "size")
 
 
+@_register("WITH e AS (SELECT DISTINCT l_orderkey suite, l_linenumber c FROM lineitem), r AS (SELECT l_orderkey suite, l_linenumber c, bool_and(l_quantity < 48) ok, count(*) n FROM lineitem WHERE l_suppkey % 5 <> 0 GROUP BY 1, 2) SELECT suite, count(*) expected, count(n) performed, CASE WHEN coalesce(bool_or(NOT ok), false) THEN 'violated' WHEN max(n) > 1 THEN 'conflicting' WHEN count(n) < count(*) THEN 'incomplete' ELSE 'passed' END state FROM e LEFT JOIN r USING (suite, c) GROUP BY 1")
+def domain_suites(spark, d):
+    t = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("suite"), F.col("l_linenumber").alias("case_id"), (F.col("l_quantity") < 48).alias("passed"), "l_suppkey")
+    return evidence.domain_results(t.select("suite", "case_id").distinct(), t.where("l_suppkey % 5 <> 0"), ["suite"])
+
+
+@_register("WITH r AS (SELECT event_id id, user_id sample_id, CASE WHEN event_id % 3 = 0 THEN event_id - event_id % 7 END sup FROM events) SELECT r.id, r.sample_id, CASE WHEN bool_or(n.sample_id <> r.sample_id) THEN 'cross_sample_supersession' WHEN count(n.id) > 0 THEN 'selected_revision_superseded' ELSE 'current' END state FROM r LEFT JOIN r n ON n.sup = r.id GROUP BY 1, 2")
+def revision_states(spark, d):
+    r = _t(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("sample_id"), F.when(F.col("event_id") % 3 == 0, F.col("event_id") - F.col("event_id") % 7).alias("supersedes"))
+    return graph.successors(r)
+
+
+@_register("""WITH a AS (SELECT o_orderkey k, o_custkey % 2 cell, CASE WHEN o_custkey % 5 > 0 THEN o_orderkey % 3 END grp, CASE WHEN o_orderkey % 13 = 0 THEN 'not_attempted' ELSE 'completed' END st FROM orders WHERE o_orderkey % 11 <> 0)
+SELECT l_orderkey sample, l_linenumber line, array_to_string(list_sort(list_filter([
+CASE WHEN a.k IS NULL THEN 'attempt_reference_unresolved' END, CASE WHEN a.cell <> l_suppkey % 2 THEN 'attempt_cell_mismatch' END, CASE WHEN a.grp <> l_partkey % 3 THEN 'attempt_group_mismatch' END,
+CASE WHEN a.st = 'not_attempted' THEN 'output_from_unattempted_slot' END], lambda x: x IS NOT NULL)), ',') defects FROM lineitem LEFT JOIN a ON a.k = l_orderkey""")
+def attempt_association(spark, d):
+    real = _t(spark, d, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("sample_id"), F.col("l_orderkey").alias("attempt_id"), (F.col("l_suppkey") % 2).alias("analysis_cell_id"), (F.col("l_partkey") % 3).alias("generation_group_id"), F.lit(None).cast("string").alias("raw_response"))
+    tries = _t(spark, d, "orders").where("o_orderkey % 11 <> 0").select(F.col("o_orderkey").alias("attempt_id"), (F.col("o_custkey") % 2).alias("analysis_cell_id"), F.when(F.col("o_custkey") % 5 > 0, F.col("o_orderkey") % 3).alias("generation_group_id"), F.lit(None).cast("string").alias("raw_response"), F.when(F.col("o_orderkey") % 13 == 0, "not_attempted").otherwise("completed").alias("attempt_status"))
+    return admission.association(real, tries).select(F.col("sample_id.l_orderkey").alias("sample"), F.col("sample_id.l_linenumber").alias("line"), F.array_join("defects", ",").alias("defects"))
+
+
+@_register("WITH r AS (SELECT c_nationkey claim, (['structural_validity', 'external_presence', 'source_integrity', 'tail_retention', 'corrective_capacity'])[c_custkey % 5 + 1] condition, c_custkey % 41 > 0 met, c_custkey % 67 > 0 cur FROM customer) SELECT claim, CASE WHEN count(DISTINCT condition) < 5 THEN 'withheld' WHEN bool_and(met) AND bool_and(cur) THEN 'supported_for_scope' ELSE 'restricted' END disposition, coalesce(string_agg(DISTINCT CASE WHEN NOT met THEN condition END, ',' ORDER BY CASE WHEN NOT met THEN condition END), '') open_conditions FROM r GROUP BY 1")
+def integrity_dispositions(spark, d):
+    names = F.array(*map(F.lit, evidence.INTEGRITY))
+    r = _t(spark, d, "customer").select(F.col("c_nationkey").alias("claim"), F.get(names, (F.col("c_custkey") % 5).cast("int")).alias("condition"), F.when(F.col("c_custkey") % 41 > 0, "met").otherwise("open").alias("state"), (F.col("c_custkey") % 67 > 0).alias("current"))
+    return evidence.integrity_claims(r).select("claim", "disposition", F.array_join("open_conditions", ",").alias("open_conditions"))
+
+
+@_register("WITH i AS (SELECT DISTINCT n_name x FROM nation), o AS (SELECT DISTINCT least(a.n_name, b.n_name) a, greatest(a.n_name, b.n_name) b FROM customer JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = c_custkey % 7) SELECT l.x a, r.x b, o.a IS NOT NULL covered FROM i l JOIN i r ON l.x < r.x LEFT JOIN o ON o.a = l.x AND o.b = r.x")
+def registry_pairs(spark, d):
+    n = _t(spark, d, "nation").select("n_nationkey", "n_name")
+    items = sorted({r[0] for r in n.select("n_name").take(1000)})  # a registry of some dozen names
+    c = _t(spark, d, "customer").select("c_nationkey", (F.col("c_custkey") % 7).alias("_k"))
+    seen = c.join(n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("a")), "c_nationkey").join(n.select(F.col("n_nationkey").alias("_k"), F.col("n_name").alias("b")), "_k")
+    return evidence.pair_coverage(seen, items)
+
+
+@_register("SELECT doc_id, n_chars artifact, array_to_string(list_sort(list_filter([CASE WHEN count(*) OVER (PARTITION BY n_chars) > 1 THEN 'duplicate_artifact' END, CASE WHEN doc_id % 7 = 0 THEN 'audit_challenge' END, CASE WHEN quality IS NULL THEN 'decision_missing' END], lambda x: x IS NOT NULL)), ',') reasons, NOT (count(*) OVER (PARTITION BY n_chars) > 1 OR doc_id % 7 = 0 OR quality IS NULL) qualified FROM documents LEFT JOIN (SELECT doc_id, max(quality) quality FROM labels GROUP BY 1) USING (doc_id)")
+def artifact_qualification(spark, d):
+    decided = _t(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("decision"))
+    rows = _t(spark, d, "documents").select("doc_id", F.col("n_chars").alias("artifact_id"), (F.col("doc_id") % 7 == 0).alias("challenged"), F.lit(None).cast("array<string>").alias("problems")).join(decided, "doc_id", "left")
+    return evidence.qualification(rows).select("doc_id", F.col("artifact_id").alias("artifact"), F.array_join("reasons", ",").alias("reasons"), "qualified")
+
+
+@_register("WITH w AS (SELECT DISTINCT user_id trajectory, user_id % 20 AS first, user_id % 20 + 4 AS last FROM events) SELECT trajectory, string_agg(DISTINCT event_type, ',' ORDER BY event_type) restrictions FROM w JOIN events ON user_id = trajectory WHERE event_id % 30 > first AND event_id % 30 <= last GROUP BY 1")
+def regime_restrictions(spark, d):
+    e = _t(spark, d, "events")
+    windows = e.select(F.col("user_id").alias("trajectory"), (F.col("user_id") % 20).alias("first"), (F.col("user_id") % 20 + 4).alias("last")).distinct()
+    out = evidence.regime_restrictions(windows, e.select(F.col("user_id").alias("trajectory"), (F.col("event_id") % 30).alias("at"), F.col("event_type").alias("kind")))
+    return out.select("trajectory", F.array_join("restrictions", ",").alias("restrictions"))
+
+
+@_register("""WITH RECURSIVE l AS (SELECT c_custkey src, c_custkey // 2 dst FROM customer WHERE c_custkey % 10 <> 9 AND c_custkey > 1 UNION SELECT 9, 19 UNION SELECT 19, 9),
+r AS (SELECT c_custkey origin, c_custkey node FROM customer UNION SELECT r.origin, l.dst FROM r JOIN l ON l.src = r.node)
+SELECT origin decision, array_to_string(list_filter([CASE WHEN bool_or(node IN (9, 19)) THEN 'circular_evidence_support' END, CASE WHEN bool_or(node % 31 = 0) THEN 'dependent_evidence_unavailable' END], lambda x: x IS NOT NULL), ',') problems FROM r GROUP BY 1""")
+def evidence_walk(spark, d):
+    c = _t(spark, d, "customer").select("c_custkey")
+    links = c.where("c_custkey % 10 <> 9 AND c_custkey > 1").select(F.col("c_custkey").alias("src"), F.expr("c_custkey div 2").alias("dst")).union(spark.createDataFrame([(9, 19), (19, 9)], "src long, dst long"))
+    out = evidence.decisive_walk(c.withColumnRenamed("c_custkey", "decision"), links, c.where("c_custkey % 31 = 0").withColumnRenamed("c_custkey", "node"))
+    return out.select("decision", F.array_join("problems", ",").alias("problems"))
+
+
 def _answers(spark, d):
     """Responses of five sections that hold a turn each: all of them, one missing, one repeated, the last fence left open."""
     t = _t(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))

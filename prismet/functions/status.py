@@ -30,8 +30,16 @@ def ratio(num: Column, den: Column) -> Column:
     return result(status, value, num, den, reasons((missing, "inventory_unavailable"), (~missing & empty, "empty_denominator")))
 
 
-def difference(a: Column, b: Column) -> Column:
-    """a - b of two result structs: undefined only if both are known and one is undefined, otherwise unavailable."""
+def difference(a: Column, b: Column, unit_a: Column | None = None, unit_b: Column | None = None) -> Column:
+    """a - b of two result structs: undefined only if both are known and one is undefined, otherwise unavailable.
+
+    With units, values of different or unknown units have no difference.
+    """
+    if unit_a is not None and unit_b is not None:
+        same = F.coalesce(unit_a == unit_b, F.lit(False))
+        plain = difference(a, b)
+        why = F.array_sort(F.array_union(plain["reasons"], F.array(F.lit("unit_mismatch"))))
+        return F.when(same, plain).otherwise(result(F.lit(UNAVAILABLE), why=why))
     ok = (a["status"] == AVAILABLE) & (b["status"] == AVAILABLE)
     known = a["status"].isin(AVAILABLE, UNDEFINED) & b["status"].isin(AVAILABLE, UNDEFINED)
     status = F.when(ok, AVAILABLE).when(known, UNDEFINED).otherwise(UNAVAILABLE)

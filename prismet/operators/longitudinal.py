@@ -78,8 +78,10 @@ def fixed_mean(rows: DataFrame, keys: list[str], value: str, expected: int) -> D
 
 
 def root_curve(curves: DataFrame, roots: int, root: str = "root", order: str = "state") -> DataFrame:
-    """Mean of lineage roots by state; only where all roots share the grid [A20]."""
-    return fixed_mean(curves, [order], "mean", roots)
+    """Mean of lineage roots by state; unavailable as a whole unless all roots share one grid of states [A20]."""
+    grids = curves.groupBy(root).agg(F.array_sort(F.collect_set(order)).alias("_g")).agg((F.count_distinct("_g") <= 1).alias("_same"))  # one row
+    out = fixed_mean(curves, [order], "mean", roots).crossJoin(F.broadcast(grids))
+    return out.select(order, "units", F.when(F.col("_same"), F.col("mean")).alias("mean"), F.when(F.col("_same"), F.col("status")).otherwise(UNAVAILABLE).alias("status"))
 
 
 def first_crossing(curve: DataFrame, unit: str, order: str, value: str, share: float = 0.5) -> DataFrame:

@@ -74,17 +74,41 @@ def collection_account(plan: DataFrame, ledger: DataFrame, keys: list[str]) -> D
     return both.agg(F.count(F.lit(1)).alias("planned"), F.sum(F.coalesce("_e", F.lit(0))).alias("emitted"), F.sum(F.greatest(F.coalesce("attempts", F.lit(0)) - 1, F.lit(0))).alias("retries"), F.sum(F.when(F.col("attempts").isNull(), 1).otherwise(0)).alias("missing"))
 
 
+def collection_eligibility(plan: DataFrame, ledger: DataFrame, cell: str, group: str, index: str, ks: list[int]) -> DataFrame:
+    """Groups, complete groups, emitted prefix and the eligible k of each cell [A29].
+
+    A group is complete if every planned slot was emitted; k is eligible if the first k planned slots, by group and
+    index, were: a later success never fills an earlier hole.
+    """
+    got = ledger.where("emitted").select(cell, group, index).distinct().withColumn("_e", F.lit(True))
+    slots = plan.select(cell, group, index).distinct().join(got, [cell, group, index], "left").withColumn("_e", F.coalesce("_e", F.lit(False)))
+    groups = slots.groupBy(cell, group).agg(F.bool_and("_e").alias("_whole")).groupBy(cell).agg(F.count(F.lit(1)).alias("groups"), F.sum(F.col("_whole").cast("long")).alias("complete_groups"))
+    placed = slots.withColumn("_n", F.row_number().over(Window.partitionBy(cell).orderBy(group, index)))
+    prefix = placed.groupBy(cell).agg(F.coalesce(F.min(F.when(~F.col("_e"), F.col("_n"))) - 1, F.count(F.lit(1))).cast("long").alias("prefix"))
+    able = F.array_compact(F.array(*[F.when(F.col("prefix") >= k, F.lit(k)) for k in ks]))
+    return groups.join(prefix, cell).select(cell, "groups", "complete_groups", "prefix", able.alias("eligible"))
+
+
 def order_violations(calls: DataFrame, key: str, order: str, time: str) -> DataFrame:
     """Calls whose time does not increase with their registered order [W13]."""
     w = Window.partitionBy(key).orderBy(order)
     return calls.withColumn("_before", F.lag(time).over(w)).where(F.col(time) <= F.col("_before")).drop("_before")
 
 
-def log_coverage(expected: DataFrame, observed: DataFrame, key: str) -> DataFrame:
-    """missing, unexpected, duplicate or in order of each id of a validation log [A33, V2]."""
-    seen = observed.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    both = expected.select(key).distinct().withColumn("_e", F.lit(True)).join(seen, key, "full_outer")
-    return both.select(key, F.when(F.col("_e").isNull(), "unexpected").when(F.col("_n").isNull(), "missing").when(F.col("_n") > 1, "duplicate").otherwise("once").alias("coverage"))
+def log_coverage(expected: DataFrame, observed: DataFrame, key: str, place: str | None = None, block: str | None = None) -> DataFrame:
+    """missing, unexpected, duplicate, out_of_order or once of each id of a validation log [A33, V2].
+
+    With ``place`` (a column of both tables), an id of ``block`` whose place is not after that of the id expected before
+    it is out of order; ids that are not there are passed over.
+    """
+    seen = observed.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *([F.min(place).alias("_at")] if place else []))
+    own = [block] if block else []
+    both = expected.select(key, *own, *([F.col(place).alias("_want")] if place else [])).dropDuplicates([key]).withColumn("_e", F.lit(True)).join(seen, key, "full_outer")
+    late = F.lit(False)
+    if place:
+        w = Window.partitionBy(*(own or [F.lit(0)])).orderBy("_want")
+        late = F.coalesce(F.col("_at") <= F.last(F.when(F.col("_e"), F.col("_at")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    return both.select(key, F.when(F.col("_e").isNull(), "unexpected").when(F.col("_n").isNull(), "missing").when(F.col("_n") > 1, "duplicate").when(late, "out_of_order").otherwise("once").alias("coverage"))
 
 
 def spending(rows: DataFrame, keys: list[str], amount: str, currency: str) -> DataFrame:

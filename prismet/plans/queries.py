@@ -586,6 +586,16 @@ def evidence_walk(spark, d):
     return out.select("decision", F.array_join("problems", ",").alias("problems"))
 
 
+@_register("""WITH p AS (SELECT l_orderkey cell, l_linenumber % 2 g, l_linenumber i, bool_or(l_quantity < 40) e FROM lineitem GROUP BY 1, 2, 3),
+o AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY g, i) n FROM p), t AS (SELECT cell, coalesce(min(CASE WHEN NOT e THEN n END) - 1, count(*)) prefix FROM o GROUP BY 1),
+c AS (SELECT cell, count(*) AS groups, sum(ok::BIGINT)::BIGINT complete_groups FROM (SELECT cell, g, bool_and(e) ok FROM p GROUP BY 1, 2) GROUP BY 1)
+SELECT cell, groups, complete_groups, prefix, concat_ws(',', CASE WHEN prefix >= 1 THEN '1' END, CASE WHEN prefix >= 2 THEN '2' END, CASE WHEN prefix >= 4 THEN '4' END) eligible FROM c JOIN t USING (cell)""")
+def collection_eligibility(spark, d):
+    t = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("cell"), (F.col("l_linenumber") % 2).alias("group"), F.col("l_linenumber").alias("index"), (F.col("l_quantity") < 40).alias("emitted"))
+    out = study.collection_eligibility(t, t, "cell", "group", "index", [1, 2, 4])
+    return out.withColumn("eligible", F.array_join(F.transform("eligible", lambda k: k.cast("string")), ","))
+
+
 def _answers(spark, d):
     """Responses of five sections that hold a turn each: all of them, one missing, one repeated, the last fence left open."""
     t = _t(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))

@@ -21,14 +21,18 @@ def late_rows(events: DataFrame, time: str, registered: str) -> DataFrame:
 
 
 _OUT = "unit string, class string, state long, recurrence string"
-_STATE = "seen boolean, absent boolean, gap boolean"
+_STATE = "seen boolean, absent boolean, gap boolean, last long"
 
 
 def _recur(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seen, absent, gap = state.get if state.exists else (False, False, False)
+    seen, absent, gap, last = state.get if state.exists else (False, False, False, None)
     rows = pd.concat(frames).sort_values("state")
     out = []
     for s, o in zip(rows["state"], rows["observed"], strict=True):
+        if last is not None and s <= last:
+            out.append((s, "out_of_order"))
+            continue
+        last = int(s)
         if pd.isna(o):
             gap = gap or seen
             out.append((s, "gap"))
@@ -38,12 +42,16 @@ def _recur(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[p
         else:
             out.append((s, "first_observed" if not seen else "observed_reappearance" if absent else "observed_after_gap" if gap else "observed"))
             seen, absent, gap = True, False, False
-    state.update((seen, absent, gap))
+    state.update((seen, absent, gap, last))
     yield pd.DataFrame([(str(key[0]), str(key[1]), s, r) for s, r in out], columns=["unit", "class", "state", "recurrence"])
 
 
 def live_recurrence(slots: DataFrame) -> DataFrame:
-    """Recurrence [W7] of slots (unit, class, state, observed) that arrive in state order; one small state for each (unit, class)."""
+    """Recurrence [W7] of slots (unit, class, state, observed); one small state for each (unit, class).
+
+    Slots of a batch are taken in the order of their states. One that comes after a later state, or again, is flagged
+    out_of_order and changes nothing, since what was emitted before cannot be taken back.
+    """
     return slots.groupBy("unit", "class").applyInPandasWithState(_recur, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 

@@ -5,8 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from prismet.functions.canonical import InputProblem
-from prismet.operators import assay, evidence, text_pairs
+from prismet.functions.status import difference, ratio
+from prismet.operators import assay, evidence, longitudinal, text_pairs
+from prismet.operators import study as operators
 from prismet.sources import study
+from prismet.streaming import live
 
 
 def test_schema_interpreter():
@@ -71,3 +74,52 @@ def test_budget_is_shared_in_order(spark):
     held, status = text_pairs.affordable(sets, 3, 24 * 7, ["cell"])  # three sets of four items: 3 pairs, 24 visits a cell
     assert sorted(r["cell"] for r in status.where("status = 'available'").collect()) == [f"c{k:02}" for k in range(7)] and held.count() == 21
     assert text_pairs.affordable(sets, 2, 10**9, ["cell"])[0].count() == 0
+
+
+def test_log_order_and_eligibility(spark):
+    want = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4), ("e", 5)], "id string, at int")
+    got = spark.createDataFrame([("a", 10), ("c", 20), ("b", 30), ("e", 40), ("e", 41), ("x", 50)], "id string, at int")
+    assert {r["id"]: r["coverage"] for r in operators.log_coverage(want, got, "id", "at").collect()} == {"a": "once", "b": "once", "c": "out_of_order", "d": "missing", "e": "duplicate", "x": "unexpected"}
+    plan = spark.createDataFrame([("c", g, i) for g in (1, 2) for i in (1, 2)], "cell string, group int, index int")
+    ledger = spark.createDataFrame([("c", 1, 1, True), ("c", 1, 2, False), ("c", 1, 2, True), ("c", 2, 2, True)], "cell string, group int, index int, emitted boolean")
+    r = operators.collection_eligibility(plan, ledger, "cell", "group", "index", [1, 2, 3]).first()
+    assert (r["groups"], r["complete_groups"], r["prefix"], r["eligible"]) == (2, 1, 2, [1, 2])
+
+
+def test_roots_need_one_grid_and_values_one_unit(spark):
+    rows = [("r", 0, 1.0), ("r", 1, 2.0), ("s", 0, 3.0), ("s", 1, 4.0)]
+    run = lambda rows: {r["state"]: (r["mean"], r["status"]) for r in longitudinal.root_curve(spark.createDataFrame(rows, "root string, state int, mean double"), 2).collect()}
+    assert run(rows) == {0: (2.0, "available"), 1: (3.0, "available")}
+    assert run(rows[:3]) == {0: (None, "unavailable"), 1: (None, "unavailable")}
+    df = spark.createDataFrame([("s", "s"), ("s", "h"), ("s", None)], "a string, b string")
+    five, two = (ratio(F.lit(n), F.lit(1)) for n in (5, 2))
+    got = df.select(difference(five, two, F.col("a"), F.col("b")).alias("d")).collect()
+    assert [(r["d"]["value"], r["d"]["status"], r["d"]["reasons"]) for r in got] == [(3.0, "available", []), (None, "unavailable", ["unit_mismatch"]), (None, "unavailable", ["unit_mismatch"])]
+
+
+def test_live_counts_late_rows_and_replayed_batches(spark, tmp_path):
+    rows = [("2024-01-01 10:00:00", "c", "X"), ("2024-01-01 11:00:00", "c", "X"), ("2024-01-02 10:00:00", "c", "Y"), ("2024-01-05 00:00:00", "c", "Z")]
+    schema = "at timestamp, cell string, class string"
+    spark.createDataFrame(rows, "at string, cell string, class string").select(F.to_timestamp("at").alias("at"), "cell", "class").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    q = live.windowed_counts(stream, "at", "cell", "class").writeStream.format("memory").queryName("counts").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").start()
+    q.processAllAvailable()
+    q.stop()
+    assert {(str(r["window"]["start"].date()), r["class"], r["n"]) for r in spark.table("counts").collect()} == {("2024-01-01", "X", 2), ("2024-01-02", "Y", 1)}, "the last window is still open"
+    late = live.late_rows(spark.createDataFrame([(1, 2), (2, 2), (3, 2)], "at int, reg int"), "at", "reg")
+    assert [r["registered_late"] for r in late.orderBy("at").collect()] == [True, False, False]
+    sink = live.idempotent_sink(f"{tmp_path}/out")
+    for n in (0, 1, 1):
+        sink(spark.range(3), n)
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 6
+
+
+def test_live_recurrence_flags_what_comes_late(spark, tmp_path):
+    schema = "unit string, class string, state long, observed boolean"
+    for n, rows in enumerate(([("u", "c", 1, True), ("u", "c", 3, False)], [("u", "c", 2, True), ("u", "c", 4, True)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        q = live.live_recurrence(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").start(f"{tmp_path}/out")
+        q.processAllAvailable()
+        q.stop()
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert {r["state"]: r["recurrence"] for r in got} == {1: "first_observed", 3: "absent", 2: "out_of_order", 4: "observed_reappearance"}

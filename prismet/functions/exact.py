@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from decimal import Decimal, localcontext
 from fractions import Fraction
-from math import gcd
+from math import gcd, isfinite
 
 import pandas as pd
 from pyspark.sql import Column
@@ -176,3 +176,31 @@ def half_life_status(start: Column, end: Column) -> Column:
     return (
         F.when(start.isNull() | end.isNull(), "unavailable").when(start == 0, "undefined_zero_start").when(end == 0, "undefined_zero_end").when(end == start, "undefined_no_decay").when(end > start, "undefined_growth").otherwise("available")
     )
+
+
+def exact_operand(value: float | None, ratio: tuple[int, int] | None, bits: int = 131_072) -> tuple[Fraction | None, str | None]:
+    """The exact value of a stored number, or why it has none [V28].
+
+    A stored ratio counts if it renders to the stored number, so that a sign never hangs on rounding; without a ratio the
+    number is what its binary form says. Numerators and denominators beyond ``bits`` are refused, not rounded.
+    """
+    if value is None:
+        return None, "uncertainty_operand_unavailable"
+    if isinstance(value, float) and not isfinite(value):
+        return None, "nonfinite_uncertainty_operand"
+    exact = Fraction(value)
+    if ratio is not None:
+        num, den = ratio
+        if num is None or den is None or den <= 0:
+            return None, "invalid_exact_uncertainty_ratio"
+        exact = Fraction(num, den)
+        if max(abs(exact.numerator).bit_length(), exact.denominator.bit_length()) <= bits:
+            try:
+                shown = float(exact)
+            except OverflowError:
+                return None, "uncertainty_numeric_overflow"
+            if shown != value or (exact != 0) != (shown != 0):
+                return None, "numerical_sign_or_representation_instability"
+    if max(abs(exact.numerator).bit_length(), exact.denominator.bit_length()) > bits:
+        return None, "uncertainty_exact_limit_exceeded"
+    return exact, None

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismet.functions.exact import gate, percentile
-from prismet.functions.status import AVAILABLE, UNAVAILABLE, difference
+from prismet.functions.status import AVAILABLE, UNAVAILABLE, difference, reasons
 
 PAIRED_SEED, TRAJECTORY_SEED, REPLICATES = 20260917, 20260919, 2000
 #: Gate thresholds (fixed values): ratio, numerator, denominator.
@@ -73,6 +73,43 @@ def all_passed(gates: DataFrame, keys: list[str]) -> DataFrame:
     return gates.groupBy(*keys).agg(F.bool_and(ok).alias("passed"), F.array_sort(F.collect_set(F.when(~ok, F.col("gate")))).alias("open_gates"))
 
 
+#: Groups of evidence that a confirmatory comparison needs (fixed values).
+EVIDENCE_GROUPS = ["registration", "exposure", "structural_validation", "core_audit", "integrity", "independence"]
+
+
+def evidence_scope(comparisons: DataFrame, facts: DataFrame, corrected: DataFrame) -> DataFrame:
+    """comparison, status, reasons: whether each comparison's own evidence covers its cells and frames [F8].
+
+    comparisons: comparison, material_role, reanalysis, fixture_context, restricted (booleans), scopes (keys of its cells
+    and frames); facts: comparison, group, record_type, status, mock, scopes, codes (what else the group's own checks
+    found); corrected: (target, codes) of corrections of independence, schema, membership or validity. A fixture needs
+    no evidence, but what it supplies must not contradict it; it is stipulated, never passed.
+    """
+    none = F.array().cast("array<string>")
+    own = facts.join(comparisons.select("comparison", F.col("scopes").alias("_own")), "comparison").withColumn("_in", F.arrays_overlap("scopes", "_own"))
+    fine = (F.col("status") == "record_consistent") & ~F.coalesce("mock", F.lit(False))
+    per = own.groupBy("comparison", "group").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.when(F.col("status") == "record_consistent", 1).otherwise(0)).alias("_sound"), F.bool_or(F.coalesce("_in", F.lit(False))).alias("_scoped"), F.bool_or(F.col("_in") & ~fine).alias("_limited"),
+        F.bool_or(F.col("_in") & (F.col("record_type") == "audit")).alias("_audit"), F.flatten(F.collect_set(F.when(F.col("_in"), F.coalesce("codes", none)))).alias("_codes"),
+    )
+    wanted = comparisons.select("comparison", F.explode(F.array(*map(F.lit, EVIDENCE_GROUPS))).alias("group")).join(per, ["comparison", "group"], "left")
+    name = lambda code: F.concat("group", F.lit(code))
+    lost = F.when(F.col("_n").isNull(), F.array(name("_not_supplied"))).when(~F.col("_scoped"), F.array(name("_scope_not_established"))).otherwise(F.array_compact(F.array(F.when(F.col("_limited"), name("_record_limited")))))
+    audit = F.when((F.col("group") == "core_audit") & ~F.coalesce("_audit", F.lit(False)), F.array(F.lit("actual_sample_audit_not_supplied"))).otherwise(none)
+    timely = F.when((F.col("group") == "registration") & ((F.coalesce("_n", F.lit(0)) < 3) | (F.col("_sound") < F.col("_n"))), F.array(F.lit("prospective_registration_unresolved"))).otherwise(none)
+    gathered = wanted.withColumn("_why", F.concat(lost, audit, timely, F.coalesce("_codes", none)))
+    registered = F.bool_or((F.col("group") == "registration") & F.col("_n").isNotNull() & ((F.col("_n") < 3) | (F.col("_sound") < F.col("_n"))))
+    gathered = gathered.groupBy("comparison").agg(F.array_distinct(F.flatten(F.collect_list("_why"))).alias("_why"), registered.alias("_contradicted"))
+    fixed = comparisons.select("comparison", F.explode("scopes").alias("target")).join(corrected.select("target"), "target", "left_semi").select("comparison").distinct().withColumn("_fixed", F.lit(True))
+    rows = comparisons.join(gathered, "comparison").join(fixed, "comparison", "left").withColumn("_fixed", F.coalesce("_fixed", F.lit(False)))
+    fixture = F.col("material_role") == "fixture"
+    stipulated = reasons((~F.coalesce("fixture_context", F.lit(False)), "fixture_admission_context_missing"), (F.coalesce("_contradicted", F.lit(False)), "supplied_fixture_registration_unresolved"), (F.col("_fixed"), "active_evidence_correction"))
+    real = F.array_union("_why", reasons((~F.col("material_role").eqNullSafe(F.lit("confirmatory")), "nonconfirmatory_or_reanalysis_scope"), (F.col("reanalysis"), "reanalysis_not_new_confirmation"), (F.col("restricted"), "admission_claim_restrictions"), (F.col("_fixed"), "active_evidence_correction")))
+    why = F.when(fixture, stipulated).otherwise(real)
+    status = F.when(F.size(why) > 0, "unresolved").when(fixture, "fixture_stipulated").otherwise("passed")
+    return rows.select("comparison", status.alias("status"), F.array_sort(F.when(fixture, F.array_union(why, F.array(F.lit("fixture_only_no_empirical_validation")))).otherwise(why)).alias("reasons"))
+
+
 def _digest(x) -> str:
     return hashlib.sha256(json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=True).encode()).hexdigest()
 

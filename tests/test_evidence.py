@@ -1,12 +1,14 @@
 import json
+from fractions import Fraction
 from hashlib import sha256
 
 import pytest
 from pyspark.sql import functions as F
 
 from prismet.functions.canonical import InputProblem
+from prismet.functions.exact import exact_operand
 from prismet.functions.status import difference, ratio
-from prismet.operators import assay, evidence, longitudinal, text_pairs
+from prismet.operators import assay, compare, evidence, longitudinal, text_pairs
 from prismet.operators import study as operators
 from prismet.sources import study
 from prismet.streaming import live
@@ -123,3 +125,33 @@ def test_live_recurrence_flags_what_comes_late(spark, tmp_path):
         q.stop()
     got = spark.read.parquet(f"{tmp_path}/out").collect()
     assert {r["state"]: r["recurrence"] for r in got} == {1: "first_observed", 3: "absent", 2: "out_of_order", 4: "observed_reappearance"}
+
+
+def test_evidence_scope_of_comparisons(spark):
+    head = "comparison string, material_role string, reanalysis boolean, fixture_context boolean, restricted boolean, scopes array<string>"
+    own = ["cell:c", "frame:f"]
+    rows = [(k, "confirmatory", False, False, False, own) for k in ("whole", "far", "bare", "mocked", "late", "coded")] + [("fixed", "confirmatory", False, False, False, ["cell:x"]), ("again", "pilot", True, False, True, own), ("toy", "fixture", False, True, False, own), ("toy2", "fixture", False, False, False, own)]
+    facts = []
+    for k in ("whole", "far", "mocked", "late", "coded", "fixed", "again"):
+        at = ["cell:x"] if k == "fixed" else own[:1]
+        for g in compare.EVIDENCE_GROUPS:
+            for n in range(3 if g == "registration" else 1):
+                sound = "unresolved" if k == "late" and g == "registration" and n == 2 else "record_consistent"
+                facts.append((k, g, "audit" if g == "core_audit" else "evidence", sound, k == "mocked" and g == "exposure", ["cell:other"] if k == "far" and g == "integrity" else at, ["independence_not_supported"] if k == "coded" and g == "independence" else None))
+    facts.append(("toy2", "registration", "evidence", "record_consistent", False, own, None))
+    facts = spark.createDataFrame(facts, "comparison string, group string, record_type string, status string, mock boolean, scopes array<string>, codes array<string>")
+    corrected = spark.createDataFrame([("cell:x", ["correction_applied:k"])], "target string, codes array<string>")
+    got = {r["comparison"]: (r["status"], r["reasons"]) for r in compare.evidence_scope(spark.createDataFrame(rows, head), facts, corrected).collect()}
+    assert got == {
+        "whole": ("passed", []), "far": ("unresolved", ["integrity_scope_not_established"]), "mocked": ("unresolved", ["exposure_record_limited"]), "late": ("unresolved", ["prospective_registration_unresolved", "registration_record_limited"]),
+        "bare": ("unresolved", sorted([f"{g}_not_supplied" for g in compare.EVIDENCE_GROUPS] + ["actual_sample_audit_not_supplied", "prospective_registration_unresolved"])), "coded": ("unresolved", ["independence_not_supported"]), "fixed": ("unresolved", ["active_evidence_correction"]),
+        "again": ("unresolved", ["admission_claim_restrictions", "nonconfirmatory_or_reanalysis_scope", "reanalysis_not_new_confirmation"]), "toy": ("fixture_stipulated", ["fixture_only_no_empirical_validation"]),
+        "toy2": ("unresolved", ["fixture_admission_context_missing", "fixture_only_no_empirical_validation", "supplied_fixture_registration_unresolved"]),
+    }
+
+
+def test_exact_operands():
+    third = 1 / 3
+    assert exact_operand(third, (1, 3)) == (Fraction(1, 3), None) and exact_operand(0.5, None) == (Fraction(1, 2), None)
+    assert [exact_operand(*x)[1] for x in ((None, None), (float("inf"), None), (1.0, (1, 0)), (0.3, (1, 3)), (0.0, (1, 10**400)))] == ["uncertainty_operand_unavailable", "nonfinite_uncertainty_operand", "invalid_exact_uncertainty_ratio", "numerical_sign_or_representation_instability", "numerical_sign_or_representation_instability"]
+    assert exact_operand(third, (1, 3), bits=1)[1] == "uncertainty_exact_limit_exceeded"

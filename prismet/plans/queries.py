@@ -160,16 +160,16 @@ def set_change(spark, d):
 
 
 @_register("""WITH o AS (SELECT user_id % 20 unit, event_type cls, CAST(date_diff('day', TIMESTAMP '2024-01-01', date_trunc('day', ts)) AS INTEGER) state, count(*) n FROM events GROUP BY 1, 2, 3),
-g AS (SELECT DISTINCT u.unit, c.cls, s.state FROM (SELECT DISTINCT unit FROM o) u, (SELECT DISTINCT cls FROM o) c, (SELECT CAST(unnest(range(0, 30)) AS INTEGER) state) s),
-h AS (SELECT g.*, CASE WHEN g.state % 7 = 6 THEN NULL ELSE o.n IS NOT NULL AND o.n > 2 END seen FROM g LEFT JOIN o ON o.unit = g.unit AND o.cls = g.cls AND o.state = g.state),
+g AS (SELECT DISTINCT u.unit, c.cls, s.state FROM (SELECT DISTINCT unit FROM o) u, (SELECT DISTINCT cls FROM o) c, (SELECT CAST(unnest(range((SELECT min(state) FROM o), (SELECT max(state) + 1 FROM o))) AS INTEGER) state) s),
+h AS (SELECT g.*, CASE WHEN g.state NOT IN (SELECT state FROM o) THEN NULL ELSE o.n IS NOT NULL AND o.n > 2 END seen FROM g LEFT JOIN o ON o.unit = g.unit AND o.cls = g.cls AND o.state = g.state),
 w AS (SELECT *, max(CASE WHEN seen THEN state END) OVER b ls, max(CASE WHEN NOT seen THEN state END) OVER b la, max(CASE WHEN seen IS NULL THEN state END) OVER b lg FROM h WINDOW b AS (PARTITION BY unit, cls ORDER BY state ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT unit, cls AS class, state, CASE WHEN seen IS NULL THEN 'gap' WHEN NOT seen THEN 'absent' WHEN ls IS NULL THEN 'first_observed' WHEN la > ls THEN 'observed_reappearance' WHEN lg > ls THEN 'observed_after_gap' ELSE 'observed' END recurrence FROM w""")
 def recurrence(spark, d):
     o = _daily(spark, d).groupBy("unit", "class", "state").agg(F.count("*").alias("n"))
     days = o.agg(F.sequence(F.min("state"), F.max("state")).alias("_s")).select(F.explode("_s").alias("state"))
     grid = o.select("unit").distinct().join(o.select("class").distinct(), F.lit(True)).join(days, F.lit(True))
-    seen = F.when(F.col("state") % 7 == 6, F.lit(None).cast("boolean")).otherwise(F.coalesce(F.col("n") > 2, F.lit(False)))
-    slots = grid.join(o, ["unit", "class", "state"], "left").withColumn("observed", seen)
+    held = o.select("state").distinct().withColumn("held", F.lit(True))
+    slots = grid.join(o, ["unit", "class", "state"], "left").join(held, "state", "left").withColumn("observed", F.when(F.col("held"), F.coalesce(F.col("n") > 2, F.lit(False))))
     return longitudinal.recurrence(slots, ["unit", "class"], "state").select("unit", "class", "state", "recurrence")
 
 

@@ -2,8 +2,9 @@
 
 Features are the hashes of lower-cased words, of neighbouring pairs and of pairs with one word between, each once a text.
 FTRL-proximal keeps a learning rate for each coordinate and sets weights inside the L1 ball to exactly zero, so the model
-is a short table of hashes and weights whatever the vocabulary. It is fitted on at most ``bound`` labelled rows (of
-both labels; those with the least hash of their id) in one task; every whole text is scored.
+is a short table of hashes and weights whatever the vocabulary. It is fitted in one task, on at most ``bound`` labelled
+rows (of both labels; those with the least hash of their id) of at most ``bound_bytes`` together; every whole text is
+scored.
 
 Nulls and empty texts have no features and get the score of the intercept. Rows with a null label or id teach nothing;
 without labelled rows of both kinds every score is 0.0. Repeated rows are scored each.
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismet.llm._stage import map_arrow
@@ -119,8 +120,12 @@ def _learner(options: dict):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, *, allowed: Column | None = None, bound: int = 9000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> Model | None:
-    """Fit on at most ``bound`` labelled rows, up to a third of them of label 1; ``allowed`` restricts the labels' rows."""
+def train(docs: DataFrame, labels: DataFrame, *, allowed: Column | None = None, bound: int = 9000, bound_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> Model | None:
+    """Fit on at most ``bound`` labelled rows, up to a third of them of label 1; ``allowed`` restricts the labels' rows.
+
+    Whole texts, in the order of the hash of their ids, up to ``bound_bytes`` in all; a text that would fill more than a
+    64th of that alone is left out of the sample, so that no single one displaces the others.
+    """
     own = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id IS NOT NULL AND _y IN (0, 1)")
     if allowed is not None:
         own = own.where(allowed)
@@ -130,8 +135,10 @@ def train(docs: DataFrame, labels: DataFrame, *, allowed: Column | None = None,
     chosen = pick(1, few).union(pick(0, bound - few))
     # At most ``bound`` ids and labels are broadcast.
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), "_id")
-    # The scan stays parallel; the bounded sample alone goes to the one task that learns.
-    got = map_arrow(texts.select("_id", "_text", "_y").repartition(1), _learner(options), "model binary").collect()
+    # The scan stays parallel; the sample alone, bounded in rows and bytes, goes to the one task that learns.
+    size = F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long")
+    sample = texts.where(size * 64 <= bound_bytes).withColumn("_sum", F.sum(size).over(Window.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text"))))
+    got = map_arrow(sample.where(F.col("_sum") <= bound_bytes).select("_id", "_text", "_y"), _learner(options), "model binary").collect()
     if not got:
         return None
     with np.load(io.BytesIO(bytes(got[0]["model"]))) as m:

@@ -411,6 +411,8 @@ def test_toxicity(spark):
     right = sum((out[i]["score"] >= 0.7) == bool(y) for i, _, y in held)
     assert right >= 0.95 * len(held) and out[900]["score"] == out[901]["score"] and len(model.keys) < 400
     assert toxicity.train(docs, labels.limit(0)) is None
+    long = docs.select("doc_id", F.when(F.col("doc_id") == 0, F.repeat(F.lit("zz "), 1_000_000)).otherwise(F.col("text")).alias("text"))
+    assert len(toxicity.train(long, labels, bound_bytes=1 << 20).keys) and toxicity.train(long, labels, bound_bytes=64) is None
     assert all(r["score"] == 0 for r in toxicity.scored(docs, None).collect())
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prismet.operators import admission, assay, compare, evidence, graph, longitudinal, metrics, null_model, responses, study, text_pairs
+from prismet.operators import admission, assay, bindings, compare, evidence, graph, longitudinal, metrics, null_model, responses, study, text_pairs
 from prismet.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -625,3 +625,125 @@ def response_extraction(spark, d):
 def lexical_units(spark, d):
     out = text_pairs.trigram_sets(_t(spark, d, "conversations").select("conv_id", "turn", "text"))
     return out.select("conv_id", "turn", F.col("tok.status").alias("status"), F.col("tok.n_units").alias("n_units"), F.size("tok.trigrams").alias("n_trigrams"))
+
+
+def _parts(spark, d):
+    """Parts as measurements: a brand is their cell, a size their state, a container their panel."""
+    p = _t(spark, d, "part").select("p_partkey", "p_size", "p_brand")
+    k = F.col("p_partkey")
+    return p.select(
+        k.alias("measurement"), (k % 40).alias("cell"), (k % 30).alias("state"), (k % 10).alias("panel"), F.when(k % 2 == 0, "all").otherwise("valid").alias("view"), F.when(k % 11 == 0, 9).otherwise(k % 4).cast("long").alias("frame"), (k % 2).alias("protocol"), (k % 5).alias("registry"),
+        F.when(k % 17 > 0, F.array(k % 40, k % 3)).alias("samples"), F.lit("first").alias("rule"), F.when(k % 13 > 0, F.lit(8)).alias("planned"),
+    )
+
+
+@_register("""WITH m AS (SELECT p_partkey k, p_partkey % 40 cell, p_partkey % 2 vw, p_partkey % 30 st FROM part),
+u AS (SELECT cell, vw, min(st) < max(st) reused FROM m GROUP BY 1, 2)
+SELECT k AS measurement, array_to_string(list_sort(list_filter([
+CASE WHEN k % 7 = 0 THEN 'measurement_not_linked_by_state' END, CASE WHEN k % 11 = 0 THEN 'measurement_frame_mismatch' END,
+CASE WHEN k % 17 = 0 OR m.cell % 9 = 8 THEN 'measurement_selection_unresolved' END,
+CASE WHEN k % 17 > 0 AND m.cell % 9 < 8 AND (k % 3 <> 1 AND m.cell <> k % 3 AND m.cell <> 1 OR k % 3 = m.cell OR m.cell = 1 AND k % 3 <> 1) THEN 'measurement_selected_identity_mismatch' END,
+CASE WHEN m.cell % 9 < 8 AND m.cell % 6 = 5 THEN 'selection_rule_mismatch' END, CASE WHEN k % 13 = 0 THEN 'measurement_budget_unresolved' END,
+CASE WHEN reused THEN 'same_measurement_reused_as_new_state' END], lambda x: x IS NOT NULL)), ',') codes FROM m JOIN u USING (cell, vw)""")
+def measurement_bindings(spark, d):
+    m = _parts(spark, d)
+    cells = spark.range(40).select(F.col("id").alias("cell"), (F.col("id") % 4).alias("frame"), (F.col("id") % 2).alias("protocol"), (F.col("id") % 5).alias("registry"))
+    linked = m.where("measurement % 7 > 0").groupBy("state").agg(F.collect_set("measurement").alias("linked"))
+    states = spark.range(30).select(F.col("id").alias("state"), F.lit("probe_output").alias("stage_role")).join(linked, "state", "left")
+    chosen = cells.where("cell % 9 < 8").select("cell", F.array("cell", F.lit(1).cast("long")).alias("samples"), F.when(F.col("cell") % 6 == 5, "last").otherwise("first").alias("rule"))
+    panels = spark.createDataFrame([], "panel long, frame long, protocol long, registry long, view string, rule string, planned int, stage_role string")
+    return bindings.measurement_bindings(m, cells, states, chosen, panels).select("measurement", F.array_join("codes", ",").alias("codes"))
+
+
+def _slots(spark, d):
+    """Mean event values of four panels by day and class; every sixth day is left out by design, panel 3 on day 5 by mistake."""
+    e = _t(spark, d, "events").select(F.col("event_type").alias("request"), (F.col("event_id") % 20).alias("state"), (F.col("user_id") % 4).alias("panel"), "value")
+    g = e.groupBy("request", "state", "panel").agg(F.sum(F.col("value").cast("decimal(20,4)")).alias("value"))
+    skip = F.col("state") % 6 == 4
+    slot = F.when(skip & ((F.col("state") != 10) | (F.col("panel") > 0)), "intentionally_unsampled").when((F.col("state") == 5) & (F.col("panel") == 3), "missing").otherwise("observed")
+    return g.withColumn("slot", slot).withColumn("value", F.when(F.col("slot") == "observed", F.col("value").cast("double")))
+
+
+_SLOTS = """g AS (SELECT event_type request, event_id % 20 st, user_id % 4 panel, CAST(sum(CAST(value AS DECIMAL(20,4))) AS DOUBLE) v FROM events GROUP BY 1, 2, 3),
+s AS (SELECT request, st, panel, CASE WHEN st % 6 = 4 AND (st <> 10 OR panel > 0) THEN 'skip' WHEN st = 5 AND panel = 3 THEN 'missing' ELSE 'observed' END slot, v FROM g),
+p AS (SELECT request, st, count(*) n, count(CASE WHEN slot = 'observed' THEN 1 END) have, count(CASE WHEN slot = 'skip' THEN 1 END) skipped, avg(CASE WHEN slot = 'observed' THEN v END) mean FROM s GROUP BY 1, 2),
+w AS (SELECT request, count(DISTINCT panel) n_panels FROM s GROUP BY 1)"""
+
+
+@_register(f"WITH {_SLOTS} SELECT request, st AS state, round(CASE WHEN have = n_panels THEN mean END, 6) AS mean, CASE WHEN have = n_panels THEN 'available' WHEN skipped = n THEN 'intentionally_unsampled' ELSE 'missing' END status FROM p JOIN w USING (request)")
+def curve_points(spark, d):
+    return bindings.curve_points(_slots(spark, d)).withColumn("mean", F.round("mean", 6))
+
+
+@_register(f"""WITH {_SLOTS}, e AS (SELECT request, min(st) a, max(st) b FROM s GROUP BY 1)
+SELECT s.request, CASE WHEN bool_or(slot = 'missing' AND s.st IN (a, b)) THEN 'expected_panel_measurement_missing' ELSE '' END endpoint,
+concat_ws(',', CASE WHEN bool_or(slot = 'missing') THEN 'expected_panel_measurement_missing' END, CASE WHEN max(CASE WHEN skipped > 0 AND skipped < n THEN 1 ELSE 0 END) = 1 THEN 'incomplete_common_panel_schedule' END) regime
+FROM s JOIN e ON e.request = s.request JOIN p ON p.request = s.request AND p.st = s.st GROUP BY 1""")
+def curve_reasons(spark, d):
+    out = bindings.curve_reasons(_slots(spark, d))
+    return out.select("request", F.array_join("endpoint", ",").alias("endpoint"), F.array_join("regime", ",").alias("regime"))
+
+
+@_register(f"""WITH {_SLOTS}, k AS (SELECT request, panel unit, string_agg(st::VARCHAR, ',' ORDER BY st) times, bool_or(slot = 'missing') lost FROM s WHERE slot <> 'skip' GROUP BY 1, 2),
+t AS (SELECT request, count(DISTINCT times) > 1 differ FROM k GROUP BY 1),
+c AS (SELECT request, bool_or(u > 1) shared FROM (SELECT event_type request, event_id // 2 call, count(DISTINCT user_id % 4) u FROM events WHERE event_type <> 'click' GROUP BY 1, 2) GROUP BY 1)
+SELECT request, unit, times, concat_ws(',', CASE WHEN differ THEN 'root_sensitivity_time_grid_mismatch' END, CASE WHEN lost THEN 'sensitivity_value_unavailable' END, CASE WHEN shared THEN 'shared_panel_call_dependency' END) reasons FROM k JOIN t USING (request) LEFT JOIN c USING (request)""")
+def sensitivity_units(spark, d):
+    curves = _slots(spark, d).select("request", F.col("panel").alias("unit"), F.col("state").alias("time"), "value", "slot")
+    calls = _t(spark, d, "events").where("event_type <> 'click'").select(F.col("event_type").alias("request"), (F.col("user_id") % 4).alias("unit"), F.expr("event_id div 2").alias("call"))
+    out = bindings.sensitivity_units(curves, calls)
+    return out.select("request", "unit", F.array_join(F.transform("times", lambda t: t.cast("string")), ",").alias("times"), F.array_join("reasons", ",").alias("reasons"))
+
+
+@_register("""WITH r AS (SELECT c_custkey episode, unnest(['non_injection', 'external_validation', 'expression']) AS role, unnest([0, 1, 2]) i FROM customer),
+a AS (SELECT o_custkey episode, o_orderkey % 3 i, o_orderkey k FROM orders),
+x AS (SELECT r.episode, r.role, count(k) n, bool_or(k % 19 = 0) changed, bool_or(k % 23 = 0) bad, count(DISTINCT k % 23 = 0) kinds, bool_or(k % 29 = 0) said, bool_or(k % 31 = 0) bare, bool_or(k % 37 = 0) alone FROM r LEFT JOIN a ON a.episode = r.episode AND a.i = r.i GROUP BY 1, 2)
+SELECT episode, role, CASE WHEN n > 0 AND NOT (changed OR bad OR said OR bare OR alone) THEN 'eligible' ELSE 'unavailable' END gate, array_to_string(list_sort(list_filter([
+CASE WHEN n = 0 THEN role || '_evidence_missing' END, CASE WHEN changed THEN role || '_reviewed_subject_changed' END, CASE WHEN bad THEN role || '_assessment_unsupported' END, CASE WHEN kinds > 1 THEN role || '_assessment_conflict' END,
+CASE WHEN said THEN role || '_assertion_mismatch' END, CASE WHEN bare THEN role || '_method_or_detail_missing' END, CASE WHEN alone THEN role || '_reviewer_missing' END], lambda z: z IS NOT NULL)), ',') reasons FROM x""")
+def recovery_gates(spark, d):
+    k = F.col("o_orderkey")
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (k % 3).cast("int"))
+    rows = _t(spark, d, "orders").select(
+        F.col("o_custkey").alias("episode"), pick(bindings.ASSERTIONS).alias("role"), F.when(k % 23 == 0, "not_supported").otherwise("supported").alias("outcome"), F.when(k % 19 == 0, F.lit(0)).otherwise(F.col("o_custkey")).alias("subject"),
+        F.when(k % 29 == 0, "else").otherwise(pick(bindings.ASSERTIONS.values())).alias("assertion"), pick(bindings.PURPOSES.values()).alias("purpose"), F.lit("review").alias("method"), F.when(k % 31 > 0, "seen").alias("detail"), F.array(F.lit("a")).alias("artifacts"), F.when(k % 37 > 0, F.array(F.lit("r"))).alias("reviewers"),
+    )
+    out = bindings.scoped_gates(_t(spark, d, "customer").select(F.col("c_custkey").alias("episode"), F.col("c_custkey").alias("subject")), rows)
+    return out.withColumn("reasons", F.array_join("reasons", ","))
+
+
+@_register("""WITH r AS (SELECT o_orderkey AS revision, l_linenumber i, l_suppkey j, l_linenumber IS NOT NULL AND l_suppkey % 9 > 0 AS read, l_linenumber IS NOT NULL AS has FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity < 30) ON l_orderkey = o_orderkey)
+SELECT revision, coalesce(string_agg(CASE WHEN has THEN read::VARCHAR END, ',' ORDER BY i, j), '') available, CASE WHEN NOT bool_or(has) THEN 'revision_original_material_missing' WHEN bool_or(has AND NOT read) THEN 'revision_original_material_unavailable' ELSE '' END reasons FROM r GROUP BY 1""")
+def revision_ledger(spark, d):
+    lines = _t(spark, d, "lineitem").where("l_quantity < 30").select("l_orderkey", F.struct("l_linenumber", "l_suppkey").alias("a"))
+    held = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("a")).alias("o")).select(F.col("l_orderkey").alias("revision"), F.transform("o", lambda a: a["l_suppkey"] * 100 + a["l_linenumber"]).alias("originals"))
+    orders = _t(spark, d, "orders").select(F.col("o_orderkey").alias("revision")).join(held, "revision", "left")
+    artifacts = lines.select((F.col("a.l_suppkey") * 100 + F.col("a.l_linenumber")).alias("artifact"), F.when(F.col("a.l_suppkey") % 9 > 0, "snapshot_read").otherwise("hash_mismatch").alias("status")).distinct()
+    out = bindings.revision_ledger(orders, artifacts)
+    return out.select("revision", F.array_join(F.transform("available", lambda a: a.cast("string")), ",").alias("available"), F.array_join("reasons", ",").alias("reasons"))
+
+
+@_register("SELECT o_orderkey AS trial, coalesce(bool_or(l_suppkey % 4 > 0) AND bool_or(l_returnflag = 'N') AND o_orderkey % 8 > 0, false) determinate FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1 GROUP BY o_orderkey")
+def determinate_failures(spark, d):
+    first = _t(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_suppkey", "l_returnflag")
+    trials = _t(spark, d, "orders").select(F.col("o_orderkey").alias("trial"), F.col("o_orderkey").alias("attempt"), F.lit("a").alias("assay"), F.lit("class_seen").alias("event"))
+    attempts = first.select(F.col("l_orderkey").alias("attempt"), F.col("l_suppkey").alias("artifact"))
+    artifacts = first.select(F.col("l_suppkey").alias("artifact"), F.when(F.col("l_suppkey") % 4 > 0, "snapshot_read").otherwise("missing").alias("status")).distinct()
+    said = first.select(F.col("l_orderkey").alias("trial"), F.col("l_orderkey").alias("attempt"), F.lit("a").alias("assay"), F.lit("class_seen").alias("event"), F.lit("observation").alias("purpose"), (F.col("l_returnflag") == "N").alias("assertion"), (F.col("l_orderkey") % 8 > 0).alias("sound"))
+    return bindings.determinate_failures(trials, attempts, artifacts, said)
+
+
+@_register("SELECT l_orderkey AS call, l_linenumber AS line, CASE WHEN l_linenumber = 7 AND l_returnflag = 'R' THEN 'not_applicable' WHEN coalesce(l_tax <> 0.04, false) OR coalesce(l_returnflag <> 'A' AND l_discount <> 0.04, false) THEN 'inconsistent' WHEN l_returnflag <> 'A' AND l_linestatus = 'F' THEN 'record_consistent' ELSE 'unresolved' END fact FROM lineitem")
+def control_facts(spark, d):
+    rows = _t(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("call"), F.col("l_linenumber").alias("line"), F.when(F.col("l_linenumber") == 7, "presence_penalty").otherwise("temperature").alias("name"), F.lit(0.04).alias("expected"), F.col("l_tax").alias("requested"), F.when(F.col("l_returnflag") != "A", F.col("l_discount")).alias("actual"),
+        F.lit(False).alias("exposed"), F.when((F.col("l_linenumber") == 7) & (F.col("l_returnflag") == "R"), "unsupported").otherwise("recorded").alias("enforcement"), (F.col("l_linestatus") == "F").alias("supported"),
+    )
+    return bindings.control_facts(rows).select("call", "line", "fact")
+
+
+@_register("SELECT coalesce(o.k, l.k) order_id, CASE WHEN o.k IS NULL THEN 'not_staged' WHEN l.k IS NULL THEN 'not_produced' ELSE 'value_mismatch' END difference FROM (SELECT o_orderkey k, CAST(o_orderkey % 5 AS DECIMAL(38,9)) v FROM orders WHERE o_orderkey % 7 > 0) o FULL JOIN (SELECT l_orderkey k, CAST(max(l_linenumber) AS DECIMAL(38,9)) v FROM lineitem GROUP BY 1) l ON l.k = o.k WHERE o.k IS NULL OR l.k IS NULL OR o.v <> l.v")
+def carrier_differences(spark, d):
+    staged = _t(spark, d, "orders").where("o_orderkey % 7 > 0").select(F.col("o_orderkey").alias("order_id"), (F.col("o_orderkey") % 5).alias("v"))
+    made = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("order_id")).agg(F.max("l_linenumber").alias("v"))
+    return bindings.carrier_differences(staged, made, ["order_id"], "v")

@@ -212,3 +212,79 @@ def carrier_differences(staged: DataFrame, results: DataFrame, keys: list[str],
     both = named(staged, "_a").join(named(results, "_b"), keys, "full")
     kind = F.when(F.col("_a_in").isNull(), "not_staged").when(F.col("_b_in").isNull(), "not_produced").when(~F.col("_a").eqNullSafe(F.col("_b")), "value_mismatch")
     return both.select(*keys, kind.alias("difference")).where("difference IS NOT NULL")
+
+
+def operands(values: DataFrame, cells: DataFrame) -> DataFrame:
+    """Values with what they stand on [V8]: the sample ids and size of their population and the pinned revisions.
+
+    values: cell, view, metric, k, value; cells: cell, view, ids, pins. A value whose cell is not there is unavailable,
+    whatever number came with it.
+    """
+    rows = values.join(cells.select("cell", "view", "ids", "pins", F.size("ids").alias("population"), F.lit(True).alias("_there")), ["cell", "view"], "left")
+    there = _true(F.col("_there"))
+    status = F.when(~there | F.col("value").isNull(), UNAVAILABLE).otherwise(AVAILABLE)
+    why = reasons((~there, "expected_cell_unavailable"), (there & F.col("value").isNull(), "operand_value_absent"))
+    return rows.select("cell", "view", "metric", "k", F.when(there, F.col("value")).alias("value"), status.alias("status"), "ids", "population", "pins", why.alias("reasons"))
+
+
+def contrasts(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """pair, view, metric, k, difference, status, reasons of left minus right [V8, A14].
+
+    pairs: pair, left, right, compatible; values as ``operands`` gives them. Incompatible pairs have no difference.
+    """
+    side = lambda c: values.select(F.col("cell").alias(c), "view", "metric", "k", F.col("value").alias("_" + c), F.col("reasons").alias("_why_" + c))
+    right = side("right").withColumns({"_view": F.col("view"), "_metric": F.col("metric"), "_k": F.col("k")}).drop("view", "metric", "k")
+    rows = pairs.join(side("left"), "left").join(right, "right").where("view = _view AND metric = _metric AND k <=> _k")
+    fits = _true(F.col("compatible"))
+    why = F.when(fits, F.array_sort(F.array_union("_why_left", "_why_right"))).otherwise(F.array(F.lit("comparison_incompatible")))
+    difference = F.when(fits, F.col("_left") - F.col("_right"))
+    return rows.select("pair", "view", "metric", "k", difference.alias("difference"), F.when(difference.isNull(), UNAVAILABLE).otherwise(AVAILABLE).alias("status"), why.alias("reasons"))
+
+
+def evidence_facts(comparisons: DataFrame, supplied: DataFrame, groups: list[str]) -> DataFrame:
+    """comparison, name, status of each group of evidence and of a registration's order in time [V6].
+
+    comparisons: comparison, digest (of its configuration); supplied: comparison, group, sound, digest, registered,
+    inspected, collected. A group without evidence, and a time that is not known, is unresolved, never inconsistent.
+    """
+    own = comparisons.select("comparison", F.col("digest").alias("_digest"), F.explode(F.array(*map(F.lit, groups))).alias("group"))
+    rows = own.join(supplied.withColumn("_there", F.lit(True)), ["comparison", "group"], "left")
+    fact = lambda name, ok: F.struct(name.alias("name"), F.when(ok, "record_consistent").when(~ok, "inconsistent").otherwise("unresolved").alias("status"))
+    first = fact(F.concat(F.lit("evidence_"), "group"), F.when(_true(F.col("sound")), F.lit(True)))
+    timed = [fact(F.lit("registration_binding"), F.col("digest") == F.col("_digest"))] + [fact(F.lit(f"registration_before_first_{c}"), F.col("registered") < F.col(c)) for c in ("inspected", "collected")]
+    facts = F.when((F.col("group") == "registration") & _true(F.col("_there")), F.array(first, *timed)).otherwise(F.array(first))
+    return rows.select("comparison", F.explode(facts).alias("_f")).select("comparison", "_f.*").distinct()
+
+
+def readiness_problems(activities: DataFrame, prerequisites: DataFrame) -> DataFrame:
+    """activity, outstanding, problems of readiness records [V17, V23]: what is still to be met follows from the rows.
+
+    activities: activity, state, outstanding (as declared); prerequisites: activity, requirement, mandatory, outcome. A
+    mandatory requirement cannot be not_applicable; it counts as unresolved.
+    """
+    due = F.col("mandatory") & ~F.col("outcome").eqNullSafe(F.lit("satisfied_for_scope"))
+    per = prerequisites.groupBy("activity").agg(
+        F.array_sort(F.collect_set(F.when(due, F.col("requirement")))).alias("_due"), F.count(F.lit(1)).alias("_n"), F.count_distinct("requirement").alias("_own"), F.bool_or(F.col("mandatory") & (F.col("outcome") == "not_applicable")).alias("_void"),
+    )
+    rows = activities.join(per, "activity", "left").withColumn("_due", F.coalesce("_due", _strings()))
+    declared = F.coalesce("outstanding", _strings())
+    why = reasons(
+        (_true(F.col("_n") > F.col("_own")) | (F.size(declared) > F.size(F.array_distinct(declared))), "duplicate_value"), (_true(F.col("_void")), "mandatory_requirement_not_applicable"),
+        (F.array_sort(F.array_distinct(declared)) != F.col("_due"), "outstanding_requirements_contradiction"), (F.col("state").eqNullSafe(F.lit("ready")) & (F.size("_due") > 0), "ready_with_outstanding_requirements"),
+    )
+    return rows.select("activity", F.col("_due").alias("outstanding"), why.alias("problems"))
+
+
+def review_problems(reviews: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """review, problems of reviews of artifacts [V17]: the hash reviewed, class and assignment, stage and first submission.
+
+    reviews: review, artifact, sha256, reviewer, assignment, class, stage, initial (the review that a revision
+    revises); artifacts: artifact, sha256.
+    """
+    first = reviews.select(F.col("review").alias("initial"), F.col("stage").alias("_stage"), F.struct("artifact", "sha256", "reviewer").alias("_of"), F.lit(True).alias("_there"))
+    rows = reviews.join(first, "initial", "left").join(artifacts.select("artifact", F.col("sha256").alias("_sha")), "artifact", "left")
+    other = (F.col("_stage") != "initial") | ~F.col("_of").eqNullSafe(F.struct("artifact", "sha256", "reviewer"))
+    return rows.select("review", reasons(
+        (_true(F.col("_sha") != F.col("sha256")), "artifact_hash_mismatch"), (F.col("assignment").eqNullSafe(F.lit("assigned")) != F.col("class").isNotNull(), "assignment_contradiction"),
+        (F.col("stage").eqNullSafe(F.lit("revision")) != F.col("initial").isNotNull(), "submission_stage_contradiction"), (F.col("initial").isNotNull() & F.col("_there").isNull(), "initial_submission_unresolved"), (_true(F.col("_there")) & _true(other), "initial_submission_contradiction"),
+    ).alias("problems"))

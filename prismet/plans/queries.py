@@ -747,3 +747,53 @@ def carrier_differences(spark, d):
     staged = _t(spark, d, "orders").where("o_orderkey % 7 > 0").select(F.col("o_orderkey").alias("order_id"), (F.col("o_orderkey") % 5).alias("v"))
     made = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("order_id")).agg(F.max("l_linenumber").alias("v"))
     return bindings.carrier_differences(staged, made, ["order_id"], "v")
+
+
+@_register("""WITH v AS (SELECT user_id cell, count(DISTINCT event_type) v FROM events GROUP BY 1), o AS (SELECT cell, CASE WHEN cell % 7 > 0 AND cell % 5 > 0 THEN v END v, concat_ws(',', CASE WHEN cell % 7 = 0 THEN 'expected_cell_unavailable' END, CASE WHEN cell % 7 > 0 AND cell % 5 = 0 THEN 'operand_value_absent' END) why FROM v)
+SELECT a.cell pair, CAST(CASE WHEN a.cell % 9 > 0 THEN a.v - b.v END AS DOUBLE) difference, CASE WHEN a.cell % 9 = 0 THEN 'comparison_incompatible' WHEN a.why <> '' AND b.why <> '' AND a.why <> b.why THEN 'expected_cell_unavailable,operand_value_absent' ELSE CASE WHEN a.why <> '' THEN a.why ELSE b.why END END reasons FROM o a JOIN o b ON b.cell = a.cell + 1""")
+def operand_contrasts(spark, d):
+    v = _t(spark, d, "events").groupBy(F.col("user_id").alias("cell")).agg(F.count_distinct("event_type").alias("n"))
+    values = v.select("cell", F.lit("classified_all").alias("view"), F.lit("support").alias("metric"), F.lit(None).cast("int").alias("k"), F.when(F.col("cell") % 5 > 0, F.col("n")).alias("value"))
+    cells = v.where("cell % 7 > 0").select("cell", F.lit("classified_all").alias("view"), F.array("cell").alias("ids"), F.array(F.lit("label:1")).alias("pins"))
+    pairs = v.select(F.col("cell").alias("pair"), F.col("cell").alias("left"), (F.col("cell") + 1).alias("right"), (F.col("cell") % 9 > 0).alias("compatible"))
+    out = bindings.contrasts(pairs, bindings.operands(values, cells))
+    return out.select("pair", F.col("difference").cast("double").alias("difference"), F.array_join("reasons", ",").alias("reasons"))
+
+
+@_register("""WITH g AS (SELECT unnest(['registration', 'exposure', 'independence']) AS "group"), o AS (SELECT n_nationkey comparison, "group" FROM nation, g),
+s AS (SELECT c_nationkey comparison, (['registration', 'exposure', 'independence', 'other'])[c_custkey % 4 + 1] AS "group", c_custkey k FROM customer WHERE c_custkey % 5 = 0),
+r AS (SELECT s.* FROM o JOIN s USING (comparison, "group") WHERE "group" = 'registration')
+SELECT o.comparison, 'evidence_' || o."group" AS name, CASE WHEN s.k IS NOT NULL AND s.k % 3 > 0 THEN 'record_consistent' ELSE 'unresolved' END status FROM o LEFT JOIN s USING (comparison, "group")
+UNION SELECT comparison, 'registration_binding', CASE WHEN k % 25 = comparison THEN 'record_consistent' ELSE 'inconsistent' END FROM r
+UNION SELECT comparison, 'registration_before_first_inspected', CASE WHEN k % 7 = 0 THEN 'unresolved' WHEN k % 11 < k % 13 THEN 'record_consistent' ELSE 'inconsistent' END FROM r
+UNION SELECT comparison, 'registration_before_first_collected', CASE WHEN k % 11 < k % 17 THEN 'record_consistent' ELSE 'inconsistent' END FROM r""")
+def evidence_facts(spark, d):
+    k = F.col("c_custkey")
+    group = F.get(F.array(*map(F.lit, ["registration", "exposure", "independence", "other"])), (k % 4).cast("int"))
+    rows = _t(spark, d, "customer").where("c_custkey % 5 = 0").select(F.col("c_nationkey").alias("comparison"), group.alias("group"), (k % 3 > 0).alias("sound"), (k % 25).alias("digest"), (k % 11).alias("registered"), F.when(k % 7 > 0, k % 13).alias("inspected"), (k % 17).alias("collected"))
+    own = _t(spark, d, "nation").select(F.col("n_nationkey").alias("comparison"), F.col("n_nationkey").alias("digest"))
+    return bindings.evidence_facts(own, rows, ["registration", "exposure", "independence"])
+
+
+@_register("""WITH p AS (SELECT l_orderkey k, l_linenumber::VARCHAR q, l_returnflag <> 'A' must, CASE WHEN l_returnflag = 'R' AND l_suppkey % 10 = 0 THEN 'not_applicable' WHEN l_linestatus = 'O' THEN 'satisfied_for_scope' ELSE 'unresolved' END r FROM lineitem),
+a AS (SELECT k, string_agg(DISTINCT CASE WHEN must AND r <> 'satisfied_for_scope' THEN q END, ',' ORDER BY CASE WHEN must AND r <> 'satisfied_for_scope' THEN q END) due, count(*) > count(DISTINCT q) twice, bool_or(must AND r = 'not_applicable') void FROM p GROUP BY 1)
+SELECT o_orderkey activity, coalesce(due, '') outstanding, concat_ws(',', CASE WHEN twice THEN 'duplicate_value' END, CASE WHEN void THEN 'mandatory_requirement_not_applicable' END, CASE WHEN coalesce(due, '') <> CASE WHEN o_orderkey % 3 = 0 THEN '1' ELSE '' END THEN 'outstanding_requirements_contradiction' END, CASE WHEN o_orderstatus = 'F' AND due IS NOT NULL THEN 'ready_with_outstanding_requirements' END) problems FROM orders LEFT JOIN a ON k = o_orderkey""")
+def readiness_problems(spark, d):
+    outcome = F.when((F.col("l_returnflag") == "R") & (F.col("l_suppkey") % 10 == 0), "not_applicable").when(F.col("l_linestatus") == "O", "satisfied_for_scope").otherwise("unresolved")
+    rows = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("activity"), F.col("l_linenumber").cast("string").alias("requirement"), (F.col("l_returnflag") != "A").alias("mandatory"), outcome.alias("outcome"))
+    own = _t(spark, d, "orders").select(F.col("o_orderkey").alias("activity"), F.when(F.col("o_orderstatus") == "F", "ready").otherwise("not_ready").alias("state"), F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("1"))).alias("outstanding"))
+    out = bindings.readiness_problems(own, rows)
+    return out.select("activity", F.array_join("outstanding", ",").alias("outstanding"), F.array_join("problems", ",").alias("problems"))
+
+
+@_register("""WITH r AS (SELECT o_orderkey k, o_custkey art, o_custkey % 10 + CASE WHEN o_orderkey % 41 = 0 THEN 1 ELSE 0 END sha, o_custkey % 3 AS who, o_orderkey % 5 > 0 assigned, o_orderkey % 10 > 0 has_class, CASE WHEN o_orderkey % 4 = 0 THEN 'revision' ELSE 'initial' END stage, CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 28 > 0 THEN o_orderkey + 1 END ini FROM orders)
+SELECT r.k AS review, concat_ws(',', CASE WHEN r.sha <> r.art % 10 THEN 'artifact_hash_mismatch' END, CASE WHEN r.assigned <> r.has_class THEN 'assignment_contradiction' END,
+CASE WHEN f.k IS NOT NULL AND (f.stage <> 'initial' OR f.art <> r.art OR f.sha <> r.sha OR f.who <> r.who) THEN 'initial_submission_contradiction' END, CASE WHEN r.ini IS NOT NULL AND f.k IS NULL THEN 'initial_submission_unresolved' END, CASE WHEN (r.stage = 'revision') <> (r.ini IS NOT NULL) THEN 'submission_stage_contradiction' END) problems FROM r LEFT JOIN r f ON f.k = r.ini""")
+def review_problems(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    rows = _t(spark, d, "orders").select(
+        k.alias("review"), c.alias("artifact"), (c % 10 + F.when(k % 41 == 0, 1).otherwise(0)).alias("sha256"), (c % 3).alias("reviewer"), F.when(k % 5 > 0, "assigned").otherwise("withheld").alias("assignment"), F.when(k % 10 > 0, F.lit("x")).alias("class"),
+        F.when(k % 4 == 0, "revision").otherwise("initial").alias("stage"), F.when((k % 4 == 0) & (k % 28 > 0), k + 1).alias("initial"),
+    )
+    out = bindings.review_problems(rows, _t(spark, d, "customer").select(F.col("c_custkey").alias("artifact"), (F.col("c_custkey") % 10).alias("sha256")))
+    return out.select("review", F.array_join("problems", ",").alias("problems"))

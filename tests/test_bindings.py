@@ -78,3 +78,31 @@ def test_controls_registrations_and_carriers(spark):
     a = spark.createDataFrame([(1, 0.1 + 0.2), (2, 1.0), (3, None), (4, 2.0)], "k int, v double")
     b = spark.createDataFrame([(1, 0.3), (2, 1.1), (3, None), (5, 2.0)], "k int, v double")
     assert {r["k"]: r["difference"] for r in bindings.carrier_differences(a, b, ["k"], "v").collect()} == {2: "value_mismatch", 4: "not_produced", 5: "not_staged"}
+
+
+def test_operands_and_contrasts(spark):
+    values = spark.createDataFrame([("a", "v", "m", None, 3.0), ("b", "v", "m", None, 1.0), ("c", "v", "m", None, 9.0), ("d", "v", "m", None, None)], "cell string, view string, metric string, k int, value double")
+    cells = spark.createDataFrame([(c, "v", ["s1", "s2"], ["p:1"]) for c in "abd"], "cell string, view string, ids array<string>, pins array<string>")
+    got = {r["cell"]: (r["value"], r["status"], r["population"], r["reasons"]) for r in bindings.operands(values, cells).collect()}
+    assert got == {"a": (3.0, "available", 2, []), "b": (1.0, "available", 2, []), "c": (None, "unavailable", None, ["expected_cell_unavailable"]), "d": (None, "unavailable", 2, ["operand_value_absent"])}
+    pairs = spark.createDataFrame([("ab", "a", "b", True), ("ba", "b", "a", False), ("cd", "c", "d", True)], "pair string, left string, right string, compatible boolean")
+    got = {r["pair"]: (r["difference"], r["reasons"]) for r in bindings.contrasts(pairs, bindings.operands(values, cells)).collect()}
+    assert got == {"ab": (2.0, []), "ba": (None, ["comparison_incompatible"]), "cd": (None, ["expected_cell_unavailable", "operand_value_absent"])}
+
+
+def test_evidence_facts(spark):
+    own = spark.createDataFrame([("c", "h")], "comparison string, digest string")
+    got = spark.createDataFrame([("c", "registration", True, "h", 1, 2, None)], "comparison string, group string, sound boolean, digest string, registered int, inspected int, collected int")
+    facts = {r["name"]: r["status"] for r in bindings.evidence_facts(own, got, ["registration", "exposure"]).collect()}
+    assert facts == {"evidence_registration": "record_consistent", "evidence_exposure": "unresolved", "registration_binding": "record_consistent", "registration_before_first_inspected": "record_consistent", "registration_before_first_collected": "unresolved"}
+
+
+def test_readiness_and_reviews(spark):
+    own = spark.createDataFrame([("a", "ready", None), ("b", "ready", ["x"]), ("c", "not_ready", ["x", "x"])], "activity string, state string, outstanding array<string>")
+    rows = spark.createDataFrame([("a", "x", True, "satisfied_for_scope"), ("b", "x", True, "not_applicable"), ("c", "x", False, "unresolved")], "activity string, requirement string, mandatory boolean, outcome string")
+    got = {r["activity"]: (r["outstanding"], r["problems"]) for r in bindings.readiness_problems(own, rows).collect()}
+    assert got == {"a": ([], []), "b": (["x"], ["mandatory_requirement_not_applicable", "ready_with_outstanding_requirements"]), "c": ([], ["duplicate_value", "outstanding_requirements_contradiction"])}
+    fields = "review string, artifact string, sha256 string, reviewer string, assignment string, class string, stage string, initial string"
+    reviews = spark.createDataFrame([("r1", "a", "h", "p", "assigned", "k", "initial", None), ("r2", "a", "h", "p", "withheld", None, "revision", "r1"), ("r3", "a", "g", "q", "assigned", None, "revision", "r1"), ("r4", "a", "h", "p", "assigned", "k", "initial", "r9")], fields)
+    got = {r["review"]: r["problems"] for r in bindings.review_problems(reviews, spark.createDataFrame([("a", "h")], "artifact string, sha256 string")).collect()}
+    assert got == {"r1": [], "r2": [], "r3": ["artifact_hash_mismatch", "assignment_contradiction", "initial_submission_contradiction"], "r4": ["initial_submission_unresolved", "submission_stage_contradiction"]}

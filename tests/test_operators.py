@@ -280,10 +280,11 @@ def test_strict_json(spark):
 def test_recurrence_query_covers_the_days_of_the_table(spark, tmp_path):
     from prismet.plans import queries
 
-    rows = [(1, f"2024-01-{d:02d} 10:00:00", "a", k) for d in (1, 2) for k in range(3)] + [(1, "2024-02-10 10:00:00", "a", k) for k in range(3)]
+    rows = [(1, f"2024-01-{d:02d} 10:00:00", "a", k) for d in (1, 2) for k in range(3)] + [(1, "2024-02-10 10:00:00", "a", k) for k in range(3)] + [(2, "2024-01-04 10:00:00", "a", 0)]
     spark.createDataFrame(rows, "user_id long, ts string, event_type string, event_id long").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
-    got = {r["state"]: r["recurrence"] for r in queries.QUERIES["recurrence"](spark, str(tmp_path)).collect()}
-    assert sorted(got) == list(range(41)) and [got[k] for k in (0, 1, 2, 40)] == ["first_observed", "observed", "absent", "observed_reappearance"]
+    got = {r["state"]: r["recurrence"] for r in queries.QUERIES["recurrence"](spark, str(tmp_path)).where("unit = 1").collect()}
+    # A day without any event was not collected: a gap. On day 3 another user has one, so this one's lack is an absence.
+    assert sorted(got) == list(range(41)) and [got[k] for k in (0, 1, 2, 3, 40)] == ["first_observed", "observed", "gap", "absent", "observed_reappearance"]
 
 
 def test_trigram_distance_queries_against_enumeration(spark, tmp_path):

@@ -16,7 +16,9 @@ true pair misses about once in 10**8 at the threshold and far less above it. Can
 So a group of near copies gives about as many rows as it has members, and no link between components is lost.
 
 Nulls: a null text or one without words has an empty set and links with nothing. Repeated rows are one document; if rows
-of one doc_id differ in text, each belongs to the class of its own set. Rows with a null doc_id link with nothing.
+of one doc_id differ in text, each belongs to the class of its own set. Rows with a null doc_id link with nothing. An empty
+table gives an empty result. Very long texts are read whole. Ties: the centre of a list with several members of the most
+common tokens is the one of least doc_id. Columns beside id and text do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -63,8 +65,8 @@ def _sketch(batches):
                 tokens.append(signature(s) if len(s) else np.zeros(0, np.int64))
         ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
         flat = pa.ListArray.from_arrays(ends, np.concatenate(tokens) if tokens else np.zeros(0, np.int64))
-        cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(lo, np.uint64).view(np.int64)), pa.array(np.array(hi, np.uint64).view(np.int64)), flat]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "lo", "hi", "tokens"])
+        cols = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(np.array(lo, np.uint64).view(np.int64)), pa.array(np.array(hi, np.uint64).view(np.int64)), flat]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "n", "lo", "hi", "tokens"])
 
 
 def _sets(batches):
@@ -81,9 +83,15 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def text_key(text) -> F.Column:
+    """Tells the texts of rows of one id apart; null texts have a key as well."""
+    return F.xxhash64(text)
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n (set size), a 128-bit identity of the set (lo, hi) and its signature tokens. No shuffle."""
-    return map_arrow(_source(docs, id_col, text_col), _sketch, "doc_id long, n long, lo long, hi long, tokens array<long>")
+    """doc_id, text_key (which of the rows of one id), n (set size), a 128-bit identity of the set (lo, hi) and its signature tokens. No shuffle."""
+    source = _source(docs, id_col, text_col).select("doc_id", "text", text_key("text").alias("text_key"))
+    return map_arrow(source, _sketch, "doc_id long, text_key long, n long, lo long, hi long, tokens array<long>")
 
 
 def _candidates_only(source: DataFrame, ids: DataFrame) -> DataFrame:
@@ -279,18 +287,62 @@ def rest_links(posts: DataFrame, classes: DataFrame, parts: DataFrame, source: D
     return links.union(long.groupBy("token", "_o").applyInArrow(_block, _PAIRS)).distinct()
 
 
+def _by_node(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text_key, ...) with ``node``: the doc_id, but a hash of id and text for ids with ``several`` texts."""
+    known = several.withColumn("_several", F.lit(True))
+    node = F.when(F.col("_several"), F.xxhash64("doc_id", "text_key")).otherwise(F.col("doc_id"))
+    return rows.join(known, "doc_id", "left").withColumn("node", node).drop("_several")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable) of each row."""
+    """doc_id, text_key, n_shingles, component_id (least doc_id reachable) and group of each row.
+
+    ``group`` names the component even where one doc_id, with several texts, is the least of several components.
+    """
     source = _source(docs, id_col, text_col)
     sk = stage(sketches(docs, id_col, text_col), "sketches")
+    several = stage(sk.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("text_key").alias("_x"), F.max("text_key").alias("_y")).where("_x <> _y").select("doc_id"), "several")
     full = sk.where("n > 0 AND doc_id IS NOT NULL")
-    classes = stage(full.groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "classes")
+    if is_empty(several):
+        full = full.withColumn("node", F.col("doc_id"))
+    else:
+        full = _by_node(full, several)
+        source = _by_node(source.withColumn("text_key", text_key("text")), several).select(F.col("node").alias("doc_id"), "text")
+    classes = stage(full.groupBy("lo", "hi").agg(F.min("node").alias("rep"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "classes")
     posts = stage(postings(classes), "postings")
     links = stage(confirm(stage(_matching(star_pairs(posts), classes), "pairs"), source), "links")
     parts = components(links)
     rest = stage(rest_links(posts, classes, parts, source), "rest")
     if not is_empty(rest):
         parts = components(links.union(rest))
-    named = classes.select("lo", "hi", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("lo", "hi", F.coalesce("component", "rep").alias("component_id"))
-    rows = sk.select("doc_id", F.col("n").alias("n_shingles"), "lo", "hi")
-    return rows.join(named, ["lo", "hi"], "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    joined = classes.select("lo", "hi", "rep", "least").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    # A component's name is the least node, which is a doc_id unless that id has several texts.
+    named = joined.select("lo", "hi", F.col("component").alias("component_id"), F.col("component").alias("group"))
+    if not is_empty(several):
+        named = joined.join(joined.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("lo", "hi", "component_id", F.col("component").alias("group"))
+    rows = sk.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "lo", "hi")
+    return rows.join(named, ["lo", "hi"], "left").select("doc_id", "text_key", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "group")
+
+
+def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, one row of each component: that of the least doc_id, of its texts the one of least key.
+
+    Rows are judged each by its own text: of two rows of one id that differ in text, either may stay or go. Equal rows of
+    one id and text are one document, of which one row stays. Rows without a doc_id or without words belong to no group
+    and all stay. An empty table stays empty.
+    """
+    near = stage(near_duplicates(docs, id_col=id_col, text_col=text_col), "near")
+    grouped = near.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    mine = F.struct("doc_id", "text_key")
+    # One row for each component, by map-side minima: a component of a third of all rows is no hot key.
+    best = grouped.groupBy("group").agg(F.min(mine).alias("_best"))
+    keys = grouped.groupBy("group", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("_n"))
+    judged = keys.join(best, "group").withColumn("_stays", mine == F.col("_best"))
+    marked = stage(judged.where(~F.col("_stays") | (F.col("_n") > 1)).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_stays"), "marked")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(row, F.col(id_col).cast("long").alias("_i"), text_key(F.col(text_col).cast("string")).alias("_k"))
+    back = [F.col(f"_row.`{c}`") for c in docs.columns]
+    same = (F.col("_i") == F.col("_id")) & (F.col("_k") == F.col("_key"))
+    out = rows.join(marked, same, "left_anti").select(*back)
+    again = marked.where("_stays")
+    return out if is_empty(again) else out.unionByName(rows.join(again, same, "left_semi").dropDuplicates(["_i", "_k"]).select(*back))

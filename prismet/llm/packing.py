@@ -5,7 +5,9 @@ numbers, is planned: lengths go longest first into the packs with the most room
 as one pattern. Each piece has a rank among those of its length; intervals of ranks lead to patterns, and so to a
 sequence and an offset, without a join.
 
-Nulls: a null text is empty; it still has the closing id. Repeated rows are packed each. An empty table packs nothing.
+Nulls: a null text is empty; it still has the closing id. Repeated rows are packed each; pieces of one length that tie
+in id, start and content are alike and take neighbouring ranks in any order. An empty table packs nothing. Very long texts
+are cut into pieces of ``size`` ids. Columns beside id and text do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -177,21 +179,22 @@ def slots(patterns: list[tuple[int, tuple[int, ...]]]) -> dict[str, np.ndarray]:
 
 
 def ranked(rows: DataFrame, histogram: dict[int, int], *, most: int = 100_000) -> DataFrame:
-    """rows with ``_rank``, gapless from 0 within each length. A frequent length is numbered in parts of about ``most`` rows."""
-    split = {n: -(-c // most) for n, c in histogram.items() if c > most}
-    parts = F.lit(1)
-    for n, k in split.items():
-        parts = F.when(F.col("length") == n, F.lit(k)).otherwise(parts)
-    rows = rows.withColumn("_part", F.pmod(F.xxhash64("doc_id", "start"), parts))
+    """rows with ``_rank``, gapless from 0 within each length. A length is numbered in parts of about ``most`` rows.
+
+    The number of parts is joined from the histogram, at most one row for each length, so the plan does not grow with it.
+    """
+    spark = rows.sparkSession
+    parts = spark.createDataFrame([(int(n), -(-int(c) // most)) for n, c in histogram.items()], "length long, _parts long")
+    rows = rows.join(F.broadcast(parts), "length").withColumn("_part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("_parts"))).drop("_parts")
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = rows.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n")).select("length", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     own = Window.partitionBy("length", "_part").orderBy("doc_id", "start", "ids_crc32")
-    # One row for each length and each ``most`` rows: broadcast.
-    out = rows.withColumn("_row", F.row_number().over(own)).join(F.broadcast(firsts), ["length", "_part"])
+    # The window has dealt the rows by (length, part) already: this join moves the counts only.
+    out = rows.withColumn("_row", F.row_number().over(own)).join(firsts, ["length", "_part"])
     return out.withColumn("_rank", F.col("_first") + F.col("_row") - 1).drop("_part", "_row", "_first")
 
 
-def pack(rows: DataFrame, size: int = SIZE) -> DataFrame:
+def pack(rows: DataFrame, size: int = SIZE, *, most: int = 100_000) -> DataFrame:
     """rows (doc_id, start, length, ...) with sequence_id and offset. ``rows`` should be a written table: it is read twice."""
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     table = slots(plan(histogram, size))
@@ -208,7 +211,7 @@ def pack(rows: DataFrame, size: int = SIZE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(table["sequence"][at] + rank - table["rank"][at]), pa.array(table["offset"][at])], [*fields, "sequence_id", "offset"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return map_arrow(ranked(rows, histogram), place, f"{schema}, sequence_id long, offset long")
+    return map_arrow(ranked(rows, histogram, most=most).select(*fields, "_rank"), place, f"{schema}, sequence_id long, offset long")
 
 
 def packed(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:

@@ -451,3 +451,28 @@ def test_license_suppression_is_not_quadratic():
     text, began = "all rights reserved mit license bsd license isc license " * 18000, time.time()
     found = licenses.detect(text.strip(), {b"reserved", b"mit", b"bsd", b"isc"})
     assert len(found) >= 4 * 18000 and time.time() - began < 20
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    """Rows of one id that differ in text are judged each by its own; equal rows of one id are one document."""
+    rng = random.Random(12)
+    prose = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    a, b, c, d = prose(), prose(), prose(), prose()
+    rows = [(1, a, "x"), (2, a, "y"), (2, b, "z"), (3, c, "p"), (3, d, "q"), (3, c + " end", "r"), (4, d, "s"), (5, "", "t"), (5, "", "u"), (None, a, "v"), (6, None, "w"), (2, b, "z2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_key string")
+    got = sorted((r["doc_id"] or 0, r["text"] or "", r["text_key"][0]) for r in minhash.first_of_each(docs).collect())
+    by_c = [t for i, t, _ in got if i == 3 and t.startswith(c)]
+    assert len(by_c) == 1 and (3, d, "q") in got and minhash.first_of_each(docs).columns == docs.columns
+    assert [x for x in got if x[0] != 3] == [(0, a, "v"), (1, a, "x"), (2, b, "z"), (5, "", "t"), (5, "", "u"), (6, "", "w")]
+
+
+def test_packing_of_many_frequent_lengths(spark):
+    """Each of 4096 lengths is numbered in several parts; ranks stay gapless."""
+    n = 3 * 4096
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("start"), (F.col("id") % 4096 + 1).alias("length"), F.col("id").alias("ids_crc32"), (F.col("id") % 4096 + 1).alias("doc_tokens"))
+    ranks = {}
+    for r in packing.ranked(rows, {k: 3 for k in range(1, 4097)}, most=1).select("length", "_rank").collect():
+        ranks.setdefault(r["length"], []).append(r["_rank"])
+    assert len(ranks) == 4096 and all(sorted(v) == [0, 1, 2] for v in ranks.values())
+    out = packing.pack(rows, most=1)
+    assert out.columns == [*rows.columns, "sequence_id", "offset"] and out.count() == n

@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and all that its predecessor kept; ``run`` writes every stage as Parquet in the
 cluster's shared folder and reads it again, so that a lost executor never costs more than the stage it was in.
+
+Nulls: a document without text fails the quality rules; without doc_id it links with nothing; a null source is an owner of
+its own. Empty tables give empty results at every stage. Very long texts are worked on whole. Repeated rows of one id and
+text are one document, so near_dedup keeps one of them; rows of one id that differ in text are documents of their own.
+Ties fall to the least doc_id. Columns beside those of documents pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -19,10 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the least doc_id."""
-    near = minhash.near_duplicates(docs)
-    gone = near.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near copies: that of the least doc_id. Rows of one id are judged by their own texts."""
+    return minhash.first_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismet.llm import bpe, fingerprint, licenses, minhash, packing, quality, secrets, sharding, suffix_dedup, toxicity
+from prismet.llm import bpe, fingerprint, licenses, merkle, minhash, packing, quality, secrets, sharding, suffix_dedup, toxicity
 from prismet.llm._stage import stage
 
 
@@ -92,8 +92,17 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(stats, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op13_merkle_pregel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    digest = lambda text: merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
+    leaf = digest(F.col("text"))
+    claim = F.when(tampered, digest(F.translate("text", "\n", ""))).otherwise(leaf)
+    return merkle.verified(docs.select("doc_id", "source", leaf.alias("leaf"), claim.alias("claim")))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_toxicity_ftrl, op2_secret_ownership, op3_license_signatures, op4_jump_sharding, op5_suffix_array, op6_byte_bpe, op7_scaled_sketch, op8_minhash_join, op9_shortest_pack, op10_decision_list)}
+    return {f.__name__: f for f in (op1_toxicity_ftrl, op2_secret_ownership, op3_license_signatures, op4_jump_sharding, op5_suffix_array, op6_byte_bpe, op7_scaled_sketch, op8_minhash_join, op9_shortest_pack, op10_decision_list, op13_merkle_pregel)}
 
 
 _NEAR_SQL = """WITH RECURSIVE w AS (
@@ -133,6 +142,36 @@ t AS (SELECT q.doc_id, sum(b - a) n_removed, count(*) n_spans, max(b) AS rest, s
 SELECT d.doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(t.head, '') || substr(h, 2 * coalesce(t.rest, 0) + 1))) kept_sha256 FROM d LEFT JOIN t USING (doc_id)"""
 
 
+_MERKLE_SQL = """WITH RECURSIVE t AS (
+  SELECT list(c ORDER BY b) t FROM (
+    SELECT b, list_reduce(range(0, 8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) c FROM (SELECT unnest(range(0, 256)) b))),
+d AS (
+  SELECT doc_id, source, text, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    xor(list_reduce(list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda h: ('0x' || h)::BIGINT), lambda a, b: xor(t.t[(xor(a, b) & 255) + 1], a >> 8), 4294967295), 4294967295) c FROM documents, t),
+l AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) leaf, CASE WHEN c % 2 = 0 THEN sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) END damaged FROM d),
+g AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 grp, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 pos, count(*) OVER (PARTITION BY source) n FROM l),
+u AS (
+  SELECT grp, 0 lvl, pos, n, leaf h FROM g
+  UNION ALL SELECT grp, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY grp, lvl, pos // 3, n),
+s AS (SELECT grp, lvl height, h subroot FROM u WHERE n = 1),
+v AS (
+  SELECT 0 lvl, grp pos, (SELECT count(*) FROM s) n, subroot h FROM s
+  UNION ALL SELECT lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM v WHERE n > 1 GROUP BY lvl, pos // 3, n),
+nodes AS (SELECT grp, lvl, pos, h FROM u WHERE n > 1 UNION ALL SELECT -1, lvl, pos, h FROM v WHERE n > 1),
+steps AS (
+  SELECT a.grp, a.lvl, a.pos, coalesce(string_agg(CASE WHEN b.pos < a.pos THEN b.h END, '' ORDER BY b.pos), '') AS before, coalesce(string_agg(CASE WHEN b.pos > a.pos THEN b.h END, '' ORDER BY b.pos), '') AS after
+  FROM nodes a JOIN nodes b ON a.grp = b.grp AND a.lvl = b.lvl AND a.pos // 3 = b.pos // 3 GROUP BY 1, 2, 3),
+f AS (
+  SELECT doc_id, grp, leaf, 0 k, height, grp tree, 0 lvl, pos, '' proof, coalesce(damaged, leaf) h FROM g JOIN s USING (grp)
+  UNION ALL
+  SELECT f.doc_id, f.grp, f.leaf, k + 1, height, CASE WHEN k >= height THEN -1 ELSE f.grp END, CASE WHEN k >= height THEN k - height ELSE k END + 1, f.pos // 3, proof || x.before || x.after, sha256(x.before || f.h || x.after)
+  FROM (SELECT doc_id, grp, leaf, k, height, CASE WHEN k >= height THEN -1 ELSE grp END tree, CASE WHEN k >= height THEN k - height ELSE k END lvl, CASE WHEN k = height THEN grp ELSE pos END pos, proof, h FROM f) f
+  JOIN steps x ON x.grp = f.tree AND x.lvl = f.lvl AND x.pos = f.pos)
+SELECT doc_id, leaf, subroot, (SELECT h FROM v WHERE n = 1) AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = (SELECT h FROM v WHERE n = 1) AS verified
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, leaf ORDER BY k DESC) top FROM f) JOIN s USING (grp) WHERE top = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express a query; the others are tested against plain versions."""
-    return {"op4_jump_sharding": _JUMP_SQL, "op5_suffix_array": _REPEATS_SQL, "op8_minhash_join": _NEAR_SQL}
+    return {"op4_jump_sharding": _JUMP_SQL, "op5_suffix_array": _REPEATS_SQL, "op8_minhash_join": _NEAR_SQL, "op13_merkle_pregel": _MERKLE_SQL}

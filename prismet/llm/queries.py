@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismet.llm import bpe, fingerprint, licenses, merkle, minhash, packing, quality, secrets, sharding, suffix_dedup, toxicity
+from prismet.llm import bpe, fingerprint, licenses, merkle, minhash, packing, quality, repair, secrets, sharding, suffix_dedup, toxicity
 from prismet.llm._stage import stage
 
 
@@ -92,6 +92,15 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(stats, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    damaged = stage(repair.damaged(rows), "damaged")
+    every = rows.select("conv_id", repair.conversation(F.col("conv_id")).alias("conv")).distinct()
+    out = every.join(repair.repaired(damaged), "conv", "left").join(repair.gaps(damaged), "conv", "left")
+    count = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    return out.select("conv_id", *[count(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op13_merkle_pregel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     digest = lambda text: merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
@@ -102,7 +111,7 @@ def op13_merkle_pregel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_toxicity_ftrl, op2_secret_ownership, op3_license_signatures, op4_jump_sharding, op5_suffix_array, op6_byte_bpe, op7_scaled_sketch, op8_minhash_join, op9_shortest_pack, op10_decision_list, op13_merkle_pregel)}
+    return {f.__name__: f for f in (op1_toxicity_ftrl, op2_secret_ownership, op3_license_signatures, op4_jump_sharding, op5_suffix_array, op6_byte_bpe, op7_scaled_sketch, op8_minhash_join, op9_shortest_pack, op10_decision_list, op11_turn_repair, op13_merkle_pregel)}
 
 
 _NEAR_SQL = """WITH RECURSIVE w AS (

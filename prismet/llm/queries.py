@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismet.llm import bpe, fingerprint, licenses, merkle, minhash, packing, quality, repair, secrets, sharding, suffix_dedup, toxicity
+from prismet.llm import bpe, fingerprint, licenses, merkle, minhash, packing, pii, quality, repair, secrets, sharding, suffix_dedup, toxicity
 from prismet.llm._stage import stage
 
 
@@ -101,6 +101,13 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", *[count(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op12_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = stage(pii.scan(table(spark, sf_dir, "documents")), "spans")
+    out = pii.selected(scanned, pii.train(scanned))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return out.select("doc_id", *counts, F.sha2(pii.joined_base(), 256).alias("base_sha256"), pii.joined_all().alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
 def op13_merkle_pregel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     digest = lambda text: merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
@@ -111,7 +118,7 @@ def op13_merkle_pregel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_toxicity_ftrl, op2_secret_ownership, op3_license_signatures, op4_jump_sharding, op5_suffix_array, op6_byte_bpe, op7_scaled_sketch, op8_minhash_join, op9_shortest_pack, op10_decision_list, op11_turn_repair, op13_merkle_pregel)}
+    return {f.__name__: f for f in (op1_toxicity_ftrl, op2_secret_ownership, op3_license_signatures, op4_jump_sharding, op5_suffix_array, op6_byte_bpe, op7_scaled_sketch, op8_minhash_join, op9_shortest_pack, op10_decision_list, op11_turn_repair, op12_candidate_boosting, op13_merkle_pregel)}
 
 
 _NEAR_SQL = """WITH RECURSIVE w AS (

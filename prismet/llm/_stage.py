@@ -6,10 +6,12 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from prismet.session import ship
 
@@ -22,12 +24,35 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+_rested = 0.0
+#: Seconds between two calls of ``rest`` at least.
+PAUSE = 5.0
+
+
+def rest(spark: SparkSession) -> None:
+    """Let executors give back heap that finished work has left, before Python workers of the next step need the memory.
+
+    An executor's heap grows with the largest step and keeps that size; a collection between steps lets it shrink. One
+    tiny task for each core, and no more than one round in ``PAUSE`` seconds.
+    """
+    global _rested
+    if time.monotonic() - _rested < PAUSE:
+        return
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, numPartitions=cores).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+    _rested = time.monotonic()
+
+
 #: Rows of an Arrow batch; a batch of texts is held by the executor and by its Python worker, in a buffer each.
-BATCH = 2000
+BATCH = 1000
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Batches of ``BATCH`` rows in sessions that have Spark's own 10,000, which is tens of megabytes of texts a task."""
+    """Batches of ``BATCH`` rows in sessions that have Spark's own 10,000, which is tens of megabytes of texts a task.
+
+    The setting is the session's and stays: plans are made when their results are asked for, long after this call. A
+    caller's own number is left alone.
+    """
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
 
@@ -81,6 +106,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     # Shuffle files of the finished job go as soon as the driver drops its handles on them.
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    rest(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismet.llm._sieve import Sieve
 from prismet.llm._stage import discard, is_empty, map_arrow, stage
 from prismet.llm._text import mix, randoms, shingle_sets, slices, utf8
 
@@ -343,6 +344,7 @@ def first_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(row, F.col(id_col).cast("long").alias("_i"), text_key(F.col(text_col).cast("string")).alias("_k"))
     back = [F.col(f"_row.`{c}`") for c in docs.columns]
     same = (F.col("_i") == F.col("_id")) & (F.col("_k") == F.col("_key"))
-    out = rows.join(marked, same, "left_anti").select(*back)
+    likely, free = Sieve(marked, ["_id", "_key"]).split(rows, [F.col("_i"), F.col("_k")])
+    out = free.select(*back).unionByName(likely.join(marked, same, "left_anti").select(*back))
     again = marked.where("_stays")
-    return out if is_empty(again) else out.unionByName(rows.join(again, same, "left_semi").dropDuplicates(["_i", "_k"]).select(*back))
+    return out if is_empty(again) else out.unionByName(likely.join(again, same, "left_semi").dropDuplicates(["_i", "_k"]).select(*back))

@@ -187,8 +187,12 @@ def chosen_labels(labels: DataFrame, bound: int) -> DataFrame:
 
 
 def labelled_features(stats: DataFrame, labels: DataFrame, *, bound: int = 20000) -> DataFrame:
-    """Features of at most ``bound`` labelled rows that pass the fixed rule; labels join on ids alone."""
-    return stats.where(~base_failed()).join(chosen_labels(labels, bound), "doc_id").select("quality", *[F.expr(e).cast("double").alias(f) for f, e in FEATURES.items()])
+    """Different features of at most ``bound`` labelled rows that pass the fixed rule; labels join on ids alone.
+
+    Rows of one id may be many: equal ones count once, and of the rest those of the least hash are taken.
+    """
+    rows = stats.where(~base_failed()).join(chosen_labels(labels, bound), "doc_id").select("quality", *[F.expr(e).cast("double").alias(f) for f, e in FEATURES.items()]).distinct()
+    return rows.orderBy(F.xxhash64(*rows.columns), *rows.columns).limit(bound)
 
 
 def fit_rules(stats: DataFrame, labels: DataFrame, *, bound: int = 20000, **options) -> list[Rule]:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prismet.llm._sieve import Sieve
 from prismet.llm._stage import map_arrow, stage
 from prismet.llm._text import Words, slices, utf8
 
@@ -43,7 +44,8 @@ FURTHER = [
     ("forge", b"gh", re.compile(r"\b(gh[pousr]_[A-Za-z0-9]{36,})")),
     ("chat", b"xox", re.compile(r"\b(xox[abprs]-[A-Za-z0-9-]{10,})")),
     ("cloud", b"AIza", re.compile(r"\b(AIza[0-9A-Za-z_-]{35})")),
-    ("jwt", b"eyJ", re.compile(r"\b(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})")),
+    # A run is looked through from its first character only, and only if two more follow it behind dots.
+    ("jwt", b"eyJ", re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]++\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8})[A-Za-z0-9_-]*?\b(?P<whole>eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)")),
     ("pem", b"PRIVATE KEY-----", re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----([A-Za-z0-9+/=\s]{40,}?)-----END")),
     ("login", b"://", re.compile(r"://[A-Za-z0-9._-]{1,64}:([^\s:@/]{8,128})@")),
 ]
@@ -65,7 +67,8 @@ def find(text: str) -> list[tuple[int, int, int, str]]:
     raw = text.encode("utf-8", "surrogatepass")
     for k, (_, gate, pattern) in enumerate(FURTHER, 3):
         if gate in raw:
-            out += [(m.start(), m.end(), k, m[1]) for m in pattern.finditer(text)]
+            place = "whole" if pattern.groupindex else 0
+            out += [(m.start(place), m.end(place), k, m[1]) for m in pattern.finditer(text)]
     return sorted(out, key=lambda x: (x[0], x[2], x[1]))
 
 
@@ -158,6 +161,8 @@ def redacted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     # Written first, so that the join with the texts knows its true size and moves no text where it is small.
     live = stage(verdicts(found, max_owners=max_owners, max_repos=max_repos).where("n_live > 0").select(F.col("doc_id").alias("_found"), "text_key", "live"), "live")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    out = rows.join(live, F.col("_id").eqNullSafe(F.col("_found")) & (F.md5("_text") == F.col("text_key")), "left")
+    likely, free = Sieve(live, ["_found", "text_key"]).split(rows, [F.col("_id"), F.md5("_text")])
+    out = likely.join(live, F.col("_id").eqNullSafe(F.col("_found")) & (F.md5("_text") == F.col("text_key")), "left")
     new = F.when(F.col("live").isNull(), F.col("_text")).otherwise(redact(F.col("_text"), F.col("live")))
-    return out.select(*[new.alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in docs.columns])
+    whole = lambda text: [text.alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in docs.columns]
+    return free.select(*whole(F.col("_text"))).unionByName(out.select(*whole(new)))

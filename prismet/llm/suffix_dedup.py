@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from prismet.llm._sieve import Sieve
 from prismet.llm._stage import default_parts, map_arrow, release, ship, stage
 from prismet.llm._text import mix, randoms, slices, utf8
 
@@ -544,8 +545,10 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     source = _prepared(docs, id_col, text_col)
-    cuts = cut_spans(source.select("_id", "_text", "_of"))
-    return source.join(cuts, (F.col("_id") == F.col("_doc")) & (source["_of"] == cuts["_of"]), "left")
+    cuts = stage(cut_spans(source.select("_id", "_text", "_of")).withColumnRenamed("_of", "_text_of"), "cuts")
+    likely, free = Sieve(cuts, ["_doc", "_text_of"]).split(source, [F.col("_id"), F.col("_of")])
+    joined = likely.join(cuts, (F.col("_id") == F.col("_doc")) & (F.col("_of") == F.col("_text_of")), "left")
+    return joined.unionByName(free, allowMissingColumns=True)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

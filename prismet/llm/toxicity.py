@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismet.llm._stage import map_arrow
+from prismet.llm._stage import map_arrow, stage
 from prismet.llm._text import ALNUM, LOWER, Words, grams, mix, slices, utf8
 
 _U = np.uint64
@@ -135,10 +135,14 @@ def train(docs: DataFrame, labels: DataFrame, *, allowed: Column | None = None,
     chosen = pick(1, few).union(pick(0, bound - few))
     # At most ``bound`` ids and labels are broadcast.
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(chosen), "_id")
-    # The scan stays parallel; the sample alone, bounded in rows and bytes, goes to the one task that learns.
-    size = F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long")
-    sample = texts.where(size * 64 <= bound_bytes).withColumn("_sum", F.sum(size).over(Window.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text"))))
-    got = map_arrow(sample.where(F.col("_sum") <= bound_bytes).select("_id", "_text", "_y"), _learner(options), "model binary").collect()
+    # Sizes are summed over rows of numbers, at most ``bound`` of them, before any text of the sample moves; equal rows of
+    # one id count once. The sample alone, bounded in rows and bytes, goes to the one task that learns.
+    key, size = F.xxhash64("_text"), F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long")
+    order = [F.xxhash64("_id"), F.col("_id"), F.col("_key")]
+    sizes = texts.select("_id", key.alias("_key"), size.alias("_size")).where(F.col("_size") * 64 <= bound_bytes).distinct().orderBy(*order).limit(bound)
+    within = stage(sizes.withColumn("_sum", F.sum("_size").over(Window.orderBy(*order))).where(F.col("_sum") <= bound_bytes).select("_id", "_key"), "sample")
+    sample = texts.withColumn("_key", key).join(F.broadcast(within), ["_id", "_key"]).dropDuplicates(["_id", "_key"])
+    got = map_arrow(sample.select("_id", "_text", "_y").coalesce(1), _learner(options), "model binary").collect()
     if not got:
         return None
     with np.load(io.BytesIO(bytes(got[0]["model"]))) as m:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismet.functions.status import known
-from prismet.operators import admission, metrics
+from prismet.operators import admission, metrics, shapes
 from prismet.session import written
 from prismet.sources import bundle as source
 from prismet.sources import sinks
@@ -72,15 +72,24 @@ class Validation:
     exit_code: int
 
 
-def validate(spark: SparkSession, root: str, manifest: str = "bundle.json") -> Validation:
+def _deep_references(b: source.Bundle) -> DataFrame:
+    """References of well-formed records wherever they stand, beside those of declared paths [X15]."""
+    parsed = b.records.where("problem IS NULL").select(F.concat_ws(":", "record_type", "record_id").alias("source"), F.try_parse_json("line").alias("v"))
+    found = shapes.references(shapes.walk(parsed, ["source"]), ["source"])
+    return found.select("source", F.col("path").alias("field"), "target_type", "target_id", F.lit(None).cast("string").alias("expected_type"))
+
+
+def validate(spark: SparkSession, root: str, manifest: str = "bundle.json", *, closed: bool = False) -> Validation:
     """Records, references and artifacts of a bundle, without any measure [V26]: nothing is admitted, counted or written out.
 
     problems: file, record_type, record_id, problem; rows: record_type, records, malformed. The exit code is 2 where
-    something other than missing evidence is wrong.
+    something other than missing evidence is wrong. ``closed`` also checks the shape of every field and follows
+    references at any depth.
     """
-    b = source.load_bundle(spark, root, manifest)
+    b = source.load_bundle(spark, root, manifest, closed=closed)
     targets = b.records.where("problem IS NULL").select(F.col("record_type").alias("target_type"), F.col("record_id").alias("target_id"))
-    broken = admission.reference_problems(source.references(b), targets)
+    links = source.references(b).unionByName(_deep_references(b)) if closed else source.references(b)
+    broken = admission.reference_problems(links, targets)
     place = lambda c: [F.lit(None).cast("string").alias("file"), F.substring_index(c, ":", 1).alias("record_type"), F.expr(f"substring({c}, locate(':', {c}) + 1)").alias("record_id")]
     files = b.artifact_states().where("status <> 'snapshot_read'")
     found = b.problems.unionByName(broken.select(*place("source"), "problem")).unionByName(files.select(*place("key"), F.concat(F.lit("artifact_"), "status").alias("problem")))
@@ -108,9 +117,9 @@ def analyze(spark: SparkSession, root: str, manifest: str = "bundle.json") -> An
     a, v = written(a), written(v)
     views = admission.populations(a, v).join(samples.select("sample_id", "cell"), "sample_id")
     rows = samples.join(a.select("sample_id", (F.col("status") == "accepted").alias("classified")), "sample_id").join(v.select("sample_id", F.when(F.col("status") == "accepted", F.col("outcome")).otherwise("not_assessed").alias("validity")), "sample_id")
-    counted = views.groupBy("cell", "view", "class").agg(F.count(F.lit(1)).alias("n")).withColumn("_key", F.concat_ws("\x1f", "cell", "view"))
+    counted = views.groupBy("cell", "view", "class").agg(F.count(F.lit(1)).alias("n")).withColumn("_key", F.struct("cell", "view"))
     measured = metrics.distribution(counted, "_key", config.get("empirical_threshold"))
-    measured = measured.select(F.split("_key", "\x1f")[0].alias("cell"), F.split("_key", "\x1f")[1].alias("view"), *[c for c in measured.columns if c != "_key"])
+    measured = measured.select("_key.cell", "_key.view", *[c for c in measured.columns if c != "_key"])
     if "threshold_support" not in measured.columns:
         measured = measured.withColumn("threshold_support", F.lit(None).cast("long"))
     prefixes = None

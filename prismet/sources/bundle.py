@@ -103,25 +103,36 @@ def snapshots(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
     return raw.select(F.col("path"), F.when(~big, F.col("content")).alias("content"), "length", F.when(~big, F.sha2("content", 256)).alias("sha256"), F.when(big, "file_size_exceeded").alias("problem"))
 
 
-def existing(spark: SparkSession, root: str, paths: list[str]) -> list[str]:
-    """Those of the safe relative paths that are files below the root, looked up one by one: their number is bounded."""
-    if len(paths) > MAX_RECORDS:
-        raise InputProblem("record_count_exceeded")
-    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
-    base = path(root)
-    fs = base.getFileSystem(conf)
-    return [p for p in paths if relative_parts(p) and fs.exists(path(base, p)) and fs.getFileStatus(path(base, p)).isFile()]
+def _full(c) -> Column:
+    """A file's path without its scheme, as Spark and its caller may spell it."""
+    return F.regexp_replace(c, "^[a-z0-9]+:/*", "/")
 
 
-def hashes(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
-    """path (as given), sha256 and problem of the files that exist [S1]; no other file is opened."""
-    there = existing(spark, root, sorted(set(paths)))
-    if not there:
-        return spark.createDataFrame([], "path string, sha256 string, problem string")
+def existing(paths: DataFrame, root: str) -> DataFrame:
+    """Those of the safe relative paths (path) that are files below the root: one listing by Spark, which opens no file."""
+    spark = paths.sparkSession
     base = root.rstrip("/") + "/"
-    found = snapshots(spark, root, there).select(F.regexp_replace("path", "^[a-z0-9]+:/*", "/").alias("_full"), "sha256", "problem")
-    given = spark.createDataFrame([(p, base + p) for p in there], "path string, _whole string").withColumn("_full", F.regexp_replace("_whole", "^[a-z0-9]+:/*", "/"))
-    return given.join(found, "_full").select("path", "sha256", "problem")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(_full("path").alias("_full"), "length")
+    return paths.select("path").distinct().withColumn("_full", _full(F.concat(F.lit(base), "path"))).join(files, "_full")
+
+
+def hashes(paths: DataFrame, root: str) -> DataFrame:
+    """path (as given), sha256 and problem of the files that exist [S1], however many they are; no other file is opened.
+
+    The files are read in groups of at most ``MAX_RECORDS`` names, of which the driver holds one at a time.
+    """
+    spark = paths.sparkSession
+    there = written(existing(paths, root).withColumn("_group", F.pmod(F.xxhash64("path"), F.lit(64))))
+    n = there.count()
+    groups = [None] if n <= MAX_RECORDS // 2 else list(range(64))
+    out = spark.createDataFrame([], "path string, sha256 string, problem string")
+    for g in groups:
+        own = there if g is None else there.where(F.col("_group") == g)
+        names = [r[0] for r in own.select("path").collect()]
+        if names:
+            found = snapshots(spark, root, names).select(_full("path").alias("_full"), "sha256", "problem")
+            out = out.unionByName(written(own.select("path", "_full").join(found, "_full").select("path", "sha256", "problem")))
+    return out
 
 
 def json_lines(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
@@ -172,12 +183,11 @@ class Bundle:
 
     def artifact_states(self) -> DataFrame:
         """key, status, expected and actual hash of each artifact [S5]: its file is read if it is local, and no other."""
-        spark = self.records.sparkSession
         both = self.table("artifact").unionByName(self.table("raw_artifact"))
         rows = both.select(F.concat_ws(":", "record_type", "record_id").alias("key"), F.col("content_ref.state").alias("_state"), _known("content_ref").alias("_at"), _known("expected_sha256").alias("expected"))
         local = (F.col("_state") == "known") & ~F.col("_at.kind").eqNullSafe(F.lit("external"))
-        paths = [r[0] for r in rows.where(local & is_relative_path(F.col("_at.path"))).select("_at.path").distinct().take(MAX_RECORDS + 1)]
-        seen = hashes(spark, self.root, paths).select("path", F.col("sha256").alias("actual")) if paths else spark.createDataFrame([], "path string, actual string")
+        paths = rows.where(local & is_relative_path(F.col("_at.path"))).select("_at.path").distinct()
+        seen = hashes(paths, self.root).select("path", F.col("sha256").alias("actual"))
         rows = rows.withColumn("path", F.when(local, F.col("_at.path"))).join(seen, "path", "left")
         status = F.when(F.col("_state") != "known", F.concat(F.lit("content_"), "_state")).when(~local, "external_not_fetched").when(F.col("actual").isNull(), "unavailable").when(F.col("expected").isNotNull() & (F.col("expected") != F.col("actual")), "hash_mismatch").otherwise("snapshot_read")
         return rows.select("key", status.alias("status"), "expected", "actual")
@@ -230,10 +240,22 @@ def record_problems(lines: DataFrame) -> DataFrame:
     return rows.withColumn("problem", F.coalesce("problem", F.when(F.col("_want").isNotNull(), wrong))).drop("_want", "_has")
 
 
-def load_bundle(spark: SparkSession, root: str, manifest: str = "bundle.json", max_records: int | None = MAX_RECORDS) -> Bundle:
+def _closed(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """records with the first defect of their shape as their problem, and all defects as problems with their paths."""
+    from prismet.sources import record_shapes
+
+    found = written(record_shapes.defects(records.where("problem IS NULL")))
+    first = found.groupBy("record_type", "record_id").agg(F.min(F.struct("path", "code")).alias("_first"))
+    out = records.join(first, ["record_type", "record_id"], "left").withColumn("problem", F.coalesce("problem", F.col("_first.code"))).select(records.columns)
+    return out, found.select(F.col("path").alias("file"), "record_type", "record_id", F.col("code").alias("problem"))
+
+
+def load_bundle(spark: SparkSession, root: str, manifest: str = "bundle.json", max_records: int | None = MAX_RECORDS, *, closed: bool = False) -> Bundle:
     """Read a bundle [S5, S6]: the manifest strictly, then all declared record files in one scan.
 
-    More than ``max_records`` records are refused, none is dropped; None lifts the cap.
+    More than ``max_records`` records are refused, none is dropped; None lifts the cap. ``closed`` also checks the whole
+    field set and every field's shape: a defect is a row of ``problems`` whose ``file`` is the path of the field, and its
+    record takes part in nothing.
     """
     relative_parts(manifest)
     raw = snapshots(spark, root, [manifest]).first()
@@ -251,8 +273,14 @@ def load_bundle(spark: SparkSession, root: str, manifest: str = "bundle.json", m
     inline = [(manifest, _text(x), None) for key in ("frames", "protocols", "cells") for x in data.get(key) or []]
     lines = lines.unionByName(spark.createDataFrame(inline, "file string, line string, problem string"))
     records = written(record_problems(lines))  # many tables are read from it
+    defects = None
+    if closed:
+        records, defects = _closed(records)
+        records = written(records)
     repeated = records.where(F.col("record_id").isNotNull()).groupBy("record_type", "record_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     problems = records.where(F.col("problem").isNotNull()).select("file", "record_type", "record_id", "problem").unionByName(repeated.select(F.lit(None).cast("string").alias("file"), "record_type", "record_id", F.lit("duplicate_record_identity").alias("problem")))
+    if defects is not None:
+        problems = problems.join(defects.select("record_type", "record_id", "problem"), ["record_type", "record_id", "problem"], "left_anti").select(problems.columns).unionByName(defects)
     if max_records is not None and records.count() > max_records:
         raise InputProblem("record_count_exceeded")
     return Bundle(data, records, problems, root)

@@ -118,7 +118,7 @@ def load_study(spark: SparkSession, root: str, name: str = "study.json") -> tupl
     for r in rows:
         relative_parts(r[2])
     inventory = spark.createDataFrame(rows, "packet_id string, packet_type string, path string, sha256 string")
-    there = hashes(spark, root, [r[2] for r in rows]).select("path", F.col("sha256").alias("_sha"), F.col("problem").alias("_problem"))
+    there = hashes(spark.createDataFrame([(r[2],) for r in rows], "path string"), root).select("path", F.col("sha256").alias("_sha"), F.col("problem").alias("_problem"))
     both = inventory.join(there, "path", "left")
     return envelope, both.select("packet_id", "packet_type", "path", F.when(F.col("_problem").isNotNull(), F.col("_problem")).when(F.col("_sha").isNull(), "missing").when(F.col("_sha") != F.col("sha256"), "mismatch").otherwise("verified").alias("status"))
 

@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import hashlib
-import itertools
 import json
 import random
 from fractions import Fraction
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismet.functions.exact import gate, percentile
 from prismet.functions.status import AVAILABLE, UNAVAILABLE, difference, reasons
+from prismet.operators import resampling
 
 PAIRED_SEED, TRAJECTORY_SEED, REPLICATES = 20260917, 20260919, 2000
 #: Gate thresholds (fixed values): ratio, numerator, denominator.
@@ -146,19 +145,9 @@ def validate_replay(replay: dict, blocks: list[str]) -> list[str]:
 def index_table(spark: SparkSession, units: int, seed: int = PAIRED_SEED, replicates: int = REPLICATES) -> DataFrame:
     """(replicate, draw, unit) rows of the index matrix: replicates x units rows.
 
-    No engine function repeats this generator, and its draws follow each other; one task makes them, batch by batch, so
-    that neither it nor the driver holds the matrix.
+    Stretches of the generator's outputs are tasks of their own; see ``resampling.index_table``.
     """
-    if units < 2:
-        raise ValueError("fewer_than_two_blocks")
-
-    def draws(_):
-        rng = random.Random(seed)
-        rows = ((r, k, rng.randrange(units)) for r in range(replicates) for k in range(units))
-        while batch := list(itertools.islice(rows, 10_000)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in zip(*batch, strict=True)], ["replicate", "draw", "unit"])
-
-    return spark.range(1, numPartitions=1).mapInArrow(draws, "replicate int, draw int, unit int")
+    return resampling.index_table(spark, units, seed, replicates)
 
 
 def replicate_means(values: DataFrame, indices: DataFrame, keys: list[str], value: str = "difference") -> DataFrame:

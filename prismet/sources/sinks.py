@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismet.functions.canonical import canonical_bytes, digest
+from prismet.sources import commits
 
 #: Titles of the report's sections (fixed values).
 SECTIONS = [
@@ -81,7 +82,11 @@ def publish(df: DataFrame, path: str) -> None:
 
 
 def publish_files(spark: SparkSession, files: dict[str, bytes], path: str) -> None:
-    """Write a report set [K1]: staged beside the target, then renamed, never over anything."""
+    """Write a report set [K1]: staged beside the target, then renamed, never over anything.
+
+    A claim beside the target decides between two writers before either renames, so that one of them publishes whole and
+    the other fails.
+    """
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -93,6 +98,11 @@ def publish_files(spark: SparkSession, files: dict[str, bytes], path: str) -> No
         out = fs.create(jvm.org.apache.hadoop.fs.Path(staged, name), False)
         out.write(bytearray(data))
         out.close()
+    try:
+        commits.claim(spark, f"{path.rstrip('/')}.claim", staged.getName())
+    except commits.PublicationConflict as e:
+        fs.delete(staged, True)
+        raise FileExistsError(path) from e
     if fs.exists(target) or not fs.rename(staged, target):
         fs.delete(staged, True)
         raise FileExistsError(path)

@@ -111,7 +111,10 @@ def threshold_decision(n: int, low: int, high: int, tau: Fraction, alpha: Fracti
 
 @F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in ("status", "delta", "upper_tail", "lower_tail")]))
 def binomial_threshold(n: pd.Series, low: pd.Series, high: pd.Series, tau: pd.Series, alpha: pd.Series, looks: pd.Series) -> pd.DataFrame:
-    rows = [threshold_decision(int(a), int(b), int(c), Fraction(t), Fraction(x), int(j)) for a, b, c, t, x, j in zip(n, low, high, tau, alpha, looks, strict=True)]
+    # Many rows share their numbers: each decision is made once.
+    asked = list(zip(n, low, high, tau, alpha, looks, strict=True))
+    made = {k: threshold_decision(int(k[0]), int(k[1]), int(k[2]), Fraction(k[3]), Fraction(k[4]), int(k[5])) for k in set(asked)}
+    rows = [made[k] for k in asked]
     return pd.DataFrame([(s, text(d), *[None if x is None else text(x) for x in (u, v)]) for s, d, u, v in rows], columns=["status", "delta", "upper_tail", "lower_tail"])
 
 

@@ -201,10 +201,12 @@ def denominators(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("planned"), *[yes(c) for c in ("emitted", "qualified", "audited", "claimable") if c in rows.columns])
 
 
-def pair_coverage(observed: DataFrame, items: list[str]) -> DataFrame:
-    """Unordered pairs of a registry and whether each is described [U7]: C(n, 2) rows."""
-    spark = observed.sparkSession
-    want = spark.createDataFrame([(a, b) for k, a in enumerate(items) for b in items[k + 1 :]], "a string, b string")
+def pair_coverage(observed: DataFrame, items: DataFrame | list[str]) -> DataFrame:
+    """Unordered pairs of a registry's items (item) and whether each is described [U7]: C(n, 2) rows, all of them asked for."""
+    if isinstance(items, list):
+        items = observed.sparkSession.createDataFrame([(x,) for x in items], "item string")
+    names = items.select("item").distinct()
+    want = names.select(F.col("item").alias("a")).join(names.select(F.col("item").alias("b")), F.col("a") < F.col("b"))
     seen = observed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn("covered", F.lit(True))
     return want.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(seen, ["a", "b"], "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
 

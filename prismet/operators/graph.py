@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from prismet.session import written
 
 
-def closure(seeds: DataFrame, edges: DataFrame, *, max_depth: int = 1000) -> DataFrame:
+def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(origin, node, depth): all that is reachable from each seed along src -> dst [G1-G4]; cycles end at visited nodes.
 
-    ``seeds`` has origin and node. Breadth first: a node keeps its least depth.
+    ``seeds`` has origin and node. Breadth first: a node keeps its least depth. It ends when nothing new is reached, however
+    long the longest way is.
     """
     steps = written(edges.select("src", "dst").distinct())
     frontier = written(seeds.select("origin", "node").distinct().withColumn("depth", F.lit(0)))
-    visited, parts = frontier, 1
-    for depth in range(1, max_depth + 1):
+    visited, parts, depth = frontier, 1, 0
+    while True:
+        depth += 1
         nxt = frontier.join(steps, frontier["node"] == steps["src"]).select("origin", F.col("dst").alias("node")).distinct()
         frontier = written(nxt.join(visited, ["origin", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if not frontier.take(1):
@@ -24,7 +26,6 @@ def closure(seeds: DataFrame, edges: DataFrame, *, max_depth: int = 1000) -> Dat
         visited, parts = visited.union(frontier), parts + 1
         if parts == 8:  # what is visited is read each round: keep it in few tables
             visited, parts = written(visited), 1
-    raise RuntimeError("max_link_objects")
 
 
 def impact(corrections: DataFrame, references: DataFrame, kinds: list[str] | None = None) -> DataFrame:

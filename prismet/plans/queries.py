@@ -264,10 +264,10 @@ def endpoint_verdict(spark, d):
 
 def _turn_sets(spark, d):
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), " "), lambda w: w != ""))
-    return _t(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.first("text").alias("text")).select(F.col("conv_id").alias("cell"), F.col("turn").alias("ident"), words.alias("items"))
+    return _t(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text")).select(F.col("conv_id").alias("cell"), F.col("turn").alias("ident"), words.alias("items"))
 
 
-_TURNS = "t AS (SELECT conv_id, turn, list_distinct(list_filter(string_split(lower(any_value(text)), ' '), lambda w: w <> '')) w FROM conversations GROUP BY 1, 2), p AS (SELECT a.conv_id cell, a.turn a, b.turn b, len(list_intersect(a.w, b.w)) i, len(a.w) + len(b.w) s FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn < b.turn)"
+_TURNS = "t AS (SELECT conv_id, turn, list_distinct(list_filter(string_split(lower(min(text)), ' '), lambda w: w <> '')) w FROM conversations GROUP BY 1, 2), p AS (SELECT a.conv_id cell, a.turn a, b.turn b, len(list_intersect(a.w, b.w)) i, len(a.w) + len(b.w) s FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn < b.turn)"
 
 
 @_register(f"WITH {_TURNS} SELECT cell, a, b, i AS intersection, s - i AS \"union\", round(1 - i / (s - i), 10) distance FROM p WHERE i > 0")
@@ -283,7 +283,7 @@ def surface_distance(spark, d):
 
 def _turn_trigrams(spark, d):
     """Eligible texts only, as in the surveyed distance; SQL has no Unicode categories, so these have no SQL form."""
-    turns = _t(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.first("text").alias("text"))
+    turns = _t(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
     toks = text_pairs.trigram_sets(turns).where(F.col("tok.status") == "eligible")
     return toks.select(F.col("conv_id").alias("cell"), F.col("turn").alias("ident"), F.col("tok.trigrams").alias("items"))
 
@@ -555,7 +555,7 @@ def integrity_dispositions(spark, d):
 @_register("WITH i AS (SELECT DISTINCT n_name x FROM nation), o AS (SELECT DISTINCT least(a.n_name, b.n_name) a, greatest(a.n_name, b.n_name) b FROM customer JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = c_custkey % 7) SELECT l.x a, r.x b, o.a IS NOT NULL covered FROM i l JOIN i r ON l.x < r.x LEFT JOIN o ON o.a = l.x AND o.b = r.x")
 def registry_pairs(spark, d):
     n = _t(spark, d, "nation").select("n_nationkey", "n_name")
-    items = sorted({r[0] for r in n.select("n_name").take(1000)})  # a registry of some dozen names
+    items = n.select(F.col("n_name").alias("item"))
     c = _t(spark, d, "customer").select("c_nationkey", (F.col("c_custkey") % 7).alias("_k"))
     seen = c.join(n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("a")), "c_nationkey").join(n.select(F.col("n_nationkey").alias("_k"), F.col("n_name").alias("b")), "_k")
     return evidence.pair_coverage(seen, items)

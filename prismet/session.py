@@ -23,18 +23,22 @@ def session(name: str = "prismet", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder, which ends its lineage: for iterations and for tables that many readers share."""
-    spark = df.sparkSession
+def shared_place(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the whole cluster shares."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="prismet-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/prismet-table-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/prismet-{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, which ends its lineage: for iterations and for tables that many readers share."""
+    path = shared_place(df.sparkSession, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:

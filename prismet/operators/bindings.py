@@ -288,3 +288,21 @@ def review_problems(reviews: DataFrame, artifacts: DataFrame) -> DataFrame:
         (_true(F.col("_sha") != F.col("sha256")), "artifact_hash_mismatch"), (F.col("assignment").eqNullSafe(F.lit("assigned")) != F.col("class").isNotNull(), "assignment_contradiction"),
         (F.col("stage").eqNullSafe(F.lit("revision")) != F.col("initial").isNotNull(), "submission_stage_contradiction"), (F.col("initial").isNotNull() & F.col("_there").isNull(), "initial_submission_unresolved"), (_true(F.col("_there")) & _true(other), "initial_submission_contradiction"),
     ).alias("problems"))
+
+
+def subject_bindings(measurements: DataFrame, states: DataFrame, checkpoints: DataFrame, samples: DataFrame, data_role: str) -> DataFrame:
+    """measurement, codes of measurements whose subject, samples or material are not those of their state, cell and bundle [V12].
+
+    measurements: measurement, cell, state, samples, data_role; states: state, state_kind, parameters; checkpoints: cell,
+    recorded; samples: sample, cell.
+    """
+    s = states.select("state", F.col("state_kind").alias("_kind"), F.col("parameters").alias("_declared"))
+    rows = measurements.join(s, "state", "left").join(checkpoints.select("cell", "recorded", F.lit(True).alias("_cell")), "cell", "left")
+    own = measurements.select("measurement", F.col("cell").alias("_own"), F.explode(F.array_distinct("samples")).alias("sample")).join(samples.select("sample", F.col("cell").alias("_of")), "sample")
+    astray = own.where("_of <> _own").select("measurement").distinct().withColumn("_astray", F.lit(True))
+    rows = rows.join(astray, "measurement", "left")
+    codes = reasons(
+        (~F.col("data_role").eqNullSafe(F.lit(data_role)), "measurement_material_role_mismatch"), (_true(F.col("_cell")) & (F.col("_kind") == "categorical_scenario"), "categorical_state_cannot_bind_empirical_cell"),
+        (_true(F.col("_cell")) & (F.col("_kind") == "model_system") & (F.col("_declared") != F.col("recorded")), "measurement_model_state_mismatch"), (_true(F.col("_cell")) & _true(F.col("_astray")), "sample_cell_mismatch"),
+    )
+    return rows.select("measurement", codes.alias("codes")).where(F.size("codes") > 0)

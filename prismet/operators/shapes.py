@@ -170,8 +170,8 @@ def walk(records: DataFrame, keys: list[str], *, stop_at_references: bool = True
     One explosion for each depth of the deepest record, each level written, so a level is read from a table and the work
     is that of the nodes. References are leaves unless asked otherwise.
     """
-    own = [F.col(k) for k in keys]
-    level = records.select(*own, F.lit("$").alias("path"), F.lit(0).alias("depth"), "v")
+    own = {k: f"_key{n}" for n, k in enumerate(keys)}  # an explosion has columns of its own, such as key and value
+    level = records.select(*[F.col(k).alias(c) for k, c in own.items()], F.lit("$").alias("path"), F.lit(0).alias("depth"), "v")
     spark, levels = records.sparkSession, []
     while True:
         level = written(level.withColumn("kind", kind(F.col("v"))))
@@ -183,11 +183,11 @@ def walk(records: DataFrame, keys: list[str], *, stop_at_references: bool = True
             break
         below = inner.drop("kind").withColumnRenamed("v", "_v").lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()))
         step = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), "key")).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
-        level = below.select(*own, F.concat("path", step).alias("path"), (F.col("depth") + 1).alias("depth"), F.col("value").alias("v"))
+        level = below.select(*own.values(), F.concat("path", step).alias("path"), (F.col("depth") + 1).alias("depth"), F.col("value").alias("v"))
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
-    return out
+    return out.select(*[F.col(c).alias(k) for k, c in own.items()], "path", "depth", "kind", "v")
 
 
 def references(nodes: DataFrame, keys: list[str]) -> DataFrame:

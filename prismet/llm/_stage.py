@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import gc
 import tempfile
@@ -24,6 +25,8 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: The folder, below the application's, that tables of a running piece of work are staged in.
+_scope = contextvars.ContextVar("scope", default="")
 _rested = 0.0
 #: Seconds between two calls of ``rest`` at least.
 PAUSE = 5.0
@@ -81,7 +84,7 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="prismet-")
         spark.conf.set("spark.checkpoint.dir", configured)
-    return f"{configured.rstrip('/')}/prismet-{spark.sparkContext.applicationId}"
+    return f"{configured.rstrip('/')}/prismet-{spark.sparkContext.applicationId}{_scope.get()}"
 
 
 def discard(df: DataFrame) -> None:
@@ -92,16 +95,30 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def scoped(spark: SparkSession):
+    """Tables staged inside go to a folder of their own, which is deleted at the end; gives the folder outside, for what stays."""
+    outside = shared_dir(spark)
+    token = _scope.set(f"{_scope.get()}/scope-{uuid.uuid4().hex}")
+    inside = shared_dir(spark)
+    try:
+        yield outside
+    finally:
+        _scope.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(inside)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete all tables that this application has staged: for the end of a program, when its results are written."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here, so a lost executor costs one read."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     # Shuffle files of the finished job go as soon as the driver drops its handles on them.
     gc.collect()

@@ -476,3 +476,40 @@ def test_packing_of_many_frequent_lengths(spark):
     assert len(ranks) == 4096 and all(sorted(v) == [0, 1, 2] for v in ranks.values())
     out = packing.pack(rows, most=1)
     assert out.columns == [*rows.columns, "sequence_id", "offset"] and out.count() == n
+
+
+def test_pipeline_leaves_its_results_only(spark, tmp_path):
+    """On empty tables every stage is empty; of what stages wrote on their way nothing stays, of other work all."""
+    import corpus_pipeline
+    from prismet.llm import _stage
+
+    other = _stage.stage(spark.range(3), "other")
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    folder = spark.sparkContext._jvm.java.io.File(_stage.shared_dir(spark).removeprefix("file:").replace("//", "/"))
+    before = set(folder.list())
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    left = {n.rpartition("-")[0] for n in set(folder.list()) - before}
+    assert left == {*[name for name, _ in corpus_pipeline.STAGES[:-1]], "pieces"} and other.count() == 3
+
+
+def test_labels_and_documents_of_repeated_ids(spark):
+    """Rows of one labelled id, equal or not, are bounded like any other; scores and verdicts come for every row."""
+    rng = random.Random(3)
+    rows = [(k % 40, f"{'vile ' * (k % 2)}word{rng.randint(0, 9)} " * 30) for k in range(400)] + [(1, "same text " * 40)] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(40)] * 3, "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels, bound=60, bound_bytes=1 << 20)
+    assert toxicity.scored(docs, model).count() == len(rows)
+    stats = quality.text_statistics(docs)
+    assert quality.labelled_features(stats, labels, bound=7).count() <= 7 and quality.fit_rules(stats, labels, bound=7) is not None
+
+
+def test_tokens_in_long_runs_take_linear_time():
+    import time
+
+    began = time.time()
+    for text in ("eyJaaaaaaaa-" * 90_000, "eyJaaaaaaaa." * 90_000, "-" * 1_000_000, "Bearer " * 150_000, "token = " * 120_000, "AKIA" * 250_000, "://a:" * 200_000, "xoxb-" * 200_000):
+        secrets.find(text)
+    assert time.time() - began < 20
+    assert [(a, b, secrets.KINDS[k]) for a, b, k, _ in secrets.find("x-eyJaaaaaaaa.bbbbbbbb.cccccccc-d e")] == [(2, 33, "jwt")]

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismet.llm import minhash, packing, quality, secrets, suffix_dedup
-from prismet.llm._stage import stage
+from prismet.llm._stage import scoped, stage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,5 +60,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, f in STAGES[:-1]:
-        docs = stage(f(spark, docs, sf_dir), name)
+        with scoped(spark) as folder:  # what the stage writes on its way goes when its result is written
+            docs = stage(f(spark, docs, sf_dir), name, folder)
     return STAGES[-1][1](spark, docs, sf_dir)

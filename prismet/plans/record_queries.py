@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from prismet.operators import compare, incremental, lineage, metrics, resampling, shapes
+from prismet.operators import compare, fingerprints, incremental, lineage, metrics, resampling, shapes
 from prismet.plans.queries import _INDICES, _register, _t
 from prismet.session import shared_place
 
@@ -143,3 +143,14 @@ def exact_interval(spark, d):
     means = resampling.exact_means(units, compare.index_table(spark, 5), ["priority"], 5)
     out = resampling.exact_percentiles(means, ["priority"], [(1, 40), (39, 40)], compare.REPLICATES)
     return out.select("priority", "share", F.col("num").cast("string").alias("num"), F.col("den").cast("string").alias("den"))
+
+
+@_register("""WITH h AS (SELECT o_orderpriority v, sha256(strlen(o_orderkey::VARCHAR) || ':' || o_orderkey || strlen(o_custkey::VARCHAR) || ':' || o_custkey || strlen(o_orderstatus) || ':' || o_orderstatus) h, count(*) n FROM orders GROUP BY 1, 2),
+d AS (SELECT v, greatest(0, ceil(ln(count(*) / 64.0) / ln(16.0)))::INTEGER deep FROM h GROUP BY 1), l AS (SELECT v, deep, substr(h, 1, deep) p, sha256(string_agg(h || ':' || n, ',' ORDER BY h || ':' || n)) g, sum(n) k FROM h JOIN d USING (v) GROUP BY 1, 2, 3),
+m AS (SELECT * FROM l WHERE length(p) < 2 UNION ALL SELECT v, deep, substr(p, 1, 1), sha256(string_agg(g, ',' ORDER BY p)), sum(k) FROM l WHERE length(p) = 2 GROUP BY 1, 2, 3),
+r AS (SELECT v, p, g, k FROM m WHERE length(p) = 0 UNION ALL SELECT v, '', sha256(string_agg(g, ',' ORDER BY p)), sum(k) FROM m WHERE length(p) = 1 GROUP BY 1)
+SELECT v AS "view", g AS fingerprint, CAST(k AS BIGINT) AS rows FROM r""")
+def view_fingerprints(spark, d):
+    """One digest for the orders of each priority, whatever their order [V7]."""
+    rows = _t(spark, d, "orders").select(F.col("o_orderpriority").alias("view"), "o_orderkey", "o_custkey", "o_orderstatus")
+    return fingerprints.fingerprints(rows, ["view"], ["o_orderkey", "o_custkey", "o_orderstatus"], node=64)

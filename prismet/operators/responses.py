@@ -91,6 +91,21 @@ def _no_fence() -> Column:
     return F.struct(F.lit("").alias("mark"), F.lit(0).alias("width"), F.lit(0).alias("open"), F.lit(0).alias("start"), F.lit(False).alias("python"), F.lit("").alias("info"))
 
 
+def _folded(lines: Column, start: Column) -> Column:
+    """``_step`` over all lines, in stretches of about the root of their number: each appends to lists of its own, so that
+    no list is copied for every line."""
+    other = ("at", "fence", "named", "heard")
+
+    def stretch(acc: Column, own: Column) -> Column:
+        begin = F.struct(*[acc[c].alias(c) if c in other else _none(kind).alias(c) for c, kind in (("at", ""), ("fence", ""), ("heads", f"array<{_HEAD}>"), ("blocks", f"array<{_BLOCK}>"), ("named", ""), ("heard", ""))]).cast(_STATE)
+        joined = lambda x: F.struct(*[(x[c] if c in other else F.concat(acc[c], x[c])).alias(c) for c in ("at", "fence", "heads", "blocks", "named", "heard")]).cast(_STATE)
+        return _let(F.aggregate(own, begin, _step), joined)
+
+    size = F.greatest(F.ceil(F.sqrt(F.size(lines))), F.lit(1)).cast("int")
+    stretches = lambda n: F.transform(F.sequence(F.lit(1), F.size(lines), n), lambda k: F.slice(lines, k, n))
+    return F.aggregate(_let(size, stretches), start, stretch)
+
+
 def _utf8(x: Column) -> Column:
     return F.decode(F.encode(x, "ISO-8859-1"), "UTF-8")
 
@@ -104,15 +119,24 @@ def _sections(raw: Column, read: Column) -> Column:
     preamble = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(None).cast("int").alias("number"), _none("array<int>").alias("doubt"), F.lit(None).cast("string").alias("title"), F.lit("response_preamble").alias("reason"))
     heads = F.concat(F.array(preamble).cast(f"array<{_HEAD}>"), read["heads"])
 
-    def section(head: Column, k: Column) -> Column:
+    def section(head: Column, k: Column, heads: Column, blocks: Column, opens: Column) -> Column:
         final = k == F.size(read["heads"])
         end = F.when(final, total).otherwise(F.get(heads, k + 1)["start"])
         unsure = final & left & read["heard"]
         doubt = F.when(unsure, F.array_union(F.array_union(head["doubt"], read["named"]), F.array_compact(F.array(head["number"])))).otherwise(head["doubt"])
-        own = F.filter(blocks, lambda b: (b["open"] >= head["end"]) & (b["open"] < end))
+        first = _before(opens, head["end"])
+        # Whether there are none, one or several is all that is asked of them.
+        own = F.slice(blocks, first + 1, F.least(_before(opens, end) - first, F.lit(2)))
         return F.struct(head["end"].alias("start"), end.alias("end"), head["number"].alias("number"), doubt.alias("doubt"), head["title"].alias("title"), head["reason"].alias("reason"), unsure.alias("unsure"), own.alias("blocks"))
 
-    return F.transform(heads, section)
+    with_opens = lambda h, b: _let(F.transform(b, lambda x: x["open"]), lambda o: F.transform(h, lambda head, k: section(head, k, h, b, o)))
+    return _let(heads, lambda h: _let(blocks, lambda b: with_opens(h, b)))
+
+
+def _before(opens: Column, place: Column) -> Column:
+    """How many of the ascending numbers are below a place, by bisection."""
+    steps = F.array(*[F.lit(1 << k) for k in range(24, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= F.size(opens)) & (F.get(opens, at + step - 1) < place), at + step).otherwise(at))
 
 
 _POSITION = "struct<position:int,selection:string,heading:string,fence:string,start:int,end:int,status:string,limitations:array<string>>"
@@ -158,10 +182,9 @@ def _hollow(x: Column) -> Column:
     return x.rlike("^[ \\t\\r\\n\\x0B\\f]*\\z")
 
 
-def _settled(rows: DataFrame) -> DataFrame:
-    """``rows``, all of them: a filter that the optimiser cannot see through, so that it computes their columns once and
-    does not copy them into the lambdas that read them."""
-    return rows.where(F.rand() >= 0)
+def _let(value: Column, body) -> Column:
+    """``body(v)`` with ``v`` computed once for each row: a lambda's variable, which the optimiser cannot copy into its uses."""
+    return F.transform(F.array(value), body)[0]
 
 
 def receipts(responses: DataFrame, text: str = "text") -> DataFrame:
@@ -170,30 +193,42 @@ def receipts(responses: DataFrame, text: str = "text") -> DataFrame:
     string = F.coalesce(F.col(text).cast("string"), F.lit(""))
     raw = F.col("_raw")
     rows = responses.select(*keep, F.when(~F.is_valid_utf8(string), "invalid_utf8").when(string.startswith("\ufeff"), "utf8_bom_not_supported").alias("_problem"), F.decode(string.cast("binary"), "ISO-8859-1").alias("_raw"))
-    # Columns of their own, used more than once, so that no lambda computes them again for each element.
-    pieces = F.col("_pieces")
-    rows = _settled(rows.withColumn("_pieces", F.split(raw, "\n", -1)))
-    lines = F.transform(pieces, lambda x, k: F.when(k < F.size(pieces) - 1, F.struct(F.regexp_replace(x, "\\r\\z", "").alias("text"), (F.length(x) + 1).alias("size"))).otherwise(F.struct(x.alias("text"), F.length(x).alias("size"))))
+    problem = F.col("_problem")
+
+    def marked(pieces: Column) -> Column:
+        final = F.size(pieces) - 1
+        lines = F.transform(pieces, lambda x, k: F.when(k < final, F.struct(F.regexp_replace(x, "\\r\\z", "").alias("text"), (F.length(x) + 1).alias("size"))).otherwise(F.struct(x.alias("text"), F.length(x).alias("size"))))
+        return F.transform(F.transform(lines, _marked), _meant)
+
     start = F.struct(F.lit(0).alias("at"), _no_fence().alias("fence"), _none(f"array<{_HEAD}>").alias("heads"), _none(f"array<{_BLOCK}>").alias("blocks"), _none("array<int>").alias("named"), F.lit(False).alias("heard")).cast(_STATE)
-    rows = _settled(rows.withColumn("_lines", F.transform(F.transform(lines, _marked), _meant)))
-    rows = _settled(rows.withColumn("_read", F.aggregate("_lines", start, _step)))
-    rows = _settled(rows.withColumn("_sections", F.transform(_sections(raw, F.col("_read")), lambda s: _read_section(raw, s))))
-    numbers = F.array_compact(F.transform("_sections", lambda s: s["number"]))
-    rows = _settled(rows.withColumn("_numbers", numbers))
-    times = lambda k: F.size(F.filter("_numbers", lambda n: n == k))
-    repeated = F.array_compact(F.array(*[F.when(times(k) > 1, k) for k in range(1, PLACES + 1)]))
-    rows = _settled(rows.withColumn("_doubtful", F.array_union(F.flatten(F.transform("_sections", lambda s: s["doubt"])), repeated)))
-    positions = F.transform(_five(), lambda k: _position(raw, F.col("_sections"), F.col("_doubtful"), k))
-    withheld = F.transform(_five(), lambda k: F.struct(k, F.lit("withheld"), F.lit(None), F.lit(None), F.lit(None), F.lit(None), F.lit("unknown"), F.array("_problem")).cast(_POSITION))
-    rows = _settled(rows.withColumn("positions", F.when(F.col("_problem").isNotNull(), withheld).otherwise(positions)))
-    empty = lambda s: s["title"].isNull() & _hollow(_part(raw, s["start"], s["end"]))
-    reason = lambda s: F.when(s["unsure"], "unclosed_fence_heading_ambiguity").when(F.array_contains("_doubtful", s["number"]), "ambiguous_position_occurrence").otherwise(s["reason"])
-    left = F.filter("_sections", lambda s: reason(s).isNotNull() & ~empty(s))
-    extras = F.transform(left, lambda s: F.struct(_utf8(s["title"]).alias("heading"), s["start"].alias("start"), s["end"].alias("end"), reason(s).alias("reason")))
-    fine = F.col("_problem").isNull()
-    ordered = fine & (F.size("_doubtful") == 0) & (F.col("_numbers") == F.array_sort(F.array_distinct("_numbers")))
-    clean = F.forall("positions", lambda p: (p["status"] == "complete") & (F.size(p["limitations"]) == 0)) & (F.size(left) == 0)
-    return rows.select(*keep, "positions", F.when(fine, extras).otherwise(F.slice(extras, 1, 0)).alias("extras"), ordered.alias("order_established"), (ordered & clean).alias("group_complete"))
+
+    def told(sections: Column, numbers: Column, doubtful: Column) -> Column:
+        withheld = F.transform(_five(), lambda k: F.struct(k, F.lit("withheld"), F.lit(None), F.lit(None), F.lit(None), F.lit(None), F.lit("unknown"), F.array(problem)).cast(_POSITION))
+        positions = F.when(problem.isNotNull(), withheld).otherwise(F.transform(_five(), lambda k: _position(raw, sections, doubtful, k)))
+        empty = lambda s: s["title"].isNull() & _hollow(_part(raw, s["start"], s["end"]))
+        reason = lambda s: F.when(s["unsure"], "unclosed_fence_heading_ambiguity").when(F.array_contains(doubtful, s["number"]), "ambiguous_position_occurrence").otherwise(s["reason"])
+        left = F.filter(sections, lambda s: reason(s).isNotNull() & ~empty(s))
+        extras = F.transform(left, lambda s: F.struct(_utf8(s["title"]).alias("heading"), s["start"].alias("start"), s["end"].alias("end"), reason(s).alias("reason")))
+        fine = problem.isNull()
+        ordered = fine & (F.size(doubtful) == 0) & (numbers == F.array_sort(F.array_distinct(numbers)))
+
+        def out(places: Column, more: Column) -> Column:
+            clean = F.forall(places, lambda p: (p["status"] == "complete") & (F.size(p["limitations"]) == 0)) & (F.size(more) == 0)
+            return F.struct(places.alias("positions"), F.when(fine, more).otherwise(F.slice(more, 1, 0)).alias("extras"), ordered.alias("order_established"), (ordered & clean).alias("group_complete"))
+
+        return _let(positions, lambda places: _let(extras, lambda more: out(places, more)))
+
+    def judged(sections: Column, numbers: Column) -> Column:
+        times = lambda k: F.size(F.filter(numbers, lambda n: n == k))
+        repeated = F.array_compact(F.array(*[F.when(times(k) > 1, k) for k in range(1, PLACES + 1)]))
+        return _let(F.array_distinct(F.concat(F.flatten(F.transform(sections, lambda s: s["doubt"])), repeated)), lambda doubtful: told(sections, numbers, doubtful))
+
+    def read(state: Column) -> Column:
+        sections = F.transform(_sections(raw, state), lambda s: _read_section(raw, s))
+        return _let(sections, lambda x: _let(F.array_compact(F.transform(x, lambda s: s["number"])), lambda numbers: judged(x, numbers)))
+
+    whole = _let(F.split(raw, "\n", -1), lambda pieces: _let(marked(pieces), lambda lines: _let(_folded(lines, start), read)))
+    return rows.withColumn("_told", whole).select(*keep, *[F.col(f"_told.{c}").alias(c) for c in ("positions", "extras", "order_established", "group_complete")])
 
 
 def extract_responses(responses: DataFrame, text: str = "text") -> DataFrame:

@@ -301,3 +301,21 @@ def test_trigram_distance_queries_against_enumeration(spark, tmp_path):
     assert got == {k: round(v, 10) for k, v in pairs.items() if v < 1} and got
     mean = {r["cell"]: (r["m"], r["mean_distance"], r["status"]) for r in queries.QUERIES["trigram_surface_distance"](spark, str(tmp_path)).collect()}
     assert mean == {"c": (3, round(sum(pairs.values()) / 3, 9), "available"), "d": (1, None, "undefined")}
+
+
+def test_receipts_of_long_responses_take_linear_time(spark):
+    """Twice the headings and blocks take about twice the time, and the plan has nothing that a retried task would do otherwise."""
+    import time
+
+    from prismet.operators import responses
+
+    took = []
+    for n in (2000, 2000, 16000):
+        df = spark.createDataFrame([(1, "# a\n```python\nx\n```\n" * n)], "k int, text string")
+        began = time.time()
+        row = responses.receipts(df).first()
+        took.append(time.time() - began)
+        assert len(row["extras"]) == n and [p["selection"] for p in row["positions"]] == ["missing"] * 5
+    assert took[2] < 40 * max(took[1], 0.5)
+    plan = responses.receipts(spark.createDataFrame([("x",)], "text string"))._jdf.queryExecution().optimizedPlan()
+    assert plan.deterministic()

@@ -158,6 +158,45 @@ t AS (SELECT q.doc_id, sum(b - a) n_removed, count(*) n_spans, max(b) AS rest, s
 SELECT d.doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(t.head, '') || substr(h, 2 * coalesce(t.rest, 0) + 1))) kept_sha256 FROM d LEFT JOIN t USING (doc_id)"""
 
 
+_REPAIR_SQL = """WITH RECURSIVE t AS (
+  SELECT list(c ORDER BY b) t FROM (
+    SELECT b, list_reduce(range(0, 8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) c FROM (SELECT unnest(range(0, 256)) b))),
+k AS (
+  SELECT coalesce(':' || conv_id, '-') cv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))), '..'), lambda h: ('0x' || h)::BIGINT), lambda a, b: xor(t.t[(xor(a, b) & 255) + 1], a >> 8), 4294967295), 4294967295) % 20 n FROM conversations, t),
+r AS (
+  SELECT cv, turn, CASE WHEN n = 4 THEN 'user' ELSE role END AS role, CASE n WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(0, CASE n WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM k)),
+o AS (SELECT *, row_number() OVER (PARTITION BY cv ORDER BY turn NULLS FIRST, role, text) i, regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') z FROM r),
+f AS (
+  SELECT *, substr(role, 1, 1) b, lag(substr(role, 1, 1)) OVER (PARTITION BY cv ORDER BY i) pb,
+    CASE WHEN z = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY cv, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(z, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END fault FROM o),
+m AS (SELECT repeat('I', j) || e code, j, e FROM (SELECT unnest([0, 1, 2]) j), (SELECT unnest(['K', 'R', 'D']) e)),
+w AS (
+  SELECT cv, 0::BIGINT i, '' st, {'c': 0::BIGINT, 'a': '', 't': ''} v FROM (SELECT DISTINCT cv FROM f)
+  UNION ALL
+  SELECT cv, i, st, min(v) FROM (
+    SELECT cv, i, CASE e WHEN 'D' THEN q WHEN 'K' THEN b ELSE nx END st,
+      {'c': v.c + 5 * j + CASE e WHEN 'D' THEN 2 ELSE CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END + CASE e WHEN 'R' THEN 1 ELSE 0 END END, 'a': v.a || code,
+       't': v.t || CASE WHEN j > 0 THEN chr(10) || CASE n1 WHEN 'u' THEN 'user:' ELSE 'assistant:' END ELSE '' END || CASE WHEN j > 1 THEN chr(10) || CASE q WHEN 'u' THEN 'user:' ELSE 'assistant:' END ELSE '' END
+         || CASE e WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || role || ':' || text ELSE chr(10) || CASE nx WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text END} v
+    FROM (
+      SELECT *, CASE q WHEN 'u' THEN 'a' ELSE 'u' END nx FROM (
+        SELECT f.cv, f.i, f.role, f.text, f.b, f.fault, m.code, m.j, m.e, w.v, CASE w.st WHEN 'u' THEN 'a' ELSE 'u' END n1,
+          CASE WHEN j = 0 THEN w.st WHEN j = 1 THEN CASE w.st WHEN 'u' THEN 'a' ELSE 'u' END ELSE CASE CASE w.st WHEN 'u' THEN 'a' ELSE 'u' END WHEN 'u' THEN 'a' ELSE 'u' END END q
+        FROM w JOIN f ON f.cv = w.cv AND f.i = w.i + 1, m))
+    WHERE e = 'D' OR fault NOT IN ('blank', 'duplicate') AND (e = 'R' OR b = nx OR b = 's' AND q = ''))
+  GROUP BY cv, i, st),
+e AS (
+  SELECT w.cv, min({'c': v.c + CASE st WHEN 'u' THEN 5 WHEN 's' THEN 10 ELSE 0 END, 'a': v.a || CASE st WHEN 'u' THEN 'I' WHEN 's' THEN 'II' ELSE '' END, 't': v.t || CASE st WHEN 'u' THEN chr(10) || 'assistant:' WHEN 's' THEN chr(10) || 'user:' || chr(10) || 'assistant:' ELSE '' END}) v
+  FROM w JOIN (SELECT cv, max(i) n FROM f GROUP BY 1) x ON x.cv = w.cv AND x.n = w.i GROUP BY 1),
+g AS (
+  SELECT cv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) gaps, count(CASE WHEN fault = 'blank' THEN 1 END) blank, count(CASE WHEN fault = 'duplicate' THEN 1 END) AS duplicate, count(CASE WHEN fault = 'truncated' THEN 1 END) truncated,
+    count(CASE WHEN pb IS NOT NULL AND pb || b NOT IN ('su', 'ua', 'au') THEN 1 END) illegal FROM f GROUP BY 1)
+SELECT conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal, coalesce(e.v.c, 0) cost, coalesce(e.v.a, '') audit, sha256(coalesce(substr(e.v.t, 2), '')) repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(':' || conv_id, '-') cv FROM conversations) c LEFT JOIN g USING (cv) LEFT JOIN e USING (cv)"""
+
+
 _MERKLE_SQL = """WITH RECURSIVE t AS (
   SELECT list(c ORDER BY b) t FROM (
     SELECT b, list_reduce(range(0, 8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) c FROM (SELECT unnest(range(0, 256)) b))),
@@ -190,4 +229,4 @@ FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, leaf ORDER BY k DESC) to
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express a query; the others are tested against plain versions."""
-    return {"op4_jump_sharding": _JUMP_SQL, "op5_suffix_array": _REPEATS_SQL, "op8_minhash_join": _NEAR_SQL, "op13_merkle_pregel": _MERKLE_SQL}
+    return {"op4_jump_sharding": _JUMP_SQL, "op5_suffix_array": _REPEATS_SQL, "op8_minhash_join": _NEAR_SQL, "op11_turn_repair": _REPAIR_SQL, "op13_merkle_pregel": _MERKLE_SQL}

@@ -513,3 +513,48 @@ def test_tokens_in_long_runs_take_linear_time():
         secrets.find(text)
     assert time.time() - began < 20
     assert [(a, b, secrets.KINDS[k]) for a, b, k, _ in secrets.find("x-eyJaaaaaaaa.bbbbbbbb.cccccccc-d e")] == [(2, 33, "jwt")]
+
+
+def test_bpe_digests(docs):
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    enc = bpe.encoding(path, pattern)
+    got = by_id(bpe.tokenize(docs, path, pattern, digests=True))
+    for i, t in ROWS:
+        ids = enc.encode_ordinary(t or "")
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"]) == (len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_ownership_and_verdicts_against_a_plain_count(spark):
+    """Distinct owners and repositories of each value, and which spans are live, counted in plain Python."""
+    rng = random.Random(5)
+    values = ["".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789") for _ in range(20)) for _ in range(12)] + ["aaaaaaaaaaaaaaaaaaaa", "exampleexample12"]
+    rows = []
+    for k in range(300):
+        own = [rng.choice(values[: 2 + k % 12]) for _ in range(rng.randint(0, 3))] + ([values[-1 - k % 2]] if k % 9 == 0 else [])
+        rows.append((k, " ".join(f"token = {v} bearer {v}" for v in own), rng.choice([None, "a", "b", "c", "d", "e"])))
+    rows += [rows[5]] * 3
+    scanned = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    found = {(k, t, s): [(a, b, secrets.KINDS[kind], v) for a, b, kind, v in secrets.find(t)] for k, t, s in rows}
+    owners, repos = {}, {}
+    for (k, _, s), spans in found.items():
+        for *_, v in spans:
+            owners.setdefault(v, set()).add(s or "")
+            repos.setdefault(v, set()).add((s or "", k))
+    got = {r["value_hash"]: (r["n_owners"], r["n_repos"]) for r in secrets.ownership(scanned).collect()}
+    assert got == {sha256(v.encode()).hexdigest(): (len(owners[v]), len(repos[v])) for v in owners}
+    for r in secrets.report(scanned, max_owners=4, max_repos=60).collect():
+        text, source = next((t, s) for k, t, s in rows if k == r["doc_id"])
+        live = sorted((a, b, kind) for a, b, kind, v in found[r["doc_id"], text, source] if secrets.looks_alive(v) and len(owners[v]) <= 4 and len(repos[v]) <= 60)
+        assert sorted((s["start"], s["end"], s["kind"]) for s in r["live"]) == live
+
+
+def test_keywords_of_licenses_only_gate(spark, monkeypatch):
+    """Every rule on every text, without keywords, finds what the gated scan finds."""
+    texts = [t for _, t in ROWS if t and len(t) < 3000] + ["Licensed under the Apache License, Version 2.0 or the MIT license; all rights reserved.", "SPDX-License-Identifier: GPL-3.0-or-later", "under the bsd 3 clause license, gnu lesser general public license version 2 1"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.labelled(licenses.scan(rows)).collect()}
+    for k, t in enumerate(texts):
+        words = brute.re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", brute.lower(t))
+        every = {w for _, keys, *_ in licenses.NAMES + licenses.SENTENCES + licenses.NOTICES for key in keys.split("|") for w in key.split()}
+        found = {x[2] for x in licenses.detect(" ".join(words), every)}
+        assert found <= set(got[k]) or found == set(got[k]), (t, found, got[k])

@@ -210,6 +210,27 @@ def association(realizations: DataFrame, attempts: DataFrame) -> DataFrame:
     return out.select("sample_id", codes.alias("defects"))
 
 
+def extraction_spans(realizations: DataFrame, contents: DataFrame) -> DataFrame:
+    """sample_id, span, defect: whether the bytes of a span of the raw response are those of the output [J5].
+
+    realizations: sample_id, raw, output (keys of artifacts), supplied, byte_start, byte_end (null where the span is not
+    well formed); contents: key, content (null where it was not read). Contents are compared by their digests: of each
+    artifact that is an output its own, of a raw response that of the slice, made where the response has been joined, so
+    that bytes move once for each response and never for an output.
+    """
+    one = unique_lookup(contents, ["key"]).where(F.col("content").isNotNull())
+    outputs = one.select(F.col("key").alias("output"), F.sha2("content", 256).alias("_output"))
+    fine = F.coalesce((F.col("byte_start") >= 0) & (F.col("byte_start") <= F.col("byte_end")), F.lit(False))
+    rows = realizations.select("sample_id", "raw", "output", "supplied", "byte_start", "byte_end", fine.alias("_fine")).join(outputs, "output", "left")
+    asked = rows.where("supplied AND _fine AND _output IS NOT NULL").select("sample_id", "raw", "byte_start", "byte_end", "_output")
+    size = F.octet_length("content")
+    slice_ = F.sha2(F.substring(F.col("content"), F.col("byte_start").cast("int") + 1, (F.col("byte_end") - F.col("byte_start")).cast("int")), 256)
+    cut = asked.join(one.select(F.col("key").alias("raw"), "content"), "raw").select("sample_id", ((F.col("byte_end") <= size) & (slice_ == F.col("_output"))).alias("_same"))
+    span = F.when(~F.col("supplied"), "not_supplied").when(~F.col("_fine") | F.col("_same").isNull(), "unavailable").when(F.col("_same"), "bytes_match").otherwise("mismatch")
+    defect = F.when(F.col("supplied") & ~F.col("_fine"), "invalid_extraction_span").when(F.col("supplied") & ~F.col("_same"), "extraction_span_mismatch")
+    return rows.join(cut, "sample_id", "left").select("sample_id", span.alias("span"), defect.alias("defect"))
+
+
 def output_mismatches(realizations: DataFrame, artifacts: DataFrame) -> DataFrame:
     """sample_id of outputs whose one artifact was read with another hash than the realization records [J5]."""
     one = unique_lookup(artifacts, ["key"]).where(F.col("actual").isNotNull()).select(F.col("key").alias("output"), "actual")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from prismet.operators import compare, fingerprints, incremental, lineage, metrics, resampling, shapes
+from prismet.operators import admission, compare, fingerprints, incremental, lineage, metrics, resampling, shapes
 from prismet.plans.queries import _INDICES, _register, _t
 from prismet.session import shared_place
 
@@ -154,3 +154,18 @@ def view_fingerprints(spark, d):
     """One digest for the orders of each priority, whatever their order [V7]."""
     rows = _t(spark, d, "orders").select(F.col("o_orderpriority").alias("view"), "o_orderkey", "o_custkey", "o_orderstatus")
     return fingerprints.fingerprints(rows, ["view"], ["o_orderkey", "o_custkey", "o_orderstatus"], node=64)
+
+
+@_register("""WITH d AS (SELECT doc_id, text, n_chars // 2 + CASE WHEN lang = 'en' THEN 0 ELSE 1 END AS stop, lang = 'de' AS bare FROM documents),
+x AS (SELECT *, strlen(text) n, hex(encode(left(text, CAST(floor(length(text) / 2) AS BIGINT)))) o, substr(hex(encode(text)), 1, CAST(2 * stop AS BIGINT)) h FROM d)
+SELECT doc_id AS sample, CASE WHEN bare THEN 'not_supplied' WHEN stop IS NULL OR text IS NULL THEN 'unavailable' WHEN stop <= n AND h = o THEN 'bytes_match' ELSE 'mismatch' END span,
+CASE WHEN bare THEN NULL WHEN stop IS NULL THEN 'invalid_extraction_span' WHEN text IS NOT NULL AND NOT (stop <= n AND h = o) THEN 'extraction_span_mismatch' END defect FROM x""")
+def extraction_spans(spark, d):
+    """Halves of documents as outputs, and the bytes of the documents that they are said to be [J5]; German ones say nothing."""
+    docs = _t(spark, d, "documents").select("doc_id", "text", "lang", "n_chars")
+    key = lambda kind: F.concat_ws(":", F.lit(kind), F.col("doc_id").cast("string"))
+    half = F.left("text", F.floor(F.length("text") / 2).cast("int"))
+    contents = docs.select(key("raw").alias("key"), F.col("text").cast("binary").alias("content")).union(docs.select(key("output"), half.cast("binary")))
+    stop = F.floor(F.col("n_chars") / 2).cast("long") + F.when(F.col("lang") == "en", 0).otherwise(1)
+    spans = docs.select(F.col("doc_id").alias("sample_id"), key("raw").alias("raw"), key("output").alias("output"), (~F.col("lang").eqNullSafe(F.lit("de"))).alias("supplied"), F.when(F.col("n_chars").isNotNull(), F.lit(0).cast("long")).alias("byte_start"), stop.alias("byte_end"))
+    return admission.extraction_spans(spans, contents).select(F.col("sample_id").alias("sample"), "span", "defect")

@@ -155,3 +155,18 @@ def test_exact_operands():
     assert exact_operand(third, (1, 3)) == (Fraction(1, 3), None) and exact_operand(0.5, None) == (Fraction(1, 2), None)
     assert [exact_operand(*x)[1] for x in ((None, None), (float("inf"), None), (1.0, (1, 0)), (0.3, (1, 3)), (0.0, (1, 10**400)))] == ["uncertainty_operand_unavailable", "nonfinite_uncertainty_operand", "invalid_exact_uncertainty_ratio", "numerical_sign_or_representation_instability", "numerical_sign_or_representation_instability"]
     assert exact_operand(third, (1, 3), bits=1)[1] == "uncertainty_exact_limit_exceeded"
+
+
+def test_bytes_of_spans(spark):
+    from prismet.operators import admission
+
+    raw = "aé\nxyz".encode()
+    contents = [("raw:1", raw), ("out:a", raw[1:4]), ("out:b", b"xyz"), ("out:c", b""), ("out:d", b"z"), ("out:e", b"z"), ("out:e", b"z"), ("raw:2", None)]
+    cases = {
+        "match": ("raw:1", "out:a", True, 1, 4, "bytes_match", None), "other": ("raw:1", "out:b", True, 1, 4, "mismatch", "extraction_span_mismatch"), "empty": ("raw:1", "out:c", True, 2, 2, "bytes_match", None), "tail": ("raw:1", "out:d", True, 6, 7, "bytes_match", None),
+        "beyond": ("raw:1", "out:d", True, 6, 9, "mismatch", "extraction_span_mismatch"), "back": ("raw:1", "out:a", True, 4, 1, "unavailable", "invalid_extraction_span"), "shape": ("raw:1", "out:a", True, None, None, "unavailable", "invalid_extraction_span"),
+        "twice": ("raw:1", "out:e", True, 6, 7, "unavailable", None), "unread": ("raw:2", "out:a", True, 1, 4, "unavailable", None), "none": ("raw:1", "out:a", False, None, None, "not_supplied", None),
+    }
+    rows = spark.createDataFrame([(k, *c[:5]) for k, c in cases.items()], "sample_id string, raw string, output string, supplied boolean, byte_start long, byte_end long")
+    got = {r["sample_id"]: (r["span"], r["defect"]) for r in admission.extraction_spans(rows, spark.createDataFrame(contents, "key string, content binary")).collect()}
+    assert got == {k: c[5:] for k, c in cases.items()}

@@ -18,7 +18,8 @@ from prismet.operators import shapes
 from prismet.session import written
 from prismet.sources.bundle import CORE_TYPES, SUPPORT_TYPES, VERSION, Bundle
 
-PROFILE, METHOD = "structdet_longitudinal_v1", "longitudinal_records_v1"
+#: How the names of supported profiles end, after that of their producer, and the method (fixed values).
+PROFILE, METHOD = "_longitudinal_v1", "longitudinal_records_v1"
 #: Families of objects and the kind of each (fixed values).
 FAMILIES = {
     "states": "state", "panels": "panel", "measurements": "measurement", "roots": "root", "transitions": "transition", "trajectories": "trajectory", "observed_requests": "observed_request",
@@ -177,7 +178,7 @@ def load(b: Bundle) -> Longitudinal | None:
     if not isinstance(raw, dict):
         head.append(("", "$", "longitudinal_declaration_not_object"))
         raw = {}
-    elif raw.get("profile") != PROFILE or raw.get("method_id") != METHOD:
+    elif not str(raw.get("profile")).endswith(PROFILE) or raw.get("method_id") != METHOD:
         head.append(("", "$.profile", "unsupported_longitudinal_profile"))
     if "comparison" in extensions:
         head.append(("", "$", "several_profiles_declared"))

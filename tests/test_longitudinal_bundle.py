@@ -23,7 +23,7 @@ def declaration():
     step = lambda k, **more: obj("transition", f"t{k}") | {"evidence": done, "transition_kind": "learning_update", "parent_refs": K([obj("state", f"m{k - 1}")]), "child_ref": obj("state", f"m{k}"), "round_distance": K(1), "event_time": U, "process_status": "completed", "effective_change": K(True), "parameter_change": K(True), "retained_parameters": U, "retained_data_refs": U, "contributions": [], "external_contribution_refs": [], "component_refs": []} | more
     slot = lambda k, status, m: {"state_ref": obj("state", f"m{k}"), "panel_ref": obj("panel", "pa"), "recursive_round_index": K(k), "observation_status": status, "measurement_ref": m, "reason": K("by design"), "evidence": E}
     return {
-        "profile": "structdet_longitudinal_v1", "method_id": "longitudinal_records_v1", "states": states,
+        "profile": "any_longitudinal_v1", "method_id": "longitudinal_records_v1", "states": states,
         "panels": [obj("panel", "pa") | {"evidence": E, "stage_role": "probe_output", **{k: v for k, v in cell.items() if k != "cell_ref"}, **plan}],
         "measurements": [obj("measurement", "x1") | {"evidence": E, "state_ref": obj("state", "m1"), "panel_ref": K(obj("panel", "pa")), "data_role": "fixture", "sample_refs": K([REF("realization", f"s{k}") for k in range(1, 21)]), "budget_ref": U, **cell, **plan}],
         "transitions": [step(k) for k in (1, 2, 3)] + [step(9, transition_kind="composite", parent_refs=K([obj("state", "m0")]), child_ref=obj("state", "m2"), round_distance=K(2), component_refs=[obj("transition", "t1"), obj("transition", "t2")])],

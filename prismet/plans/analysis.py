@@ -100,9 +100,12 @@ def validate(spark: SparkSession, root: str, manifest: str = "bundle.json", *, c
     return Validation(profile(b.manifest), found, rows, 2 if stop else 0)
 
 
-def analyze(spark: SparkSession, root: str, manifest: str = "bundle.json") -> Analysis:
-    """The measurement profile of a bundle: selection first, outcomes after it, no pooling across cells."""
-    b = source.load_bundle(spark, root, manifest)
+def analyze(spark: SparkSession, root: str, manifest: str = "bundle.json", *, closed: bool = False) -> Analysis:
+    """The measurement profile of a bundle: selection first, outcomes after it, no pooling across cells.
+
+    ``closed``: records with any defect of their shape take part in nothing.
+    """
+    b = source.load_bundle(spark, root, manifest, closed=closed)
     config = b.manifest["analysis_config"]
     real = b.table("realization").select("sample_id", F.col("analysis_cell_id").alias("cell"), known(F.col("sample_order")).alias("sample_order"), known(F.col("output_content_hash")).alias("hash"))
     selected = b.declared("selection", "analysis_cell_id string, selected_sample_ids struct<state:string,value:array<string>>, sample_order struct<state:string,value:array<string>>")

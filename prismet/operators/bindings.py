@@ -37,17 +37,23 @@ def _binding(codes: str = "codes") -> Column:
     return F.when(fatal > 0, "inconsistent").when(F.size(codes) > 0, "unresolved").otherwise("consistent")
 
 
-def measurement_bindings(measurements: DataFrame, cells: DataFrame, states: DataFrame, selections: DataFrame, panels: DataFrame) -> DataFrame:
+def measurement_bindings(measurements: DataFrame, cells: DataFrame, states: DataFrame, selections: DataFrame, panels: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """measurement, codes, binding of each measurement against its cell, state, selection and panel [V12].
 
     measurements: measurement, cell, state, panel, view, frame, protocol, registry, samples, rule, planned; cells: cell,
     frame, protocol, registry; states: state, stage_role, linked (its measurements); selections: cell, samples, rule, of
-    which a cell must have one; panels: panel, frame, protocol, registry, view, rule, planned, stage_role.
+    which a cell must have one; panels: panel, frame, protocol, registry, view, rule, planned, stage_role. What states link
+    may come as ``links`` (state, measurement) instead, for states with any number of measurements. Either way a
+    measurement meets its own links by their key; no state's list is laid beside it.
     """
+    if links is None:
+        links = states.select("state", F.explode("linked").alias("measurement"))
+    linked = links.select("state", "measurement").distinct().withColumn("_linked", F.lit(True))
+    states = states.drop("linked")
     named = lambda df, key, mark: df.select(key, *[F.col(c).alias(mark + c) for c in df.columns if c != key], F.lit(True).alias(mark))
     one = selections.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"), F.max("samples").alias("samples"), F.max("rule").alias("rule")).where("_n = 1").drop("_n")
     reused = measurements.groupBy("cell", "view").agg((F.min("state") < F.max("state")).alias("_reused"))
-    rows = measurements.join(named(cells, "cell", "c_"), "cell", "left").join(named(states, "state", "s_"), "state", "left").join(named(one, "cell", "e_"), "cell", "left").join(named(panels, "panel", "p_"), "panel", "left").join(reused, ["cell", "view"], "left")
+    rows = measurements.join(named(cells, "cell", "c_"), "cell", "left").join(named(states, "state", "s_"), "state", "left").join(named(one, "cell", "e_"), "cell", "left").join(named(panels, "panel", "p_"), "panel", "left").join(reused, ["cell", "view"], "left").join(linked, ["state", "measurement"], "left")
     chosen = _set("samples") != _set("e_samples")
     repeated = F.size("samples") != F.size(F.array_distinct("samples"))
     declared = [~F.col(c).eqNullSafe(F.col("p_" + c)) for c in ("frame", "protocol", "registry", "view", "rule", "planned")]
@@ -55,7 +61,7 @@ def measurement_bindings(measurements: DataFrame, cells: DataFrame, states: Data
     for d in declared[1:]:
         other = other | d
     codes = reasons(
-        (_true(F.col("s_")) & ~_true(F.array_contains("s_linked", F.col("measurement"))), "measurement_not_linked_by_state"),
+        (_true(F.col("s_")) & F.col("_linked").isNull(), "measurement_not_linked_by_state"),
         *[(_true(F.col("c_")) & ~F.col(c).eqNullSafe(F.col("c_" + c)), f"measurement_{c}_mismatch") for c in ("frame", "protocol", "registry")],
         (F.col("samples").isNull() | F.col("e_samples").isNull(), "measurement_selection_unresolved"),
         (chosen | repeated & F.col("e_samples").isNotNull(), "measurement_selected_identity_mismatch"),

@@ -657,11 +657,11 @@ CASE WHEN reused THEN 'same_measurement_reused_as_new_state' END], lambda x: x I
 def measurement_bindings(spark, d):
     m = _parts(spark, d)
     cells = spark.range(40).select(F.col("id").alias("cell"), (F.col("id") % 4).alias("frame"), (F.col("id") % 2).alias("protocol"), (F.col("id") % 5).alias("registry"))
-    linked = m.where("measurement % 7 > 0").groupBy("state").agg(F.collect_set("measurement").alias("linked"))
-    states = spark.range(30).select(F.col("id").alias("state"), F.lit("probe_output").alias("stage_role")).join(linked, "state", "left")
+    states = spark.range(30).select(F.col("id").alias("state"), F.lit("probe_output").alias("stage_role"))
     chosen = cells.where("cell % 9 < 8").select("cell", F.array("cell", F.lit(1).cast("long")).alias("samples"), F.when(F.col("cell") % 6 == 5, "last").otherwise("first").alias("rule"))
     panels = spark.createDataFrame([], "panel long, frame long, protocol long, registry long, view string, rule string, planned int, stage_role string")
-    return bindings.measurement_bindings(m, cells, states, chosen, panels).select("measurement", F.array_join("codes", ",").alias("codes"))
+    links = m.where("measurement % 7 > 0").select("state", "measurement")
+    return bindings.measurement_bindings(m, cells, states, chosen, panels, links).select("measurement", F.array_join("codes", ",").alias("codes"))
 
 
 def _slots(spark, d):

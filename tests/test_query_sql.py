@@ -1,8 +1,12 @@
 """Queries against their SQL on tables made for one fault each."""
 
+import hashlib
+
 import duckdb
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from prismet.operators import fingerprints
 
 ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
 
@@ -28,3 +32,24 @@ def test_changed_subject_of_customer_zero(spark, tmp_path):
     put(spark, tmp_path, "orders", [(k, c, "F", 1.0, None, "5-LOW") for k, c in ((19, 0), (20, 0), (38, 7), (40, 7))], ORDERS)
     got, want = both(spark, tmp_path, "recovery_gates")
     assert got == want and (0, "external_validation", "unavailable", "external_validation_reviewed_subject_changed") in got
+
+
+def test_fingerprint_of_three_levels(spark):
+    """The trie of a view that needs three digits, against the definition."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = [(k,) for k in range(600)]
+    hashes = sorted(sha(f"{len(str(k))}:{k}") for k, in rows)
+    level = {p: sha(",".join(f"{h}:1" for h in hashes if h.startswith(p))) for p in {h[:3] for h in hashes}}
+    for deep in (2, 1, 0):
+        level = {p: sha(",".join(level[c] for c in sorted(level) if c.startswith(p))) for p in {c[:deep] for c in level}}
+    got = fingerprints.fingerprints(spark.createDataFrame(rows, "k long").withColumn("v", F.lit("a")), ["v"], ["k"], node=2).collect()
+    assert [(r["v"], r["fingerprint"], r["rows"]) for r in got] == [("a", level[""], 600)]
+
+
+def test_measurements_meet_links_by_key(spark, tmp_path):
+    """No list of all measurements of a state is made, and none is laid beside each of them."""
+    put(spark, tmp_path, "part", [(k, k % 50, "b") for k in range(2000)], "p_partkey long, p_size int, p_brand string")
+    got, want = both(spark, tmp_path, "measurement_bindings")
+    assert got == want and len(got) == 2000
+    plan = entry.queries()["measurement_bindings"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "linked" in plan and "array_contains" not in plan

@@ -41,6 +41,19 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a task of ``gathered``, about.
+TASK_ROWS = 500_000
+
+
+def gathered(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with rows of equal ``keys`` together, in as many tasks as its rows need: a task's memory does not grow with the table.
+
+    What is grouped, or ranked, by these keys or by more than these needs no further shuffle. Costs one count of the rows.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(parts, -(-df.count() // TASK_ROWS)), *keys)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that they need no copy of the repository."""
     sc = spark.sparkContext

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from prismet.functions.status import reasons, zoned_timestamp
 from prismet.operators import graph
+from prismet.session import gathered
 
 #: Conditions of an integrity claim (fixed values).
 INTEGRITY = ["structural_validity", "external_presence", "source_integrity", "tail_retention", "corrective_capacity"]
@@ -144,9 +145,16 @@ def decision_problems(decisions: DataFrame, support: DataFrame, keys: DataFrame,
 
 
 def domain_results(expected: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
-    """passed, violated, incomplete or conflicting of each suite [V3]: every expected case once, or a decisive counterexample."""
-    seen = results.groupBy(*keys, "case_id").agg(F.bool_and("passed").alias("_ok"), F.count(F.lit(1)).alias("_n"))
-    both = expected.join(seen, [*keys, "case_id"], "left")
+    """passed, violated, incomplete or conflicting of each suite [V3]: every expected case once, or a decisive counterexample.
+
+    ``expected`` is taken as a set: a case that it lists twice is one.
+    """
+    # Both tables lie together by suite once; expected and performed cases meet in one grouping, and nothing is joined.
+    each = expected.select(*keys, "case_id", F.lit(True).alias("_want"), F.lit(None).cast("boolean").alias("passed")).unionByName(results.select(*keys, "case_id", F.lit(False).alias("_want"), "passed"))
+    cases = gathered(each, *keys).groupBy(*keys, "case_id").agg(F.bool_or("_want").alias("_want"), F.bool_and("passed").alias("_ok"), F.count(F.when(~F.col("_want"), 1)).alias("_results"))
+    # As in a join, no key or case that is null meets another.
+    met = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, "case_id")]) & (F.col("_results") > 0)
+    both = cases.where("_want").select(*keys, F.when(met, F.col("_ok")).alias("_ok"), F.when(met, F.col("_results")).alias("_n"))
     t = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("expected"), F.count("_n").alias("performed"), F.coalesce(F.bool_or(~F.col("_ok")), F.lit(False)).alias("_bad"), F.max("_n").alias("_most"))
     state = F.when(F.col("_bad"), "violated").when(F.col("_most") > 1, "conflicting").when(F.col("performed") < F.col("expected"), "incomplete").otherwise("passed")
     return t.select(*keys, "expected", "performed", state.alias("state"))

@@ -1,8 +1,10 @@
 """Queries against their SQL on tables made for one fault each."""
 
 import hashlib
+import re
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -53,3 +55,20 @@ def test_measurements_meet_links_by_key(spark, tmp_path):
     assert got == want and len(got) == 2000
     plan = entry.queries()["measurement_bindings"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_set" not in plan and "linked" in plan and "array_contains" not in plan
+
+
+LINE = "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double"
+
+
+@pytest.mark.parametrize("name", ["review_problems", "domain_suites", "collection_eligibility"])
+def test_tasks_of_bounded_rows(spark, tmp_path, monkeypatch, name):
+    """Tasks are as many as the rows need, however few partitions a shuffle has; rows are those of the SQL."""
+    put(spark, tmp_path, "orders", [(k, k % 30, "F", 1.0, None, "5-LOW") for k in range(600)], ORDERS)
+    put(spark, tmp_path, "customer", [(k,) for k in range(30)], "c_custkey long")
+    put(spark, tmp_path, "lineitem", [(k // 4, k % 5, k % 7, float(k % 51)) for k in range(600)], LINE)
+    monkeypatch.setattr("prismet.session.TASK_ROWS", 20, raising=False)
+    got, want = both(spark, tmp_path, name)
+    assert got == want and len(got) >= 150
+    plan = entry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().toString()
+    parts = [int(x) for x in re.findall(r"hashpartitioning\([^\n]*?, (\d+)\), REPARTITION_BY_NUM", plan)]
+    assert parts and min(parts) >= 30

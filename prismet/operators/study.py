@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from prismet.session import gathered
+
 BLOCKS, CONDITIONS, GROUPS, PLACES = 6, ["A", "B", "C"], 4, 5
 _ORDERS = ["ABC", "ACB", "BAC", "BCA", "CAB", "CBA"]
 
@@ -80,13 +82,15 @@ def collection_eligibility(plan: DataFrame, ledger: DataFrame, cell: str, group:
     A group is complete if every planned slot was emitted; k is eligible if the first k planned slots, by group and
     index, were: a later success never fills an earlier hole.
     """
-    got = ledger.where("emitted").select(cell, group, index).distinct().withColumn("_e", F.lit(True))
-    slots = plan.select(cell, group, index).distinct().join(got, [cell, group, index], "left").withColumn("_e", F.coalesce("_e", F.lit(False)))
-    groups = slots.groupBy(cell, group).agg(F.bool_and("_e").alias("_whole")).groupBy(cell).agg(F.count(F.lit(1)).alias("groups"), F.sum(F.col("_whole").cast("long")).alias("complete_groups"))
+    # Plan and ledger lie together by cell once: one grouping by slot, one order within a cell, nothing is joined.
+    each = plan.select(cell, group, index, F.lit(True).alias("_plan"), F.lit(False).alias("_e")).unionByName(ledger.where("emitted").select(cell, group, index, F.lit(False).alias("_plan"), F.lit(True).alias("_e")))
+    named = F.col(cell).isNotNull() & F.col(group).isNotNull() & F.col(index).isNotNull()  # a slot without a name is never met
+    slots = gathered(each, cell).groupBy(cell, group, index).agg(F.bool_or("_plan").alias("_plan"), F.bool_or("_e").alias("_e")).where("_plan").withColumn("_e", F.col("_e") & named)
     placed = slots.withColumn("_n", F.row_number().over(Window.partitionBy(cell).orderBy(group, index)))
-    prefix = placed.groupBy(cell).agg(F.coalesce(F.min(F.when(~F.col("_e"), F.col("_n"))) - 1, F.count(F.lit(1))).cast("long").alias("prefix"))
+    groups = placed.groupBy(cell, group).agg(F.bool_and("_e").alias("_whole"), F.count(F.lit(1)).alias("_slots"), F.min(F.when(~F.col("_e"), F.col("_n"))).alias("_hole"))
+    out = groups.groupBy(cell).agg(F.count(F.lit(1)).alias("groups"), F.sum(F.col("_whole").cast("long")).alias("complete_groups"), F.coalesce(F.min("_hole") - 1, F.sum("_slots")).cast("long").alias("prefix"))
     able = F.array_compact(F.array(*[F.when(F.col("prefix") >= k, F.lit(k)) for k in ks]))
-    return groups.join(prefix, cell).select(cell, "groups", "complete_groups", "prefix", able.alias("eligible"))
+    return out.where(F.col(cell).isNotNull()).select(cell, "groups", "complete_groups", "prefix", able.alias("eligible"))
 
 
 def order_violations(calls: DataFrame, key: str, order: str, time: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismet.operators.graph import closure
+from prismet.operators.graph import inner_edges, reached
 from prismet.session import written
 
 #: Kinds of transitions that leave the clock where it is (fixed values), and the kind of state that some need at both ends.
@@ -17,14 +17,20 @@ TIMELESS = ["curation", "inference_configuration"]
 ENDS = {"categorical_reconstruction": "categorical_scenario", "inference_configuration": "model_system", "curation": "corpus"}
 
 
-def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def levels(nodes: DataFrame | None, edges: DataFrame) -> DataFrame:
     """(node, level): the longest way to each node from one without parents; null on a cycle or behind one [G5].
 
     A node gets its level in the round in which the last of its parents got theirs. Rounds are as many as levels; each
-    joins only the edges that leave the nodes of the round before, and counts arrivals against what a node waits for.
+    joins only the edges that leave the nodes of the round before, and counts arrivals against what a node waits for: an
+    edge that is listed twice arrives twice. Rounds see edges between nodes that have children; all others get their level
+    in one pass at the end, from their parents'. ``nodes`` None: the ends of the edges, which are not null.
     """
-    steps = written(edges.select("src", "dst").distinct())
-    waits = written(nodes.select("node").distinct().join(steps.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("_waits")), "node", "left").fillna(0, ["_waits"]))
+    pairs = edges.select("src", "dst")
+    steps = written(inner_edges(pairs))
+    starts = pairs.select(F.col("src").alias("node")).distinct()
+    if nodes is not None:  # an end of an edge that is no node is never reached, nor what it leads to
+        starts = starts.join(nodes.select("node").distinct(), "node", "left_semi")
+    waits = written(starts.join(steps.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("_waits")), "node", "left").fillna(0, ["_waits"]))
     ready, level, done = written(waits.where("_waits = 0").select("node")), 0, []
     arrived = None
     while ready.take(1):
@@ -37,16 +43,23 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         ready = written(full)
         arrived = arrived.join(ready, "node", "left_anti")
         level += 1
-    out = done[0] if done else nodes.select("node").limit(0).withColumn("level", F.lit(0))
+    out = done[0] if done else waits.select("node").limit(0).withColumn("level", F.lit(0))
     for part in done[1:]:
         out = out.unionByName(part)
-    return nodes.select("node").distinct().join(out, "node", "left")
+    # Below: one more than the highest parent, null if one has none. Parents without parents are there by themselves.
+    last = pairs.join(out.select(F.col("node").alias("src"), "level"), "src", "left").groupBy(F.col("dst").alias("node"))
+    below = last.agg(F.when(F.count("level") == F.count(F.lit(1)), F.max("level") + 1).alias("level"))
+    if nodes is None:
+        return below.unionByName(done[0] if done else out).where("node IS NOT NULL")
+    own = nodes.select("node").distinct().join(below.withColumn("_below", F.lit(True)), "node", "left")
+    return own.select("node", F.when(F.col("_below").isNull() & F.col("node").isNotNull(), F.lit(0)).otherwise(F.col("level")).alias("level"))
 
 
 def carried(faults: DataFrame, edges: DataFrame) -> DataFrame:
     """(node): faulty nodes and all their descendants [G5]: each node once, however many faults reach it."""
-    seeds = faults.select(F.lit(0).alias("origin"), F.col("node")).distinct()
-    return closure(seeds, edges).select("node").distinct()
+    pairs = edges.select("src", "dst")
+    inside = reached(faults.select(F.lit(0).alias("origin"), F.col("node")), pairs)
+    return inside.select("node").union(pairs.join(inside.select(F.col("node").alias("src")), "src", "left_semi").select("dst")).distinct()
 
 
 def _codes(*pairs: tuple[Column, str]) -> Column:

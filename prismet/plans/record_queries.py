@@ -79,9 +79,7 @@ UNION ALL SELECT 'customer:' || o_custkey, 'order:' || o_orderkey FROM orders UN
 @_register(f"WITH RECURSIVE {_CHAIN}, w AS (SELECT DISTINCT src node, 0 lvl FROM e WHERE src NOT IN (SELECT dst FROM e) UNION SELECT e.dst, lvl + 1 FROM w JOIN e ON e.src = w.node) SELECT node, CAST(max(lvl) AS INTEGER) AS level FROM w GROUP BY 1")
 def lineage_levels(spark, d):
     """The longest way to each row from one that names no other [G5]."""
-    edges = _chain(spark, d)
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    return lineage.levels(nodes, edges)
+    return lineage.levels(None, _chain(spark, d))
 
 
 @_register(f"WITH RECURSIVE {_CHAIN}, w AS (SELECT 'customer:' || c_custkey node FROM customer WHERE c_acctbal < 0 UNION SELECT 'order:' || o_orderkey FROM orders WHERE o_orderstatus = 'P' UNION SELECT e.dst FROM w JOIN e ON e.src = w.node) SELECT split_part(node, ':', 1) kind, count(*) n FROM w GROUP BY 1")

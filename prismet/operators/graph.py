@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from prismet.session import written
 
 
-def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """(origin, node, depth): all that is reachable from each seed along src -> dst [G1-G4]; cycles end at visited nodes.
+def inner_edges(pairs: DataFrame) -> DataFrame:
+    """Edges (src, dst) that lead on: their dst has edges of its own. The others, most of them as a rule, end a walk wherever it is."""
+    return pairs.join(pairs.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
 
-    ``seeds`` has origin and node. Breadth first: a node keeps its least depth. It ends when nothing new is reached, however
-    long the longest way is.
-    """
-    steps = written(edges.select("src", "dst").distinct())
+
+def reached(seeds: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(origin, node, depth): seeds and what is reachable from them along inner edges, breadth first, each at its least depth."""
+    steps = written(inner_edges(pairs))
     frontier = written(seeds.select("origin", "node").distinct().withColumn("depth", F.lit(0)))
     visited, parts, depth = frontier, 1, 0
     while True:
@@ -28,6 +29,18 @@ def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
             visited, parts = written(visited), 1
 
 
+def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(origin, node, depth): all that is reachable from each seed along src -> dst [G1-G4]; cycles end at visited nodes.
+
+    ``seeds`` has origin and node. Breadth first: a node keeps its least depth. It ends when nothing new is reached, however
+    long the longest way is. Rounds see edges that lead on; all edges are passed once, at the end.
+    """
+    pairs = edges.select("src", "dst")
+    inside = reached(seeds, pairs)
+    last = inside.join(pairs, inside["node"] == pairs["src"]).select("origin", F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"))
+    return inside.union(last).groupBy("origin", "node").agg(F.min("depth").alias("depth"))
+
+
 def impact(corrections: DataFrame, references: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     """Records that depend on each correction's targets [G2, G3]; references point from a record to what it uses."""
     reverse = references.select(F.col("dst").alias("src"), F.col("src").alias("dst"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from prismet.operators import fingerprints
+from prismet.operators import fingerprints, graph, lineage
 
 ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
 
@@ -72,3 +72,11 @@ def test_tasks_of_bounded_rows(spark, tmp_path, monkeypatch, name):
     plan = entry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().toString()
     parts = [int(x) for x in re.findall(r"hashpartitioning\([^\n]*?, (\d+)\), REPARTITION_BY_NUM", plan)]
     assert parts and min(parts) >= 30
+
+
+def test_walks_pass_edges_that_lead_nowhere_once(spark):
+    """Rounds see edges that lead on only; repeated edges, cycles and the ends of ways come out as before."""
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("x", "y"), ("y", "x"), ("y", "z"), ("a", "z")], "src string, dst string")
+    assert sorted(map(tuple, graph.inner_edges(edges).distinct().collect())) == [("a", "b"), ("a", "c"), ("b", "c"), ("x", "y"), ("y", "x")]
+    assert dict(map(tuple, lineage.levels(None, edges).collect())) == {"a": 0, "b": 1, "c": 2, "d": 3, "x": None, "y": None, "z": None}
+    assert {r["node"] for r in lineage.carried(spark.createDataFrame([("y",), ("c",), ("q",)], "node string"), edges).collect()} == {"y", "x", "z", "c", "d", "q"}

@@ -10,6 +10,8 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,23 +61,54 @@ _TOKENIZED = T.StructType([
 ])
 
 
+def tokens(t: str | bytes | None) -> tuple:
+    """status, reasons, n_units, units, trigram hashes of a text or of UTF-8 bytes: eligible, ineligible (bad UTF-8, empty, white space only) or unavailable."""
+    if unicodedata.unidata_version != UNICODE:
+        return ("unavailable", ["host_unicode_category_version_mismatch"], None, [], [])
+    if isinstance(t, bytes | bytearray):
+        try:
+            t = bytes(t).decode()
+        except UnicodeDecodeError:
+            return ("ineligible", ["invalid_utf8"], None, [], [])
+    if t is None or t == "":
+        return ("ineligible", ["empty_emitted_text"], 0, [], [])
+    units = lexical_units(t)
+    return ("eligible", [], len(units), units, sorted(map(trigram_hash, trigrams(units)))) if units else ("ineligible", ["whitespace_only_text"], 0, [], [])
+
+
 @F.pandas_udf(_TOKENIZED)
 def tokenized(texts: pd.Series) -> pd.DataFrame:
-    """Tokenization of text or UTF-8 bytes: eligible, ineligible (bad UTF-8, empty, white space only) or unavailable."""
-    rows = []
-    for t in texts:
-        if unicodedata.unidata_version != UNICODE:
-            rows.append(("unavailable", ["host_unicode_category_version_mismatch"], None, [], []))
-            continue
-        if isinstance(t, bytes | bytearray):
-            try:
-                t = bytes(t).decode()
-            except UnicodeDecodeError:
-                rows.append(("ineligible", ["invalid_utf8"], None, [], []))
-                continue
-        if t is None or t == "":
-            rows.append(("ineligible", ["empty_emitted_text"], 0, [], []))
-            continue
-        units = lexical_units(t)
-        rows.append(("eligible", [], len(units), units, sorted(map(trigram_hash, trigrams(units)))) if units else ("ineligible", ["whitespace_only_text"], 0, [], []))
-    return pd.DataFrame(rows, columns=["status", "reasons", "n_units", "units", "trigrams"])
+    """Tokenization of each text."""
+    return pd.DataFrame([tokens(t) for t in texts], columns=["status", "reasons", "n_units", "units", "trigrams"])
+
+
+#: Characters of the texts whose tokens a task holds at a time, about; a longer text is alone.
+PIECE = 200_000
+
+
+def tokenized_rows(rows: DataFrame, key: str, text: str, parts: tuple[str, ...]) -> DataFrame:
+    """key, tok of each row: ``tok`` holds those ``parts`` of the tokenization that are asked for, and ``n_trigrams`` if so.
+
+    Tokens of some texts at a time become Arrow arrays and leave the task, so that its memory is that of a piece and not
+    of a batch; parts that nobody asked for are never kept.
+    """
+    types = {f.name: f.dataType for f in _TOKENIZED.fields} | {"n_trigrams": T.IntegerType()}
+    tok = T.StructType([T.StructField(p, types[p]) for p in parts])
+    schema = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("tok", tok)])
+    names = [f.name for f in _TOKENIZED.fields]
+    arrow = pa.struct([(p, {"status": pa.string(), "reasons": pa.list_(pa.string()), "n_units": pa.int32(), "units": pa.list_(pa.string()), "trigrams": pa.list_(pa.int64()), "n_trigrams": pa.int32()}[p]) for p in parts])
+
+    def run(batches):
+        for batch in batches:
+            start, held, size = 0, [], 0
+            for n in range(batch.num_rows):
+                t = batch.column(1)[n].as_py()
+                found = dict(zip(names, tokens(t), strict=True))
+                found["n_trigrams"] = len(found["trigrams"])
+                held.append({p: found[p] for p in parts})
+                size += len(t or "")
+                if size >= PIECE or n + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n + 1 - start), pa.array(held, arrow)], names=[key, "tok"])
+                    start, held, size = n + 1, [], 0
+
+    return rows.select(key, text).mapInArrow(run, schema)

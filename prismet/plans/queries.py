@@ -293,7 +293,7 @@ def surface_distance(spark, d):
 def _turn_trigrams(spark, d):
     """Eligible texts only, as in the surveyed distance; SQL has no Unicode categories, so these have no SQL form."""
     turns = _t(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
-    toks = text_pairs.trigram_sets(turns).where(F.col("tok.status") == "eligible")
+    toks = text_pairs.trigram_sets(turns, parts=("status", "trigrams")).where(F.col("tok.status") == "eligible")
     return toks.select(F.col("conv_id").alias("cell"), F.col("turn").alias("ident"), F.col("tok.trigrams").alias("items"))
 
 
@@ -632,8 +632,8 @@ def response_extraction(spark, d):
 
 @_register()
 def lexical_units(spark, d):
-    out = text_pairs.trigram_sets(_t(spark, d, "conversations").select("conv_id", "turn", "text"))
-    return out.select("conv_id", "turn", F.col("tok.status").alias("status"), F.col("tok.n_units").alias("n_units"), F.size("tok.trigrams").alias("n_trigrams"))
+    out = text_pairs.trigram_sets(_t(spark, d, "conversations").select("conv_id", "turn", "text"), parts=("status", "n_units", "n_trigrams"))
+    return out.select("conv_id", "turn", F.col("tok.status").alias("status"), F.col("tok.n_units").alias("n_units"), F.col("tok.n_trigrams").alias("n_trigrams"))
 
 
 def _parts(spark, d):

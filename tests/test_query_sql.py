@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from prismet.operators import fingerprints, graph, lineage
+from prismet.functions import text
+from prismet.operators import fingerprints, graph, lineage, text_pairs
 
 ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
 
@@ -80,3 +81,15 @@ def test_walks_pass_edges_that_lead_nowhere_once(spark):
     assert sorted(map(tuple, graph.inner_edges(edges).distinct().collect())) == [("a", "b"), ("a", "c"), ("b", "c"), ("x", "y"), ("y", "x")]
     assert dict(map(tuple, lineage.levels(None, edges).collect())) == {"a": 0, "b": 1, "c": 2, "d": 3, "x": None, "y": None, "z": None}
     assert {r["node"] for r in lineage.carried(spark.createDataFrame([("y",), ("c",), ("q",)], "node string"), edges).collect()} == {"y", "x", "z", "c", "d", "q"}
+
+
+def test_tokens_of_asked_parts(spark, tmp_path):
+    """Counts alone leave the task if only counts are asked for; long, empty, blank, equal and null texts keep their rows."""
+    texts = ["a b c", "a b c", "", " \n", None, "x_1 é; 東京!", "word " * 60_000]
+    put(spark, tmp_path, "conversations", [(k, 0, "user", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    got = sorted(map(tuple, entry.queries()["lexical_units"](spark, str(tmp_path)).collect()))
+    plain = [text.tokens(t) for t in texts]
+    assert got == [(k, 0, *((None,) * 3 if texts[k] is None else (p[0], p[2], len(p[4])))) for k, p in enumerate(plain)]
+    out = text_pairs.trigram_sets(spark.read.parquet(f"{tmp_path}/conversations.parquet"), parts=("n_units", "trigrams"))
+    assert {r["conv_id"]: r["tok"]["trigrams"] for r in out.where("conv_id < 4").collect()} == {k: plain[k][4] for k in range(4)}
+    assert out.select("tok.*").columns == ["n_units", "trigrams"]

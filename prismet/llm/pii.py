@@ -8,8 +8,9 @@ that a fixed kind is defined by alone (the plus of a phone number, the sign of a
 proposal beyond the fixed kinds says how much it looks like verified data. Each generator has a threshold, the least score
 above which ``precision`` of the proposals of a held-out fold cover verified data; without one it adds nothing.
 
-Learning sees counts of distinct feature vectors, summed over all rows; the ``bound`` most frequent reach the driver.
-Everything else covers all rows. Positions come from the pieces between matches, and sums over them in blocks, so work
+Learning sees all proposals of all rows, as counts of distinct feature vectors that stay in a table: for each level of a
+tree Spark sums gradients by open node, feature and value, and these sums, a few hundred whatever the rows, are what the
+driver cuts by; held-out proposals reach it as counts by generator and step of the score. Positions come from the pieces between matches, and sums over them in blocks, so work
 grows with the text's length and the matches' number to the power 1.5 at most; patterns never scan a run of characters
 from each of its characters again.
 
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from prismet.llm._ranges import let
 from prismet.llm._stage import stage
+from prismet.session import TASK_ROWS
 
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: Kinds with exact checks: what a text with a match holds, and the pattern. Runs are entered at their first character or
@@ -163,9 +165,17 @@ def _covering(base: Column, wide: Column) -> Column:
     return let(F.array_sort(F.concat(wide, none)), marked)
 
 
+#: Scores are compared in steps, this many to a unit of log-odds, from minus to plus the largest: a bounded number of them.
+STEPS, LARGEST = 256, 16
+
+
+def _step(score: Column) -> Column:
+    return F.greatest(F.least(F.floor(score * STEPS + 0.5), F.lit(LARGEST * STEPS).cast("long")), F.lit(-LARGEST * STEPS).cast("long"))
+
+
 @dataclass(frozen=True)
 class Model:
-    """Boosted trees, nested (feature, threshold, low side, high side) or leaf values, the bias, and a threshold for each generator."""
+    """Boosted trees, nested (feature, threshold, low side, high side) or leaf values, the bias, and a step for each generator."""
 
     trees: tuple
     bias: float
@@ -185,44 +195,127 @@ class Model:
             out = out + node(tree)
         return out
 
+    def step(self, x: Column) -> Column:
+        """The score in whole steps, in which thresholds are given."""
+        return _step(self.score(x))
+
+
+def _cut(sums: dict[str, tuple[np.ndarray, np.ndarray]], ridge: float):
+    """(feature, at, sums of the low side, of the high side) of the best cut by second-order gains, or None; and the sums of the node."""
+    total_g, total_h = (v.sum() for v in next(iter(sums.values())))
+    best = (1e-6, None)
+    for name, (sum_g, sum_h) in sums.items():
+        left_g, left_h = np.cumsum(sum_g)[:-1], np.cumsum(sum_h)[:-1]
+        gain = left_g**2 / (left_h + ridge) + (total_g - left_g) ** 2 / (total_h - left_h + ridge) - total_g**2 / (total_h + ridge)
+        gain[(left_h < 1) | (total_h - left_h < 1)] = 0
+        if len(gain) and gain.max() > best[0]:
+            at = int(gain.argmax())
+            best = (float(gain.max()), (name, at, (left_g[at], left_h[at]), (total_g - left_g[at], total_h - left_h[at])))
+    return best[1], (total_g, total_h)
+
+
+def _replaced(tree, change):
+    """The tree with every leaf, a value or the number of an open node, replaced."""
+    return (*tree[:2], _replaced(tree[2], change), _replaced(tree[3], change)) if isinstance(tree, tuple) else change(tree)
+
+
+def _grow(sums, depth: int, rate: float, ridge: float):
+    """One tree, level by level; ``sums(tree)`` gives, by open node of the tree, the gradients' sums by feature and value."""
+    leaf = lambda g, h: float(-rate * g / (h + ridge))
+    tree, last = 0, 0
+    for level in range(1, max(depth, 1) + 1):
+        found = {node: _cut(by, ridge) for node, by in sums(_replaced(tree, lambda v: -1 if isinstance(v, float) else v)).items()}
+
+        def side(g, h, deep=level):
+            nonlocal last
+            last += 1
+            return leaf(g, h) if deep == depth else last
+
+        def grown(v):
+            if isinstance(v, float):
+                return v
+            best, total = found[v]
+            return leaf(*total) if best is None or not depth else (*best[:2], side(*best[2]), side(*best[3]))
+
+        tree = _replaced(tree, grown)
+        if not any(isinstance(v, int) for v in _leaves(tree)):
+            break
+    return tree
+
+
+def _leaves(tree) -> list:
+    return [*_leaves(tree[2]), *_leaves(tree[3])] if isinstance(tree, tuple) else [tree]
+
 
-def _grow(x: dict[str, np.ndarray], g: np.ndarray, h: np.ndarray, depth: int, rate: float, ridge: float):
-    """One tree by second-order gains over all cuts of all features."""
-    total_g, total_h = g.sum(), h.sum()
-    best = (1e-6, None, None)
-    if depth:
-        for name, values in x.items():
-            sum_g, sum_h = np.bincount(values, g), np.bincount(values, h)
-            left_g, left_h = np.cumsum(sum_g)[:-1], np.cumsum(sum_h)[:-1]
-            gain = left_g**2 / (left_h + ridge) + (total_g - left_g) ** 2 / (total_h - left_h + ridge) - total_g**2 / (total_h + ridge)
-            gain[(left_h < 1) | (total_h - left_h < 1)] = 0
-            if len(gain) and gain.max() > best[0]:
-                best = (float(gain.max()), name, int(gain.argmax()))
-    if best[1] is None:
-        return float(-rate * total_g / (total_h + ridge))
-    low = x[best[1]] <= best[2]
-    sides = [_grow({k: v[m] for k, v in x.items()}, g[m], h[m], depth - 1, rate, ridge) for m in (low, ~low)]
-    return (best[1], best[2], *sides)
+def _sql(tree) -> str:
+    """A tree as SQL over columns named as the features."""
+    return f"CASE WHEN `{tree[0]}` <= {tree[1]} THEN {_sql(tree[2])} ELSE {_sql(tree[3])} END" if isinstance(tree, tuple) else f"{tree!r}D" if isinstance(tree, float) else str(tree)
 
 
 def _value(tree, x: dict[str, np.ndarray]) -> np.ndarray:
-    if isinstance(tree, float):
+    if not isinstance(tree, tuple):
         return np.full(len(next(iter(x.values()))), tree)
     return np.where(x[tree[0]] <= tree[1], _value(tree[2], x), _value(tree[3], x))
 
 
+def _bias(positive: float, total: float) -> float:
+    share = min(max(positive / total, 1e-4), 1 - 1e-4)
+    return float(np.log(share / (1 - share)))
+
+
+#: Gradients are summed in whole parts of this many to one, so no order of rows changes a sum, and no sum a tree.
+UNIT = 1 << 20
+
+
 def boost(x: dict[str, np.ndarray], positive: np.ndarray, weight: np.ndarray, *, rounds: int = 30, depth: int = 3, rate: float = 0.3, ridge: float = 1.0) -> tuple[tuple, float]:
     """(trees, bias): Newton boosting of the log loss on weighted feature vectors."""
-    share = min(max((positive * weight).sum() / weight.sum(), 1e-4), 1 - 1e-4)
-    bias = float(np.log(share / (1 - share)))
+    bias = _bias((positive * weight).sum(), weight.sum())
     score, trees = np.full(len(weight), bias), []
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-score))
-        trees.append(_grow(x, weight * (p - positive), weight * p * (1 - p), depth, rate, ridge))
+        g, h = weight * (np.floor(p * UNIT + 0.5) - positive * UNIT) / UNIT, weight * np.floor(p * (1 - p) * UNIT + 0.5) / UNIT
+
+        def sums(tree, g=g, h=h):
+            node = _value(tree, x)
+            return {k: {f: (np.bincount(v[m], g[m]), np.bincount(v[m], h[m])) for f, v in x.items()} for k in np.unique(node[node >= 0]).tolist() for m in [node == k]}
+
+        trees.append(_grow(sums, depth, rate, ridge))
         score = score + _value(trees[-1], x)
     return tuple(trees), bias
 
 
+def boost_rows(rows: DataFrame, names: list[str], *, rounds: int = 30, depth: int = 3, rate: float = 0.3, ridge: float = 1.0) -> tuple[tuple, float]:
+    """``boost`` over a written table of ``names``, covers and n (how often): the same trees from sums that Spark makes.
+
+    Features are small whole numbers, so the sums of a level have at most a row for each open node and value of a feature.
+    Tasks are as many as the rows need: where one does, nothing is shuffled.
+    """
+    n, right, vectors = rows.agg(F.sum("n"), F.sum(F.col("covers").cast("long") * F.col("n")), F.count(F.lit(1))).first()
+    rows = rows.coalesce(-(-vectors // TASK_ROWS))
+    bias = _bias(float(right), float(n))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("f"), F.col(f"`{f}`").alias("v")) for k, f in enumerate(names)])).alias("e")
+    trees = []
+
+    def sums(tree):
+        p = F.expr(f"1 / (1 + exp(-({_score_sql(trees, bias)})))")
+        known = rows.select(*[f"`{f}`" for f in names], "covers", "n", F.expr(_sql(tree)).alias("_node"), p.alias("_p")).where("_node >= 0")
+        unit = lambda c: F.floor(c * UNIT + 0.5)
+        g, h = F.col("n") * (unit(F.col("_p")) - F.col("covers").cast("long") * UNIT), F.col("n") * unit(F.col("_p") * (1 - F.col("_p")))
+        out: dict = {}
+        for r in known.select("_node", each, g.alias("g"), h.alias("h")).groupBy("_node", "e.f", "e.v").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
+            out.setdefault(r["_node"], {}).setdefault(r["f"], []).append((r["v"], r["g"] / UNIT, r["h"] / UNIT))
+        dense = lambda cells: tuple(np.bincount([c[0] for c in cells], [c[k] for c in cells]) for k in (1, 2))
+        return {node: {f: dense(by[k]) for k, f in enumerate(names)} for node, by in out.items()}
+
+    for _ in range(rounds):
+        trees.append(_grow(sums, depth, rate, ridge))
+    return tuple(trees), bias
+
+
+def _score_sql(trees, bias: float) -> str:
+    return " + ".join([_sql(bias), *map(_sql, trees)])
+
+
 def threshold(score: np.ndarray, positive: np.ndarray, weight: np.ndarray, precision: float, least: int) -> float | None:
     """The least score from which on ``precision`` of the weight is positive, with ``least`` positives or more."""
     order = np.lexsort((score,))[::-1]
@@ -232,28 +325,23 @@ def threshold(score: np.ndarray, positive: np.ndarray, weight: np.ndarray, preci
     return float(s[np.flatnonzero(good)[-1]]) if good.any() else None
 
 
-def train(scanned: DataFrame, *, bound: int = 50_000, precision: float = 0.98, least: int = 10, **options) -> Model | None:
-    """A model of the proposals in ``scanned`` (a written table), or None where none covers verified data.
+def train(scanned: DataFrame, *, precision: float = 0.98, least: int = 10, **options) -> Model | None:
+    """A model of all proposals in ``scanned`` (a written table), or None where none covers verified data.
 
-    ``bound``: distinct feature vectors, the most frequent first, that reach the driver. A fifth of the rows, by hash, is
-    held out for the thresholds.
+    A fifth of the rows, by hash, is held out for the thresholds, which are steps of the score (see ``Model.step``).
     """
     names = [*FEATURES, "generator"]
     each = scanned.select((F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(5)) == 0).alias("held"), F.explode("proposed").alias("p")).select("held", "p.covers", "p.x.*")
-    counts = each.groupBy("held", "covers", *names).agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.orderBy(F.desc("n"), "held", "covers", *names).limit(bound).collect()
-    table = {c: np.array([r[c] for r in rows], np.int64) for c in (*names, "held", "covers", "n")}
-    fit, held = table["held"] == 0, table["held"] == 1
-    if not (table["covers"] * table["n"])[fit].sum():
+    counts = stage(each.groupBy("held", "covers", *names).agg(F.count(F.lit(1)).alias("n")), "vectors")
+    fit = counts.where("NOT held")
+    if not fit.where("covers").take(1):
         return None
-    x = {f: table[f] for f in names}
-    part = lambda m: ({f: v[m] for f, v in x.items()}, table["covers"][m].astype(float), table["n"][m].astype(float))
-    trees, bias = boost(*part(fit), **options)
-    score = bias + sum(_value(t, x) for t in trees)
+    trees, bias = boost_rows(fit, names, **options)
+    steps = counts.where("held").select("generator", "covers", "n", _step(F.expr(_score_sql(trees, bias))).alias("step")).groupBy("generator", "covers", "step").agg(F.sum("n").alias("n")).collect()
     found = {}
     for k, name in enumerate(PROPOSED):
-        m = held & (table["generator"] == k)
-        t = threshold(score[m], table["covers"][m].astype(float), table["n"][m].astype(float), precision, least)
+        own = [(r["step"], float(r["covers"]), float(r["n"])) for r in steps if r["generator"] == k]
+        t = threshold(*np.array(own).reshape(-1, 3).T, precision, least)
         if t is not None:
             found[name] = t
     return Model(trees, bias, found)
@@ -265,9 +353,9 @@ def selected(scanned: DataFrame, model: Model | None) -> DataFrame:
     empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
     if model is None or not model.thresholds:
         return scanned.withColumn("added", empty)
-    limit = F.array(*[F.lit(model.thresholds.get(k, float("inf"))) for k in PROPOSED])
-    # Sums are made in the same order as in training, so a score on its threshold stays on it but for rounding.
-    kept = F.filter("proposed", lambda p: ~p["covers"] & (model.score(p["x"]) >= F.get(limit, p["x"]["generator"]) - 1e-9))
+    limit = F.array(*[F.lit(float(model.thresholds.get(k, float("inf")))) for k in PROPOSED])
+    # Sums are made in the same order as in training, so a score has the same step.
+    kept = F.filter("proposed", lambda p: ~p["covers"] & (model.step(p["x"]) >= F.get(limit, p["x"]["generator"])))
     return scanned.withColumn("added", F.transform(kept, lambda p: F.struct(F.get(kinds, p["x"]["generator"]).alias("kind"), p["start"].alias("start"), p["end"].alias("end"))))
 
 

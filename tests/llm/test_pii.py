@@ -111,6 +111,27 @@ def test_scores_of_the_expression_are_those_of_the_trees(spark):
     assert got == pytest.approx((bias + sum(pii._value(t, x) for t in trees)).tolist())
 
 
+def test_trees_of_a_table_are_those_of_arrays(spark):
+    """Sums over a table in many parts grow the trees that all its rows in one place do."""
+    rng = np.random.default_rng(5)
+    x = {f: rng.integers(0, 9, 500) for f in ("p", "q", "r")}
+    y, n = (x["p"] > 5) & (x["q"] <= 3) | (rng.random(500) < 0.1), rng.integers(1, 50, 500)
+    rows = [(*map(int, v), bool(c), int(k)) for *v, c, k in zip(*x.values(), y, n, strict=True)]
+    df = spark.createDataFrame(rows, "p int, q int, r int, covers boolean, n long").repartition(5)
+    for depth in (0, 1, 3):
+        assert pii.boost_rows(df, list(x), rounds=3, depth=depth) == pii.boost(x, y.astype(float), n.astype(float), rounds=3, depth=depth)
+
+
+def test_learning_sees_all_vectors(spark):
+    """70,000 different vectors, each as frequent as any other: those that a most frequent 50,000 would leave out decide."""
+    k = F.col("id")
+    value = {"digits": k % 25, "length": F.floor(k / 25) % 61, "dots": F.floor(k / 1525) % 7, "last": F.floor(k / 10675) % 21}
+    x = F.struct(*[value.get(f, F.lit(0)).cast("int").alias(f) for f in pii.FEATURES], F.lit(1).alias("generator"))
+    p = F.struct(F.lit(0).cast("long").alias("start"), F.lit(9).cast("long").alias("end"), x.alias("x"), (k % 25 >= 20).alias("covers"))
+    model = pii.train(spark.range(70_000).select(k.alias("doc_id"), k.alias("text_key"), F.array(p).alias("proposed")), rounds=2)
+    assert list(model.thresholds) == ["number"] and model.trees[0][:2] == ("digits", 19)
+
+
 def prose(rng, n):
     return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n))
 

@@ -164,40 +164,80 @@ def shape_problems(records: DataFrame, shape: DataFrame, *, types: list[str], ar
     return bad.unionByName(more.select("record_type", "record_id", F.concat_ws(".", "place", "field").alias("path"), unknown.alias("code")))
 
 
-def walk(records: DataFrame, keys: list[str], *, stop_at_references: bool = True) -> DataFrame:
-    """keys, path, depth, kind, v of every node of ``records`` (keys, v), the record itself at path ``$``.
+#: Depths that one pass over the records goes down.
+DEPTHS = 6
+
+
+def _node(path: Column, depth: Column, v: Column) -> Column:
+    return F.struct(path.alias("path"), depth.alias("depth"), v.alias("v"), fields(v).alias("f"), items(v).alias("i"))
+
+
+def _names_reference(n: Column) -> Column:
+    return F.coalesce(F.array_sort(F.map_keys(n["f"])) == F.array(*map(F.lit, _REF_KEYS)), F.lit(False))
+
+
+def _below(n: Column) -> Column:
+    """The nodes right below a node."""
+    deep = n["depth"] + 1
+    named = F.transform(F.map_entries(n["f"]), lambda e: _node(F.concat(n["path"], F.lit("."), e["key"]), deep, e["value"]))
+    placed = F.transform(n["i"], lambda x, k: _node(F.concat(n["path"], F.lit("["), k.cast("string"), F.lit("]")), deep, x))
+    return F.coalesce(named, placed)
+
 
-    One explosion for each depth of the deepest record, each level written, so a level is read from a table and the work
-    is that of the nodes. References are leaves unless asked otherwise.
+def _descended(records: DataFrame, keys: list[str], out: dict, kept, stop_at_references: bool) -> DataFrame:
+    """keys and ``out``, expressions over a node, of the nodes that are ``kept``.
+
+    A pass takes each record ``DEPTHS`` levels down, as arrays beside it, and writes what is kept; nodes below which there
+    is more go to the next pass, which begins there. So a record is read once for each ``DEPTHS`` of its levels.
     """
     own = {k: f"_key{n}" for n, k in enumerate(keys)}  # an explosion has columns of its own, such as key and value
-    level = records.select(*[F.col(k).alias(c) for k, c in own.items()], F.lit("$").alias("path"), F.lit(0).alias("depth"), "v")
-    spark, levels = records.sparkSession, []
+    level = records.select(*[F.col(k).alias(c) for k, c in own.items()], F.lit("$").alias("_path"), F.lit(0).alias("_depth"), F.col("v").alias("_v"))
+    leads = lambda n: (n["f"].isNotNull() | n["i"].isNotNull()) & (~_names_reference(n) if stop_at_references else F.lit(True))
+    passes = []
     while True:
-        level = written(level.withColumn("kind", kind(F.col("v"))))
-        levels.append(level)
-        inner = level.where(F.col("kind").isin("object", "array"))
-        if stop_at_references:
-            inner = inner.where(~is_reference(F.col("v")))
-        if not inner.take(1):
+        rows = level.withColumn("_0", F.array(_node(F.col("_path"), F.col("_depth"), F.col("_v")))).drop("_path", "_depth", "_v")
+        for k in range(DEPTHS):
+            rows = rows.withColumn(f"_{k + 1}", F.flatten(F.transform(F.filter(f"_{k}", leads), _below)))
+        told = lambda n: F.struct(*[e(n).alias(c) for c, e in out.items()])
+        found = [F.transform(F.filter(f"_{k}", kept), lambda n: F.struct(told(n).alias("out"), F.lit(None).cast("struct<path:string,depth:int,v:variant>").alias("more"))) for k in range(DEPTHS)]
+        more = F.transform(F.filter(f"_{DEPTHS}", lambda n: leads(n) | kept(n)), lambda n: F.struct(F.when(F.lit(False), told(n)).alias("out"), F.struct(n["path"].alias("path"), n["depth"].alias("depth"), n["v"].alias("v")).alias("more")))
+        each = rows.select(*own.values(), F.explode(F.concat(*found, more)).alias("_e"))
+        done = written(each.select(*own.values(), "_e.out", "_e.more", F.col("_e.more").isNotNull().alias("_open")))
+        passes.append(done.where("NOT _open").select(*[F.col(c).alias(k) for k, c in own.items()], "out.*"))
+        left = done.where("_open")
+        if not left.take(1):
             break
-        below = inner.drop("kind").withColumnRenamed("v", "_v").lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()))
-        step = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), "key")).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
-        level = below.select(*own.values(), F.concat("path", step).alias("path"), (F.col("depth") + 1).alias("depth"), F.col("value").alias("v"))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out.select(*[F.col(c).alias(k) for k, c in own.items()], "path", "depth", "kind", "v")
+        level = left.select(*own.values(), F.col("more.path").alias("_path"), F.col("more.depth").alias("_depth"), F.col("more.v").alias("_v"))
+    whole = passes[0]
+    for p in passes[1:]:
+        whole = whole.unionByName(p)
+    return whole
+
+
+def walk(records: DataFrame, keys: list[str], *, stop_at_references: bool = True) -> DataFrame:
+    """keys, path, depth, kind, v of every node of ``records`` (keys, v), the record itself at path ``$``.
+
+    Records are read once for several depths, however many nodes stand there. References are leaves unless asked otherwise.
+    """
+    out = _descended(records, keys, {c: lambda n, c=c: n[c] for c in ("path", "depth", "v")}, lambda n: F.lit(True), stop_at_references)
+    return out.select(*keys, "path", "depth", kind(F.col("v")).alias("kind"), "v")
 
 
 def references(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """keys, path, target_type, target_id, target_version of the references among walked nodes."""
     f = fields(F.col("v"))
     part = lambda name: string(F.try_element_at(f, F.lit(name)))
-    found = nodes.where((F.col("kind") == "object") & is_reference(F.col("v")))
+    found = nodes.where(is_reference(F.col("v")))
     return found.select(*keys, "path", part("record_type").alias("target_type"), part("record_id").alias("target_id"), part("record_version").alias("target_version"))
 
 
+def deep_references(records: DataFrame, keys: list[str]) -> DataFrame:
+    """``references`` of ``walk``, without a table of all nodes: only references leave their record."""
+    part = lambda name: lambda n: string(F.try_element_at(n["f"], F.lit(name)))
+    out = {"path": lambda n: n["path"], "target_type": part("record_type"), "target_id": part("record_id"), "target_version": part("record_version")}
+    return _descended(records, keys, out, _names_reference, True)
+
+
 def shape_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """The table that ``shape_problems`` takes, from (record_type, place, field, required, form, known, values, code)."""
     return spark.createDataFrame(rows, "record_type string, place string, field string, required boolean, form string, known boolean, values array<string>, code string")

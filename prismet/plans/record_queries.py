@@ -16,14 +16,14 @@ def _reference(kind, key):
 
 def _order_records(spark, d):
     """Orders as nested records: their customer, and of each line the part and, unless it is new, the supplier under its state of knowledge."""
-    line = _t(spark, d, "lineitem").select(
-        "l_orderkey", "l_linenumber", _reference("part", F.col("l_partkey")).alias("part"),
-        F.when(F.col("l_returnflag") == "N", F.struct(F.lit("unknown").alias("state"), F.lit(None).cast("struct<record_type:string,record_id:string,record_version:string>").alias("value"))).otherwise(F.struct(F.lit("known").alias("state"), _reference("supplier", F.col("l_suppkey")).alias("value"))).alias("supplier"),
-    )
-    items = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "part", "supplier"))).alias("items"))
+    c = F.col
+    line = _t(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", F.coalesce(c("l_returnflag") == "N", F.lit(False)).alias("new"), "l_suppkey").alias("line"))
+    ordered = F.array_sort(F.transform(F.collect_list("line"), lambda x: F.struct(x["l_linenumber"].alias("l_linenumber"), x["l_partkey"].cast("string").alias("l_partkey"), x["new"].alias("new"), F.when(~x["new"], x["l_suppkey"].cast("string")).alias("l_suppkey"))))
+    known = lambda x: F.struct(F.when(x["new"], "unknown").otherwise("known").alias("state"), F.when(~x["new"], _reference("supplier", x["l_suppkey"])).alias("value"))
+    items = line.groupBy("l_orderkey").agg(F.transform(ordered, lambda x: F.struct(x["l_linenumber"].alias("l_linenumber"), _reference("part", x["l_partkey"]).alias("part"), known(x).alias("supplier"))).alias("items"))
     orders = _t(spark, d, "orders").join(items, F.col("l_orderkey") == F.col("o_orderkey"))
     record = F.struct(F.struct(_reference("customer", F.col("o_custkey")).alias("customer")).alias("links"), "items")
-    return orders.select(F.col("o_orderkey").alias("record"), F.parse_json(F.to_json(record)).alias("v"))
+    return orders.select(F.col("o_orderkey").alias("record"), F.to_variant_object(record).alias("v"))
 
 
 @_register("""WITH l AS (SELECT l_orderkey, l_partkey, l_suppkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR), l_returnflag = 'N', CAST(l_suppkey AS VARCHAR)) - 1 k FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
@@ -31,7 +31,7 @@ SELECT DISTINCT o_orderkey AS record, '$.links.customer' AS path, 'customer' tar
 UNION ALL SELECT l_orderkey, '$.items[' || k || '].part', 'part', CAST(l_partkey AS VARCHAR) FROM l UNION ALL SELECT l_orderkey, '$.items[' || k || '].supplier.value', 'supplier', CAST(l_suppkey AS VARCHAR) FROM l WHERE l_returnflag <> 'N'""")
 def reference_walk(spark, d):
     """References of nested orders at whatever depth they stand, by their paths [X15]."""
-    return shapes.references(shapes.walk(_order_records(spark, d), ["record"]), ["record"]).select("record", "path", "target_type", "target_id")
+    return shapes.deep_references(_order_records(spark, d), ["record"]).select("record", "path", "target_type", "target_id")
 
 
 def _turn_records(spark, d):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from prismet.functions import text
-from prismet.operators import fingerprints, graph, lineage, text_pairs
+from prismet.operators import fingerprints, graph, lineage, shapes, text_pairs
 
 ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
 
@@ -93,3 +93,14 @@ def test_tokens_of_asked_parts(spark, tmp_path):
     out = text_pairs.trigram_sets(spark.read.parquet(f"{tmp_path}/conversations.parquet"), parts=("n_units", "trigrams"))
     assert {r["conv_id"]: r["tok"]["trigrams"] for r in out.where("conv_id < 4").collect()} == {k: plain[k][4] for k in range(4)}
     assert out.select("tok.*").columns == ["n_units", "trigrams"]
+
+
+def test_reference_walk_writes_references_once(spark, tmp_path, monkeypatch):
+    """One table of references for all depths of the records, not one of all nodes for each depth."""
+    put(spark, tmp_path, "orders", [(k, 7 * k, "F", 1.0, None, "5-LOW") for k in range(1, 60)], ORDERS)
+    lines = [(k, 100 + (k * n) % 9, k % 5, n % 3, "N" if (k + n) % 3 == 0 else "R") for k in range(1, 55) for n in range(k % 6)]
+    put(spark, tmp_path, "lineitem", lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string")
+    tables, plain = [], shapes.written
+    monkeypatch.setattr(shapes, "written", lambda df: tables.append(plain(df)) or tables[-1])
+    got, want = both(spark, tmp_path, "reference_walk")
+    assert got == want and len(tables) == 1 and tables[0].count() == len(got)

@@ -299,7 +299,7 @@ def _turn_trigrams(spark, d):
 
 @_register()
 def trigram_distance(spark, d):
-    return text_pairs.pair_distances(_affordable(_turn_trigrams(spark, d)), "cell", "ident").withColumn("distance", F.round("distance", 10))
+    return text_pairs.set_distances(_turn_trigrams(spark, d), "cell", "ident").withColumn("distance", F.round("distance", 10))
 
 
 @_register()

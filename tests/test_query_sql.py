@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from itertools import combinations
 
 import duckdb
 import pytest
@@ -104,3 +105,30 @@ def test_reference_walk_writes_references_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(shapes, "written", lambda df: tables.append(plain(df)) or tables[-1])
     got, want = both(spark, tmp_path, "reference_walk")
     assert got == want and len(tables) == 1 and tables[0].count() == len(got)
+
+
+def put_turns(spark, folder):
+    """A conversation of which texts share much, with many copies, beside one of two texts and one of a single text."""
+    many = [f"common words {k % 9} and {k % 4} more {'tail ' * (k % 3)}" for k in range(60)] + [f"alone{k}" for k in range(5)]
+    turns = [("c", k, "user", t) for k, t in enumerate(many)] + [("d", 0, "user", "a b"), ("d", 1, "user", "a b"), ("e", 0, "user", "z")]
+    put(spark, folder, "conversations", turns, "conv_id string, turn int, role string, text string")
+    return {(c, k): text.trigrams(text.lexical_units(t)) for c, k, _, t in turns}
+
+
+def small_blocks(monkeypatch):
+    """Blocks and parts of a few, and the budget that left cells out, where there is one."""
+    for name, value in (("plans.queries._PAIRS", 0), ("operators.text_pairs.BLOCK", 5), ("operators.text_pairs.MEETINGS", 7), ("operators.text_pairs.DEALT", 2), ("operators.text_pairs.LEAVE", 10)):
+        monkeypatch.setattr(f"prismet.{name}", value, raising=False)
+
+
+def test_no_pair_of_trigrams_is_left_out(spark, tmp_path, monkeypatch):
+    """Distances of all pairs that share a trigram, whatever the size of a conversation; copies have those of their text."""
+    sets = put_turns(spark, tmp_path)
+    small_blocks(monkeypatch)
+    want = {}
+    for (c, a), (e, b) in combinations(sorted(sets), 2):
+        if c == e and (n := len(sets[c, a] & sets[c, b])):
+            u = len(sets[c, a] | sets[c, b])
+            want[c, a, b] = (n, u, round(1 - n / u, 10))
+    got = [tuple(r) for r in entry.queries()["trigram_distance"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) > 1500 and {r[:3]: r[3:] for r in got} == want

@@ -267,26 +267,17 @@ def _turn_sets(spark, d):
     return _t(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text")).select(F.col("conv_id").alias("cell"), F.col("turn").alias("ident"), words.alias("items"))
 
 
-#: Pairs of a conversation and item visits in all that a distance query may cost (the surveyed budget is a parameter).
-_PAIRS, _VISITS = 50_000_000, 10**15
-
-
-def _affordable(sets):
-    """The sets of cells within the budget, which is looked at before any pair is made [T7]."""
-    return text_pairs.affordable(sets, _PAIRS, _VISITS, ["cell"])[0]
-
-
 _TURNS = "t AS (SELECT conv_id, turn, list_distinct(list_filter(string_split(lower(min(text)), ' '), lambda w: w <> '')) w FROM conversations GROUP BY 1, 2), p AS (SELECT a.conv_id cell, a.turn a, b.turn b, len(list_intersect(a.w, b.w)) i, len(a.w) + len(b.w) s FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn < b.turn)"
 
 
 @_register(f"WITH {_TURNS} SELECT cell, a, b, i AS intersection, s - i AS \"union\", round(1 - i / (s - i), 10) distance FROM p WHERE i > 0")
 def pair_distance(spark, d):
-    return text_pairs.pair_distances(_affordable(_turn_sets(spark, d)), "cell", "ident").withColumn("distance", F.round("distance", 10))
+    return text_pairs.pair_distances(_turn_sets(spark, d), "cell", "ident").withColumn("distance", F.round("distance", 10))
 
 
 @_register(f"WITH {_TURNS}, n AS (SELECT conv_id cell, count(*) m FROM t GROUP BY 1), g AS (SELECT cell, avg(CASE WHEN i > 0 THEN 1 - i / (s - i) ELSE 1 END) v FROM p GROUP BY 1) SELECT n.cell, n.m, round(g.v, 9) mean_distance, CASE WHEN n.m > 1 THEN 'available' ELSE 'undefined' END AS status FROM n LEFT JOIN g USING (cell)")
 def surface_distance(spark, d):
-    sets = _affordable(_turn_sets(spark, d))
+    sets = _turn_sets(spark, d)
     return text_pairs.surface_means(sets, text_pairs.pair_distances(sets, "cell", "ident"), "cell").withColumn("mean_distance", F.round("mean_distance", 9))
 
 
@@ -304,8 +295,7 @@ def trigram_distance(spark, d):
 
 @_register()
 def trigram_surface_distance(spark, d):
-    sets = _affordable(_turn_trigrams(spark, d))
-    return text_pairs.surface_means(sets, text_pairs.pair_distances(sets, "cell", "ident"), "cell").withColumn("mean_distance", F.round("mean_distance", 9))
+    return text_pairs.set_means(_turn_trigrams(spark, d), "cell", "ident").withColumn("mean_distance", F.round("mean_distance", 9))
 
 
 @_register(f"WITH {_TURNS} SELECT conv_id cell, count(*) m, CAST(count(*) * (count(*) - 1) / 2 AS BIGINT) pairs, CAST((count(*) - 1) * sum(len(w)) AS BIGINT) visits FROM t GROUP BY 1")

@@ -132,3 +132,12 @@ def test_no_pair_of_trigrams_is_left_out(spark, tmp_path, monkeypatch):
             want[c, a, b] = (n, u, round(1 - n / u, 10))
     got = [tuple(r) for r in entry.queries()["trigram_distance"](spark, str(tmp_path)).collect()]
     assert len(got) == len(want) > 1500 and {r[:3]: r[3:] for r in got} == want
+
+
+def test_mean_of_all_pairs_of_trigrams(spark, tmp_path, monkeypatch):
+    """Every conversation has its mean over all pairs, whatever its size."""
+    sets = put_turns(spark, tmp_path)
+    small_blocks(monkeypatch)
+    far = [1 - len(sets[x] & sets[y]) / len(sets[x] | sets[y]) for x, y in combinations(sorted(sets), 2) if x[0] == y[0] == "c"]
+    got = {r["cell"]: tuple(r)[1:] for r in entry.queries()["trigram_surface_distance"](spark, str(tmp_path)).collect()}
+    assert got == {"c": (65, pytest.approx(sum(far) / len(far), abs=1e-9), "available"), "d": (2, 0.0, "available"), "e": (1, None, "undefined")}
